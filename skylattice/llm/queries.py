@@ -8,19 +8,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import table_path
+from .fingerprints import fingerprint_edits
+from .langid import fit, fold_of, identify
 from .media import clip_digests, store_clips
+from .mixing import mix_sources
 from .packing import pack, token_pieces
 from .token_counts import token_counts
+from .token_store import read_digests, write_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = identify(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", (fold_of(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(_documents(spark, sf_dir))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = table_path(spark, "token-store")
+    write_store(_documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_digests(spark, path)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -32,7 +57,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mix": op1_source_mix,
+    "op3_language_id": op3_language_id,
     "op5_token_counts": op5_token_counts,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_token_store": op8_token_store,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_media_columns": op10_media_columns,
 }
