@@ -14,6 +14,7 @@ from .langid import fit, fold_of, identify
 from .media import clip_digests, store_clips
 from .mixing import mix_sources
 from .packing import pack, token_pieces
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_store import read_digests, write_store
 
@@ -26,6 +27,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = identify(docs.select("doc_id", "text"), fit(docs))
@@ -58,6 +63,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op5_token_counts": op5_token_counts,
     "op7_fingerprints": op7_fingerprints,
