@@ -13,6 +13,7 @@ from .fingerprints import fingerprint_edits
 from .langid import fit, fold_of, identify
 from .media import clip_digests, store_clips
 from .mixing import mix_sources
+from .ngram_join import link_documents
 from .packing import pack, token_pieces
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
@@ -41,6 +42,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(_documents(spark, sf_dir))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_documents(spark, sf_dir))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op5_token_counts": op5_token_counts,
+    "op6_ngram_join": op6_ngram_join,
     "op7_fingerprints": op7_fingerprints,
     "op8_token_store": op8_token_store,
     "op9_best_fit_packing": op9_best_fit_packing,
