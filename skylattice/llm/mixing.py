@@ -74,24 +74,9 @@ def apportion(rows: DataFrame, group: list[str], order: list[Column], weight: st
     return won.select(*rows.columns, (F.col("_sure") + F.col("_won")).cast("long").alias(quota))
 
 
-def mix_sources(
-    docs: DataFrame,
-    *,
-    key: str = "doc_id",
-    source: str = "source",
-    text: str = "text",
-    weights: tuple[int, ...] = WEIGHTS,
-    most: int = MOST,
-    shard_words: int = SHARD_WORDS,
-    seed: int = SEED,
-) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken for every row of docs.
-
-    taken is how many words the mix takes of a document: 0 if none, its size once for each whole pass, up to `most` times
-    its size. A null text has size 0; a null source is a source of its own, last in order. Documents of equal key and size
-    in a source stand in any order among each other, so their taken counts may be exchanged between them but not changed.
-    Empty tables give empty results; columns of docs with clashing names don't matter.
-    """
+def _picks(docs: DataFrame, key: str, source: str, text: str, weights: tuple[int, ...], most: int, shard_words: int, seed: int) -> DataFrame:
+    """Every row's _key, _text (hash), source, size, source_size, target, and what the mix takes of it: _pass times the
+    whole, and the words from _first on (its place in the shard's stream) whose block is picked."""
     sized = docs.select(docs[key].alias("_key"), docs[source].alias("source"), word_count(docs[text]).alias("size"), F.xxhash64(docs[text]).alias("_text"))
     sized = cut(sized.withColumn("_order", F.xxhash64("_key", "_text", F.lit(seed))))
     totals = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
@@ -111,19 +96,74 @@ def mix_sources(
     placed = sharded.withColumn("_end", F.sum("size").over(Window.partitionBy("source", "_shard").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(shards, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_part")))
     start = F.pmod(F.xxhash64(F.lit(seed), "source", "_shard"), F.greatest(F.col("_blocks"), F.lit(1)))
-    placed = placed.withColumn("_pass", F.when(F.col("_blocks") > 0, F.floor(F.col("_quota") / F.col("_blocks"))).otherwise(0)).withColumn("_rest", F.col("_quota") - F.col("_pass") * F.col("_blocks")).withColumn("_start", start)
+    placed = placed.withColumn("_pass", F.when(F.col("_blocks") > 0, F.floor(F.col("_quota") / F.col("_blocks"))).otherwise(0))
+    placed = placed.withColumn("_rest", F.col("_quota") - F.col("_pass") * F.col("_blocks")).withColumn("_start", start).withColumn("_first", F.col("_end") - F.col("size"))
+    return placed.withColumn("_some", F.when(F.col("size") == 0, 0).otherwise(_words_picked(F.col("_end")) - _words_picked(F.col("_first"))).cast("long"))
+
+
+def _picked(block: Column) -> Column:
+    """How many of the first so many blocks are picked: every (blocks / rest)th from the seeded start."""
+    return _div(block * F.col("_rest") + F.col("_start"), F.greatest(F.col("_blocks"), F.lit(1)))
+
+
+def _words_picked(word: Column) -> Column:
+    """How many of the first so many words of the stream lie in picked blocks."""
+    block = _div(word, F.col("_block"))
+    inside = word - block * F.col("_block")
+    return _picked(block) * F.col("_block") + inside * (_picked(block + 1) - _picked(block))
 
-    def picked(block: Column) -> Column:
-        """How many of the first so many blocks are picked: every (blocks / rest)th from the seeded start."""
-        return _div(block * F.col("_rest") + F.col("_start"), F.greatest(F.col("_blocks"), F.lit(1)))
 
-    def words_picked(word: Column) -> Column:
-        block = _div(word, F.col("_block"))
-        inside = word - block * F.col("_block")
-        return picked(block) * F.col("_block") + inside * (picked(block + 1) - picked(block))
+def mix_sources(
+    docs: DataFrame,
+    *,
+    key: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    weights: tuple[int, ...] = WEIGHTS,
+    most: int = MOST,
+    shard_words: int = SHARD_WORDS,
+    seed: int = SEED,
+) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken for every row of docs.
 
-    taken = F.col("_pass") * F.col("size") + words_picked(F.col("_end")) - words_picked(F.col("_end") - F.col("size"))
-    return placed.select(F.col("_key").alias(key), F.col("size"), F.col("source").alias(source), F.col("source_size"), F.col("target"), F.when(F.col("size") == 0, 0).otherwise(taken).cast("long").alias("taken"))
+    taken is how many words the mix takes of a document: 0 if none, its size once for each whole pass, up to `most` times
+    its size. A null text has size 0; a null source is a source of its own, last in order. Documents of equal key and size
+    in a source stand in any order among each other, so their taken counts may be exchanged between them but not changed.
+    Empty tables give empty results; columns of docs with clashing names don't matter.
+    """
+    placed = _picks(docs, key, source, text, weights, most, shard_words, seed)
+    return placed.select(F.col("_key").alias(key), F.col("size"), F.col("source").alias(source), F.col("source_size"), F.col("target"), (F.col("_pass") * F.col("size") + F.col("_some")).cast("long").alias("taken"))
+
+
+def mixed_documents(
+    docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", chars: str = "n_chars", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shard_words: int = SHARD_WORDS, seed: int = SEED
+) -> DataFrame:
+    """The mix itself, with docs' columns: a row as it is for each whole pass, and a row with the picked words of the rest.
+
+    The picked words keep their order and are parted by single spaces; `chars`, where docs has it, follows the text. Rows
+    of which nothing is taken, such as those without a word, are not in the mix.
+    """
+    placed = _picks(docs, key, source, text, weights, most, shard_words, seed).where((F.col("_pass") > 0) & (F.col("size") > 0) | (F.col("_some") > 0))
+    wanted = F.struct("_pass", "_some", "_first", "_block", "_blocks", "_rest", "_start")
+    facts = placed.groupBy("_key", "_text", "source").agg(F.collect_list(wanted).alias("_picks"))
+    facts = facts.select(F.col("_key").alias("_k"), F.col("_text").alias("_t"), F.col("source").alias("_s"), "_picks")
+    wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[key].alias("_key"), F.xxhash64(docs[text]).alias("_text"), docs[source].alias("source"))
+    met = wide.join(facts, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_text") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s")))
+    single = met.where(F.size("_picks") == 1).select("_row", F.element_at("_picks", 1).alias("_p"))
+    # rows equal in key, source and text: each takes one of their picks
+    nth = F.row_number().over(Window.partitionBy("_key", "_text", "source").orderBy(F.lit(1)))
+    several = met.where(F.size("_picks") > 1).withColumn("_nth", nth).where(F.col("_nth") <= F.size("_picks")).select("_row", F.expr("element_at(_picks, _nth)").alias("_p"))
+    every = single.unionByName(several).select("_row", "_p.*")
+    whole = every.where("_pass > 0").select("_row", F.explode(F.expr("sequence(1L, _pass)")).alias("_n"), F.col(f"_row.`{text}`").alias("_new")).drop("_n")
+    words = F.regexp_extract_all(F.col(f"_row.`{text}`"), F.lit(WORD), F.lit(0))
+
+    def inside(_, i: Column) -> Column:
+        block = _div(F.col("_first") + i, F.col("_block"))
+        return _picked(block + 1) > _picked(block)
+
+    part = every.where("_some > 0").select("_row", F.array_join(F.filter(words, inside), " ").alias("_new"))
+    both = whole.unionByName(part)
+    return both.select(*[F.col("_new").alias(c) if c == text else F.char_length("_new").cast(dict(docs.dtypes)[c]).alias(c) if c == chars else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _div(a: Column, b: Column) -> Column:

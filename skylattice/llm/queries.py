@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table_path
 from .fingerprints import fingerprint_edits
 from .langid import fit, fold_of, identify
+from .line_dedup import dedup_lines
 from .media import clip_digests, store_clips
 from .mixing import mix_sources
 from .ngram_join import link_documents
@@ -38,6 +39,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_ngram_join": op6_ngram_join,
     "op7_fingerprints": op7_fingerprints,

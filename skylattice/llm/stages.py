@@ -5,9 +5,34 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import fit, keep_identified
+from .line_dedup import dedup_lines
+from .mixing import mixed_documents
+from .ngram_join import one_of_each
 from .packing import pack, token_pieces
+from .setjoin import Rule
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; those without a letter, or unlike every language learned, go."""
+    return keep_identified(docs, fit(docs))
+
+
+def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that a line before them is alike to, by 0.8 of their words."""
+    return dedup_lines(docs)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 0.8 of their word 5-shingles."""
+    return one_of_each(docs, size=5, rule=Rule(80, 100))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources by weight: documents once for each pass, and the picked words of the rest."""
+    return mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: pieces of every document with their place in sequences of 2048 tokens."""
+    """Pieces of every document with their place in sequences of 2048 tokens."""
     return pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))

@@ -1,6 +1,6 @@
 import random
 
-from skylattice.llm.mixing import apportion, mix_sources, source_targets
+from skylattice.llm.mixing import apportion, mix_sources, mixed_documents, source_targets
 from pyspark.sql import functions as F
 
 from .samples import documents, empty
@@ -62,3 +62,23 @@ def test_mix(spark):
         total = sum(s[1] for s in sums.values())
         assert abs(sum(s[2] for s in sums.values()) - total) < 1e-3
     assert mix_sources(empty(spark)).count() == 0
+
+
+def test_mixed_documents_hold_the_words_taken(spark):
+    docs = documents(spark)
+    words = lambda t: __import__("re").findall(r"[^\x20\x09-\x0D]+", t or "")
+    want, got, original = {}, {}, {}
+    for r in mix_sources(docs).collect():
+        want[str(r["doc_id"])] = want.get(str(r["doc_id"]), 0) + r["taken"]
+    for r in docs.collect():
+        original[str(r["doc_id"])] = words(r["text"])
+    mixed = mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    for r in mixed.collect():
+        own = words(r["text"])
+        assert own and r["n_chars"] == len(r["text"])
+        rest = iter(original[str(r["doc_id"])])
+        assert all(w in rest for w in own)
+        got[str(r["doc_id"])] = got.get(str(r["doc_id"]), 0) + len(own)
+    assert got == {k: n for k, n in want.items() if n}
+    assert mixed_documents(empty(spark)).count() == 0
