@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm.stages import pack_sequences
+from skylattice.llm import stages
 from skylattice.llm.common import written
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("best-fit packing", pack_sequences)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", stages.identify_language),
+    ("line dedup", stages.remove_lines),
+    ("n-gram Jaccard join", stages.keep_one_of_each),
+    ("mixing sources to target weights", stages.mix),
+    ("best-fit packing", stages.pack_sequences),
+]
 
 #: Language models, similarity joins and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
