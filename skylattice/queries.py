@@ -286,13 +286,13 @@ def _(spark, d):
     return rounded(comparison.stability(c, rms, cap=1.0))
 
 
-@query("a24_iterative_clip", """with recursive r as (select 0 as k, l_suppkey as s, l_orderkey as o, l_linenumber as l, l_extendedprice as v from lineitem where l_suppkey < 40),
+@query("a24_iterative_clip", """with recursive r as (select 0 as k, l_suppkey as s, l_orderkey as o, l_linenumber as l, l_extendedprice as v from lineitem),
     m1 as (select *, median(v) over (partition by s) as md from r), a1 as (select *, median(abs(v - md)) over (partition by s) as mad from m1), x1 as (select *, v <= md + 1.0 * mad / 0.6745 as stay from a1), r1 as (select *, count(*) over (partition by s) as had, sum(stay::int) over (partition by s) as left_ from x1),
     k1 as (select s, o, l, v from r1 where case when mad > 0 and left_ >= 10 and left_ < had then stay else true end),
     m2 as (select *, median(v) over (partition by s) as md from k1), a2 as (select *, median(abs(v - md)) over (partition by s) as mad from m2), x2 as (select *, v <= md + 1.0 * mad / 0.6745 as stay from a2), r2 as (select *, count(*) over (partition by s) as had, sum(stay::int) over (partition by s) as left_ from x2),
     k2 as (select s, o, l, v from r2 where case when mad > 0 and left_ >= 10 and left_ < had then stay else true end) select s as catalog_id, count(*) as n, round(max(v), 6) as top from k2 group by 1""".replace("with recursive r", "with r"))
 def _(spark, d):
-    rows = dense(spark, d).where("catalog_id < 40").select("catalog_id", "l_orderkey", "l_linenumber", "flux")
+    rows = dense(spark, d).select("catalog_id", "l_orderkey", "l_linenumber", "flux")
     kept = robust.iterative_clip(rows, "flux", ["catalog_id"], n_min=10, rounds=2, k=1.0)
     return rounded(kept.groupBy("catalog_id").agg(F.count("*").alias("n"), F.max("flux").alias("top")))
 
@@ -345,3 +345,420 @@ def _(spark, d):
 def _(spark, d):
     w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
     return rounded(read(spark, d, "part").withColumn("_r", F.row_number().over(w)).where("_r <= 3").select("p_brand", "p_partkey", "p_retailprice"))
+
+
+# ---------------------------------------------------------------- light curves
+
+COMPS = f"{DENSE}, {CELLS}, {STARS}, {BRIDGE}, comps as (select b.target_id, b.comp_id, c.frame_id, c.mag, c.err, s.mag as catalog_mag, s.bp_rp from bridge b join cells c on c.catalog_id = b.comp_id join stars s on s.catalog_id = b.comp_id)"
+
+
+def comp_rows(spark, d):
+    s = stars(spark, d).select(F.col("catalog_id").alias("comp_id"), F.col("mag").alias("catalog_mag"), "bp_rp")
+    return bridge(spark, d).join(cells(spark, d).select(F.col("catalog_id").alias("comp_id"), "frame_id", "mag", "err"), "comp_id").join(s, "comp_id")
+
+
+@query("j29_a14_ensemble_magnitude", f"with {COMPS} select target_id, frame_id, count(*) as n_comp, round(-2.5 * log10(sum(pow(10.0, -0.4 * mag))), 6) as ensemble_mag, round(stddev_pop(mag), 6) as scatter from comps group by 1, 2")
+def _(spark, d):
+    return rounded(photometry.ensemble_magnitude(comp_rows(spark, d)))
+
+
+@query("a15_weighted_zero_point", f"with {COMPS} select target_id, frame_id, round(coalesce(sum(case when err > 1e-6 then (catalog_mag - mag) / (err * err) end) / sum(case when err > 1e-6 then 1 / (err * err) end), median(catalog_mag - mag)), 6) as zero_point from comps group by 1, 2")
+def _(spark, d):
+    return rounded(photometry.zero_points(comp_rows(spark, d), "err"))
+
+
+DIFFERENTIAL = f"""{COMPS}, w as (select *, catalog_mag - mag as z, case when err > 0 then 1 / (err * err) else 1.0 end as wt from comps), s as (select target_id, frame_id, count(*) as n_comp, sum(wt * z) as wz, sum(wt) as sw, avg(z) as av, sum(pow(wt * err, 2)) as we from w group by 1, 2),
+    diff as (select c.catalog_id as target_id, c.frame_id, c.airmass, s.n_comp, case when n_comp = 1 then av else wz / sw end as zp, c.mag + case when n_comp = 1 then av else wz / sw end as calibrated, sqrt(c.err * c.err + case when n_comp = 1 then 0 else we / (sw * sw) end) as calibrated_err from cells c join s on s.target_id = c.catalog_id and s.frame_id = c.frame_id)"""
+
+
+@query("a16_j13_differential_magnitudes", f"with {DIFFERENTIAL} select target_id, frame_id, n_comp, round(zp, 6) as zp, round(calibrated, 6) as calibrated, round(calibrated_err, 6) as calibrated_err from diff")
+def _(spark, d):
+    t = cells(spark, d).select(F.col("catalog_id").alias("target_id"), "frame_id", "mag", "err")
+    return rounded(photometry.differential(t, comp_rows(spark, d)).select("target_id", "frame_id", "n_comp", "zp", "calibrated", "calibrated_err"))
+
+
+@query("a17_colour_term", f"""with {COMPS}, st as (select target_id, comp_id, count(catalog_mag - mag) as k, median(catalog_mag - mag) as y, first(bp_rp) as c from comps group by 1, 2 having count(catalog_mag - mag) >= 5), x0 as (select *, c - median(c) over (partition by target_id) as x, median(c) over (partition by target_id) as mid, count(*) over (partition by target_id) as n from st),
+    x1 as (select *, y - regr_intercept(y, x) over (partition by target_id) - regr_slope(y, x) over (partition by target_id) * x as r from x0 where n >= 5), x2 as (select *, median(r) over (partition by target_id) as rm, stddev_pop(r) over (partition by target_id) as sd from x1), x3 as (select *, median(abs(r - rm)) over (partition by target_id) as mad from x2),
+    f as (select target_id, count(*) as n, max(mid) as mid, regr_slope(y, x) as c1, regr_sxx(y, x) as sxx, regr_syy(y, x) as syy, regr_sxy(y, x) as sxy from x3 where abs(r) <= 3 * case when mad > 0 then mad / 0.6745 when sd > 0 then sd / 0.6745 else 1e-9 end group by 1)
+    select target_id, n, round(c1, 5) as c1, round(case when n > 2 and sxx > 0 then sqrt(greatest(syy - c1 * sxy, 0) / (n - 2) / sxx) end, 5) as c1_err, round(cast(mid as double), 6) as colour_mid, coalesce(n >= 10 and abs(c1) > 1e-6 and sqrt(greatest(syy - c1 * sxy, 0) / (n - 2) / sxx) / abs(c1) <= 0.5, false) as applied from f""")
+def _(spark, d):
+    c = comp_rows(spark, d).withColumnRenamed("comp_id", "catalog_id")
+    t = photometry.colour_term(c, ["target_id"])
+    return t.select("target_id", "n", F.round("c1", 5).alias("c1"), F.round("c1_err", 5).alias("c1_err"), F.round("colour_mid", 6).alias("colour_mid"), photometry.colour_gate(F.col("n"), F.col("c1"), F.col("c1_err"), F.lit("V")).alias("applied"))
+
+
+FLAGS = """o1 as (select *, count(mag) over w as n, median(mag) over w as md, stddev_pop(mag) over w as sd from o0 window w as (partition by target_id)), o2 as (select *, median(abs(mag - md)) over (partition by target_id) as mad from o1), o3 as (select *, case when mad > 0 then mad / 0.6745 when sd > 0 then sd / 0.6745 else 1e-9 end as sg from o2),
+    flagged as (select target_id, frame_id, mag, airmass, case when n < 3 then 'no_data' when mag < md - 3 * sg then 'outlier_hi' when mag > md + 3 * sg then 'outlier_lo' else 'normal' end as flag from o3)"""
+
+
+@query("a21_outlier_flags", f"with {DIFFERENTIAL}, o0 as (select target_id, frame_id, calibrated as mag, airmass from diff), {FLAGS} select target_id, frame_id, flag from flagged")
+def _(spark, d):
+    t = cells(spark, d).select(F.col("catalog_id").alias("target_id"), "frame_id", "mag", "err")
+    c = photometry.differential(t, comp_rows(spark, d)).select("target_id", "frame_id", F.col("calibrated").alias("mag"))
+    return photometry.outlier_flags(c, "target_id", "mag", F.lit(False)).select("target_id", "frame_id", "flag")
+
+
+@query("a22_photometry_session", f"""with {DIFFERENTIAL}, o0 as (select target_id, frame_id, calibrated as mag, airmass from diff), {FLAGS}, fit as (select target_id, count(*) filter (where flag = 'normal') as n, regr_slope(mag, airmass) filter (where flag = 'normal') as b, median(airmass) filter (where flag = 'normal') as xm from flagged group by 1),
+    p0 as (select f.target_id, f.frame_id, case when n >= 10 and b between 0 and 1.5 then mag - b * (airmass - xm) else mag end as mag, case when n >= 10 and b between 0 and 1.5 then b end as slope from flagged f join fit using (target_id)),
+    p1 as (select *, count(mag) over w as n, median(mag) over w as md, stddev_pop(mag) over w as sd from p0 window w as (partition by target_id)), p2 as (select *, median(abs(mag - md)) over (partition by target_id) as mad from p1), p3 as (select *, case when mad > 0 then mad / 0.6745 when sd > 0 then sd / 0.6745 else 1e-9 end as sg from p2),
+    p4 as (select *, case when n < 3 then 'no_data' when mag < md - 3 * sg then 'outlier_hi' when mag > md + 3 * sg then 'outlier_lo' else 'normal' end as flag from p3)
+    select target_id, count(*) as n_frames, count(*) filter (where flag in ('outlier_hi', 'outlier_lo')) as n_outliers, count(*) filter (where flag = 'saturated') as n_saturated, round(stddev_pop(mag) filter (where flag = 'normal'), 6) as lc_rms, round(median(mag) filter (where flag = 'normal'), 6) as lc_median_mag, round(max(slope), 6) as am_slope from p4 group by 1""")
+def _(spark, d):
+    return rounded(sessions.photometry_session(cells(spark, d), stars(spark, d), bridge(spark, d)))
+
+
+@query("a18_a19_airmass_by_segment", f"""with {DENSE}, f as (select catalog_id, segment, count(*) as n, regr_slope(mag, airmass) as b, median(airmass) as xm from dense where mag is not null group by 1, 2)
+    select d.catalog_id, d.segment, l_orderkey, l_linenumber, round(case when n >= 10 and b between 0 and 1.5 then mag - b * (airmass - xm) else mag end, 6) as detrended from dense d join f using (catalog_id, segment)""")
+def _(spark, d):
+    t = photometry.airmass_detrended(dense(spark, d).withColumn("flag", F.lit("normal")), ["catalog_id", "segment"])
+    return rounded(t.select("catalog_id", "segment", "l_orderkey", "l_linenumber", "detrended"))
+
+
+@query("period_search", f"""with {DENSE}, {CELLS}, p as (select catalog_id, row_number() over (partition by catalog_id order by frame_id) * 1.0 as t, mag - avg(mag) over (partition by catalog_id) as y from cells), f as (select * from p cross join (select unnest([0.05, 0.1, 0.2, 0.31]) as frequency)),
+    a as (select *, atan2(sum(sin(4 * pi() * frequency * t)) over w, sum(cos(4 * pi() * frequency * t)) over w) / (4 * pi() * frequency) as tau from f window w as (partition by catalog_id, frequency)), b as (select *, cos(2 * pi() * frequency * (t - tau)) as c, sin(2 * pi() * frequency * (t - tau)) as s from a)
+    select catalog_id, cast(frequency as double) as frequency, round((pow(sum(y * c), 2) / sum(c * c) + pow(sum(y * s), 2) / sum(s * s)) / 2, 5) as power from b group by 1, 2""")
+def _(spark, d):
+    t = cells(spark, d).withColumn("t", F.row_number().over(Window.partitionBy("catalog_id").orderBy("frame_id")) * 1.0)
+    return rounded(photometry.lomb_scargle(t.select("catalog_id", F.col("t").cast("double").alias("t"), "mag"), "catalog_id", "t", "mag", [0.05, 0.1, 0.2, 0.31]), 5)
+
+
+# ---------------------------------------------------------------- grouped reports
+
+
+@query("a25_a45_scatter_by_group", f"with {DENSE} select catalog_id, segment, count(*) as n_frames, round(median(case when err > 0.02 then flux end), 6) as med_flux, round(stddev_samp(flux), 6) as rms_flux, round(100 * stddev_samp(flux) / avg(flux), 6) as rms_pct from dense group by 1, 2 having count(*) >= 5 and median(case when err > 0.02 then flux end) > 100")
+def _(spark, d):
+    g = dense(spark, d).groupBy("catalog_id", "segment").agg(F.count("*").alias("n_frames"), F.median(F.when(F.col("err") > 0.02, F.col("flux"))).alias("med_flux"), F.stddev_samp("flux").alias("rms_flux"), (100 * F.stddev_samp("flux") / F.avg("flux")).alias("rms_pct"))
+    return rounded(g.where("n_frames >= 5 and med_flux > 100"))
+
+
+@query("a27_a28_two_level_scatter", f"with {DENSE}, s as (select catalog_id, stddev_pop(mag) as rms, count(*) as n from dense group by 1 having count(*) >= 2), m as (select median(rms) as md from s) select catalog_id, n, round(rms, 6) as rms, round(rms / md, 6) as ratio, case when rms > 1.05 * md then 'variable' when rms < 0.95 * md then 'quiet' else 'typical' end as verdict from s cross join m")
+def _(spark, d):
+    s = dense(spark, d).groupBy("catalog_id").agg(F.stddev_pop("mag").alias("rms"), F.count("*").alias("n")).where("n >= 2")
+    t = s.crossJoin(F.broadcast(s.agg(F.median("rms").alias("md"))))
+    verdict = F.when(F.col("rms") > 1.05 * F.col("md"), "variable").when(F.col("rms") < 0.95 * F.col("md"), "quiet").otherwise("typical")
+    return rounded(t.select("catalog_id", "n", "rms", (F.col("rms") / F.col("md")).alias("ratio"), verdict.alias("verdict")))
+
+
+@query("a29_heat_map", "select round_even(p_retailprice / 100 * 2, 0) / 2 as x_bin, round_even(p_size * 0.03 * 4, 0) / 4 as y_bin, count(*) as n from part group by 1, 2")
+def _(spark, d):
+    p = read(spark, d, "part")
+    return p.groupBy((F.bround(F.col("p_retailprice") / 100 * 2, 0) / 2).alias("x_bin"), (F.bround(F.col("p_size") * 0.03 * 4, 0) / 4).alias("y_bin")).agg(F.count("*").alias("n"))
+
+
+@query("a30_frame_metrics", f"with {SPARSE} select frame_id, count(*) as n, count(*) filter (where usable) as n_usable, count(distinct catalog_id) as n_stars, round(median(flux), 6) as med from sparse group by 1")
+def _(spark, d):
+    return rounded(sparse(spark, d).groupBy("frame_id").agg(F.count("*").alias("n"), F.count_if("usable").alias("n_usable"), F.count_distinct("catalog_id").alias("n_stars"), F.median("flux").alias("med")))
+
+
+@query("a31_histogram_percentiles", f"with {DENSE} select segment, cast(least(floor(flux / 10000), 9) as bigint) as bin, count(*) as n, round(quantile_cont(flux, 0.05), 6) as p05, round(quantile_cont(flux, 0.5), 6) as p50, round(quantile_cont(flux, 0.95), 6) as p95 from dense group by 1, 2")
+def _(spark, d):
+    t = dense(spark, d).withColumn("bin", F.least(F.floor(F.col("flux") / 10000), F.lit(9)).cast("long"))
+    return rounded(t.groupBy("segment", "bin").agg(F.count("*").alias("n"), *[F.percentile("flux", q).alias(f"p{int(q * 100):02d}") for q in (0.05, 0.5, 0.95)]))
+
+
+@query("a32_a33_frame_score", f"""with {DENSE}, f as (select frame_id, median(err) as fwhm, median(airmass) as elong, count(*) as stars, median(peak) as sky from dense group by 1), r as (select *, min(fwhm) over () a0, max(fwhm) over () a1, min(elong) over () b0, max(elong) over () b1, min(stars) over () c0, max(stars) over () c1, min(sky) over () d0, max(sky) over () d1 from f)
+    select frame_id, round(0.45 * case when a1 > a0 then 1 - (fwhm - a0) / (a1 - a0) else 1 end + 0.30 * case when b1 > b0 then 1 - (elong - b0) / (b1 - b0) else 1 end + 0.15 * case when c1 > c0 then (stars - c0) / (c1 - c0) else 1 end + 0.10 * case when d1 > d0 then 1 - (sky - d0) / (d1 - d0) else 1 end, 6) as score, (select round_even(median(fwhm) * 1.05, 2) from f) as auto_limit from r""")
+def _(spark, d):
+    f = dense(spark, d).groupBy("frame_id").agg(F.median("err").alias("fwhm"), F.median("airmass").alias("elong"), F.count("*").alias("stars"), F.median("peak").alias("sky"))
+    ranges = f.agg(*[g(c).alias(f"{n}_{c}") for c in ("fwhm", "elong", "stars", "sky") for n, g in (("low", F.min), ("high", F.max))], F.bround(F.median("fwhm") * 1.05, 2).alias("auto_limit"))
+    t = f.crossJoin(F.broadcast(ranges))
+    part = lambda c: F.when(F.col(f"high_{c}") > F.col(f"low_{c}"), (F.col(c) - F.col(f"low_{c}")) / (F.col(f"high_{c}") - F.col(f"low_{c}")))
+    inverse = lambda c: F.coalesce(1 - part(c), F.lit(1.0))
+    return rounded(t.select("frame_id", (0.45 * inverse("fwhm") + 0.30 * inverse("elong") + 0.15 * F.coalesce(part("stars"), F.lit(1.0)) + 0.10 * inverse("sky")).alias("score"), "auto_limit"))
+
+
+@query("a34_a35_group_representative", "select l_shipmode_, l_returnflag, min(l_orderkey) as first_order, count(*) as n, list_aggregate(list_sort(list(distinct l_linenumber)), 'string_agg', ',') as lines from (select *, l_linestatus as l_shipmode_ from lineitem) group by 1, 2")
+def _(spark, d):
+    x = read(spark, d, "lineitem")
+    return x.groupBy(F.col("l_linestatus").alias("l_shipmode_"), "l_returnflag").agg(F.min("l_orderkey").alias("first_order"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("l_linenumber")), lambda v: v.cast("string")), ",").alias("lines"))
+
+
+@query("a36_a38_u1_u2_reference_counts", "select kind, count(*) as n from (select 'customer' as kind, c_nationkey as k from customer union all select 'supplier', s_nationkey from supplier union all select 'nation', n_nationkey from nation) group by 1")
+def _(spark, d):
+    parts = [read(spark, d, t).select(F.lit(t).alias("kind"), F.col(c).alias("k")) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("a39_smallest_per_key", f"with {PAIRS} select comp_id, round(min(dm), 6) as best from pairs group by 1")
+def _(spark, d):
+    return rounded(star_pairs(spark, d).groupBy("comp_id").agg(F.min("dm").alias("best")))
+
+
+@query("w11_w14_halves_and_trim", f"""with {DENSE}, {CELLS}, r as (select *, row_number() over w as k, count(*) over (partition by catalog_id) as n, ntile(2) over w as half from cells window w as (partition by catalog_id order by frame_id)), s as (select * from r where k > 5 and k <= n - 5 and not (k > n / 2 - 3 and k <= n / 2 + 3))
+    select catalog_id, count(*) as n, round(avg(case when half = 1 then mag end), 6) as first_half, round(avg(case when half = 2 then mag end), 6) as second_half, min_by(frame_id, (mag, frame_id)) as brightest from s group by 1""")
+def _(spark, d):
+    w = Window.partitionBy("catalog_id")
+    t = cells(spark, d).withColumn("k", F.row_number().over(w.orderBy("frame_id"))).withColumn("half", F.ntile(2).over(w.orderBy("frame_id"))).withColumn("n", F.count("*").over(w))
+    t = t.where("k > 5 and k <= n - 5 and not (k > n / 2 - 3 and k <= n / 2 + 3)")
+    return rounded(t.groupBy("catalog_id").agg(F.count("*").alias("n"), F.avg(F.when(F.col("half") == 1, F.col("mag"))).alias("first_half"), F.avg(F.when(F.col("half") == 2, F.col("mag"))).alias("second_half"), F.min_by("frame_id", F.struct("mag", "frame_id")).alias("brightest")))
+
+
+@query("o1_o9_top_lists", "select o_orderkey, round(o_totalprice, 6) as o_totalprice from orders order by coalesce(o_totalprice, -1) desc, o_orderkey limit 10")
+def _(spark, d):
+    return rounded(read(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.coalesce("o_totalprice", F.lit(-1.0)).desc(), "o_orderkey").limit(10))
+
+
+@query("u3_u5_sets", "select l_partkey from (select distinct l_partkey from lineitem where l_returnflag = 'R' intersect select distinct l_partkey from lineitem where l_returnflag = 'A' except select p_partkey from part where p_size > 40)")
+def _(spark, d):
+    x = read(spark, d, "lineitem")
+    a, r = (x.where(F.col("l_returnflag") == f).select("l_partkey") for f in "AR")
+    big = read(spark, d, "part").where("p_size > 40").select(F.col("p_partkey").alias("l_partkey"))
+    return r.distinct().join(a, "l_partkey", "left_semi").join(big, "l_partkey", "left_anti")
+
+
+# ---------------------------------------------------------------- positions
+
+HAVERSINE = "2 * degrees(asin(sqrt(least(1.0, pow(sin(radians(b.dec_deg - a.dec_deg) / 2), 2) + cos(radians(a.dec_deg)) * cos(radians(b.dec_deg)) * pow(sin(radians(b.ra_deg - a.ra_deg) / 2), 2)))))"
+
+
+@query("j3_nearest_on_sky", f"with {SKY}, p as (select a.vec_id as l_vec_id, b.vec_id as r_vec_id, {HAVERSINE} as distance from sky a join sky b on a.label = 0 and b.label <> 0) select l_vec_id, r_vec_id, round(distance, 6) as distance from p where distance <= 0.8 qualify row_number() over (partition by l_vec_id order by distance, r_vec_id) = 1")
+def _(spark, d):
+    s = sky(spark, d).select("vec_id", "label", "ra_deg", "dec_deg")
+    pairs = spatial.sky_pairs(s.where("label = 0"), s.where("label <> 0"), 0.8)
+    return rounded(spatial.nearest(pairs, "l_vec_id", "r_vec_id").select("l_vec_id", "r_vec_id", "distance"))
+
+
+@query("j6_radius_and_brightness", f"with {SKY} select a.vec_id as l_vec_id, b.vec_id as r_vec_id, round({HAVERSINE}, 6) as distance from sky a join sky b on a.vec_id < b.vec_id where {HAVERSINE} <= 0.5 and abs(a.mag - b.mag) < 0.3")
+def _(spark, d):
+    s = sky(spark, d).select("vec_id", "ra_deg", "dec_deg", "mag")
+    p = spatial.sky_pairs(s, s, 0.5).where("l_vec_id < r_vec_id and abs(l_mag - r_mag) < 0.3")
+    return rounded(p.select("l_vec_id", "r_vec_id", "distance"))
+
+
+@query("j7_blended", f"with {SKY} select vec_id, exists (select 1 from sky b where b.vec_id <> a.vec_id and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 9.6) as is_blended from sky a")
+def _(spark, d):
+    return spatial.blended(sky(spark, d).select("vec_id", "x", "y"), "vec_id", 9.6).select("vec_id", "is_blended")
+
+
+@query("j8_contamination", f"with {SKY} select a.vec_id, round(least(coalesce(sum(case when b.vec_id is not null then pow(10.0, -0.4 * (b.mag - a.mag)) end), 0), 2.0), 6) as contamination from sky a left join sky b on b.vec_id <> a.vec_id and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) > 0.5 and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 25 and b.mag - a.mag <= 3 group by 1")
+def _(spark, d):
+    return rounded(spatial.contamination(sky(spark, d).select("vec_id", "x", "y", "mag"), "vec_id").select("vec_id", "contamination"))
+
+
+@query("j9_isolation_with_valve", f"with {SKY}, k as (select vec_id, label, not exists (select 1 from sky b where b.label = a.label and b.vec_id <> a.vec_id and abs(a.mag - b.mag) < 3 and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 12.0) as alone from sky a) select vec_id, label from k qualify alone or sum(alone::int) over (partition by label) < 20")
+def _(spark, d):
+    return spatial.isolated(sky(spark, d).select("vec_id", "label", "x", "y", "mag"), "vec_id", "label", radius=12.0, max_dmag=3.0, n_min=20).select("vec_id", "label")
+
+
+@query("j10_j11_one_to_one")
+def _(spark, d):
+    s = sky(spark, d).select("vec_id", "label", "x", "y")
+    p = spatial.plane_pairs(s.where("label % 2 = 0").select("vec_id", "x", "y"), s.where("label % 2 = 1").select("vec_id", "x", "y"), 30.0).select("l_vec_id", "r_vec_id", "distance")
+    return rounded(spatial.one_to_one(p, "l_vec_id", "r_vec_id"))
+
+
+@query("s7_s8_sky_box", f"with {SKY} select vec_id, round(ra_deg, 6) as ra_deg, round(mag, 6) as mag from sky where dec_deg between -3 and 3 and (ra_deg >= 357 or ra_deg <= 4) and mag <= 13 order by mag, vec_id limit 100")
+def _(spark, d):
+    s = spatial.boxes(sky(spark, d), 357, 364, -3, 3).where("mag <= 13")
+    return rounded(s.select("vec_id", "ra_deg", "mag").orderBy("mag", "vec_id").limit(100))
+
+
+@query("s9_j5_key_lookup", "select p_partkey, p_brand from part where p_partkey in (select l_partkey from lineitem where l_quantity > 49)")
+def _(spark, d):
+    return read(spark, d, "part").join(read(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi").select("p_partkey", "p_brand")
+
+
+@query("s10_column_statistic", "select max(p_retailprice) as top, min(p_retailprice) as low, count(*) as n from part")
+def _(spark, d):
+    return read(spark, d, "part").agg(F.max("p_retailprice").alias("top"), F.min("p_retailprice").alias("low"), F.count("*").alias("n"))
+
+
+@query("s15_strip_grid", "select cast(i * 48 + j as int) as strip, j * 7.5 as ra_min, least((j + 1) * 7.5, 360.0) as ra_max, -20.0 + i * 5.0 as dec_min, least(-20.0 + (i + 1) * 5.0, 90.0) as dec_max, j = 47 as ra_closed, i = 21 as dec_closed from range(0, 22) a(i) cross join range(0, 48) b(j)")
+def _(spark, d):
+    t = spark.sql(spatial.strips(7.5, 5.0, -20.0, 90.0))
+    return t.select("strip", *[F.col(c).cast("double").alias(c) for c in ("ra_min", "ra_max", "dec_min", "dec_max")], "ra_closed", "dec_closed")
+
+
+@query("s16_j26_cells_to_do", "select cast(l_orderkey // 1000 as bigint) as cell, count(*) as n from lineitem where l_orderkey // 1000 not in (select o_orderkey // 1000 from orders where o_orderstatus = 'P') group by 1")
+def _(spark, d):
+    x = read(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 1000).alias("cell"))
+    done = read(spark, d, "orders").where("o_orderstatus = 'P'").select(F.floor(F.col("o_orderkey") / 1000).alias("cell"))
+    return x.join(done, "cell", "left_anti").groupBy("cell").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- metadata joins
+
+
+@query("j15_j17_observation_metadata", "select o_orderkey, c_name, n_name, r_name, round(o_totalprice, 6) as o_totalprice from orders left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey left join region on r_regionkey = n_regionkey")
+def _(spark, d):
+    t = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left").join(F.broadcast(read(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey"), "left").join(F.broadcast(read(spark, d, "region")), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    return rounded(t.select("o_orderkey", "c_name", "n_name", "r_name", "o_totalprice"))
+
+
+@query("j18_j19_best_master", """select o_orderkey, p_partkey, round(dt, 6) as dt from (select o_orderkey, p_partkey, abs(o_totalprice / 100 - p_retailprice) as dt, p_size from orders join part on p_size = 1 + o_custkey % 50 where abs(o_totalprice / 100 - p_retailprice) <= 200) qualify row_number() over (partition by o_orderkey order by dt, p_partkey desc) = 1""")
+def _(spark, d):
+    o, p = read(spark, d, "orders").select("o_orderkey", (1 + F.col("o_custkey") % 50).alias("size"), (F.col("o_totalprice") / 100).alias("t")), read(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("size"), F.col("p_retailprice").alias("t2"))
+    c = o.join(p, "size").withColumn("dt", F.abs(F.col("t") - F.col("t2"))).where("dt <= 200")
+    return rounded(store.deduplicated(c, ["o_orderkey"], F.col("dt"), F.desc("p_partkey")).select("o_orderkey", "p_partkey", "dt"))
+
+
+@query("j20_group_fallback", "select a.p_partkey as p_partkey, list_aggregate(list_sort(list(b.p_partkey)), 'string_agg', ',') as fallbacks from part a join part b on a.p_size = b.p_size and a.p_brand = b.p_brand and a.p_partkey <> b.p_partkey and abs(a.p_retailprice - b.p_retailprice) <= 300 group by 1")
+def _(spark, d):
+    p = read(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
+    q = p.select(F.col("p_partkey").alias("other"), "p_size", "p_brand", F.col("p_retailprice").alias("price"))
+    t = p.join(q, ["p_size", "p_brand"]).where((F.col("p_partkey") != F.col("other")) & (F.abs(F.col("p_retailprice") - F.col("price")) <= 300))
+    return t.groupBy("p_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("other")), lambda v: v.cast("string")), ",").alias("fallbacks"))
+
+
+@query("j23_j24_back_fill", "select c_custkey, coalesce(s.s_name, n.n_name, 'none') as label from customer left join supplier s on s.s_suppkey = c_custkey left join nation n on n.n_nationkey = c_nationkey")
+def _(spark, d):
+    t = read(spark, d, "customer").join(read(spark, d, "supplier"), F.col("s_suppkey") == F.col("c_custkey"), "left").join(F.broadcast(read(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return t.select("c_custkey", F.coalesce("s_name", "n_name", F.lit("none")).alias("label"))
+
+
+@query("j14_paired_frames", f"with {DENSE}, a as (select catalog_id, frame_id, median(flux) as f from dense where segment = 'A' group by 1, 2), r as (select catalog_id, frame_id, median(flux) as f from dense where segment = 'R' group by 1, 2) select catalog_id, count(*) as n, round(stddev_samp(a.f) / avg(a.f), 6) as one, round(stddev_samp(r.f) / avg(r.f), 6) as two from a join r using (catalog_id, frame_id) group by 1")
+def _(spark, d):
+    one, two = (dense(spark, d).where(F.col("segment") == s).groupBy("catalog_id", "frame_id").agg(F.median("flux").alias(n)) for s, n in (("A", "_a"), ("R", "_r")))
+    return rounded(one.join(two, ["catalog_id", "frame_id"]).groupBy("catalog_id").agg(F.count("*").alias("n"), (F.stddev_samp("_a") / F.avg("_a")).alias("one"), (F.stddev_samp("_r") / F.avg("_r")).alias("two")))
+
+
+# ---------------------------------------------------------------- writes
+
+
+def halves(spark, d):
+    e = read(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    return e.where("event_id % 2 = 0"), e
+
+
+@query("k4_replace_by_key", "select event_id, user_id, value from (select event_id, user_id, value from events where event_id % 2 = 0 and user_id not in (select user_id from events where user_id < 5) union all select event_id, user_id, value + 1 from events where user_id < 5)")
+def _(spark, d):
+    old, every = halves(spark, d)
+    columns = ["event_id", "user_id", "value"]
+    return store.replace_by_key(old.select(*columns), every.where("user_id < 5").select("event_id", "user_id", (F.col("value") + 1).alias("value")), "user_id")
+
+
+@query("k5_upsert", "select event_id, user_id, case when event_id % 3 = 0 then value * 2 else value end as value from events where event_id % 2 = 0 or event_id % 3 = 0")
+def _(spark, d):
+    old, every = halves(spark, d)
+    return store.upsert(old.select("event_id", "user_id", "value"), every.where("event_id % 3 = 0").select("event_id", "user_id", (F.col("value") * 2).alias("value")), ["event_id"])
+
+
+@query("k6_k14_insert_ignore", "select event_id, value from events where event_id % 2 = 0 or event_id % 3 = 0")
+def _(spark, d):
+    old, every = halves(spark, d)
+    return store.insert_ignore(old.select("event_id", "value"), every.where("event_id % 3 = 0").select("event_id", "value"), ["event_id"])
+
+
+@query("k6_insert_or_replace", "select event_id, case when event_id % 3 = 0 then -value else value end as value from events where event_id % 2 = 0 or event_id % 3 = 0")
+def _(spark, d):
+    old, every = halves(spark, d)
+    return store.insert_or_replace(old.select("event_id", "value"), every.where("event_id % 3 = 0").select("event_id", (-F.col("value")).alias("value")), ["event_id"])
+
+
+@query("k7_pooled_merge", """with o as (select user_id as k, stddev_pop(value) as rms, count(*) as nf, 2 as nob, median(value) as md from events where event_id % 2 = 0 and user_id % 3 <> 0 group by 1), n as (select user_id as k, stddev_pop(value) as rms, count(*) as nf, median(value) as md from events where event_id % 2 = 1 and user_id % 5 <> 0 group by 1)
+    select coalesce(o.k, n.k) as user_id, round(coalesce(sqrt((greatest(1, o.nf) * o.rms * o.rms + greatest(1, n.nf) * n.rms * n.rms) / (greatest(1, o.nf) + greatest(1, n.nf))), o.rms, n.rms), 6) as rms, cast(coalesce(o.nf, 0) + coalesce(n.nf, 0) as bigint) as n_frames, cast(coalesce(o.nob, 0) + case when n.k is not null then 1 else 0 end as int) as n_obs,
+      round(coalesce((o.md * o.nob + n.md) / (o.nob + 1), o.md, n.md), 6) as median_mag, coalesce(o.k % 4 = 0, false) or coalesce(n.k % 7 = 0, false) as suspect from o full join n on o.k = n.k""")
+def _(spark, d):
+    _, e = halves(spark, d)
+    stat = lambda t: t.groupBy("user_id").agg(F.stddev_pop("value").alias("rms"), F.count("*").alias("n_frames"), F.median("value").alias("median_mag"))
+    old = stat(e.where("event_id % 2 = 0 and user_id % 3 <> 0")).withColumn("n_obs", F.lit(2)).withColumn("suspect", F.col("user_id") % 4 == 0)
+    new = stat(e.where("event_id % 2 = 1 and user_id % 5 <> 0")).withColumn("suspect", F.col("user_id") % 7 == 0)
+    return rounded(store.merge_pooled(old, new, "user_id"))
+
+
+@query("k8_k9_find_or_create", """with old as (select s_suppkey as id, s_nationkey as setup, s_acctbal as temp from supplier), new as (select distinct c_nationkey as setup, round(c_acctbal, 0) as temp from customer), t as (select new.setup, new.temp, min(old.id) as id from new left join old on old.setup = new.setup and abs(new.temp - old.temp) <= 500 group by 1, 2)
+    select setup, temp, coalesce(id, (select max(id) from old) + row_number() over (partition by id is null order by setup, temp)) as id, id is null as created from t""")
+def _(spark, d):
+    old = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("setup"), F.col("s_acctbal").alias("temp"))
+    new = read(spark, d, "customer").select(F.col("c_nationkey").alias("setup"), F.round("c_acctbal", 0).alias("temp")).distinct()
+    return store.find_or_create(old, new, "id", ["setup"], "temp", 500.0)
+
+
+@query("k10_k11_conditional_update", "select o_orderkey, case when o_orderkey % 4 = 0 and o_orderstatus <> 'F' then 'R' else o_orderstatus end as o_orderstatus from orders")
+def _(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return store.update_where(o, o.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("R").alias("o_orderstatus")), "o_orderkey", F.col("o_orderstatus") != "F")
+
+
+@query("k12_editor_diff", "select s_suppkey, case when s_suppkey % 3 = 0 then 0.0 else s_acctbal end as s_acctbal, case when s_suppkey % 5 = 0 then 'delete' else 'update' end as change from supplier where (s_suppkey % 5 = 0 and s_suppkey % 3 <> 0) or (s_suppkey % 3 = 0 and s_suppkey % 5 <> 0) union all select s_suppkey, s_acctbal, 'delete' from supplier where s_suppkey % 15 = 0 union all select s_suppkey + 100000, s_acctbal, 'insert' from supplier where s_suppkey % 7 = 0")
+def _(spark, d):
+    s = read(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    after = s.where("s_suppkey % 5 <> 0").withColumn("s_acctbal", F.when(F.col("s_suppkey") % 3 == 0, 0.0).otherwise(F.col("s_acctbal")))
+    return store.edits(s, after.unionByName(s.where("s_suppkey % 7 = 0").withColumn("s_suppkey", F.col("s_suppkey") + 100000)), "s_suppkey")
+
+
+@query("k13_delete_by_subquery", "select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal < 0)")
+def _(spark, d):
+    gone = read(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return store.delete_keys(read(spark, d, "orders").select("o_orderkey", "o_custkey"), gone, ["o_custkey"])
+
+
+@query("k15_rekey_children", "select l_orderkey, l_linenumber, cast(case when l_suppkey < 5 then l_suppkey + 1000 else l_suppkey end as bigint) as l_suppkey from lineitem")
+def _(spark, d):
+    m = read(spark, d, "supplier").where("s_suppkey < 5").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_suppkey") + 1000).alias("new_key"))
+    return store.rekey(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), m, "l_suppkey")
+
+
+# ---------------------------------------------------------------- streams (run over tables here)
+
+
+@query("windows_tumbling", "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2")
+def _(spark, d):
+    from skylattice.streaming.ingest import frame_counts
+
+    e = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    t = frame_counts(e, "ts", "event_type")
+    return rounded(t.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean"))
+
+
+@query("windows_sessions", """with l as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from l)
+    select min(ts) as start, max(ts) + interval 30 minute as "end", user_id, count(*) as n from s group by user_id, k""")
+def _(spark, d):
+    from skylattice.streaming.ingest import sessions as by_gap
+
+    e = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    t = by_gap(e, "ts", "user_id")
+    return t.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
+
+
+# ---------------------------------------------------------------- further catalogue work
+
+
+@query("j12_lookup_with_fallback", f"""with {SKY}, t as (select vec_id as id, x + 1.0 as tx, y - 1.0 as ty, vec_id % 3 = 0 as lost from sky), e as (select t.id, s.vec_id as found, 'id' as how, 0.0 as distance from t join sky s on s.vec_id = t.id and not t.lost),
+    x as (select t.id, s.vec_id as found, 'place' as how, sqrt(pow(tx - s.x, 2) + pow(ty - s.y, 2)) as distance from t join sky s on t.lost and sqrt(pow(tx - s.x, 2) + pow(ty - s.y, 2)) <= 18 qualify row_number() over (partition by t.id order by sqrt(pow(tx - s.x, 2) + pow(ty - s.y, 2)), s.vec_id) = 1)
+    select id, found, how, round(distance, 6) as distance from e union all select id, found, how, round(distance, 6) from x""")
+def _(spark, d):
+    s = sky(spark, d).select("vec_id", "x", "y")
+    t = s.select(F.col("vec_id").alias("id"), (F.col("x") + 1.0).alias("x"), (F.col("y") - 1.0).alias("y"), (F.col("vec_id") % 3 == 0).alias("lost"))
+    known = s.select(F.col("vec_id").alias("found"))
+    exact = t.where("not lost").join(known, F.col("id") == F.col("found")).select("id", "found", F.lit("id").alias("how"), F.lit(0.0).alias("distance"))
+    near = spatial.nearest(spatial.plane_pairs(t.where("lost").select("id", "x", "y"), s, 18.0), "l_id", "r_vec_id")
+    return rounded(exact.unionByName(near.select(F.col("l_id").alias("id"), F.col("r_vec_id").alias("found"), F.lit("place").alias("how"), "distance")))
+
+
+@query("f4_f5_f7_f24_candidate_mask", f"with {SKY} select vec_id, case when x < 505 then 'left' when x > 515 then 'right' else 'middle' end as zone_flag from sky where (x between 470 and 530 and y between 470 and 530 and mag < 12.5 and label <> 3) or (label = 5 and mag >= 12)")
+def _(spark, d):
+    inside = F.col("x").between(470, 530) & F.col("y").between(470, 530)
+    rescue = (F.col("label") == 5) & (F.col("mag") >= 12)
+    zone = F.when(F.col("x") < 505, "left").when(F.col("x") > 515, "right").otherwise("middle")
+    return sky(spark, d).where((inside & (F.col("mag") < 12.5) & (F.col("label") != 3)) | rescue).select("vec_id", zone.alias("zone_flag"))
+
+
+@query("f11_f12_f13_state_filters", "select o_orderkey, o_orderpriority from orders where lower(coalesce(o_orderpriority, '')) in ('1-urgent', '2-high') and coalesce(o_orderstatus, 'O') <> 'F' and o_totalprice > 0 and o_totalprice < 400000 and regexp_matches(o_orderpriority, '^[0-9]-')")
+def _(spark, d):
+    o = read(spark, d, "orders")
+    keep = F.lower(F.coalesce("o_orderpriority", F.lit(""))).isin("1-urgent", "2-high") & (F.coalesce("o_orderstatus", F.lit("O")) != "F") & (F.col("o_totalprice") > 0) & (F.col("o_totalprice") < 400000) & F.col("o_orderpriority").rlike("^[0-9]-")
+    return o.where(keep).select("o_orderkey", "o_orderpriority")
+
+
+@query("x25_x27_text_summaries", "select r_name, count(*) as n, string_agg(n_name, '; ' order by n_name) as names, 'https://example.org/?region=' || r_name || '&n=' || cast(count(*) as varchar) as link from nation join region on r_regionkey = n_regionkey group by r_name")
+def _(spark, d):
+    t = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("n_name")), "; ").alias("names"))
+    return t.select("r_name", "n", "names", F.format_string("https://example.org/?region=%s&n=%d", "r_name", "n").alias("link"))
+
+
+@query("a42_j30_vote_clusters", f"with {SKY}, c as (select a.vec_id, count(*) as votes from sky a join sky b on {HAVERSINE} <= 1.0 group by 1) select vec_id, votes, round(votes / avg(votes) over (), 6) as over_mean from c qualify row_number() over (order by votes desc, vec_id) <= 20")
+def _(spark, d):
+    s = sky(spark, d).select("vec_id", "ra_deg", "dec_deg")
+    c = spatial.sky_pairs(s, s, 1.0).groupBy(F.col("l_vec_id").alias("vec_id")).agg(F.count("*").alias("votes"))
+    t = c.crossJoin(F.broadcast(c.agg(F.avg("votes").alias("_m"))))
+    return rounded(t.orderBy(F.desc("votes"), "vec_id").limit(20).select("vec_id", "votes", (F.col("votes") / F.col("_m")).alias("over_mean")))
+
+
+@query("j31_triangles", f"with {SKY}, t as (select vec_id, x, y from sky order by mag, vec_id limit 12) select a.vec_id as i, b.vec_id as j, c.vec_id as k, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) + sqrt(pow(b.x - c.x, 2) + pow(b.y - c.y, 2)) + sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2)), 5) as round_trip from t a join t b on a.vec_id < b.vec_id join t c on b.vec_id < c.vec_id")
+def _(spark, d):
+    s = sky(spark, d).orderBy("mag", "vec_id").limit(12).select("vec_id", "x", "y")  # the brightest few: triples of n stars are n cubed
+    a, b, c = (s.select(F.col("vec_id").alias(i), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}")) for i in "ijk")
+    side = lambda p, q: F.sqrt(F.pow(F.col(f"x{p}") - F.col(f"x{q}"), 2) + F.pow(F.col(f"y{p}") - F.col(f"y{q}"), 2))
+    t = a.join(b, F.col("i") < F.col("j")).join(c, F.col("j") < F.col("k"))
+    return t.select("i", "j", "k", F.round(side("i", "j") + side("j", "k") + side("i", "k"), 5).alias("round_trip"))
