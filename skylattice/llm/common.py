@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 # ---------------------------------------------------------------- shared storage
@@ -74,6 +74,42 @@ def row_version(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+# ---------------------------------------------------------------- narrow facts meet wide rows
+
+#: Words of the key filter: 64 bits each, at most 2 MB in all when broadcast.
+FILTER_WORDS = 1 << 17
+
+
+def bitmap(df: DataFrame, h: Column) -> DataFrame:
+    """A bitmap of the 64-bit hashes h over df: (word, bits), at most FILTER_WORDS rows; it may say yes wrongly, never no."""
+    hashed = df.select(h.alias("_h"))
+    bit = F.expr("shiftleft(1L, cast(pmod(_h, 64) as int))")
+    return hashed.select(F.pmod(F.shiftright("_h", 6), F.lit(FILTER_WORDS)).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def split(df: DataFrame, h: Column, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose hash may be in the bitmap, and rows whose hash certainly isn't; neither is shuffled."""
+    told = df.withColumn("_h", h).withColumn("_w", F.pmod(F.shiftright("_h", 6), F.lit(FILTER_WORDS)))
+    told = told.join(F.broadcast(bits), F.col("_w") == F.col("_word"), "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.expr("shiftleft(1L, cast(pmod(_h, 64) as int))")), F.lit(0)) != 0
+    return told.where(hit).select(*df.columns), told.where(~hit).select(*df.columns)
+
+
+def key_filter(keys: DataFrame) -> DataFrame:
+    return bitmap(keys, F.xxhash64("doc_id", "version"))
+
+
+def split_rows(rows: DataFrame, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows that may be among the keys (doc_id, version) of a key filter, and rows that certainly aren't."""
+    return split(rows, F.xxhash64("doc_id", "version"), bits)
+
+
+def attach(rows: DataFrame, facts: DataFrame, name: str, how: str = "inner") -> DataFrame:
+    """rows with the column `name` of facts (doc_id, version, name)."""
+    other = facts.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), name)
+    return rows.join(other, rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["version"] == F.col("_v")), how).drop("_d", "_v")
+
+
 # ---------------------------------------------------------------- Arrow text
 
 
@@ -137,7 +173,7 @@ class SpanHash:
     def __init__(self, symbols: np.ndarray, seed: int = 0):
         n = len(symbols)
         if len(SpanHash._power) <= n:
-            size = 1 << max(16, int(n).bit_length())
+            size = max(1 << 16, n + n // 8)
             grow = np.full(size, SpanHash.BASE, U64)
             grow[0] = 1
             SpanHash._power = np.cumprod(grow, dtype=U64)

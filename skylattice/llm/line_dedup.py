@@ -13,12 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, cut, fresh, text_slices, utf8, words
-from .setjoin import Rule, candidates, fetch_sets, first_pass, key_filter, keyed, shown_tokens, split_rows, verify
+from .common import LOWER, SpanHash, cut, fresh, key_filter, split_rows, text_slices, utf8, words
+from .setjoin import Rule, candidates, first_pass, keyed, sets_of, shown_tokens, verify
 
 RULE = Rule(80, 100)
-#: Pairs that a line asks for in a group before the group is left to the last round.
-AT_ONCE = 4
 
 
 def lines(batch: pa.RecordBatch):
@@ -46,20 +44,22 @@ def later_lines(rows: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(doc_id, version, record): lines of rows (doc_id, version, text) that a line before them is alike to."""
     found, sketch = first_pass(rows, lines)
     classes = cut(found.groupBy("cls").agg(F.min(_place()).alias("first"), F.count("*").alias("copies")))
-    shown = shown_tokens(rows, lines, sketch, rule)
-    met = shown.select("cls").distinct()
-    firsts = cut(classes.join(met, "cls", "left_semi").select("cls", "first"))
-    sets = fetch_sets(rows, lines, sketch, firsts.select("cls", "first.doc_id", "first.version", "first.record"))
+    proposed, shown = shown_tokens(rows, lines, sketch, rule, most=1, keep_all=False)
     gone = rows.sparkSession.createDataFrame([], "cls long")
-    tested = tokens = None
-    for turn in range(2):
-        labels = None if turn == 0 else gone.select("cls", F.lit(0).cast("long").alias("label"))
-        pairs, tokens = candidates(shown, labels, rule, most=AT_ONCE if turn == 0 else None, turn=turn, tokens=tokens)
-        pairs = pairs.select("a", "b") if tested is None else pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        one, two = firsts.select(F.col("cls").alias("a"), F.col("first").alias("first_a")), firsts.select(F.col("cls").alias("b"), F.col("first").alias("first_b"))
-        pairs = pairs.join(one, "a").join(two, "b").withColumn("later", F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a"))).select("a", "b", "later")
-        pairs = cut(pairs.join(gone.select(F.col("cls").alias("later")), "later", "left_anti"))
-        alike = verify(pairs, sets, rule).join(pairs, ["a", "b"]).select(F.col("later").alias("cls"))
+    tested = None
+    for last in (False, True):
+        # at first each line asks for the partner that most groups name; at last for all that are left, those of groups cut short too
+        pairs = proposed
+        if last:
+            pairs = candidates(shown, gone.select("cls", F.lit(0).cast("long").alias("label")), rule, most=None, turn=1).unionByName(proposed).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        one, two = classes.select(F.col("cls").alias("a"), F.col("first").alias("first_a")), classes.select(F.col("cls").alias("b"), F.col("first").alias("first_b"))
+        pairs = pairs.join(one, "a").join(two, "b").withColumn("later", F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a"))).select("a", "b", "later", "votes")
+        if not last:
+            pairs = pairs.groupBy("later").agg(F.max_by(F.struct("a", "b"), F.struct("votes", "a", "b")).alias("best")).select("best.a", "best.b", "later")
+        pairs = cut(pairs.join(gone.select(F.col("cls").alias("later")), "later", "left_anti").select("a", "b", "later"))
+        firsts = classes.select("cls", "first.doc_id", "first.version", "first.record")
+        alike = verify(pairs, sets_of(pairs, rows, lines, sketch, firsts), rule).join(pairs, ["a", "b"]).select(F.col("later").alias("cls"))
         gone = cut(gone.unionByName(alike).distinct())
         tested = pairs.select("a", "b")
     told = classes.join(gone.withColumn("_gone", F.lit(True)), "cls", "left").where("_gone or copies > 1").select(F.col("cls").alias("_c"), "first", "_gone")

@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, cut, mix, utf8, words
-from .setjoin import Rule, candidates, fetch_sets, first_pass, key_filter, keyed, shown_tokens, split_rows, verify
+from .common import LOWER, SpanHash, cut, key_filter, mix, split_rows, utf8, words
+from .setjoin import Rule, candidates, first_pass, keyed, likely, sets_of, shown_lists, shown_tokens, verify
 
 SHINGLE = 4
 RULE = Rule(85, 100)
-#: Rounds in which each document asks for one partner, before the round that takes all that is left.
-ROUNDS = 3
+#: Rounds in which each document asks for one partner go on while they find so many links, before the round that takes
+#: all that is left.
+WORTH = 200
 
 
 def shingles(size: int = SHINGLE):
@@ -64,30 +65,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked_classes(rows: DataFrame, size: int, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, version, record, n, cls, check) of every row, and (cls, label) of classes linked to another."""
+    """(doc_id, version, record, n, cls) of every row, and (cls, label) of classes linked to another."""
     records = shingles(size)
     found, sketch = first_pass(rows, records)
-    shown = shown_tokens(rows, records, sketch, rule)
-    met = shown.select("cls").distinct()
+    proposed, shown = shown_tokens(rows, records, sketch, rule, most=1, keep_all=True)
+    lists = shown_lists(shown)
     some = F.struct(F.col("doc_id").isNotNull().alias("_some"), "doc_id", "version", "record")
-    wanted = found.where("n > 0").join(met, "cls", "left_semi").groupBy("cls").agg(F.min(some).alias("one")).select("cls", "one.doc_id", "one.version", "one.record")
-    sets = fetch_sets(rows, records, sketch, wanted)
-    edges = tested = labels = tokens = None
-    for turn in range(ROUNDS + 1):
-        pairs, short = candidates(shown, labels, rule, most=1 if turn < ROUNDS else None, turn=turn, tokens=tokens)
-        tokens = short
-        if turn < ROUNDS:  # of a document's proposals, the one that most groups make
+    firsts = found.where("n > 0").join(lists.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min(some).alias("one")).select("cls", "one.doc_id", "one.version", "one.record")
+    firsts = cut(firsts)
+    edges = tested = labels = None
+    turn, last = 0, False
+    while True:
+        pairs = candidates(shown, labels, rule, most=None if last else 1, turn=turn) if turn else proposed
+        pairs = likely(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), lists, rule)
+        if not last:  # of a document's proposals, the one that most groups make
             best = pairs.groupBy("b").agg(F.max_by(F.struct("a", "b"), F.struct("votes", F.xxhash64("a", F.lit(turn)))).alias("best"))
             pairs = best.select("best.a", "best.b")
-        else:
-            pairs = pairs.select("a", "b")
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        good = verify(pairs, sets, rule)
-        edges = cut(good if edges is None else edges.unionByName(good))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = components(edges)
-        if turn < ROUNDS and short.isEmpty() and turn == 0 and pairs.isEmpty():
+        pairs = cut(pairs.select("a", "b"))
+        good = cut(verify(pairs, sets_of(pairs, rows, records, sketch, firsts), rule))
+        n = good.count()
+        if n or labels is None:
+            edges = good if edges is None else edges.unionByName(good)
+            labels = components(edges)
+        if last:
             break
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        turn, last = turn + 1, n < WORTH
     return found, labels
 
 

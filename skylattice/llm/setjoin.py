@@ -20,15 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, expand, mix, partitions, row_version, text_slices, written
+from .common import attach, cut, expand, key_filter, mix, partitions, row_version, split_rows, text_slices, written
 
 #: Cells of the count sketch (one byte each in a task, summed in longs), and in how many parts it travels.
-SKETCH, SKETCH_PARTS = 1 << 21, 64
+SKETCH, SKETCH_PARTS = 1 << 20, 64
 #: Classes that a task remembers, so that it sends the shown tokens of copies once.
 RECENT = 500_000
-#: Words of the key filter: 64 bits each, at most 2 MB in all when broadcast.
-FILTER_WORDS = 1 << 17
-POSTING = np.dtype([("token", "<u8"), ("cls", "<i8"), ("parity", "<u8"), ("n", "<u4"), ("at", "<u4")])
+POSTING = np.dtype([("token", "<u4"), ("cls", "<i8"), ("parity", "<u8"), ("n", "<u4"), ("at", "<u4")])
 
 
 @dataclass(frozen=True)
@@ -77,13 +75,13 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - 21)).astype(np.int64)
+    return (tokens >> np.uint64(64 - 20)).astype(np.int64)
 
 
 def first_pass(rows: DataFrame, records: Records) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, version, record, n, cls, check) of every record, and the count sketch of tokens."""
+    """(doc_id, version, record, n, cls) of every record, and the count sketch of tokens."""
     kind = dict(rows.dtypes)["doc_id"]
-    names = ["doc_id", "version", "record", "n", "cls", "check", "part", "cells"]
+    names = ["doc_id", "version", "record", "n", "cls", "part", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]):
         sketch, ids = np.zeros(SKETCH, np.uint32), None
@@ -95,14 +93,14 @@ def first_pass(rows: DataFrame, records: Records) -> tuple[DataFrame, np.ndarray
             n = len(row)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(number.astype(np.int32)), pa.array(np.diff(at).astype(np.int32)), pa.array(signatures(tokens, at, 1)), pa.array(signatures(tokens, at, 2)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
+                [batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(number.astype(np.int32)), pa.array(np.diff(at).astype(np.int32)), pa.array(signatures(tokens, at, 1)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
             )
         if ids is not None:
             parts = np.minimum(sketch, 255).astype(np.uint8).reshape(SKETCH_PARTS, -1)
             n = SKETCH_PARTS
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, ids), *[pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())], pa.array(np.arange(n, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, ids), *[pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())], pa.array(np.arange(n, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    made = written(rows.mapInArrow(run, f"doc_id {kind}, version long, record int, n int, cls long, check long, part int, cells binary"), "set-records")
+    made = written(rows.mapInArrow(run, f"doc_id {kind}, version long, record int, n int, cls long, part int, cells binary"), "set-records")
 
     def add(batches: Iterator[pa.RecordBatch]):
         total: dict[int, np.ndarray] = {}
@@ -127,8 +125,13 @@ def ordered(tokens: np.ndarray, at: np.ndarray, sketch: np.ndarray) -> np.ndarra
     return tokens[np.lexsort((tokens, rank, record))]
 
 
-def shown_tokens(rows: DataFrame, records: Records, sketch: np.ndarray, rule: Rule) -> DataFrame:
-    """(token, cls, parity, n, at) of shown tokens that two classes or more show; written, as it is read in every round."""
+def shown_tokens(rows: DataFrame, records: Records, sketch: np.ndarray, rule: Rule, *, most: int, keep_all: bool) -> tuple[DataFrame, DataFrame]:
+    """Shown tokens meet: the pairs of the first round, and what later rounds look at.
+
+    Pairs: (a, b, votes), of each record with the `most` first that pass in each group. Tokens: (token, cls, parity, n, at)
+    of those that two classes or more show, all of them or only those of groups cut short. A token here is 32 bits of its
+    hash: tokens that fall together only make a group larger.
+    """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(sketch)
     n_parts = max(2 * partitions(spark), 8)
@@ -155,8 +158,8 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: np.ndarray, rule: Ru
             place = expand(at[:-1], count)
             record = np.repeat(np.arange(len(n)), count)
             out = np.empty(len(place), POSTING)
-            out["token"], out["cls"], out["parity"], out["n"], out["at"] = tokens[place], cls[record], parity[record], n[record], place - at[record]
-            part = (out["token"] % np.uint64(n_parts)).astype(np.int64)
+            out["token"], out["cls"], out["parity"], out["n"], out["at"] = tokens[place] & np.uint64(0xFFFFFFFF), cls[record], parity[record], n[record], place - at[record]
+            part = (out["token"] % np.uint32(n_parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             out, ends = out[order], np.searchsorted(part[order], np.arange(n_parts + 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_parts, dtype=np.int32)), pa.array([out[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["part", "packed"])
@@ -175,12 +178,32 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: np.ndarray, rule: Ru
         many[1:] |= same
         many[:-1] |= same
         every = every[many]
-        for a in range(0, len(every), 1 << 17):
-            e = every[a : a + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(e["token"].view(np.int64) if e["token"].flags.c_contiguous else e["token"].astype(np.uint64).view(np.int64)), pa.array(e["cls"].astype(np.int64)), pa.array(e["parity"].astype(np.uint64).view(np.int64)), pa.array(e["n"].astype(np.int32)), pa.array(e["at"].astype(np.int32))], names=["token", "cls", "parity", "n", "at"])
-
+        token, cls, parity, n, at = (every[c].astype(t) for c, t in (("token", np.int64), ("cls", np.int64), ("parity", np.uint64), ("n", np.int64), ("at", np.int64)))
+        a, b, short = pairs_of_groups(token, cls, cls, parity, n, at, rule, most, 0)
+        low, high, votes = counted_pairs(a, b)
+        none = pa.nulls(len(low), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(low), none, none.cast(pa.int32()), none.cast(pa.int32()), pa.array(high), pa.array(votes)], names=names)
+        left = np.arange(len(token)) if keep_all else np.flatnonzero(np.isin(token, short))
+        for k in range(0, len(left), 1 << 17):
+            i = left[k : k + (1 << 17)]
+            none = pa.nulls(len(i), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(token[i]), pa.array(cls[i]), pa.array(parity[i].view(np.int64)), pa.array(n[i].astype(np.int32)), pa.array(at[i].astype(np.int32)), none, none], names=names)
+
+    names = ["token", "cls", "parity", "n", "at", "other", "votes"]
     packed = rows.mapInArrow(run, "part int, packed binary").repartition(n_parts, "part")
-    return written(packed.mapInArrow(meet, "token long, cls long, parity long, n int, at int"), "set-tokens")
+    made = written(packed.mapInArrow(meet, "token long, cls long, parity long, n int, at int, other long, votes long"), "set-tokens")
+    pairs = made.where("other is not null").groupBy(F.col("cls").alias("a"), F.col("other").alias("b")).agg(F.sum("votes").alias("votes"))
+    return pairs, made.where("other is null").drop("other", "votes")
+
+
+def counted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs, smaller class first, and how often each comes."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return low[new], high[new], np.diff(np.append(np.flatnonzero(new), len(low))).astype(np.int64)
 
 
 def pairs_of_groups(token, label, cls, parity, n, at, rule: Rule, most: int | None, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,17 +244,16 @@ def pairs_of_groups(token, label, cls, parity, n, at, rule: Rule, most: int | No
     return np.concatenate(left), np.concatenate(right), np.unique(np.concatenate(short))
 
 
-def candidates(shown: DataFrame, labels: DataFrame | None, rule: Rule, *, most: int | None, turn: int, tokens: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(a, b, votes): pairs of classes, a < b, with the number of groups that name them; and tokens of groups cut short.
+def candidates(shown: DataFrame, labels: DataFrame | None, rule: Rule, *, most: int | None, turn: int) -> DataFrame:
+    """(a, b, votes): pairs of classes, a < b, with the number of groups that name them.
 
-    labels: (cls, label), pairs of one label aren't asked for. tokens: the only groups to look at.
+    labels: (cls, label), pairs of one label aren't asked for.
     """
     n_parts = max(2 * partitions(shown.sparkSession), 8)
-    told = shown if tokens is None else shown.join(tokens.select(F.col("token").alias("_t")), F.col("token") == F.col("_t"), "left_semi")
     if labels is None:
-        told = told.withColumn("label", F.col("cls"))
+        told = shown.withColumn("label", F.col("cls"))
     else:
-        told = told.join(labels.withColumnRenamed("cls", "_c"), F.col("cls") == F.col("_c"), "left").drop("_c").withColumn("label", F.coalesce("label", "cls"))
+        told = shown.join(labels.withColumnRenamed("cls", "_c"), F.col("cls") == F.col("_c"), "left").drop("_c").withColumn("label", F.coalesce("label", "cls"))
     dealt = told.repartition(n_parts, "token").select("token", "label", "cls", "parity", "n", "at")
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -240,51 +262,43 @@ def candidates(shown: DataFrame, labels: DataFrame | None, rule: Rule, *, most:
             return
         table = pa.Table.from_batches(held)
         c = {x: table[x].to_numpy() for x in table.column_names}
-        a, b, short = pairs_of_groups(c["token"], c["label"], c["cls"], c["parity"].view(np.uint64), c["n"].astype(np.int64), c["at"].astype(np.int64), rule, most, turn)
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((high, low))
-        low, high = low[order], high[order]
-        new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        places = np.flatnonzero(new)
-        yield pa.RecordBatch.from_arrays([pa.array(low[new]), pa.array(high[new]), pa.array(np.diff(np.append(places, len(low))).astype(np.int64))], names=["a", "b", "votes"])
-        yield pa.RecordBatch.from_arrays([pa.array(short), pa.nulls(len(short), pa.int64()), pa.nulls(len(short), pa.int64())], names=["a", "b", "votes"])
-
-    made = cut(dealt.mapInArrow(run, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes")))
-    return made.where("b is not null"), made.where("b is null").select(F.col("a").alias("token"))
+        a, b, _ = pairs_of_groups(c["token"], c["label"], c["cls"], c["parity"].view(np.uint64), c["n"].astype(np.int64), c["at"].astype(np.int64), rule, most, turn)
+        low, high, votes = counted_pairs(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(votes)], names=["a", "b", "votes"])
 
+    return dealt.mapInArrow(run, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
 
-# ---------------------------------------------------------------- sets of chosen classes
 
+def shown_lists(shown: DataFrame) -> DataFrame:
+    """(cls, n, seen): what each class shows that others show too."""
+    return written(shown.groupBy("cls").agg(F.first("n").cast("long").alias("n"), F.collect_list("token").alias("seen")), "set-lists")
 
-def key_filter(keys: DataFrame) -> DataFrame:
-    """A bitmap of keys (doc_id, version): (word, bits), at most FILTER_WORDS rows; it may say yes wrongly, never no."""
-    h = F.xxhash64("doc_id", "version")
-    return keys.select(F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)).alias("_word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, version), 64) as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
 
+def likely(pairs: DataFrame, lists: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b, …) that share enough of what they show.
 
-def split_rows(rows: DataFrame, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows that may be among the bitmap's keys, and rows that certainly aren't; neither is shuffled."""
-    word = F.pmod(F.shiftright(F.xxhash64("doc_id", "version"), 6), F.lit(FILTER_WORDS))
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, version), 64) as int))")
-    told = rows.withColumn("_w", word).join(F.broadcast(bitmap), F.col("_w") == F.col("_word"), "left")
-    hit = F.coalesce(F.col("_bits").bitwiseAND(bit), F.lit(0)) != 0
-    return told.where(hit).select(*rows.columns), told.where(~hit).select(*rows.columns)
+    Of two linked sets, take the one whose shown tokens end first: at most n - needed of them are missing in the other,
+    the rest is shown by both. So linked sets share needed - ceil(t max(n, m)) + 1 shown tokens at least.
+    """
+    one = lists.select(F.col("cls").alias("a"), F.col("n").alias("_n"), F.col("seen").alias("_s"))
+    two = lists.select(F.col("cls").alias("b"), F.col("n").alias("_m"), F.col("seen").alias("_t"))
+    up = lambda x, y: f"cast(({x} + {y} - 1) div {y} as long)"
+    least = F.expr(f"{up(f'{rule.part} * (_n + _m)', rule.part + rule.over)} - {up(f'{rule.part} * greatest(_n, _m)', rule.over)} + 1")
+    met = pairs.join(one, "a").join(two, "b")
+    return met.where(F.size(F.array_intersect("_s", "_t")) >= least).select(*pairs.columns)
 
 
-def attach(rows: DataFrame, facts: DataFrame, name: str) -> DataFrame:
-    """rows with the column `name` of facts (doc_id, version, name), rows without facts dropped."""
-    other = facts.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), name)
-    return rows.join(other, rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["version"] == F.col("_v"))).drop("_d", "_v")
+# ---------------------------------------------------------------- sets of chosen classes
 
 
 def fetch_sets(rows: DataFrame, records: Records, sketch: np.ndarray, wanted: DataFrame) -> DataFrame:
-    """(cls, n, tokens) of wanted records (doc_id, version, record, cls): tokens by global order, most frequent first."""
+    """(cls, tokens) of wanted records (doc_id, version, record, cls): tokens by global order, most frequent first."""
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
     lists = cut(wanted.groupBy("doc_id", "version").agg(F.collect_set("record").alias("records")))
     may, _ = split_rows(rows, cut(key_filter(lists)))
 
     def run(batches: Iterator[pa.RecordBatch]):
+        seen: set[int] = set()
         for batch in text_slices(batches, "text"):
             row, number, tokens, at = records(batch)
             lists = batch.column("records")
@@ -296,9 +310,16 @@ def fetch_sets(rows: DataFrame, records: Records, sketch: np.ndarray, wanted: Da
             cls = signatures(tokens, at, 1)
             tokens = ordered(tokens, at, shared.value)
             raw = [tokens[a:b][::-1].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.diff(at).astype(np.int32)), pa.array(raw, pa.binary())], names=["cls", "n", "tokens"])
+            new = [i for i, c in enumerate(cls.tolist()) if not (c in seen or seen.add(c))]  # rows that are equal lie in one task
+            yield pa.RecordBatch.from_arrays([pa.array(cls[new]), pa.array([raw[i] for i in new], pa.binary())], names=["cls", "tokens"])
+
+    return attach(may, lists, "records").mapInArrow(run, "cls long, tokens binary")
+
 
-    return written(attach(may, lists, "records").mapInArrow(run, "cls long, n int, tokens binary").dropDuplicates(["cls"]), "sets")
+def sets_of(pairs: DataFrame, rows: DataFrame, records: Records, sketch: np.ndarray, firsts: DataFrame) -> DataFrame:
+    """(cls, tokens) of the classes that pairs (a, b) name; firsts: (cls, doc_id, version, record), where each is met."""
+    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    return fetch_sets(rows, records, sketch, firsts.join(named, "cls", "left_semi"))
 
 
 class Trie:
