@@ -37,10 +37,10 @@ DENSE = (
 def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier as a star catalogue."""
     s = read(spark, sf_dir, "supplier")
-    return s.select(F.col("s_suppkey").alias("catalog_id"), (10 + F.col("s_acctbal") / 2000).alias("mag"), (0.1 + (F.col("s_suppkey") % 24) * 0.1).alias("bp_rp"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 7 == 0).alias("known_variable"))
+    return s.select(F.col("s_suppkey").alias("catalog_id"), (10 + F.col("s_acctbal") / 2000).alias("mag"), ((1 + F.col("s_suppkey") % 24) / 10.0).alias("bp_rp"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 7 == 0).alias("known_variable"))
 
 
-STARS = "stars as (select s_suppkey as catalog_id, 10 + s_acctbal / 2000 as mag, 0.1 + (s_suppkey % 24) * 0.1 as bp_rp, s_nationkey as nation, s_suppkey % 7 = 0 as known_variable from supplier)"
+STARS = "stars as (select s_suppkey as catalog_id, 10 + s_acctbal / 2000 as mag, (1 + s_suppkey % 24) / 10.0 as bp_rp, s_nationkey as nation, s_suppkey % 7 = 0 as known_variable from supplier)"
 
 
 def sky(spark: SparkSession, sf_dir: str) -> DataFrame:

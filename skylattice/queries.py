@@ -40,13 +40,13 @@ CFG = VariabilityConfig(mag_limit=99.0)
 
 
 @query("x1_x8_magnitudes_and_colours", """
-    select s_suppkey, round(cast(case when 0.1 + (s_suppkey % 24) * 0.1 between 0.1 and 2.5 then 0.0850 + 0.9447 * (0.1 + (s_suppkey % 24) * 0.1) - 0.1019 * (0.1 + (s_suppkey % 24) * 0.1) * (0.1 + (s_suppkey % 24) * 0.1) end as double), 6) as bv,
+    select s_suppkey, round(cast(case when (1 + s_suppkey % 24) / 10.0 between 0.1 and 2.5 then 0.0850 + 0.9447 * ((1 + s_suppkey % 24) / 10.0) - 0.1019 * ((1 + s_suppkey % 24) / 10.0) * ((1 + s_suppkey % 24) / 10.0) end as double), 6) as bv,
       round(case when s_acctbal > 0 then -2.5 * log10(s_acctbal) end, 6) as mag, round(pow(10.0, -0.4 * (s_acctbal / 2000)), 6) as flux,
       round(case when s_acctbal > 0 then sqrt(s_acctbal / 1.0 + greatest(2.0, 0.0) * 50.0) / s_acctbal end, 6) as err, round(case when s_acctbal > 0 then s_acctbal / sqrt(s_acctbal + greatest(2.0, 0.0) * pi() * 4.0 * 4.0) end, 6) as snr,
       round(case when s_acctbal > 0 then 2.5 / ln(10) * 3.0 / s_acctbal end, 6) as mag_err,
-      case when 0.1 + (s_suppkey % 24) * 0.1 < 0.5 then 'blue' when 0.1 + (s_suppkey % 24) * 0.1 <= 1.5 then 'neutral' else 'red' end as aperture from supplier""")
+      case when (1 + s_suppkey % 24) / 10.0 < 0.5 then 'blue' when (1 + s_suppkey % 24) / 10.0 <= 1.5 then 'neutral' else 'red' end as aperture from supplier""")
 def _(spark, d):
-    s, f, c = read(spark, d, "supplier"), F.col("s_acctbal"), 0.1 + (F.col("s_suppkey") % 24) * 0.1
+    s, f, c = read(spark, d, "supplier"), F.col("s_acctbal"), (1 + F.col("s_suppkey") % 24) / 10.0
     return rounded(s.select("s_suppkey", expr.colour_bv(c).alias("bv"), expr.magnitude(f).alias("mag"), expr.flux_of(f / 2000).alias("flux"), expr.photometric_error(f, F.lit(2.0), F.lit(50.0)).alias("err"), expr.signal_to_noise(f, F.lit(2.0), F.lit(4.0)).alias("snr"), expr.magnitude_error(f, F.lit(3.0)).alias("mag_err"), expr.aperture_category(c).alias("aperture")))
 
 
