@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, cut, fresh, key_filter, split_rows, text_slices, utf8, words
+from .common import LOWER, SpanHash, bitmap, cut, fresh, key_filter, split, split_rows, text_slices, utf8, words, written
 from .setjoin import Rule, candidates, first_pass, keyed, sets_of, shown_tokens, verify
 
 RULE = Rule(80, 100)
@@ -43,7 +43,7 @@ def _place(prefix: str = "") -> Column:
 def later_lines(rows: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(doc_id, version, record): lines of rows (doc_id, version, text) that a line before them is alike to."""
     found, sketch = first_pass(rows, lines)
-    classes = cut(found.groupBy("cls").agg(F.min(_place()).alias("first"), F.count("*").alias("copies")))
+    classes = written(found.groupBy("cls").agg(F.min(_place()).alias("first"), F.count("*").alias("copies")), "line-classes")
     proposed, shown = shown_tokens(rows, lines, sketch, rule, most=1, keep_all=False)
     gone = rows.sparkSession.createDataFrame([], "cls long")
     tested = None
@@ -53,7 +53,10 @@ def later_lines(rows: DataFrame, rule: Rule = RULE) -> DataFrame:
         if last:
             pairs = candidates(shown, gone.select("cls", F.lit(0).cast("long").alias("label")), rule, most=None, turn=1).unionByName(proposed).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        one, two = classes.select(F.col("cls").alias("a"), F.col("first").alias("first_a")), classes.select(F.col("cls").alias("b"), F.col("first").alias("first_b"))
+        pairs = cut(pairs.select("a", "b", "votes"))
+        met = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("cls")), F.col("cls"))
+        near, _ = split(classes.select("cls", "first"), F.col("cls"), met)
+        one, two = near.select(F.col("cls").alias("a"), F.col("first").alias("first_a")), near.select(F.col("cls").alias("b"), F.col("first").alias("first_b"))
         pairs = pairs.join(one, "a").join(two, "b").withColumn("later", F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a"))).select("a", "b", "later", "votes")
         if not last:
             pairs = pairs.groupBy("later").agg(F.max_by(F.struct("a", "b"), F.struct("votes", "a", "b")).alias("best")).select("best.a", "best.b", "later")

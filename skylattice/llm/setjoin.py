@@ -26,6 +26,10 @@ from .common import attach, cut, expand, key_filter, mix, partitions, row_versio
 SKETCH, SKETCH_PARTS = 1 << 20, 64
 #: Classes that a task remembers, so that it sends the shown tokens of copies once.
 RECENT = 500_000
+#: Shown tokens that travel in one row, about.
+CHUNK = 1 << 16
+#: Labels up to this number are broadcast (16 bytes each); more go through a join.
+BROADCAST_LABELS = 500_000
 POSTING = np.dtype([("token", "<u4"), ("cls", "<i8"), ("parity", "<u8"), ("n", "<u4"), ("at", "<u4")])
 
 
@@ -128,8 +132,8 @@ def ordered(tokens: np.ndarray, at: np.ndarray, sketch: np.ndarray) -> np.ndarra
 def shown_tokens(rows: DataFrame, records: Records, sketch: np.ndarray, rule: Rule, *, most: int, keep_all: bool) -> tuple[DataFrame, DataFrame]:
     """Shown tokens meet: the pairs of the first round, and what later rounds look at.
 
-    Pairs: (a, b, votes), of each record with the `most` first that pass in each group. Tokens: (token, cls, parity, n, at)
-    of those that two classes or more show, all of them or only those of groups cut short. A token here is 32 bits of its
+    Pairs: (a, b, votes), of each record with the `most` first that pass in each group. Tokens: those that
+    two classes or more show, all of them or only those of groups cut short, packed by whole groups. A token here is 32 bits of its
     hash: tokens that fall together only make a group larger.
     """
     spark = rows.sparkSession
@@ -181,19 +185,34 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: np.ndarray, rule: Ru
         token, cls, parity, n, at = (every[c].astype(t) for c, t in (("token", np.int64), ("cls", np.int64), ("parity", np.uint64), ("n", np.int64), ("at", np.int64)))
         a, b, short = pairs_of_groups(token, cls, cls, parity, n, at, rule, most, 0)
         low, high, votes = counted_pairs(a, b)
-        none = pa.nulls(len(low), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(low), none, none.cast(pa.int32()), none.cast(pa.int32()), pa.array(high), pa.array(votes)], names=names)
-        left = np.arange(len(token)) if keep_all else np.flatnonzero(np.isin(token, short))
-        for k in range(0, len(left), 1 << 17):
-            i = left[k : k + (1 << 17)]
-            none = pa.nulls(len(i), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(token[i]), pa.array(cls[i]), pa.array(parity[i].view(np.int64)), pa.array(n[i].astype(np.int32)), pa.array(at[i].astype(np.int32)), none, none], names=names)
-
-    names = ["token", "cls", "parity", "n", "at", "other", "votes"]
+        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(votes), pa.nulls(len(low), pa.binary())], names=names)
+        left = every if keep_all else every[np.isin(token, short)]
+        # whole groups travel together, about CHUNK tokens in a row
+        if not len(left):
+            return
+        edges = np.flatnonzero(np.append(True, left["token"][1:] != left["token"][:-1]))
+        cuts = np.unique(edges[np.searchsorted(edges, np.arange(0, len(left), CHUNK), "right") - 1])
+        parts = [left[i:j].tobytes() for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(left)], strict=True)]
+        none = pa.nulls(len(parts), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(parts, pa.binary())], names=names)
+
+    names = ["a", "b", "votes", "packed"]
     packed = rows.mapInArrow(run, "part int, packed binary").repartition(n_parts, "part")
-    made = written(packed.mapInArrow(meet, "token long, cls long, parity long, n int, at int, other long, votes long"), "set-tokens")
-    pairs = made.where("other is not null").groupBy(F.col("cls").alias("a"), F.col("other").alias("b")).agg(F.sum("votes").alias("votes"))
-    return pairs, made.where("other is null").drop("other", "votes")
+    made = written(packed.mapInArrow(meet, "a long, b long, votes long, packed binary"), "set-tokens")
+    pairs = made.where("packed is null").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    return pairs, made.where("packed is not null").select("packed")
+
+
+def unpacked(shown: DataFrame) -> DataFrame:
+    """(token, cls, parity, n, at) of packed groups; the tokens of a group follow each other in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for x in batch.column("packed"):
+                e = np.frombuffer(x.as_buffer(), POSTING)
+                yield pa.RecordBatch.from_arrays([pa.array(e["token"].astype(np.int64)), pa.array(e["cls"].astype(np.int64)), pa.array(e["parity"].astype(np.uint64).view(np.int64)), pa.array(e["n"].astype(np.int32)), pa.array(e["at"].astype(np.int32))], names=["token", "cls", "parity", "n", "at"])
+
+    return shown.mapInArrow(run, "token long, cls long, parity long, n int, at int")
 
 
 def counted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,12 +268,16 @@ def candidates(shown: DataFrame, labels: DataFrame | None, rule: Rule, *, most:
 
     labels: (cls, label), pairs of one label aren't asked for.
     """
-    n_parts = max(2 * partitions(shown.sparkSession), 8)
+    told = unpacked(shown)
     if labels is None:
-        told = shown.withColumn("label", F.col("cls"))
+        told = told.withColumn("label", F.col("cls"))
     else:
-        told = shown.join(labels.withColumnRenamed("cls", "_c"), F.col("cls") == F.col("_c"), "left").drop("_c").withColumn("label", F.coalesce("label", "cls"))
-    dealt = told.repartition(n_parts, "token").select("token", "label", "cls", "parity", "n", "at")
+        named = labels.withColumnRenamed("cls", "_c")
+        few = labels.count() <= BROADCAST_LABELS
+        told = told.join(F.broadcast(named) if few else named, F.col("cls") == F.col("_c"), "left").drop("_c").withColumn("label", F.coalesce("label", "cls"))
+        if not few:  # that join has parted the groups
+            told = told.repartition(max(2 * partitions(shown.sparkSession), 8), "token")
+    dealt = told.select("token", "label", "cls", "parity", "n", "at")
 
     def run(batches: Iterator[pa.RecordBatch]):
         held = [batch for batch in batches if batch.num_rows]
@@ -271,7 +294,7 @@ def candidates(shown: DataFrame, labels: DataFrame | None, rule: Rule, *, most:
 
 def shown_lists(shown: DataFrame) -> DataFrame:
     """(cls, n, seen): what each class shows that others show too."""
-    return written(shown.groupBy("cls").agg(F.first("n").cast("long").alias("n"), F.collect_list("token").alias("seen")), "set-lists")
+    return written(unpacked(shown).groupBy("cls").agg(F.first("n").cast("long").alias("n"), F.collect_list("token").alias("seen")), "set-lists")
 
 
 def likely(pairs: DataFrame, lists: DataFrame, rule: Rule) -> DataFrame:
