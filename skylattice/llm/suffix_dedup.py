@@ -9,10 +9,12 @@ doesn't fit the disk at this length; the README has the figures.)
 1. Each sampled suffix stands for a run of window starts. It forms a triple (what lies before it, its first K bytes, what
    follows) over all bytes that those windows cover, and gets a name by that content. Triples with the same name are
    repeats of each other at every window of the run; one of them stays as a representative.
-2. Names of a lower level, the first K bytes alone, tell which runs can meet others that don't have the same triple: only
-   those go on, a small part of the text.
-3. The remaining suffixes, one for each window start of such runs, are named by their whole prefix of `length` bytes and
-   merged with those of the representatives: equal neighbours are repeats.
+2. Names of a lower level tell which runs can meet others that don't have the same triple: a window start covers either
+   the longer half after the suffix or the one before it, so a run goes on only where such a half has a double. That is a
+   small part of the text.
+3. The remaining suffixes, one for each window start of such runs, are merged with those of the representatives: first
+   in cells of CELL starts, by all that a cell covers (a double settles the cell) and by what all its windows cover (no
+   double, no repeat), then one by one, by their whole prefix of `length` bytes.
 
 Names are content hashes of 128 bits, so no level needs the ranks of the one before, and counting equal names is
 map-side combined, whatever their number.
@@ -25,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, cut, expand, row_version, sliding_min, text_slices, utf8, written
+from .common import SpanHash, attach, bitmap, cut, expand, key_filter, mix, row_version, sliding_min, split, split_rows, text_slices, utf8, written
 
 LENGTH = 400
 #: Bytes whose hash chooses a sampled suffix.
 K = 48
 SLICE = 1 << 20
+#: Window starts that are tested together before they are tested one by one.
+CELL = 16
 HALF = np.uint64(32)
 
 
@@ -40,7 +44,7 @@ def sampled_runs(data: np.ndarray, at: np.ndarray, length: int, k: int):
     w = length - k + 1
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none
     hashes = SpanHash(data).windows(k)
     ranked = (hashes >> HALF << HALF) | np.arange(len(hashes), dtype=np.uint64)  # the leftmost of equals
     chosen = (sliding_min(ranked, w) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -55,24 +59,71 @@ def sampled_runs(data: np.ndarray, at: np.ndarray, length: int, k: int):
     start = np.flatnonzero(new & valid)
     stop = np.append(np.flatnonzero(new | ~valid), len(chosen))
     end = stop[np.searchsorted(stop, start, "right")]
-    return np.searchsorted(at, start, "right") - 1, start, end - start, chosen[start], hashes
+    return np.searchsorted(at, start, "right") - 1, start, end - start, chosen[start]
 
 
 def _runs(docs: DataFrame, kind: str, length: int, k: int) -> DataFrame:
+    middle = (length - k) // 2
+
     def run(batches):
         for batch in text_slices(batches, "text", SLICE):
             data, at = utf8(batch.column("text"))
-            text, start, n, place, hashes = sampled_runs(data, at, length, k)
+            text, start, n, place = sampled_runs(data, at, length, k)
             if not len(text):
                 continue
-            row = pa.array(text, pa.int64())
-            name = [SpanHash(data, seed).spans(start, start + n + length - 1).view(np.int64) for seed in (1, 2)]
+            row, before = pa.array(text, pa.int64()), place - start
+            h = SpanHash(data, 1)
+            name = [x.spans(start, start + n + length - 1).view(np.int64) for x in (h, SpanHash(data, 2))]
+            # starts nearer to the suffix than `middle` cover what follows it, the others what goes before it
+            near, far = before - n + 1 < middle, before >= middle
+            after = h.spans(place, np.where(near, place + length - middle, place))
+            ahead = h.spans(np.where(far, place - middle, place), place + k)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(row), batch.column("version").take(row), pa.array((start - at[text]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(name[0]), pa.array(name[1]), pa.array(after.view(np.int64), mask=~near), pa.array(ahead.view(np.int64), mask=~far)],
+                names=["doc_id", "version", "start", "n", "before", "name1", "name2", "after", "ahead"],
+            )
+
+    return docs.mapInArrow(run, f"doc_id {kind}, version long, start int, n int, before int, name1 long, name2 long, after long, ahead long")
+
+
+def _live_runs(batch: pa.RecordBatch, *fields: str):
+    """Row of each of a batch's runs, and their fields."""
+    runs = batch.column("runs")
+    offsets = np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False))])
+    flat = runs.flatten()
+    return np.repeat(np.arange(batch.num_rows), np.diff(offsets)), *(flat.field(f).to_numpy(zero_copy_only=False) for f in fields)
+
+
+def _cells(live: DataFrame, kind: str, length: int) -> DataFrame:
+    """live: doc_id, version, text, runs (start, n, known, place). Runs cut into cells of CELL distances from the suffix.
+
+    core names what every window of the cell covers, whether this run has all of them or not; name1 and name2 name what
+    the windows of this run in the cell cover together.
+    """
+
+    def run(batches):
+        for batch in text_slices(batches, "text", SLICE):
+            data, at = utf8(batch.column("text"))
+            row, start, n, known, place = _live_runs(batch, "start", "n", "known", "place")
+            start, n, place = start.astype(np.int64), n.astype(np.int64), place.astype(np.int64)
+            low, high = place - start - n + 1, place - start
+            count = high // CELL - low // CELL + 1
+            cell = expand(low // CELL, count)
+            run_of = np.repeat(np.arange(len(row)), count)
+            first = np.maximum(low[run_of], cell * CELL)
+            last = np.minimum(high[run_of], cell * CELL + CELL - 1)
+            row, known, base = row[run_of], known[run_of], at[row[run_of]] + place[run_of]
+            begin, m = base - last, last - first + 1
+            h = SpanHash(data, 1)
+            core = mix(h.spans(base - cell * CELL, base - cell * CELL - CELL + 1 + length) + cell.astype(np.uint64))
+            names = [x.spans(begin, begin + m + length - 1).view(np.int64) for x in (h, SpanHash(data, 2))]
+            take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(row), batch.column("version").take(row), pa.array((start - at[text]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(hashes[place].view(np.int64)), pa.array(name[0]), pa.array(name[1])],
-                names=["doc_id", "version", "start", "n", "low", "name1", "name2"],
+                [batch.column("doc_id").take(take), batch.column("version").take(take), pa.array((begin - at[row]).astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(known), pa.array(core.view(np.int64)), pa.array(names[0]), pa.array(names[1])],
+                names=["doc_id", "version", "start", "n", "known", "core", "name1", "name2"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, version long, start int, n int, low long, name1 long, name2 long")
+    return live.mapInArrow(run, f"doc_id {kind}, version long, start int, n int, known boolean, core long, name1 long, name2 long")
 
 
 def _windows(live: DataFrame, kind: str, length: int) -> DataFrame:
@@ -81,26 +132,36 @@ def _windows(live: DataFrame, kind: str, length: int) -> DataFrame:
     def run(batches):
         for batch in text_slices(batches, "text", SLICE):
             data, at = utf8(batch.column("text"))
-            runs = batch.column("runs")
-            flat, offsets = runs.flatten(), np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False))])
-            text = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            start, n = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            known = np.repeat(flat.field("known").to_numpy(zero_copy_only=False), n)
-            place = expand(start + at[text], n)
-            row = np.repeat(text, n)
-            ids, versions = batch.column("doc_id"), batch.column("version")
+            row, start, n, known = _live_runs(batch, "start", "n", "known")
+            place = expand(start.astype(np.int64) + at[row], n.astype(np.int64))
+            known, row = np.repeat(known, n), np.repeat(row, n)
             names = [SpanHash(data, seed).spans(place, place + length).view(np.int64) for seed in (1, 2)]
-            for a in range(0, len(place), 1 << 18):
-                b = a + (1 << 18)
-                take = pa.array(row[a:b], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), versions.take(take), pa.array((place[a:b] - at[row[a:b]]).astype(np.int32)), pa.array(known[a:b]), pa.array(names[0][a:b]), pa.array(names[1][a:b])],
-                    names=["doc_id", "version", "start", "known", "name1", "name2"],
-                )
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(take), batch.column("version").take(take), pa.array((place - at[row]).astype(np.int32)), pa.array(known), pa.array(names[0]), pa.array(names[1])],
+                names=["doc_id", "version", "start", "known", "name1", "name2"],
+            )
 
     return live.mapInArrow(run, f"doc_id {kind}, version long, start int, known boolean, name1 long, name2 long")
 
 
+def _doubled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (…, known, name1, name2) not known whose name stands in another row too, and all the others."""
+    names = ["name1", "name2"]
+    # what isn't known stands in one row of the table, so its row counts once; any other row of its name is another place
+    again = cut(rows.groupBy(*names).agg(F.count("*").alias("copies"), F.min("known").alias("_all")).where("copies > 1 and not _all").select(*names))
+    may, rest = split(rows, F.xxhash64(*names), cut(bitmap(again, F.xxhash64(*names))))
+    told = may.join(again.withColumn("_hit", F.lit(True)), names, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)) & ~F.col("known"))
+    return told.where("_hit").select(*rows.columns), told.where("not _hit").select(*rows.columns).unionByName(rest)
+
+
+def _with_text(rows: DataFrame, runs: DataFrame, *fields: str) -> DataFrame:
+    """rows with the runs (fields) of their key, those without any left out."""
+    live = cut(runs.groupBy("doc_id", "version").agg(F.collect_list(F.struct(*fields)).alias("runs")))
+    near, _ = split_rows(rows, cut(key_filter(live)))
+    return attach(near, live, "runs").select("doc_id", "version", "text", "runs")
+
+
 def repeated_windows(docs: DataFrame, *, length: int = LENGTH, k: int = K, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, version, start, n: window starts whose `length` bytes also start elsewhere, as runs; each run once or more.
 
@@ -110,26 +171,36 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, k: int = K, key:
     rows = docs.select(docs[key].alias("doc_id"), row_version(docs[text]).alias("version"), F.coalesce(docs[text], F.lit("")).alias("text"))
     rows = rows.where(F.octet_length("text") >= length)
     runs = written(_runs(rows, kind, length, k), "suffix-runs")
-    triple = ["low", "name1", "name2", "n"]
-    classes = runs.groupBy(*triple).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "version", "start")).alias("one"))
-    # a triple goes on if its first K bytes are met in another triple too, and one of those isn't known yet
-    lows = classes.groupBy("low").agg(F.count("*").alias("triples"), F.min("copies").alias("least"))
-    lows = lows.where("triples > 1 and least = 1").select("low")
-    kept = cut(classes.where("copies > 1").select(*triple, "copies", "one", F.lit(True).alias("known")).unionByName(classes.where("copies = 1").join(lows, "low", "left_semi").select(*triple, "copies", "one", F.lit(False).alias("known"))))
-    known = kept.where("known").select(*triple)
-    whole = runs.join(known, triple, "left_semi").select("doc_id", "version", "start", "n")
-    live = kept.join(_open_lows(kept), "low", "left_semi").select(F.col("one.doc_id").alias("doc_id"), F.col("one.version").alias("version"), F.col("one.start").alias("start"), "n", "known")
-    live = live.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n", "known")).alias("runs"))
-    met = rows.join(live.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "runs"), rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["version"] == F.col("_v"))).select("doc_id", "version", "text", "runs")
-    windows = written(_windows(met, kind, length), "suffix-windows")
-    # a start that isn't known stands in one row of the table, so its row counts once; any other row of its name is another place
-    again = windows.groupBy("name1", "name2").agg(F.count("*").alias("copies"), F.min("known").alias("known")).where("copies > 1 and not known").select("name1", "name2")
-    single = windows.where("not known").join(again, ["name1", "name2"], "left_semi").select("doc_id", "version", "start", F.lit(1).alias("n"))
-    return whole.unionByName(single)
-
-
-def _open_lows(kept: DataFrame) -> DataFrame:
-    return kept.groupBy("low").agg(F.min("known").alias("_all"), F.count("*").alias("_n")).where("not _all and _n > 1").select("low")
+    triple = ["name1", "name2", "n"]
+    copied = cut(runs.groupBy(*triple).agg(F.count("*").alias("copies")).where("copies > 1").select(*triple))
+    name = F.xxhash64(*triple)
+    may, single = split(runs, name, cut(bitmap(copied, name)))
+    marked = written(may.join(copied.withColumn("known", F.lit(True)), triple, "left").withColumn("known", F.coalesce("known", F.lit(False))), "suffix-known")
+    whole = marked.where("known").select("doc_id", "version", "start", "n")
+    one = marked.where("known").groupBy(*triple).agg(F.min(F.struct("doc_id", "version", "start", "before", "after", "ahead")).alias("one"), F.first("known").alias("known")).select("n", "known", "one.*")
+    columns = ["doc_id", "version", "start", "n", "before", "after", "ahead", "known"]
+    triples = one.select(*columns).unionByName(marked.where("not known").select(*columns)).unionByName(single.withColumn("known", F.lit(False)).select(*columns))
+
+    def met(half: str) -> DataFrame:
+        """Triples whose half is met in another triple too, one of them not known yet."""
+        own = triples.where(F.col(half).isNotNull())
+        common = cut(own.groupBy(half).agg(F.count("*").alias("_n"), F.min("known").alias("_all")).where("_n > 1 and not _all").select(half))
+        near, _ = split(own, F.col(half), cut(bitmap(common, F.col(half))))
+        return near.join(common, half, "left_semi").select("doc_id", "version", "start", "n", "before", "known", (F.col("start") + F.col("before")).alias("place"))
+
+    past = F.greatest(F.lit(0), F.col("before") - (length - k) // 2 + 1)  # starts of the run that cover what goes before
+    live = met("after").select("doc_id", "version", (F.col("start") + past).alias("start"), (F.col("n") - past).alias("n"), "known", "place").unionByName(met("ahead").select("doc_id", "version", "start", F.least("n", past).alias("n"), "known", "place"))
+    live = live.where("n > 0")
+    cells = written(_cells(_with_text(rows, live, "start", "n", "known", "place"), kind, length), "suffix-cells")
+    settled, open_ = _doubled(cells)
+    told = settled.withColumn("known", F.lit(True)).unionByName(open_)
+    # a cell whose core has no double has no repeat; one that is open beside a double goes on window by window
+    cores = cut(told.groupBy("core").agg(F.count("*").alias("_n"), F.min("known").alias("_all")).where("_n > 1 and not _all").select("core"))
+    near, _ = split(told, F.col("core"), cut(bitmap(cores, F.col("core"))))
+    last = near.join(cores, "core", "left_semi").select("doc_id", "version", "start", "n", "known")
+    windows = written(_windows(_with_text(rows, last, "start", "n", "known"), kind, length), "suffix-windows")
+    single, _ = _doubled(windows)
+    return whole.unionByName(settled.select("doc_id", "version", "start", "n")).unionByName(single.select("doc_id", "version", "start", F.lit(1).alias("n")))
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, k: int = K, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,9 +212,10 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, k: int = K, key: st
     """
     kind = dict(docs.dtypes)[key]
     found = repeated_windows(docs, length=length, k=k, key=key, text=text)
-    spans = found.groupBy(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = cut(found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
     rows = docs.select(docs[key].alias("doc_id"), row_version(docs[text]).alias("version"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    both = rows.join(spans, rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["version"] == F.col("_v")), "left").select("doc_id", "text", "spans")
+    may, whole = split_rows(rows, cut(key_filter(spans)))
+    both = attach(may, spans, "spans", "left").select("doc_id", "text", "spans").unionByName(whole.select("doc_id", "text", F.lit(None).cast("array<struct<start:int,n:int>>").alias("spans")))
 
     def run(batches):
         for batch in text_slices(batches, "text"):
