@@ -20,7 +20,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a shard's stream, about; the largest block; blocks that the smallest target has at least.
-SHARD_WORDS, BLOCK_WORDS, LEAST_BLOCKS = 1 << 22, 64, 400
+SHARD_WORDS, BLOCK_WORDS, LEAST_BLOCKS = 1 << 19, 64, 400
 SEED = 20240607
 #: Sources up to this number are broadcast (100 bytes each); more go through a join.
 BROADCAST_SOURCES = 10_000
