@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from skylattice.llm.setjoin import Rule
 
@@ -11,7 +13,8 @@ from .test_setjoin import shingle_set
 
 
 def test_stages(spark, tmp_path):
-    documents(spark, 60).drop("size", "_key").write.parquet(f"file://{tmp_path}/documents.parquet")
+    one_language = documents(spark, 60).drop("size", "_key").withColumn("lang", F.lit("xx"))
+    one_language.write.parquet(f"file://{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
     columns, kept = docs.columns, []
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
