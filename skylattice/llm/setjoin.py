@@ -51,10 +51,27 @@ class Rule:
 Records = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
+def order_within(group: np.ndarray, key: np.ndarray, *, full: bool = True) -> np.ndarray:
+    """The order by group (small numbers, not negative), then by key (unsigned 64 bits).
+
+    One sort of whole words: the group, and as much of the key as fits beside it. Where keys of a group fall together in
+    that part and come out of order, the two are sorted in full; not so if any order will do among such keys.
+    """
+    if not len(group):
+        return np.zeros(0, np.int64)
+    room = np.uint64(64 - max(1, int(group.max()).bit_length()))
+    word = (group.astype(np.uint64) << room) | (key >> (np.uint64(64) - room))
+    order = np.argsort(word)
+    w, k = word[order], key[order]
+    if full and ((w[1:] == w[:-1]) & (k[1:] < k[:-1])).any():
+        return np.lexsort((key, group))
+    return order
+
+
 def distinct(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different tokens of each record, ordered by hash, and their offsets."""
     record = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((tokens, record))
+    order = order_within(record, tokens)
     t, r = tokens[order], record[order]
     keep = np.ones(len(t), bool)
     keep[1:] = (t[1:] != t[:-1]) | (r[1:] != r[:-1])
@@ -83,7 +100,7 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
 
 
 def first_pass(rows: DataFrame, records: Records) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, version, record, n, cls) of every record, and the count sketch of tokens."""
+    """(doc_id, version, record, n, cls) of every record, and the levels of the count sketch of tokens."""
     kind = dict(rows.dtypes)["doc_id"]
     names = ["doc_id", "version", "record", "n", "cls", "part", "cells"]
 
@@ -119,14 +136,24 @@ def first_pass(rows: DataFrame, records: Records) -> tuple[DataFrame, np.ndarray
     sketch = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.int64)
     for r in parts:
         sketch[r["part"]] = np.frombuffer(r["cells"], "<i8")
-    return made.where("part is null").drop("part", "cells"), np.minimum(sketch.ravel(), (1 << 31) - 1).astype(np.int32)
+    return made.where("part is null").drop("part", "cells"), levels(np.minimum(sketch.ravel(), (1 << 30)))
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """How frequent a count below 2**31 is, in 9 bits: exact to 31, sixteen steps in each doubling beyond."""
+    return ((np.maximum(counts, 1).astype(np.float32).view(np.uint32) >> np.uint32(19)) - np.uint32(127 << 4)).astype(np.uint16)
 
 
 def ordered(tokens: np.ndarray, at: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Tokens of each record by the global order: rarest first, then by hash."""
+    """The (different) tokens of each record by the global order: lowest level first, then by hash."""
     record = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    rank = (sketch[_cells(tokens)].astype(np.uint64) << np.uint64(32)) | (tokens & np.uint64(0xFFFFFFFF))
-    return tokens[np.lexsort((tokens, rank, record))]
+    level = sketch[_cells(tokens)].astype(np.uint64)
+    rank = (level << np.uint64(55)) | (tokens >> np.uint64(9))
+    order = order_within(record, rank)
+    r, out = rank[order], tokens[order]
+    if ((r[1:] == r[:-1]) & (out[1:] != out[:-1])).any():  # tokens that differ in their last bits only
+        out = tokens[np.lexsort((tokens, level, record))]
+    return out
 
 
 def shown_tokens(rows: DataFrame, records: Records, sketch: np.ndarray, rule: Rule, *, most: int, keep_all: bool) -> tuple[DataFrame, DataFrame]:
@@ -173,7 +200,7 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: np.ndarray, rule: Ru
         if not held:
             return
         every = np.concatenate(held)
-        every = every[np.lexsort((every["cls"], every["token"]))]
+        every = every[order_within(every["token"], every["cls"].astype(np.uint64))]
         keep = np.ones(len(every), bool)
         keep[1:] = (every["token"][1:] != every["token"][:-1]) | (every["cls"][1:] != every["cls"][:-1])
         every = every[keep]
@@ -232,7 +259,8 @@ def pairs_of_groups(token, label, cls, parity, n, at, rule: Rule, most: int | No
     then counts as cut short. The order within a group is by size at first and changes with turn.
     """
     nearby = mix(cls.astype(np.int64).view(np.uint64) + np.uint64(turn))
-    order = np.lexsort((nearby, token)) if turn else np.lexsort((nearby, n, token))
+    bits = np.uint64(int(n.max()).bit_length() if len(n) else 1)
+    order = order_within(token, nearby if turn else (n.astype(np.uint64) << (np.uint64(64) - bits)) | (nearby >> bits), full=False)
     token, label, cls, parity, n, at = (x[order] for x in (token, label, cls, parity, n, at))
     first = np.ones(len(token), bool)
     first[1:] = token[1:] != token[:-1]
