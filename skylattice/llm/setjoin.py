@@ -191,12 +191,13 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: np.ndarray, rule: Ru
             out = np.empty(len(place), POSTING)
             out["token"], out["cls"], out["parity"], out["n"], out["at"] = tokens[place] & np.uint64(0xFFFFFFFF), cls[record], parity[record], n[record], place - at[record]
             part = (out["token"] % np.uint32(n_parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            order = np.argsort((part << 32) | out["token"])
             out, ends = out[order], np.searchsorted(part[order], np.arange(n_parts + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_parts, dtype=np.int32)), pa.array([out[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["part", "packed"])
+            some = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([packed_bytes(out[ends[i] : ends[i + 1]]) for i in some.tolist()], pa.binary())], names=["part", "packed"])
 
     def meet(batches: Iterator[pa.RecordBatch]):
-        held = [np.frombuffer(x, POSTING) for batch in batches for x in batch.column("packed").to_pylist()]
+        held = [unpacked_bytes(x.as_buffer()) for batch in batches for x in batch.column("packed")]
         if not held:
             return
         every = np.concatenate(held)
@@ -219,7 +220,7 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: np.ndarray, rule: Ru
             return
         edges = np.flatnonzero(np.append(True, left["token"][1:] != left["token"][:-1]))
         cuts = np.unique(edges[np.searchsorted(edges, np.arange(0, len(left), CHUNK), "right") - 1])
-        parts = [left[i:j].tobytes() for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(left)], strict=True)]
+        parts = [packed_bytes(left[i:j]) for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(left)], strict=True)]
         none = pa.nulls(len(parts), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.array(parts, pa.binary())], names=names)
 
@@ -236,12 +237,28 @@ def unpacked(shown: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for x in batch.column("packed"):
-                e = np.frombuffer(x.as_buffer(), POSTING)
+                e = unpacked_bytes(x.as_buffer())
                 yield pa.RecordBatch.from_arrays([pa.array(e["token"].astype(np.int64)), pa.array(e["cls"].astype(np.int64)), pa.array(e["parity"].astype(np.uint64).view(np.int64)), pa.array(e["n"].astype(np.int32)), pa.array(e["at"].astype(np.int32))], names=["token", "cls", "parity", "n", "at"])
 
     return shown.mapInArrow(run, "token long, cls long, parity long, n int, at int")
 
 
+def packed_bytes(postings: np.ndarray) -> bytes:
+    """Postings, column by column and within a column byte by byte of its words: high bytes are alike and compress."""
+    return b"".join(np.ascontiguousarray(postings[c]).view(np.uint8).reshape(len(postings), -1).T.tobytes() for c in POSTING.names)
+
+
+def unpacked_bytes(raw: memoryview | bytes) -> np.ndarray:
+    data, at = np.frombuffer(raw, np.uint8), 0
+    out = np.empty(len(data) // POSTING.itemsize, POSTING)
+    for c in POSTING.names:
+        kind = POSTING[c]
+        end = at + kind.itemsize * len(out)
+        out[c] = np.ascontiguousarray(data[at:end].reshape(kind.itemsize, -1).T).view(kind).ravel()
+        at = end
+    return out
+
+
 def counted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different pairs, smaller class first, and how often each comes."""
     low, high = np.minimum(a, b), np.maximum(a, b)
