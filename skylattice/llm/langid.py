@@ -1,30 +1,35 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Training counts 4-grams of letters over every training row, where it lies; the counts meet once. Models are built from
-the most frequent 4-grams of each language and kept as sorted hash arrays: the n-grams of all languages in one array
-ordered by a scrambled key, beside it a row of log probabilities, one for each language. A text belongs to the language
-with the lowest cross-entropy per character. A calibration fold, which takes no part in the counts, gives the score and
+Training counts 4-grams of letters over every training row, where it lies; the counts meet once. Everything of the
+models comes from all 4-grams by aggregates and joins by n-gram, whatever their number. The tables are dealt into parts of
+bounded size, by language block and by key, and each part is a sorted hash array: n-grams ordered by a scrambled key, beside
+each a row of log probabilities, one for each language of the block. Small models stay in the workers; of larger ones a
+worker holds one part at a time. A text belongs to the language with the lowest cross-entropy per character. A calibration fold, which takes no part in the counts, gives the score and
 the limits beyond which a prediction is rejected.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from dataclasses import dataclass
-from functools import lru_cache
+from dataclasses import dataclass, replace
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, fresh, mix, text_slices
+from .common import SLICE_BYTES, code_points, fresh, mix, text_slices, written
 
 ORDER = 4
-#: 4-grams kept for each language, the most frequent ones; languages kept, those with the most training rows. Together
-#: they bound the model that every worker holds.
-MAX_GRAMS, MAX_LANGUAGES = 1 << 17, 256
+#: Languages of a block, which share a table; numbers of a part of a table, about; bytes up to which a worker holds all
+#: parts of a model.
+BLOCK, PART_CELLS, HELD_BYTES = 8, 1 << 22, 160 << 20
+#: n-grams are dealt into parts by their remainder by this prime.
+DEAL = 1_000_003
+#: Bytes of text that are scored at once with a model that isn't held, and places that are expanded at once.
+LONG_SLICE, PLACES = 16 << 20, 1 << 20
 #: Rows of the calibration fold that the score is fitted on, about (a hash of doc_id chooses them).
 CALIBRATION_ROWS = 20_000
 #: Distinct 4-grams that a task gathers before it sends them on.
@@ -117,120 +122,204 @@ class HashArray:
         return out
 
 
+class Table:
+    """Rows of float32, one for each key, in parts that are broadcast one by one."""
+
+    def __init__(self, parts: list[Broadcast], width: int):
+        self.parts, self.width = parts, width
+
+    def rows(self, keys: np.ndarray, held: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each key, and whether there is one; the others' rows mean nothing."""
+        if len(self.parts) == 1:
+            return self._look(0, keys, held)
+        owner = np.mod(keys.view(np.int64), DEAL) % len(self.parts)
+        out, found = np.zeros((len(keys), self.width), np.float32), np.zeros(len(keys), bool)
+        for i in range(len(self.parts)):
+            own = np.flatnonzero(owner == i)
+            if len(own):
+                out[own], found[own] = self._look(i, keys[own], held)
+        return out, found
+
+    def _look(self, i: int, keys: np.ndarray, held: bool) -> tuple[np.ndarray, np.ndarray]:
+        part = self.parts[i]
+        index, values = part.value
+        if not held:
+            part.__dict__.pop("_value", None)  # the file stays, and is read again when the part is needed again
+        if not len(values):
+            return np.zeros((len(keys), self.width), np.float32), np.zeros(len(keys), bool)
+        row = index.find(keys)
+        return values[row], row >= 0
+
+
 @dataclass
 class Level:
     """N-grams of one order: log probabilities by language, and log weights of the lower order by history."""
 
-    grams: HashArray
-    log_p: np.ndarray
-    histories: HashArray
-    log_rest: np.ndarray
+    grams: Table
+    histories: Table
 
 
 @dataclass
 class Model:
     languages: list[str]
-    levels: list[Level]  # the highest order first
+    blocks: list[list[Level]]  # for each BLOCK languages, the highest order first
     log_uniform: float
+    held: bool
     weights: np.ndarray  # of the score: constant, margin, log length
     mean: np.ndarray
     deviation: np.ndarray
 
+    @property
+    def slice_bytes(self) -> int:
+        return SLICE_BYTES if self.held else LONG_SLICE
+
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         """Natural log of each 4-gram's last symbol given the others, for each language."""
-        return self._level(keys, 0)
-
-    def _level(self, keys: np.ndarray, k: int) -> np.ndarray:
-        if k == len(self.levels):
-            return np.full((len(keys), len(self.languages)), self.log_uniform, np.float32)
-        level = self.levels[k]
-        row = level.grams.find(keys)
-        out = level.log_p[row]
-        miss = np.flatnonzero(row < 0)
+        return np.concatenate([self._level(keys, levels, 0) for levels in self.blocks], axis=1)
+
+    def _level(self, keys: np.ndarray, levels: list[Level], k: int) -> np.ndarray:
+        if k == len(levels):
+            return np.full((len(keys), levels[0].grams.width), self.log_uniform, np.float32)
+        out, found = levels[k].grams.rows(keys, self.held)
+        miss = np.flatnonzero(~found)
         if len(miss):
             lost = keys[miss]
-            lower = lost & np.uint64((1 << (16 * (len(self.levels) - k - 1))) - 1)
-            history = level.histories.find(lost >> np.uint64(16))
-            out[miss] = np.where((history >= 0)[:, None], level.log_rest[history], 0) + self._level(lower, k + 1)
+            lower = lost & np.uint64((1 << (16 * (len(levels) - k - 1))) - 1)
+            rest, known = levels[k].histories.rows(lost >> np.uint64(16), self.held)
+            out[miss] = np.where(known[:, None], rest, 0) + self._level(lower, levels, k + 1)
         return out
 
-    def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cross-entropy per symbol in nats (texts, languages), symbols and letters of each text."""
+    def _entropies(self, key: np.ndarray, at: np.ndarray, levels: list[Level]) -> np.ndarray:
+        """Cross-entropy per symbol in nats (texts, languages of a block)."""
+        n = np.diff(at)
+        total = np.zeros((len(n), levels[0].grams.width))
+        if not self.held:
+            distinct, key = np.unique(key, return_inverse=True)
+            table = self._level(distinct, levels, 0)
+        for low in range(0, len(key), PLACES):
+            high = min(low + PLACES, len(key))
+            values = self._level(key[low:high], levels, 0) if self.held else table[key[low:high]]
+            begin = np.unique(np.append(at[(at > low) & (at < high)], low))
+            total[np.searchsorted(at, begin, "right") - 1] += np.add.reduceat(values, begin - low, axis=0, dtype=np.float64)
+        return -total / np.maximum(n, 1)[:, None]
+
+    def nearest(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The best language's number and cross-entropy per symbol in nats, how much more the second best has, and the
+        symbols and letters of each text."""
         key, at, letters = grams(texts)
         n = np.diff(at)
-        total = np.zeros((len(n), len(self.languages)))
-        full = n > 0
-        if full.any():
-            total[full] = np.add.reduceat(self.log_probabilities(key), at[:-1][full], axis=0, dtype=np.float64)
-        return -total / np.maximum(n, 1)[:, None], n, letters
+        best, low, second = np.zeros(len(n), np.int64), np.full(len(n), np.inf), np.full(len(n), np.inf)
+        for b, levels in enumerate(self.blocks):
+            entropy = self._entropies(key, at, levels)
+            own = entropy.argmin(axis=1)
+            least = entropy[np.arange(len(n)), own]
+            next_ = np.partition(entropy, 1, axis=1)[:, 1] if entropy.shape[1] > 1 else np.full(len(n), np.inf)
+            better = least < low
+            second = np.minimum(np.where(better, next_, second), np.where(better, low, least))
+            best, low = np.where(better, b * BLOCK + own, best), np.minimum(low, least)
+        return best, low, second - low if len(self.languages) > 1 else np.ones(len(n)), n, letters
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy, and whether the prediction is rejected."""
-        entropy, n, letters = self.entropies(texts)
         if not self.languages:
-            return [UNKNOWN] * len(n), np.zeros(len(n)), np.zeros(len(n)), np.ones(len(n), bool)
-        best = entropy.argmin(axis=1)
-        low = entropy[np.arange(len(n)), best]
-        score = self._score(entropy, n)
+            n = len(texts)
+            return [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
+        best, low, margin, n, letters = self.nearest(texts)
+        score = 1 / (1 + np.exp(-np.clip(_features(margin, n) @ self.weights, -40, 40)))
         none = letters == 0
         score[none] = 0
         rejected = none | (score < LEAST_SCORE) | (low > self.mean[best] + MOST_DEVIATIONS * self.deviation[best])
         return [UNKNOWN if z else self.languages[b] for z, b in zip(none.tolist(), best.tolist(), strict=True)], score, np.where(none, 0, low), rejected
 
-    def _score(self, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_features(entropy, n) @ self.weights, -40, 40)))
 
-
-def _features(entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _features(margin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A constant, how far the second best is in nats per symbol, and the same times the log of the length."""
-    margin = np.partition(entropy, 1, axis=1)[:, 1] - entropy.min(axis=1) if entropy.shape[1] > 1 else np.ones(len(entropy))
     return np.column_stack([np.ones(len(n)), margin, margin * np.log1p(n)])
 
 
 # ---------------------------------------------------------------- training
 
 
-def _kneser_ney(languages: list[str], tables: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[list[Level], float]:
-    """Levels of all languages from (4-gram keys, counts) of each.
+def _kneser_ney(counts: DataFrame) -> tuple[list[str], list[list[Level]], float, bool]:
+    """Languages, levels of each block of them, log of the uniform probability, and whether workers hold all, from
+    counts (lang, gram, n) of 4-grams.
 
     The highest order uses counts, the lower ones how many different symbols stand before an n-gram. Each order takes a
     discount n1 / (n1 + 2 n2) from what it has and gives it to the lower one; the lowest gives it to all symbols alike.
     """
-    counted: list[list[tuple[np.ndarray, np.ndarray]]] = [[tables[x] for x in languages]]
+    spark = counts.sparkSession
+    tables = {ORDER: written(counts, "grams")}
     for m in range(ORDER - 1, 0, -1):
-        mask = np.uint64((1 << (16 * m)) - 1)
-        counted.append([np.unique(keys & mask, return_counts=True) for keys, _ in counted[-1]])
-    symbols = len(np.unique(np.concatenate([k for k, _ in counted[-1]]))) if languages else 1
-    log_uniform = float(-np.log(symbols + 1))
-    levels: list[Level] = []
-    lower: tuple[np.ndarray, np.ndarray] | None = None
-    for m, table in zip(range(1, ORDER + 1), reversed(counted), strict=True):
-        union = np.unique(np.concatenate([k for k, _ in table]))
-        contexts = np.unique(union >> np.uint64(16))
-        p = np.zeros((len(union), len(languages)))
-        rest = np.ones((len(contexts), len(languages)))
-        for j, (keys, n) in enumerate(table):
-            n = n.astype(np.float64)
-            once, twice = (n == 1).sum(), (n == 2).sum()
-            d = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-            history, back = np.unique(keys >> np.uint64(16), return_inverse=True)
-            total, kinds = np.bincount(back, n), np.bincount(back)
-            p[np.searchsorted(union, keys), j] = (n - d) / total[back]
-            rest[np.searchsorted(contexts, history), j] = d * kinds / total
-        own_rest = rest[np.searchsorted(contexts, union >> np.uint64(16))]
-        if lower is None:
-            p += own_rest * np.exp(log_uniform)
+        tables[m] = written(tables[m + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << (16 * m)) - 1)).alias("gram")).agg(F.count("*").alias("n")), "grams")
+    rare = [t.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).withColumn("m", F.lit(m)) for m, t in tables.items()]
+    found = {(r["m"], r["lang"]): (r["once"], r["twice"]) for r in reduce(DataFrame.unionByName, rare).collect()}
+    languages = sorted({lang for _, lang in found})
+    if not languages:
+        return [], [], 0.0, True
+    log_uniform = float(-np.log(tables[1].select("gram").distinct().count() + 1))
+    width = min(BLOCK, len(languages))
+    slots = range(width)
+    dense: DataFrame | None = None
+    made: dict[tuple[int, str], DataFrame] = {}
+    for m in range(1, ORDER + 1):
+        known = []
+        for i, lang in enumerate(languages):
+            once, twice = found[m, lang]
+            known.append((lang, i // BLOCK, i % BLOCK, min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5))
+        told = F.broadcast(spark.createDataFrame(known, "lang string, block int, slot int, d double"))
+        table = tables[m].join(told, "lang").withColumn("history", F.shiftrightunsigned("gram", 16))
+
+        def by_slot(value: Column) -> Column:
+            return F.array(*[F.sum(F.when(F.col("slot") == i, value)) for i in slots])  # noqa: B023
+
+        histories = table.groupBy("block", "history").agg(by_slot(F.col("n")).alias("total"), by_slot(F.col("d")).alias("kept"))
+        rest = F.array(*[F.coalesce(F.col("kept")[i] / F.col("total")[i], F.lit(1.0)) for i in slots])
+        histories = written(histories.select("block", F.col("history").alias("key"), "total", rest.alias("rest")), "histories")
+        own = table.groupBy("block", "gram", "history").agg(by_slot(F.col("n") - F.col("d")).alias("own"))
+        own = own.join(histories.withColumnRenamed("key", "history"), ["block", "history"])
+        if dense is None:
+            below = F.lit(float(np.exp(log_uniform)))
+            p = [F.coalesce(F.col("own")[i] / F.col("total")[i], F.lit(0.0)) + F.col("rest")[i] * below for i in slots]
         else:
-            p += own_rest * lower[1][np.searchsorted(lower[0], union & np.uint64((1 << (16 * (m - 1))) - 1))]
-        lower = (union, p)
-        grams_array, histories = HashArray(union), HashArray(contexts)
-        levels.insert(0, Level(grams_array, np.log(p[grams_array.order]).astype(np.float32), histories, np.log(rest[histories.order]).astype(np.float32)))
-    return levels, log_uniform
+            own = own.withColumn("low", F.col("gram").bitwiseAND(F.lit((1 << (16 * (m - 1))) - 1)))
+            own = own.join(dense.select("block", F.col("key").alias("low"), F.col("p").alias("below")), ["block", "low"])
+            p = [F.coalesce(F.col("own")[i] / F.col("total")[i], F.lit(0.0)) + F.col("rest")[i] * F.col("below")[i] for i in slots]
+        dense = written(own.select("block", F.col("gram").alias("key"), F.array(*p).alias("p")), "probabilities")
+        for name, df, column in (("grams", dense, "p"), ("histories", histories, "rest")):
+            made[m, name] = df.select("block", "key", F.transform(column, lambda x: F.log(x).cast("float")).alias("v"))
+    sizes = reduce(DataFrame.unionByName, [df.groupBy("block").count().withColumns({"m": F.lit(m), "name": F.lit(name)}) for (m, name), df in made.items()])
+    size = {(r["m"], r["name"], r["block"]): r["count"] for r in sizes.collect()}
+    held = sum(size.values()) * (4 * width + 16) <= HELD_BYTES
+
+    blocks = range(-(-len(languages) // BLOCK))
+
+    def part_of(got: pa.Table, block: int) -> Broadcast:
+        keys = HashArray(got["key"].to_numpy().astype(np.int64).view(np.uint64))
+        values = np.asarray(got["v"].combine_chunks().flatten(), np.float32).reshape(-1, width)[keys.order, : len(languages) - BLOCK * block]
+        keys.order = keys.order[:0]
+        return spark.sparkContext.broadcast((keys, np.ascontiguousarray(values)))
+
+    def tables_of(m: int, name: str) -> list[Table]:
+        """The table of each block, which the driver reads and broadcasts part by part."""
+        df, cells = made[m, name], [size[m, name, b] * width for b in blocks]
+        if sum(cells) <= PART_CELLS:
+            got = df.toArrow()
+            parts = [[part_of(got.filter(pa.array(got["block"].to_numpy() == b)), b)] for b in blocks]
+        else:
+            parts = []
+            for b in blocks:
+                n = -(-cells[b] // PART_CELLS)
+                dealt = [df.where((F.col("block") == b) & (F.pmod(F.pmod("key", F.lit(DEAL)), F.lit(n)) == i)) for i in range(n)]
+                parts.append([part_of(x.toArrow(), b) for x in dealt])
+        return [Table(own, min(width, len(languages) - BLOCK * b)) for b, own in zip(blocks, parts, strict=True)]
+
+    levels = [Level(*at) for m in range(ORDER, 0, -1) for at in zip(tables_of(m, "grams"), tables_of(m, "histories"), strict=True)]
+    return languages, [levels[b :: len(blocks)] for b in blocks], log_uniform, held
 
 
-def _fit_score(entropy: np.ndarray, n: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _fit_score(margin: np.ndarray, n: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Logistic regression with a small ridge, by Newton's steps."""
-    x, y = _features(entropy, n), right.astype(float)
+    x, y = _features(margin, n), right.astype(float)
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-3, 1e-3, 1e-3])
     for _ in range(30):
@@ -287,46 +376,32 @@ def train(rows: DataFrame, calibration: DataFrame) -> Model:
     Without rows the model knows no language and predicts `und` for everything. Without calibration rows, or with only
     right or only wrong ones among them, the score rests on the ridge alone.
     """
-    from pyspark.sql import Window
-
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r["lang"] for r in common.collect())
-    counts = gram_counts(rows.where(F.col("lang").isin(languages)) if languages else rows.limit(0))
-    top = counts.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("_r") <= MAX_GRAMS)
-    got = top.select("lang", "gram", "n").toArrow() if languages else None
-    tables = {}
-    for lang in list(languages):
-        part = got.filter(pa.compute.equal(got["lang"], lang))
-        keys = part["gram"].to_numpy().astype(np.int64).view(np.uint64)
-        if len(keys):
-            order = np.argsort(keys)
-            tables[lang] = (keys[order], part["n"].to_numpy()[order])
-        else:
-            languages.remove(lang)  # rows without a letter teach nothing
+    languages, blocks, log_uniform, held = _kneser_ney(gram_counts(rows))  # rows without a letter teach nothing
+    model = Model(languages, blocks, log_uniform, held, np.zeros(3), np.full(len(languages), np.inf), np.zeros(len(languages)))
     if not languages:
-        return Model([], [], 0.0, np.zeros(3), np.zeros(0), np.zeros(0))
-    levels, log_uniform = _kneser_ney(languages, tables)
-    model = Model(languages, levels, log_uniform, np.zeros(3), np.full(len(languages), np.inf), np.zeros(len(languages)))
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+        return model
 
     def run(batches):
-        for batch in text_slices(batches, "text"):
-            entropy, n, letters = shared.value.entropies(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(n), pa.array(letters)], names=["lang", "entropy", "n", "letters"])
-
-    fold = calibration.where(F.col("lang").isin(languages) & F.col("text").isNotNull()).select("lang", "text")
-    found = fold.mapInArrow(run, "lang string, entropy array<double>, n long, letters long").where("letters > 0").toArrow()
-    shared.unpersist()
+        for batch in text_slices(batches, "text", model.slice_bytes):
+            found = zip(("best", "low", "margin", "n", "letters"), model.nearest(batch.column("text")), strict=True)
+            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang")} | {k: pa.array(v) for k, v in found})
+
+    fold = calibration.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    found = fold.mapInArrow(run, "lang string, best long, low double, margin double, n long, letters long").where("letters > 0").toArrow()
+    number = {lang: i for i, lang in enumerate(languages)}
+    own = np.array([number.get(x, -1) for x in found["lang"].to_pylist()], np.int64)
+    found, own = found.filter(pa.array(own >= 0)), own[own >= 0]
     if found.num_rows:
-        entropy = np.array(found["entropy"].to_pylist())
-        best = entropy.argmin(axis=1)
-        right = np.array(languages)[best] == np.array(found["lang"].to_pylist())
-        model.weights = _fit_score(entropy, found["n"].to_numpy(), right)
+        best, low, margin, n = (found[c].to_numpy() for c in ("best", "low", "margin", "n"))
+        right = best == own
+        weights = _fit_score(margin, n, right)
+        mean, deviation = model.mean.copy(), model.deviation.copy()
         for j in range(len(languages)):
-            own = entropy[(best == j) & right, j]
-            if len(own) >= 20:
-                model.mean[j], model.deviation[j] = own.mean(), max(own.std(), 0.02)
+            mine = low[(best == j) & right]
+            if len(mine) >= 20:
+                mean[j], deviation[j] = mine.mean(), max(mine.std(), 0.02)
+        model = replace(model, weights=weights, mean=mean, deviation=deviation)
     return model
 
 
@@ -364,14 +439,13 @@ def keep_identified(docs: DataFrame, model: Model, *, text: str = "text") -> Dat
 
 
 def _with_predictions(docs: DataFrame, model: Model, text: str, kept: list[str], rejected: str | None = None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     hold = text if text in kept else fresh(docs, "_text")
     source = docs.select(*kept) if text in kept else docs.select(*kept, docs[text].alias(hold))
     names = [*kept, rejected] if rejected else [*kept, "lang_pred", "score", "cross_entropy", "rejected"]
 
     def run(batches):
-        for batch in text_slices(batches, hold):
-            lang, score, low, out = shared.value.predict(batch.column(hold))
+        for batch in text_slices(batches, hold, model.slice_bytes):
+            lang, score, low, out = model.predict(batch.column(hold))
             own = [batch.column(c) for c in kept]
             more = [pa.array(out)] if rejected else [pa.array(lang, pa.string()), pa.array(score), pa.array(low), pa.array(out)]
             yield pa.RecordBatch.from_arrays([*own, *more], names=names)

@@ -1,8 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
+from skylattice.llm import langid
 from skylattice.llm.langid import fit, grams, identify, keep_identified, train
 
 from .samples import documents, empty
@@ -56,3 +58,61 @@ def test_awkward_tables(spark):
     model = fit(empty(spark))
     assert identify(empty(spark), model).count() == 0
     assert {r["lang_pred"] for r in identify(docs.limit(3), model).collect()} == {"und"}
+
+
+def brute_force(texts, keys, uniform=None):
+    """Interpolated Kneser-Ney log probabilities of one language, n-gram by n-gram, from all of its 4-grams."""
+    tables = [Counter(k for t in texts for k in grams(pa.array([t]))[0].tolist())]
+    for m in (3, 2, 1):
+        tables.append(Counter(k & ((1 << (16 * m)) - 1) for k in tables[-1]))
+    symbols, facts = len(tables[-1]), []
+    for table in tables:
+        seen = Counter(table.values())
+        d = min(0.9, max(0.1, seen[1] / (seen[1] + 2 * seen[2]))) if seen[1] else 0.5
+        total, kinds = Counter(), Counter()
+        for k, n in table.items():
+            total[k >> 16] += n
+            kinds[k >> 16] += 1
+        facts.append((table, d, total, kinds))
+
+    def p(k, i):
+        if i == 4:
+            return uniform or 1 / (symbols + 1)
+        table, d, total, kinds = facts[i]
+        lower = p(k & ((1 << (16 * (3 - i))) - 1), i + 1)
+        h = k >> 16
+        return (max(table[k] - d, 0) + d * kinds[h] * lower) / total[h] if total[h] else lower
+
+    return np.log([p(k, 0) for k in keys])
+
+
+def test_every_gram_counts(spark):
+    """More different 4-grams than any bound on them: rare ones shape the model like all others."""
+    r = random.Random(5)
+    signs = [chr(c) for c in range(0x4E00, 0x5200)]
+    text = "".join(r.choices(signs, k=150_000))
+    model = train(spark.createDataFrame([("zh", text), ("zh", text[:1000])], "lang string, text string"), spark.createDataFrame([], "lang string, text string"))
+    keys = grams(pa.array([text[:300] + text[70_000:71_000] + "".join(r.choices(signs, k=100))]))[0]
+    assert np.allclose(model.log_probabilities(keys)[:, 0], brute_force([text, text[:1000]], keys.tolist()), atol=1e-4)
+
+
+def test_many_languages_in_small_parts(spark, monkeypatch):
+    """No language goes, and a model in parts that no worker holds together says the same as one in a single part."""
+    r = random.Random(6)
+    rows = [(f"l{i:03}", " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(6))) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    whole = train(docs, docs.limit(0))
+    assert whole.languages == [lang for lang, _ in rows]
+    keys = np.unique(grams(pa.array([rows[299][1], rows[7][1], "xyz abc"]))[0])
+    for i in (7, 299):
+        assert np.allclose(whole.log_probabilities(keys)[:, i], brute_force([rows[i][1]], keys.tolist(), np.exp(whole.log_uniform)), atol=1e-4)
+    few = docs.where("doc_id < 12")
+    whole = train(few, docs.limit(0))
+    monkeypatch.setattr(langid, "PART_CELLS", 1 << 10)
+    monkeypatch.setattr(langid, "HELD_BYTES", 0)
+    parts = train(few, docs.limit(0))
+    assert not parts.held and whole.held and len(parts.blocks[0][0].grams.parts) > 1
+    assert np.array_equal(parts.log_probabilities(keys), whole.log_probabilities(keys))
+    for model in (whole, parts):
+        got = {x["doc_id"]: x["lang_pred"] for x in identify(few, model).collect()}
+        assert got == {i: lang for i, (lang, _) in enumerate(rows[:12])}
