@@ -30,8 +30,11 @@ BLOCK, PART_CELLS, HELD_BYTES = 8, 1 << 22, 160 << 20
 DEAL = 1_000_003
 #: Bytes of text that are scored at once with a model that isn't held, and places that are expanded at once.
 LONG_SLICE, PLACES = 16 << 20, 1 << 20
-#: Rows of the calibration fold that the score is fitted on, about (a hash of doc_id chooses them).
-CALIBRATION_ROWS = 20_000
+#: Rows of the calibration fold that the score is fitted on, about (a hash of doc_id chooses them); of a language that has
+#: too few among these, so many, or all that the fold has.
+CALIBRATION_ROWS, LANGUAGE_ROWS = 20_000, 500
+#: Rightly predicted calibration rows from which a language's deviation is its own alone.
+OWN_ROWS = 20
 #: Distinct 4-grams that a task gathers before it sends them on.
 TASK_GRAMS = 2_000_000
 #: A prediction is rejected where its score is lower, or its cross-entropy lies this many deviations above the mean.
@@ -317,14 +320,32 @@ def _kneser_ney(counts: DataFrame) -> tuple[list[str], list[list[Level]], float,
     return languages, [levels[b :: len(blocks)] for b in blocks], log_uniform, held
 
 
-def _fit_score(margin: np.ndarray, n: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Logistic regression with a small ridge, by Newton's steps."""
+def _limits(number: int, best: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the cross-entropy for each language, from those of rightly predicted rows (language, value).
+
+    A language with OWN_ROWS has its own. One with fewer has its own mean, and a deviation filled up to OWN_ROWS with that
+    within all languages, wider as the mean is less sure. One without any takes those of all rows. Only without a single
+    row there is nothing to tell a limit from, and none.
+    """
+    if not len(low):
+        return np.full(number, np.inf), np.zeros(number)
+    n = np.bincount(best, minlength=number)
+    mean = np.bincount(best, low, number) / np.maximum(n, 1)
+    squares = np.bincount(best, (low - mean[best]) ** 2, number)
+    within = squares.sum() / max(1, len(low) - np.count_nonzero(n))
+    filled = np.sqrt((squares + np.maximum(OWN_ROWS - n, 0) * within) / np.maximum(n, OWN_ROWS) * np.where(n < OWN_ROWS, 1 + 1 / np.maximum(n, 1), 1))
+    return np.where(n > 0, mean, low.mean()), np.maximum(np.where(n > 0, filled, low.std()), 0.02)
+
+
+def _fit_score(margin: np.ndarray, n: np.ndarray, right: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Logistic regression with a small ridge, by Newton's steps; a row stands for as many as it was chosen from."""
     x, y = _features(margin, n), right.astype(float)
     w = np.zeros(x.shape[1])
+    stands = share.min() / share
     ridge = np.diag([1e-3, 1e-3, 1e-3])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (stands * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (stands * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -371,7 +392,8 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 def train(rows: DataFrame, calibration: DataFrame) -> Model:
-    """A model from rows (lang, text), its score fitted on calibration (lang, text). Null langs and texts take no part.
+    """A model from rows (lang, text), its score and limits fitted on calibration (lang, text, and share if its rows were
+    chosen from more, by different shares). Null langs and texts take no part.
 
     Without rows the model knows no language and predicts `und` for everything. Without calibration rows, or with only
     right or only wrong ones among them, the score rests on the ridge alone.
@@ -385,22 +407,18 @@ def train(rows: DataFrame, calibration: DataFrame) -> Model:
     def run(batches):
         for batch in text_slices(batches, "text", model.slice_bytes):
             found = zip(("best", "low", "margin", "n", "letters"), model.nearest(batch.column("text")), strict=True)
-            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang")} | {k: pa.array(v) for k, v in found})
+            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "share": batch.column("share")} | {k: pa.array(v) for k, v in found})
 
-    fold = calibration.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    found = fold.mapInArrow(run, "lang string, best long, low double, margin double, n long, letters long").where("letters > 0").toArrow()
+    fold = calibration.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.col("share") if "share" in calibration.columns else F.lit(1.0).alias("share"))
+    found = fold.mapInArrow(run, "lang string, share double, best long, low double, margin double, n long, letters long").where("letters > 0").toArrow()
     number = {lang: i for i, lang in enumerate(languages)}
     own = np.array([number.get(x, -1) for x in found["lang"].to_pylist()], np.int64)
     found, own = found.filter(pa.array(own >= 0)), own[own >= 0]
     if found.num_rows:
         best, low, margin, n = (found[c].to_numpy() for c in ("best", "low", "margin", "n"))
         right = best == own
-        weights = _fit_score(margin, n, right)
-        mean, deviation = model.mean.copy(), model.deviation.copy()
-        for j in range(len(languages)):
-            mine = low[(best == j) & right]
-            if len(mine) >= 20:
-                mean[j], deviation[j] = mine.mean(), max(mine.std(), 0.02)
+        weights = _fit_score(margin, n, right, found["share"].to_numpy())
+        mean, deviation = _limits(len(languages), best[right], low[right])
         model = replace(model, weights=weights, mean=mean, deviation=deviation)
     return model
 
@@ -411,13 +429,17 @@ def fold_of(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model from docs: counts over folds 0 and 1 and a bounded part of fold 3 for the score; fold 2 is held out."""
+    """A model from docs: counts over folds 0, 1 and what a bounded part of fold 3, by language, leaves of it;
+    that part gives score and limits, fold 2 is held out."""
     rows = docs.select(docs[key].alias("key"), docs[lang].alias("lang"), docs[text].alias("text")).withColumn("fold", fold_of(F.col("key")))
     labelled = rows.where("fold <> 2 and lang is not null")
-    n = labelled.where("fold = 3").count()
-    bound = int(min(1.0, CALIBRATION_ROWS / max(n, 1)) * ((1 << 31) - 1))
-    chosen = (F.col("fold") == 3) & (F.pmod(F.xxhash64("key"), F.lit((1 << 31) - 1)) < bound)
-    return train(labelled.where(~chosen).select("lang", "text"), labelled.where(chosen).select("lang", "text"))
+    sizes = labelled.where("fold = 3").groupBy("lang").agg(F.count("*").alias("rows"))
+    n = sizes.agg(F.sum("rows")).first()[0] or 1
+    share = F.least(F.lit(1.0), F.greatest(F.lit(CALIBRATION_ROWS / n), LANGUAGE_ROWS / F.col("rows")))
+    told = labelled.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang", "left")
+    place = F.pmod(F.xxhash64("key"), F.lit((1 << 31) - 1)) / F.lit(float((1 << 31) - 1))
+    chosen = (F.col("fold") == 3) & (place < F.col("share"))
+    return train(told.where(~F.coalesce(chosen, F.lit(False))).select("lang", "text"), told.where(chosen).select("lang", "text", "share"))
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:

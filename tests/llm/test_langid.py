@@ -116,3 +116,25 @@ def test_many_languages_in_small_parts(spark, monkeypatch):
     for model in (whole, parts):
         got = {x["doc_id"]: x["lang_pred"] for x in identify(few, model).collect()}
         assert got == {i: lang for i, (lang, _) in enumerate(rows[:12])}
+
+
+def test_every_language_has_a_limit(spark, monkeypatch):
+    """A language that a hash over all rows would leave without calibration rows rejects what is unlike it."""
+    monkeypatch.setattr(langid, "CALIBRATION_ROWS", 1)
+    r = random.Random(8)
+    parts = {"aa": "the ing tion ou er st".split(), "bb": "sch ung ein uber ge zu".split()}
+    rows = [(i, " ".join("".join(r.choices(parts[x], k=2)) for _ in range(30)), x) for i, x in enumerate(["aa"] * 200 + ["bb"] * 40)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert np.isfinite(model.mean).all() and (model.deviation > 0).all()
+    junk = ["".join(r.choices("qwxzvkj", k=400)), rows[0][1], rows[220][1]]
+    assert model.predict(pa.array(junk))[3].tolist() == [True, False, False]
+
+
+def test_limits_of_few_rows():
+    r = np.random.default_rng(1)
+    best, low = np.repeat([0, 1], [100, 3]), np.concatenate([r.normal(2, 0.1, 100), r.normal(5, 0.1, 3)])
+    mean, deviation = langid._limits(3, best, low)
+    assert np.allclose([mean[0], deviation[0]], [low[:100].mean(), low[:100].std()])
+    assert np.isclose(mean[1], low[100:].mean()) and 0.05 < deviation[1] < 0.3
+    assert np.allclose([mean[2], deviation[2]], [low.mean(), low.std()])
+    assert np.isinf(langid._limits(2, best[:0], low[:0])[0]).all()
