@@ -6,6 +6,9 @@ slices of bounded size, so a batch of very long documents never has to be expand
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,16 +20,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- shared storage
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary folder where that is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="skylattice-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -152,56 +157,124 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words."""
     x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
+    x *= U64(0xD6E8FEB86659FD93)
     x ^= x >> U64(32)
     x *= U64(0xD6E8FEB86659FD93)
     x ^= x >> U64(32)
     return x
 
 
-class SpanHash:
-    """64-bit hashes of any spans of a byte or code-point array, from one running sum.
+#: The lowest 0 to 8 bytes of a word.
+LOWEST = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+#: Bytes of a span that are folded in word by word; what follows goes through one digest.
+FOLDED = 512
+
+
+def eights(symbols: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one word; beyond the end there are zeros. One copy of the bytes, no more."""
+    padded = np.zeros(symbols.nbytes + 8, np.uint8)
+    padded[:-8] = np.ascontiguousarray(symbols).view(np.uint8)
+    return np.ndarray((symbols.nbytes + 1,), "<u8", padded, 0, (1,))
+
 
-    The sum is a polynomial in an odd base modulo 2**64 over scrambled symbols; dividing by the base's power makes a
-    span's hash independent of its place. The length takes part in the hash.
+def span_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of a byte or code-point array, from their own bytes alone.
+
+    A span's length and its words go through a scramble one after another, so no two texts of a simple form fall together
+    as they would under a rolling polynomial. Where equality decides a result, the bytes are compared besides.
     """
+    word, scale = eights(symbols), symbols.itemsize
+    at, left = start.astype(np.int64) * scale, (end - start).astype(np.int64) * scale
+    out = mix(left.astype(U64) * U64(0xC2B2AE3D27D4EB4F) + U64((seed * 0xA24BAED4963EE407 + 0x9FB21C651E98DF25) & ((1 << 64) - 1)))
+    open_: np.ndarray | slice = slice(None)
+    for _ in range(FOLDED // 8):
+        out[open_] = mix(out[open_] ^ (word[at] & LOWEST[np.minimum(left, 8)])) + U64(0x9E3779B97F4A7C15)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        open_ = more if isinstance(open_, slice) else open_[more]
+        at, left = at[more] + 8, left[more] - 8
+    raw = memoryview(np.ascontiguousarray(symbols)).cast("B")
+    rest = [int.from_bytes(hashlib.blake2b(raw[a : a + n], digest_size=8).digest(), "little") for a, n in zip(at.tolist(), left.tolist(), strict=True)]
+    out[open_] = mix(out[open_] ^ np.array(rest, U64))
+    return out
+
+
+def same_spans(symbols: np.ndarray, start: np.ndarray, other: np.ndarray, size: np.ndarray) -> bool:
+    """Whether each span of so many symbols from start on holds the same bytes as the one from other on."""
+    word, scale = eights(symbols), symbols.itemsize
+    moved = np.flatnonzero(start != other)
+    a, b, left = start[moved] * scale, other[moved] * scale, size[moved] * scale
+    for _ in range(FOLDED // 8):
+        if ((word[a] ^ word[b]) & LOWEST[np.minimum(left, 8)]).any():
+            return False
+        more = np.flatnonzero(left > 8)
+        a, b, left = a[more] + 8, b[more] + 8, left[more] - 8
+        if not len(left):
+            return True
+    raw = memoryview(np.ascontiguousarray(symbols)).cast("B")
+    return all(raw[i : i + n] == raw[j : j + n] for i, j, n in zip(a.tolist(), b.tolist(), left.tolist(), strict=True))
+
+
+def distinct_spans(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each different span, and for every span which of those it equals. Hashes propose, bytes decide."""
+    _, first, back = np.unique(span_hashes(symbols, start, end), return_index=True, return_inverse=True)
+    one = first[back]
+    if (end - start == (end - start)[one]).all() and same_spans(symbols, start, start[one], end - start):
+        return first, back
+    table: dict[bytes, int] = {}
+    places = []
+    back = np.empty(len(start), np.int64)
+    for i, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+        back[i] = table.setdefault(symbols[a:b].tobytes(), len(table))
+        if back[i] == len(places):
+            places.append(i)
+    return np.array(places, np.int64), back
+
+
+def window_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all spans of k symbols, by doubling: two spans that overlap or touch make the one they cover."""
+    n = len(symbols)
+    if n < k:
+        return np.zeros(0, U64)
+    if symbols.dtype == np.uint8 and k >= 8:
+        h, have = mix(eights(symbols)[: n - 7]), 8
+    else:
+        h, have = mix(symbols.astype(U64) + U64(0x9FB21C651E98DF25)), 1
+    while have < k:
+        step = min(have, k - have)
+        joined = h[: len(h) - step] * U64(0x9E3779B97F4A7C15)
+        joined += h[step:]
+        h = mix(joined)
+        have += step
+    return h
+
+
+def span_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of spans of bytes, as two columns of longs: equal digests stand for equal bytes."""
+    raw = memoryview(np.ascontiguousarray(data))
+    out = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    two = np.frombuffer(out, np.int64).reshape(-1, 2)
+    return two[:, 0].copy(), two[:, 1].copy()
+
+
+def let_go() -> None:
+    """Give memory that freed arrays and batches have left in this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """A task function for mapInArrow that gives its memory back when it ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
 
-    BASE, INVERSE = U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-    _power = np.ones(1, U64)
-    _inverse = np.ones(1, U64)
-
-    def __init__(self, symbols: np.ndarray, seed: int = 0):
-        n = len(symbols)
-        if len(SpanHash._power) <= n:
-            size = max(1 << 16, n + n // 8)
-            grow = np.full(size, SpanHash.BASE, U64)
-            grow[0] = 1
-            SpanHash._power = np.cumprod(grow, dtype=U64)
-            grow[1:] = SpanHash.INVERSE
-            SpanHash._inverse = np.cumprod(grow, dtype=U64)
-        self.seed = U64((seed * 0xA24BAED4963EE407 + 0x9FB21C651E98DF25) & ((1 << 64) - 1))
-        if symbols.dtype == np.uint8:
-            scrambled = mix(np.arange(256, dtype=U64) + self.seed)[symbols]
-        else:
-            scrambled = mix(symbols.astype(U64) + self.seed)
-        scrambled *= SpanHash._power[:n]
-        self.sum = np.zeros(n + 1, U64)
-        np.cumsum(scrambled, out=self.sum[1:])
-
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = self.sum[end] - self.sum[start]
-        h *= SpanHash._inverse[start]
-        h += (end - start).astype(U64) * U64(0xC2B2AE3D27D4EB4F)
-        return mix(h)
-
-    def windows(self, k: int) -> np.ndarray:
-        """Hashes of all spans of k symbols."""
-        n = len(self.sum) - 1
-        if n < k:
-            return np.zeros(0, U64)
-        h = self.sum[k:] - self.sum[:-k]
-        h *= SpanHash._inverse[: n - k + 1]
-        return mix(h)
+    return wrapped
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -15,77 +15,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SpanHash, bucket_of, code_points, cut, expand, key_buckets, partitions, row_version, sliding_min, text_slices
-
-#: Code points of a k-mer and of its inner s-mers, for texts from LONG code points and for shorter ones.
-LONG, LONG_K, LONG_S, SHORT_K, SHORT_S = 64, 14, 6, 5, 3
-#: Anchors kept: those of lowest hash. Base-64 signs of an anchor's hash and of its place.
-KEPT, HASH_SIGNS, PLACE_SIGNS = 128, 6, 3
+from .common import bucket_of, code_points, cut, expand, key_buckets, mix, partitions, row_version, sliding_min, text_slices, tidy, window_hashes
+
+#: Code points of a k-mer and of its inner s-mers.
+K, S = 10, 5
+#: Anchors of a fingerprint, those of lowest hash. Base-64 signs of an anchor's hash and of its place.
+KEPT, HASH_SIGNS, PLACE_SIGNS = 128, 6, 6
+#: A symbol that is no code point; K - 1 of them stand before and after each text.
+EDGE = 0x110000
 #: The signs of base 64 in an order that sorts by value.
 SIGNS = np.frombuffer(b"-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", np.uint8)
 WIDTH = HASH_SIGNS + PLACE_SIGNS
 
 
-def syncmers(points: np.ndarray, at: np.ndarray, k: int, s: int) -> np.ndarray:
-    """Places in points where a closed syncmer begins that lies within one text."""
+def padded(points: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts with k - 1 edge signs before and after each, so that every text but an empty one has k-mers."""
+    size = np.diff(at)
+    wide = np.where(size > 0, size + 2 * (k - 1), 0)
+    out_at = np.concatenate([[0], np.cumsum(wide)])
+    out = np.full(int(out_at[-1]), EDGE, np.uint32)
+    out[expand(out_at[:-1] + (k - 1), size)] = points
+    return out, out_at
+
+
+def syncmers(points: np.ndarray, at: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in points where a closed syncmer begins that lies within one text, and the hashes of those k-mers."""
     n = len(points)
     if n < k:
-        return np.zeros(0, np.int64)
-    inner = SpanHash(points).windows(s)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    inner = window_hashes(points, s)
     w = k - s + 1
     low = sliding_min(inner, w)
     chosen = (inner[: len(low)] == low) | (inner[w - 1 :] == low)
     inside = np.zeros(n + 1, bool)
     ends = at[1:][np.diff(at) > 0]
     inside[expand(np.maximum(ends - k + 1, 0), np.minimum(k - 1, ends))] = True  # these reach beyond their text's end
-    # a text shorter than k has its places covered by its own end or by the range before it
-    return np.flatnonzero(chosen & ~inside[: len(low)])
+    place = np.flatnonzero(chosen & ~inside[: len(low)])
+    # two inner windows that overlap cover a k-mer: their hashes name it
+    name = mix(inner[place] * np.uint64(0x9E3779B97F4A7C15) + inner[place + k - s]) if k <= 2 * s else window_hashes(points, k)[place]
+    return place, name
 
 
 def fingerprints(points: np.ndarray, at: np.ndarray) -> list[str]:
     """A fingerprint for each text; equal texts have equal ones, and an empty text has an empty one.
 
-    First a sign for the kind (s or l by length, w when there is no anchor and the whole text is the anchor), then WIDTH
-    signs for each anchor, ordered by hash: the highest bits of the hash, and the place modulo 64**PLACE_SIGNS.
+    WIDTH signs for each anchor, ordered by hash: the highest bits of the hash, and the place. The nth time that a text
+    has a k-mer is an anchor of its own, so a text that repeats itself has as many as others. Texts of any length are
+    treated alike: the edge signs give the shortest one anchors too.
     """
-    size = np.diff(at)
-    out = ["" if n == 0 else "w" for n in size.tolist()]
-    whole = SpanHash(points)
-    for long, k, s in ((True, LONG_K, LONG_S), (False, SHORT_K, SHORT_S)):
-        rows = np.flatnonzero((size >= LONG) if long else ((size > 0) & (size < LONG)))
-        if not len(rows):
-            continue
-        own_at = np.concatenate([[0], np.cumsum(size[rows])])
-        own = points if len(rows) == len(size) else points[expand(at[:-1][rows], size[rows])]
-        place = syncmers(own, own_at, k, s)
-        row = np.searchsorted(own_at, place, "right") - 1
-        value = (SpanHash(own).spans(place, place + k)) >> np.uint64(64 - 6 * HASH_SIGNS)
-        # far above the lowest KEPT nothing matters: drop most of a long text's anchors before sorting
-        many = np.bincount(row, minlength=len(rows))
-        share = np.where(many > 4 * KEPT, 3.0 * KEPT / np.maximum(many, 1), 1.0)
-        low = value.astype(np.float64) < share[row] * 2.0 ** (6 * HASH_SIGNS)
-        r, v, p = row[low], value[low], place[low] - own_at[row[low]]
-        r, v, p, many_kept = _lowest(r, v, p, len(rows))
-        thin = np.flatnonzero((many_kept < KEPT) & (share < 1))
-        if len(thin):  # too few were left (a text that repeats itself): take all of those
-            again = np.isin(row, thin)
-            stay = ~np.isin(r, thin)
-            r2, v2, p2, _ = _lowest(row[again], value[again], place[again] - own_at[row[again]], len(rows))
-            r, v, p = np.concatenate([r[stay], r2]), np.concatenate([v[stay], v2]), np.concatenate([p[stay], p2])
-            order = np.argsort(r, kind="stable")
-            r, v, p = r[order], v[order], p[order]
-        signs = _signs(v, p)
-        first = np.searchsorted(r, np.arange(len(rows) + 1))
-        for i, j in enumerate(rows.tolist()):
-            a, b = first[i], first[i + 1]
-            if a < b:
-                out[j] = ("l" if long else "s") + signs[WIDTH * a : WIDTH * b]
-    lone = np.array([i for i, f in enumerate(out) if f == "w"], np.int64)
-    if len(lone):
-        signs = _signs(whole.spans(at[lone], at[lone + 1]) >> np.uint64(64 - 6 * HASH_SIGNS), np.zeros(len(lone), np.int64))
-        for i, j in enumerate(lone.tolist()):
-            out[j] = "w" + signs[WIDTH * i : WIDTH * (i + 1)]
-    return out
+    n_texts = len(at) - 1
+    wide, wide_at = padded(points, at, K)
+    place, name = syncmers(wide, wide_at, K, S)
+    row = np.searchsorted(wide_at, place, "right") - 1
+    place = place - wide_at[row]
+    # how often the k-mer came before in its text
+    order = np.argsort(mix(name + row.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), kind="stable")
+    r, v = row[order], name[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (v[1:] != v[:-1])
+    nth = np.arange(len(r)) - np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
+    value = np.empty(len(r), np.uint64)
+    value[order] = mix(v + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 6 * HASH_SIGNS)
+    # far above the lowest KEPT nothing matters: most of a long text's anchors needn't be sorted
+    many = np.bincount(row, minlength=n_texts)
+    share = np.where(many > 4 * KEPT, 3.0 * KEPT / np.maximum(many, 1), 1.0)
+    low = np.flatnonzero(value.astype(np.float64) < share[row] * 2.0 ** (6 * HASH_SIGNS))
+    r, v, p, got = _lowest(row[low], value[low], place[low], n_texts)
+    thin = np.flatnonzero((got < KEPT) & (share < 1))
+    if len(thin):  # too few were left by chance: take all of those
+        again, stay = np.isin(row, thin), ~np.isin(r, thin)
+        r2, v2, p2, _ = _lowest(row[again], value[again], place[again], n_texts)
+        r, v, p = np.concatenate([r[stay], r2]), np.concatenate([v[stay], v2]), np.concatenate([p[stay], p2])
+        order = np.argsort(r, kind="stable")
+        r, v, p = r[order], v[order], p[order]
+    signs, first = _signs(v, p), np.searchsorted(r, np.arange(n_texts + 1))
+    return [signs[WIDTH * a : WIDTH * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 def _lowest(row: np.ndarray, value: np.ndarray, place: np.ndarray, n: int):
@@ -114,15 +118,14 @@ def likeness(a: str, b: str) -> float:
     """How much of two texts their fingerprints share, 0 to 1: 1 for equal fingerprints, near 0 for unrelated texts.
 
     Among the lowest anchors of both together, those that both have and that stand in the same order in both; as a
-    share of two texts' anchors (twice what is shared by the sum). Texts of different kinds share nothing, and an empty
-    text is like an empty text only.
+    share of two texts' anchors (twice what is shared by the sum). An empty text is like an empty text only.
     """
     if a == b:
         return 1.0
-    if not a or not b or a[0] != b[0]:
+    if not a or not b:
         return 0.0
-    one = {a[i : i + HASH_SIGNS]: a[i + HASH_SIGNS : i + WIDTH] for i in range(1, len(a), WIDTH)}
-    two = {b[i : i + HASH_SIGNS]: b[i + HASH_SIGNS : i + WIDTH] for i in range(1, len(b), WIDTH)}
+    one = {a[i : i + HASH_SIGNS]: a[i + HASH_SIGNS : i + WIDTH] for i in range(0, len(a), WIDTH)}
+    two = {b[i : i + HASH_SIGNS]: b[i + HASH_SIGNS : i + WIDTH] for i in range(0, len(b), WIDTH)}
     if one.keys().isdisjoint(two):
         return 0.0
     full = len(one) >= KEPT or len(two) >= KEPT
@@ -198,5 +201,5 @@ def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    out = dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = dealt.mapInArrow(tidy(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("doc_id", key)

@@ -20,7 +20,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, code_points, fresh, mix, text_slices, written
+from .common import SLICE_BYTES, code_points, fresh, mix, text_slices, tidy, written
 
 ORDER = 4
 #: Languages of a block, which share a table; numbers of a part of a table, about; bytes up to which a worker holds all
@@ -388,7 +388,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
                 held, size = {}, 0
         yield from sent()
 
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def train(rows: DataFrame, calibration: DataFrame) -> Model:
@@ -410,7 +410,7 @@ def train(rows: DataFrame, calibration: DataFrame) -> Model:
             yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "share": batch.column("share")} | {k: pa.array(v) for k, v in found})
 
     fold = calibration.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.col("share") if "share" in calibration.columns else F.lit(1.0).alias("share"))
-    found = fold.mapInArrow(run, "lang string, share double, best long, low double, margin double, n long, letters long").where("letters > 0").toArrow()
+    found = fold.mapInArrow(tidy(run), "lang string, share double, best long, low double, margin double, n long, letters long").where("letters > 0").toArrow()
     number = {lang: i for i, lang in enumerate(languages)}
     own = np.array([number.get(x, -1) for x in found["lang"].to_pylist()], np.int64)
     found, own = found.filter(pa.array(own >= 0)), own[own >= 0]
@@ -473,4 +473,4 @@ def _with_predictions(docs: DataFrame, model: Model, text: str, kept: list[str],
             yield pa.RecordBatch.from_arrays([*own, *more], names=names)
 
     extra = [f"`{rejected}` boolean"] if rejected else ["lang_pred string", "score double", "cross_entropy double", "rejected boolean"]
-    return source.mapInArrow(run, ", ".join([f"`{c}` {t}" for c, t in docs.select(*kept).dtypes] + extra))
+    return source.mapInArrow(tidy(run), ", ".join([f"`{c}` {t}" for c, t in docs.select(*kept).dtypes] + extra))

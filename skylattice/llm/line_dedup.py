@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, bitmap, cut, fresh, key_filter, split, split_rows, text_slices, utf8, words, written
+from .common import LOWER, bitmap, cut, fresh, key_filter, span_hashes, split, split_rows, text_slices, tidy, utf8, words, written
 from .setjoin import Rule, candidates, first_pass, keyed, sets_of, shown_tokens, verify
 
 RULE = Rule(80, 100)
@@ -25,7 +25,7 @@ def lines(batch: pa.RecordBatch):
     breaks = data == 10
     data = LOWER[data]
     start, end, _ = words(data, at)
-    word = SpanHash(data).spans(start, end)
+    word = span_hashes(data, start, end)
     text = np.searchsorted(at, start, "right") - 1
     seen = np.concatenate([[0], np.cumsum(breaks)])
     line = seen[start] - seen[at[text]]
@@ -112,7 +112,7 @@ def dedup_lines(docs: DataFrame, *, rule: Rule = RULE, key: str = "doc_id", text
                 all_.append(len(parts))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(all_, pa.int64())], names=[*kept, hold, lost, total])
 
-    changed = flat.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"`{hold}` string", f"`{lost}` long", f"`{total}` long"]))
+    changed = flat.mapInArrow(tidy(run), ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"`{hold}` string", f"`{lost}` long", f"`{total}` long"]))
     breaks = F.when(F.col("_text").isNull(), 0).otherwise(F.regexp_count("_text", F.lit("\n")) + 1).cast("long")
     same = rest.select("_row.*", F.col("_text").alias(hold), F.lit(0).cast("long").alias(lost), breaks.alias(total))
     both = changed.unionByName(same)

@@ -11,12 +11,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import fresh, text_slices, utf8
+from .common import fresh, text_slices, tidy, utf8
 
 BLOCK = 64
 #: Blocks in a full frame, blocks in a row, frames a second.
@@ -118,33 +119,164 @@ def frame_places(clip: bytes) -> tuple[list[tuple[int, int]], float]:
     return places, rate
 
 
-def decode_frames(clip: bytes, places: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Payload bytes of all blocks (blocks, 64), and how many blocks each frame has."""
-    scans, counts = [], []
-    for at, size in places:
-        p, end = at + 2, at + size
-        while True:
-            marker, n = clip[p + 1], struct.unpack_from(">H", clip, p + 2)[0]
-            if marker == SOF0:
-                height, width = struct.unpack_from(">HH", clip, p + 5)
-            p += 2 + n
-            if marker == SOS:
+@dataclass
+class Scan:
+    """What a frame's headers say: blocks, quantisers in coding order, Huffman codes, restart interval, coded bytes."""
+
+    blocks: int
+    quantisers: np.ndarray
+    dc: dict[tuple[int, int], int]
+    ac: dict[tuple[int, int], int]
+    interval: int
+    coded: np.ndarray
+
+    @property
+    def plain(self) -> bool:
+        """Whether it is coded as encode_clip does: one symbol, category 8, of one bit, and each block by itself."""
+        return self.dc == self.ac == {(1, 0): 8} and self.interval == 1
+
+
+def read_frame(clip: bytes, at: int, size: int) -> Scan:
+    """The headers of one JPEG frame. What isn't baseline with one grey component is an error, never junk."""
+    end, p = at + size, at + 2
+    if clip[at : at + 2] != bytes([0xFF, SOI]):
+        raise ValueError("a frame doesn't begin as a JPEG")
+    tables: dict[int, dict[tuple[int, int], int]] = {}
+    quantisers, blocks, interval, used = {}, None, 0, 0
+    while True:
+        if p + 4 > end or clip[p] != 0xFF:
+            raise ValueError("a frame ends within its headers")
+        marker, n = clip[p + 1], struct.unpack_from(">H", clip, p + 2)[0]
+        body = clip[p + 4 : p + 2 + n]
+        p += 2 + n
+        if marker == DQT:
+            while body:
+                wide = body[0] >> 4
+                quantisers[body[0] & 15] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.float64)
+                body = body[1 + 64 * (1 + wide) :]
+        elif marker == DHT:
+            while body:
+                counts, code, place, found = body[1:17], 0, 17, {}
+                for bits, many in enumerate(counts, 1):
+                    for _ in range(many):
+                        found[bits, code] = body[place]
+                        code, place = code + 1, place + 1
+                    code <<= 1
+                tables[body[0]] = found
+                body = body[place:]
+        elif marker == DRI:
+            interval = struct.unpack(">H", body)[0]
+        elif marker == SOF0:
+            precision, height, width, parts, _, sampling, used = struct.unpack(">BHHBBBB", body[:9])
+            if (precision, parts, sampling) != (8, 1, 0x11):
+                raise ValueError("only frames of one grey component of 8 bits are supported")
+            blocks = -(-height // 8) * -(-width // 8)
+        elif 0xC0 < marker <= 0xCF and marker != 0xCC:
+            raise ValueError(f"JPEG process {marker - 0xC0} is not supported, only baseline")
+        elif marker == SOS:
+            if blocks is None or used not in quantisers or body[0] != 1:
+                raise ValueError("a scan without its frame header or quantisers")
+            dc, ac = tables.get(body[2] >> 4), tables.get(0x10 | body[2] & 15)
+            if dc is None or ac is None:
+                raise ValueError("a scan without its Huffman tables")
+            return Scan(blocks, quantisers[used], dc, ac, interval, np.frombuffer(clip, np.uint8, end - p, p))
+
+
+def _segments(coded: np.ndarray) -> list[bytes]:
+    """The coded bytes between restart markers, stuffed zeros taken out, up to the end of the image."""
+    raw, out, begin, i = coded.tobytes(), [], 0, -1
+    while (i := raw.find(b"\xff", i + 1)) >= 0 and i + 1 < len(raw):
+        mark = raw[i + 1]
+        if RST0 <= mark < RST0 + 8 or mark == EOI:
+            out.append(raw[begin:i].replace(b"\xff\x00", b"\xff"))
+            begin = i + 2
+            if mark == EOI:
+                return out
+        i += 1
+    raise ValueError("a frame without its end")
+
+
+def decode_scan(scan: Scan) -> np.ndarray:
+    """Quantised coefficients (blocks, 64) in coding order, by the scan's own Huffman tables: any baseline grey frame."""
+    out, k = np.zeros((scan.blocks, 64), np.int64), 0
+    for segment in _segments(scan.coded):
+        bits, p, before = "".join([f"{b:08b}" for b in segment]), 0, 0
+
+        def symbol(table):
+            nonlocal p
+            for n in range(1, 17):
+                if (found := table.get((n, int(bits[p : p + n] or "0", 2)))) is not None and p + n <= len(bits):  # noqa: B023
+                    p += n
+                    return found
+            raise ValueError("a code that is in no Huffman table")
+
+        def value(n):
+            nonlocal p
+            if not n:
+                return 0
+            if p + n > len(bits):  # noqa: B023
+                raise ValueError("a frame ends within a coefficient")
+            x = int(bits[p : p + n], 2)  # noqa: B023
+            p += n
+            return x if x >> (n - 1) else x - (1 << n) + 1
+
+        for _ in range(scan.interval or scan.blocks):
+            if k == scan.blocks:
                 break
-        counts.append(height // 8 * (width // 8))
-        scans.append(np.frombuffer(clip, np.uint8, end - p, p))
-    data = np.concatenate(scans)
+            before += value(symbol(scan.dc))
+            out[k, 0], i = before, 1
+            while i < 64:
+                run, n = divmod(symbol(scan.ac), 16)
+                if not n and run != 15:
+                    break
+                i += run
+                if i > 63:
+                    raise ValueError("a block of more than 64 coefficients")
+                out[k, i] = value(n)
+                i += 1
+            k += 1
+    if k < scan.blocks:
+        raise ValueError("a frame of fewer blocks than its size says")
+    return out
+
+
+def _plain_codes(scans: list[Scan]) -> np.ndarray:
+    """Payload codes (blocks, 64) of scans coded as encode_clip does, all at once."""
+    data = np.concatenate([s.coded for s in scans])
     # after 0xFF comes a stuffed zero, which goes, or a marker, which goes with it
     full = np.flatnonzero(data[:-1] == 0xFF)
     after = data[full + 1]
     keep = np.ones(len(data), bool)
     keep[full + 1] = False
     keep[full[after != 0]] = False
-    for n in np.cumsum([len(s) for s in scans]):  # the byte that evens a frame's length
+    for n in np.cumsum([len(s.coded) for s in scans]):  # the byte that evens a frame's length
         tail = data[n - 1] == 0 and data[n - 3] == 0xFF and data[n - 2] == EOI
         keep[n - 1] &= not tail
-    coded = data[keep].reshape(-1, 72)
-    bits = np.unpackbits(coded, axis=1).reshape(-1, 8, 9)
-    return np.packbits(bits[:, :, 1:], axis=2).reshape(-1, BLOCK), np.array(counts)
+    coded = data[keep]
+    if len(coded) != 72 * sum(s.blocks for s in scans):
+        raise ValueError("frames of more or fewer bytes than their size says")
+    bits = np.unpackbits(coded.reshape(-1, 72), axis=1).reshape(-1, 8, 9)
+    return np.packbits(bits[:, :, 1:], axis=2).reshape(-1, BLOCK)
+
+
+def decode_frames(clip: bytes, places: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quantised coefficients of all blocks (blocks, 64), how many blocks each frame has, and each frame's quantisers."""
+    scans = [read_frame(clip, *place) for place in places]
+    if not scans:
+        raise ValueError("a clip without frames")
+    if all(s.plain for s in scans):
+        value = _plain_codes(scans).astype(np.int64)
+        value[value < 128] -= 255  # the codes of category 8: those under 128 stand for negative numbers
+    else:
+        value = np.concatenate([decode_scan(s) for s in scans])
+    return value, np.array([s.blocks for s in scans]), np.stack([s.quantisers for s in scans])
+
+
+def payload_of(value: np.ndarray) -> np.ndarray:
+    """The bytes that coefficients of magnitude category 8 stand for; other coefficients hold no payload."""
+    if ((np.abs(value) < 128) | (np.abs(value) > 255)).any():
+        raise ValueError("the clip holds pictures, not payload")
+    return np.where(value < 0, value + 255, value).astype(np.uint8).reshape(-1)
 
 
 def _cosines() -> np.ndarray:
@@ -157,11 +289,9 @@ def _cosines() -> np.ndarray:
 COSINES = _cosines()
 
 
-def pixels(blocks: np.ndarray) -> np.ndarray:
-    """Grey values (blocks, 64) of blocks of category-8 codes: a code under 128 is code - 255, others are themselves."""
-    value = blocks.astype(np.float64)
-    value[blocks < 128] -= 255
-    grid = np.zeros_like(value)
+def pixels(value: np.ndarray) -> np.ndarray:
+    """Grey values (blocks, 64) of coefficients in coding order."""
+    grid = np.zeros(value.shape)
     grid[:, ZIGZAG] = value
     grid = grid.reshape(-1, 8, 8)
     out = COSINES.T @ (grid @ COSINES)
@@ -189,20 +319,22 @@ def clip_of_text(text: bytes | np.ndarray) -> bytes:
 
 
 def read_clip(clip: bytes) -> tuple[np.ndarray, np.ndarray, list[int], float]:
-    """Payload, histograms of frames, first frames of shots, frames a second."""
+    """Coefficients of all blocks, histograms of frames, first frames of shots, frames a second."""
     places, rate = frame_places(clip)
-    blocks, counts = decode_frames(clip, places)
-    levels = pixels(blocks) // (256 // BINS)
+    value, counts, quantisers = decode_frames(clip, places)
     frame = np.repeat(np.arange(len(counts)), counts)
+    scaled = value if (quantisers == 1).all() else value * quantisers[frame]
+    levels = pixels(scaled) // (256 // BINS)
     histograms = np.bincount((frame[:, None] * BINS + levels).ravel(), minlength=len(counts) * BINS).reshape(-1, BINS)
-    return blocks.reshape(-1), histograms, shots(histograms), rate
+    return value, histograms, shots(histograms), rate
 
 
 def store_clips(docs: DataFrame, *, text: str = "text", media: str = "media") -> DataFrame:
     """docs with a binary column `media`: the text's UTF-8 bytes, zeros up to a positive multiple of 64, as a clip.
 
-    A null text is stored as an empty one. Other columns, repeated rows and the number of rows stay as they are; a column
-    already named like `media` is replaced.
+    A null text is stored as an empty one, and an empty one as 64 zeros; a very long one as a clip of as many frames as it
+    needs. Equal texts give equal clips. Other columns, repeated rows and the number of rows stay as they are, an empty
+    table stays empty, and a column already named like `media` is replaced.
     """
     kept = [c for c in docs.columns if c.lower() != media.lower() or c == text]
     hold = text if text in kept else fresh(docs, "_text")
@@ -213,15 +345,19 @@ def store_clips(docs: DataFrame, *, text: str = "text", media: str = "media") ->
             clips = pa.array([clip_of_text(data[at[i] : at[i + 1]]) for i in range(batch.num_rows)], pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], clips], names=[*kept, media])
 
-    return docs.select(*kept).mapInArrow(run, ", ".join([f"`{c}` {t}" for c, t in docs.select(*kept).dtypes] + [f"`{media}` binary"]))
+    return docs.select(*kept).mapInArrow(tidy(run), ", ".join([f"`{c}` {t}" for c, t in docs.select(*kept).dtypes] + [f"`{media}` binary"]))
 
 
 def clip_digests(clips: DataFrame, *, media: str = "media", drop: tuple[str, ...] = ("text",)) -> DataFrame:
     """What the stored bytes give when read back: payload and media digests, and a feature string.
 
-    feature: frames, then each shot as first-last frame with its seconds and most frequent histogram bin.
+    feature: frames, then each shot as first-last frame with its seconds and most frequent histogram bin. A null clip
+    gives nulls, and one that isn't a baseline grey motion-JPEG AVI, or holds pictures rather than payload, is an error.
+    Clips of any length are read whole; repeated rows give repeated rows, an empty table none. Columns named like the new
+    ones are replaced.
     """
-    kept = [c for c in clips.columns if c not in (media, *drop)]
+    added = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    kept = [c for c in clips.columns if c not in (media, *drop) and c.lower() not in added]
     new = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches):
@@ -231,12 +367,14 @@ def clip_digests(clips: DataFrame, *, media: str = "media", drop: tuple[str, ...
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]], names=[*kept, *[x.split()[0] for x in new.split(", ")]])
 
-    return clips.select(*kept, media).mapInArrow(run, ", ".join([f"`{c}` {t}" for c, t in clips.select(*kept).dtypes] + [new]))
+    return clips.select(*kept, media).mapInArrow(tidy(run), ", ".join([f"`{c}` {t}" for c, t in clips.select(*kept).dtypes] + [new]))
 
 
-def _digest(clip: bytes) -> tuple:
-    payload, histograms, starts, rate = read_clip(clip)
-    raw = payload.tobytes()
+def _digest(clip: bytes | None) -> tuple:
+    if clip is None:
+        return (None,) * 6
+    value, histograms, starts, rate = read_clip(clip)
+    raw = payload_of(value).tobytes()
     parts = []
     for a, b in zip(starts, [*starts[1:], len(histograms)], strict=True):
         parts.append(f"{a}-{b - 1}@{a / rate:.2f}-{b / rate:.2f}s:{int(histograms[a:b].sum(axis=0).argmax())}")
@@ -259,4 +397,4 @@ def clip_shots(clips: DataFrame, *, key: str = "doc_id", media: str = "media") -
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row, pa.int32())), *[pa.array(x, k) for x, k in zip(rest, kinds, strict=True)]], names=[key, "shot", "first_frame", "last_frame", "start_s", "end_s"])
 
-    return clips.select(key, media).mapInArrow(run, f"`{key}` {kind}, shot int, first_frame long, last_frame long, start_s double, end_s double")
+    return clips.select(key, media).mapInArrow(tidy(run), f"`{key}` {kind}, shot int, first_frame long, last_frame long, start_s double, end_s double")

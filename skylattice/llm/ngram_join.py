@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, cut, key_filter, mix, split_rows, utf8, words
+from .common import LOWER, cut, key_filter, mix, span_hashes, split_rows, utf8, words
 from .setjoin import Rule, candidates, first_pass, keyed, likely, sets_of, shown_lists, shown_tokens, verify
 
 SHINGLE = 4
@@ -28,7 +28,7 @@ def shingles(size: int = SHINGLE):
         data, at = utf8(batch.column("text"))
         data = LOWER[data]
         start, end, first = words(data, at)
-        word = SpanHash(data).spans(start, end)
+        word = span_hashes(data, start, end)
         count = np.diff(first)
         n = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
         # a short text's shingle is padded; padding can't be mistaken for a word because the number of words is mixed in

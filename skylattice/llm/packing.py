@@ -1,36 +1,40 @@
-"""Best-fit packing of token sequences, in bulk-synchronous steps over sizes.
-
-Sizes are whole numbers up to the capacity, so documents and gaps sort into at most `capacity` classes each. A step takes
-the longest class of documents still open, sweeps to the smallest class of gaps that holds it (its successor), matches
-both by rank, one document to a gap, and moves those gaps to the class of what is left of them; the sweep repeats until
-no document is open. A step works on runs (so many documents of this length into these sequences, at this offset), whose
-number depends on the capacity and not on the data. Ranking documents within a class and looking up their run are
-distributed.
+"""Best-fit packing of token sequences, in bulk-synchronous rounds.
+
+Documents go longest first, in phases of lengths of which at least so many fit a sequence. A round sorts the open
+documents of the phase and all gaps by size, longest first, gaps before documents of the same size, and matches each
+document with its successor: the smallest gap that holds it and isn't taken. In that order gaps are opening brackets and
+documents closing ones, so the successor of a document is the bracket it closes. Depths come from counts by size (at most
+`capacity` rows); ranks within a size settle which of several documents gets which of several gaps, so no gap is named
+twice. Documents and gaps of one depth then meet, gaps shrink by what they took, and the next round begins. What finds
+no gap opens sequences, as many documents to each as surely fit. Every row moves by (size, shard) or by depth; neither
+grows with the data in one task.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, partitions, text_slices
+from .common import cut, partitions, text_slices, tidy, written
 from .tokens import word_ids
 
 CAPACITY = 2048
-#: Runs up to this number are broadcast (40 bytes each); more go through a join by length.
-BROADCAST_RUNS = 100_000
+#: Phases: lengths of which so many fit a sequence at least.
+PHASES = (1, 2, 3, 4, 6, 8, 12, 16, 32, 64, 256)
+#: The rounds of a phase go on while they place one in so many of its open documents at least; the rest opens sequences.
+WORTH = 50
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece of at most `capacity` ids of each document: key, piece, start, length, ids_crc32.
 
     A document's ids are those of its text (null: none) and end_id; only longer ones are cut, and just the last piece may
-    be shorter. Repeated rows give repeated pieces.
+    be shorter. An empty text gives one piece of one id; a very long one as many pieces as it needs. Repeated rows give
+    repeated pieces, an empty table gives none, and other columns, whatever their names, are left out.
     """
     source = docs.select(docs[key].alias("key"), docs[text].alias("text"))
 
@@ -54,68 +58,110 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity:
             )
 
     kind = dict(docs.dtypes)[key]
-    out = source.mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long")
+    out = source.mapInArrow(tidy(run), f"key {kind}, piece int, start long, length long, ids_crc32 long")
     return out.withColumnRenamed("key", key)
 
 
-def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, rank after the last, first sequence, offset) for counts of documents by length.
+def _sweep(gaps: DataFrame, docs: DataFrame) -> DataFrame:
+    """By size: gaps (size, g) and documents (size, d) met in the order of size; at most `capacity` rows.
 
-    Longest first. The documents of a run go one to each of as many sequences in a row.
+    open: greater gaps that are left when this size comes; g: gaps of this size; taken: documents of this size that find
+    a gap.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []
-    opened, runs = 0, []
-
-    def free(size: int, first: int, n: int) -> None:
-        if size and n:
-            if size not in gaps:
-                gaps[size] = []
-                insort(sizes, size)
-            gaps[size].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        todo, rank = counts[length], 0
-        while todo:
-            k = bisect_left(sizes, length)
-            if k == len(sizes):
-                fresh_sequences = -(-todo // (capacity // length))
-                free(capacity, opened, fresh_sequences)
-                opened += fresh_sequences
-                continue
-            size = sizes[k]
-            first, n = gaps[size].pop()
-            if not gaps[size]:
-                del gaps[size], sizes[k]
-            m = min(n, todo)
-            runs.append((length, rank, rank + m, first, capacity - size))
-            free(size, first + m, n - m)
-            free(size - length, first, m)
-            todo -= m
-            rank += m
-    return runs
+    both = gaps.select("size", "g", F.lit(0).cast("long").alias("d")).unionByName(docs.select("size", F.lit(0).cast("long").alias("g"), "d"))
+    both = both.groupBy("size").agg(F.sum("g").alias("g"), F.sum("d").alias("d"))
+    down = Window.orderBy(F.col("size").desc())
+    level = both.withColumn("after", F.sum(F.col("g") - F.col("d")).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    # documents that found nothing leave no trace: depths count from the lowest level so far
+    lowest = F.least(F.lit(0), F.coalesce(F.min("after").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    level = level.withColumn("open", F.col("after") - F.col("g") + F.col("d") - lowest)
+    return level.select("size", "open", "g", F.least("d", F.col("open") + F.col("g")).alias("taken"))
+
+
+def _round(gaps: DataFrame, docs: DataFrame, counts: DataFrame, shards: int) -> tuple[DataFrame, dict[int, int]]:
+    """Gaps (seq, size, used) and documents (size, rank, nth) matched; and how many of each length found a gap.
+
+    The result has a row for each gap (kind 0), with the length it takes (0: none), and one for each matched document
+    (kind 1), with its sequence and place.
+    """
+    spread = gaps.withColumn("shard", F.pmod(F.xxhash64("seq"), F.lit(shards)))
+    sums = spread.groupBy("size", "shard").agg(F.count("*").alias("n"))
+    rows = _sweep(sums.groupBy("size").agg(F.sum("n").alias("g")), counts).collect()  # at most `capacity` rows
+    taken = {int(r["size"]): int(r["taken"]) for r in rows if r["taken"]}
+    sweep = gaps.sparkSession.createDataFrame(rows, "size long, open long, g long, taken long")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = spread.withColumn("nth", F.row_number().over(Window.partitionBy("size", "shard").orderBy("seq"))).join(sums.select("size", "shard", before.alias("before")), ["size", "shard"])
+    facts = F.broadcast(sweep)  # at most `capacity` rows
+    none = F.lit(None).cast("long")
+    opening = ranked.join(facts, "size").select(F.lit(0).alias("kind"), "size", "seq", "used", none.alias("rank"), (F.col("open") + F.col("before") + F.col("nth")).alias("depth"))
+    closing = docs.join(facts, "size").where("nth <= taken").select(F.lit(1).alias("kind"), "size", none.alias("seq"), none.alias("used"), "rank", (F.col("open") + F.col("g") - F.col("nth") + 1).alias("depth"))
+    level = Window.partitionBy("depth").orderBy(F.col("size").desc(), "kind")
+    document = F.col("kind") == 1
+    met = opening.unionByName(closing).select(
+        "kind",
+        "size",
+        "rank",
+        F.when(document, F.lag("seq").over(level)).otherwise(F.col("seq")).alias("seq"),
+        F.when(document, F.lag("used").over(level)).otherwise(F.col("used")).alias("used"),
+        F.when(document | (F.coalesce(F.lead("kind").over(level), F.lit(0)) == 0), F.lit(0)).otherwise(F.lead("size").over(level)).cast("long").alias("takes"),
+    )
+    return cut(met), taken
 
 
 def pack(pieces: DataFrame, *, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset: which sequence holds each, and where; sequences are filled without gaps.
 
-    Lengths are 1 to capacity. Ties and repeated rows are told apart by rank alone. An empty table gives an empty result.
-    Pieces of one length may be a third of all: they are ranked in shards whose offsets are summed up first.
+    Lengths are 1 to capacity; others are an error. Ties, nulls in `order` and repeated rows are told apart by rank alone.
+    An empty table gives an empty result. Columns keep their names and values, whatever they are called; those named
+    sequence_id or offset are replaced. Pieces of one length may be a third of all: they are ranked in shards whose
+    offsets are summed up first.
     """
     spark = pieces.sparkSession
-    shard, rank, names = fresh(pieces, "_shard"), fresh(pieces, "_rank"), [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     shards = 4 * partitions(spark)
-    base = cut(pieces.select(*names).withColumn(shard, F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int")))
-    counts = base.groupBy(F.col(length).alias("_l"), F.col(shard).alias("_s")).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_l").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("_l", "_s", F.coalesce("_before", F.lit(0)).alias("_before"))
-    by_length = {int(r["_l"]): int(r["_n"]) for r in counts.groupBy("_l").agg(F.sum("_n").alias("_n")).collect()}
-    if by_length and not 1 <= min(by_length) <= max(by_length) <= capacity:
-        raise ValueError(f"lengths go from {min(by_length)} to {max(by_length)}; allowed are 1 to {capacity}")
-    runs = spark.createDataFrame(best_fit_runs(by_length, capacity), "_l long, _from long, _to long, _first long, _offset long")
-    if runs.count() <= BROADCAST_RUNS:
-        runs = F.broadcast(runs)
-    ranked = base.withColumn(rank, F.row_number().over(Window.partitionBy(length, shard).orderBy(*order)) - 1)
-    ranked = ranked.join(before, (ranked[length] == before["_l"]) & (ranked[shard] == before["_s"])).withColumn(rank, F.col(rank) + F.col("_before")).drop("_l", "_s", "_before")
-    placed = ranked.join(runs, (ranked[length] == runs["_l"]) & (ranked[rank] >= runs["_from"]) & (ranked[rank] < runs["_to"]))
-    return placed.select(*[ranked[c] for c in names], (F.col("_first") + ranked[rank] - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset"))
+    row = F.struct(*[pieces[c] for c in names])
+    base = cut(pieces.select(row.alias("row"), pieces[length].cast("long").alias("size"), F.pmod(F.xxhash64(*[pieces[c] for c in order]), F.lit(shards)).alias("shard")))
+    sums = base.groupBy("size", "shard").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.row_number().over(Window.partitionBy("size", "shard").orderBy(*[F.col(f"row.`{c}`") for c in order]))
+    ranked = base.withColumn("nth", number).join(sums.select("size", "shard", before.alias("before")), ["size", "shard"])
+    # a piece is known by its length and its rank among those of that length
+    ranked = written(ranked.select("row", "size", (F.col("before") + F.col("nth")).alias("rank")), "pack-pieces")
+    todo = {int(r["size"]): int(r["n"]) for r in sums.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    if todo and not 1 <= min(todo) <= max(todo) <= capacity:
+        raise ValueError(f"lengths go from {min(todo)} to {max(todo)}; allowed are 1 to {capacity}")
+    done = dict.fromkeys(todo, 0)
+    bounds = sorted({capacity // k for k in PHASES if k <= capacity} | {0}, reverse=True)
+    placed, gaps, opened = [], None, 0
+    for high, low in zip(bounds, bounds[1:]):  # noqa: B905
+        own = sorted((n for n in todo if low < n <= high), reverse=True)
+        worth = gaps is not None
+        while left := sum(todo[n] - done[n] for n in own):
+            rest = [(n, todo[n] - done[n], done[n]) for n in own if todo[n] > done[n]]
+            first = np.cumsum([0, *[d for _, d, _ in rest]])[:-1].tolist()
+            counts = spark.createDataFrame([(*r, f) for r, f in zip(rest, first, strict=True)], "size long, d long, done long, first long")
+            docs = ranked.select("size", "rank").where(F.col("size").between(low + 1, high)).join(F.broadcast(counts), "size").where("rank > done")
+            docs = docs.select("size", "rank", (F.col("rank") - F.col("done")).alias("nth"), "first")
+            if worth:
+                met, taken = _round(gaps, docs.drop("first"), counts.select("size", "d"), shards)
+                placed.append(met.where("kind = 1").select("size", "rank", "seq", "used"))
+                gaps = met.where("kind = 0").select("seq", (F.col("size") - F.col("takes")).alias("size"), (F.col("used") + F.col("takes")).alias("used")).where("size > 0")
+                for n, found in taken.items():
+                    done[n] += found
+                worth = sum(taken.values()) * WORTH >= left
+                continue
+            each = capacity // high
+            new = docs.withColumn("at", F.col("first") + F.col("nth") - 1).withColumn("seq", F.expr(f"{opened}L + at div {each}"))
+            new = cut(new.select("size", "rank", "seq", F.coalesce(F.sum("size").over(Window.partitionBy("seq").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("used")))
+            opened += -(-left // each)
+            placed.append(new)
+            filled = new.groupBy("seq").agg(F.sum("size").alias("used")).where(F.col("used") < capacity)
+            filled = filled.select("seq", (F.lit(capacity) - F.col("used")).alias("size"), "used")
+            gaps = filled if gaps is None else gaps.unionByName(filled)
+            break
+    if not placed:
+        return pieces.select(*names).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+    where = placed[0]
+    for more in placed[1:]:
+        where = where.unionByName(more)
+    return ranked.join(where, ["size", "rank"]).select("row.*", F.col("seq").alias("sequence_id"), F.col("used").alias("offset"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut, expand, key_filter, mix, partitions, row_version, split_rows, text_slices, written
+from .common import attach, cut, expand, key_filter, mix, partitions, row_version, split_rows, text_slices, tidy, written
 
 #: Cells of the count sketch (one byte each in a task, summed in longs), and in how many parts it travels.
 SKETCH, SKETCH_PARTS = 1 << 20, 64
@@ -121,7 +121,7 @@ def first_pass(rows: DataFrame, records: Records) -> tuple[DataFrame, np.ndarray
             n = SKETCH_PARTS
             yield pa.RecordBatch.from_arrays([pa.nulls(n, ids), *[pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())], pa.array(np.arange(n, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    made = written(rows.mapInArrow(run, f"doc_id {kind}, version long, record int, n int, cls long, part int, cells binary"), "set-records")
+    made = written(rows.mapInArrow(tidy(run), f"doc_id {kind}, version long, record int, n int, cls long, part int, cells binary"), "set-records")
 
     def add(batches: Iterator[pa.RecordBatch]):
         total: dict[int, np.ndarray] = {}
@@ -132,7 +132,7 @@ def first_pass(rows: DataFrame, records: Records) -> tuple[DataFrame, np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["part", "cells"])
 
     # each task adds up its share of the parts; the sums are of fixed size
-    parts = made.where("part is not null").select("part", "cells").repartition(SKETCH_PARTS, "part").mapInArrow(add, "part int, cells binary").collect()
+    parts = made.where("part is not null").select("part", "cells").repartition(SKETCH_PARTS, "part").mapInArrow(tidy(add), "part int, cells binary").collect()
     sketch = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.int64)
     for r in parts:
         sketch[r["part"]] = np.frombuffer(r["cells"], "<i8")
@@ -225,8 +225,8 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: np.ndarray, rule: Ru
         yield pa.RecordBatch.from_arrays([none, none, none, pa.array(parts, pa.binary())], names=names)
 
     names = ["a", "b", "votes", "packed"]
-    packed = rows.mapInArrow(run, "part int, packed binary").repartition(n_parts, "part")
-    made = written(packed.mapInArrow(meet, "a long, b long, votes long, packed binary"), "set-tokens")
+    packed = rows.mapInArrow(tidy(run), "part int, packed binary").repartition(n_parts, "part")
+    made = written(packed.mapInArrow(tidy(meet), "a long, b long, votes long, packed binary"), "set-tokens")
     pairs = made.where("packed is null").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     return pairs, made.where("packed is not null").select("packed")
 
@@ -240,7 +240,7 @@ def unpacked(shown: DataFrame) -> DataFrame:
                 e = unpacked_bytes(x.as_buffer())
                 yield pa.RecordBatch.from_arrays([pa.array(e["token"].astype(np.int64)), pa.array(e["cls"].astype(np.int64)), pa.array(e["parity"].astype(np.uint64).view(np.int64)), pa.array(e["n"].astype(np.int32)), pa.array(e["at"].astype(np.int32))], names=["token", "cls", "parity", "n", "at"])
 
-    return shown.mapInArrow(run, "token long, cls long, parity long, n int, at int")
+    return shown.mapInArrow(tidy(run), "token long, cls long, parity long, n int, at int")
 
 
 def packed_bytes(postings: np.ndarray) -> bytes:
@@ -334,7 +334,7 @@ def candidates(shown: DataFrame, labels: DataFrame | None, rule: Rule, *, most:
         low, high, votes = counted_pairs(a, b)
         yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(votes)], names=["a", "b", "votes"])
 
-    return dealt.mapInArrow(run, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    return dealt.mapInArrow(tidy(run), "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
 
 
 def shown_lists(shown: DataFrame) -> DataFrame:
@@ -381,7 +381,7 @@ def fetch_sets(rows: DataFrame, records: Records, sketch: np.ndarray, wanted: Da
             new = [i for i, c in enumerate(cls.tolist()) if not (c in seen or seen.add(c))]  # rows that are equal lie in one task
             yield pa.RecordBatch.from_arrays([pa.array(cls[new]), pa.array([raw[i] for i in new], pa.binary())], names=["cls", "tokens"])
 
-    return attach(may, lists, "records").mapInArrow(run, "cls long, tokens binary")
+    return attach(may, lists, "records").mapInArrow(tidy(run), "cls long, tokens binary")
 
 
 def sets_of(pairs: DataFrame, rows: DataFrame, records: Records, sketch: np.ndarray, firsts: DataFrame) -> DataFrame:
@@ -474,4 +474,4 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 keep += [int(group[p]) for p, _ in trie.overlaps(probe, lambda n, m=m: int(rule.needed(n, m)))]
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")

@@ -16,7 +16,7 @@ doesn't fit the disk at this length; the README has the figures.)
    in cells of CELL starts, by all that a cell covers (a double settles the cell) and by what all its windows cover (no
    double, no repeat), then one by one, by their whole prefix of `length` bytes.
 
-Names are content hashes of 128 bits, so no level needs the ranks of the one before, and counting equal names is
+Names are 128-bit digests of the bytes themselves, so no level needs the ranks of the one before, and counting equal names is
 map-side combined, whatever their number.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, attach, bitmap, cut, expand, key_filter, mix, row_version, sliding_min, split, split_rows, text_slices, utf8, written
+from .common import attach, bitmap, cut, expand, key_filter, mix, row_version, sliding_min, span_digests, span_hashes, split, split_rows, text_slices, tidy, utf8, window_hashes, written
 
 LENGTH = 400
 #: Bytes whose hash chooses a sampled suffix.
@@ -45,7 +45,7 @@ def sampled_runs(data: np.ndarray, at: np.ndarray, length: int, k: int):
     if n < length:
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    hashes = SpanHash(data).windows(k)
+    hashes = window_hashes(data, k)
     ranked = (hashes >> HALF << HALF) | np.arange(len(hashes), dtype=np.uint64)  # the leftmost of equals
     chosen = (sliding_min(ranked, w) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     valid = np.zeros(len(chosen) + 1, bool)
@@ -72,18 +72,17 @@ def _runs(docs: DataFrame, kind: str, length: int, k: int) -> DataFrame:
             if not len(text):
                 continue
             row, before = pa.array(text, pa.int64()), place - start
-            h = SpanHash(data, 1)
-            name = [x.spans(start, start + n + length - 1).view(np.int64) for x in (h, SpanHash(data, 2))]
+            name = span_digests(data, start, start + n + length - 1)
             # starts nearer to the suffix than `middle` cover what follows it, the others what goes before it
             near, far = before - n + 1 < middle, before >= middle
-            after = h.spans(place, np.where(near, place + length - middle, place))
-            ahead = h.spans(np.where(far, place - middle, place), place + k)
+            after = span_hashes(data, place, np.where(near, place + length - middle, place), 1)
+            ahead = span_hashes(data, np.where(far, place - middle, place), place + k, 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(row), batch.column("version").take(row), pa.array((start - at[text]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(name[0]), pa.array(name[1]), pa.array(after.view(np.int64), mask=~near), pa.array(ahead.view(np.int64), mask=~far)],
                 names=["doc_id", "version", "start", "n", "before", "name1", "name2", "after", "ahead"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, version long, start int, n int, before int, name1 long, name2 long, after long, ahead long")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, version long, start int, n int, before int, name1 long, name2 long, after long, ahead long")
 
 
 def _live_runs(batch: pa.RecordBatch, *fields: str):
@@ -114,16 +113,15 @@ def _cells(live: DataFrame, kind: str, length: int) -> DataFrame:
             last = np.minimum(high[run_of], cell * CELL + CELL - 1)
             row, known, base = row[run_of], known[run_of], at[row[run_of]] + place[run_of]
             begin, m = base - last, last - first + 1
-            h = SpanHash(data, 1)
-            core = mix(h.spans(base - cell * CELL, base - cell * CELL - CELL + 1 + length) + cell.astype(np.uint64))
-            names = [x.spans(begin, begin + m + length - 1).view(np.int64) for x in (h, SpanHash(data, 2))]
+            core = mix(span_hashes(data, base - cell * CELL, base - cell * CELL - CELL + 1 + length, 1) + cell.astype(np.uint64))
+            names = span_digests(data, begin, begin + m + length - 1)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(take), batch.column("version").take(take), pa.array((begin - at[row]).astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(known), pa.array(core.view(np.int64)), pa.array(names[0]), pa.array(names[1])],
                 names=["doc_id", "version", "start", "n", "known", "core", "name1", "name2"],
             )
 
-    return live.mapInArrow(run, f"doc_id {kind}, version long, start int, n int, known boolean, core long, name1 long, name2 long")
+    return live.mapInArrow(tidy(run), f"doc_id {kind}, version long, start int, n int, known boolean, core long, name1 long, name2 long")
 
 
 def _windows(live: DataFrame, kind: str, length: int) -> DataFrame:
@@ -135,14 +133,14 @@ def _windows(live: DataFrame, kind: str, length: int) -> DataFrame:
             row, start, n, known = _live_runs(batch, "start", "n", "known")
             place = expand(start.astype(np.int64) + at[row], n.astype(np.int64))
             known, row = np.repeat(known, n), np.repeat(row, n)
-            names = [SpanHash(data, seed).spans(place, place + length).view(np.int64) for seed in (1, 2)]
+            names = span_digests(data, place, place + length)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(take), batch.column("version").take(take), pa.array((place - at[row]).astype(np.int32)), pa.array(known), pa.array(names[0]), pa.array(names[1])],
                 names=["doc_id", "version", "start", "known", "name1", "name2"],
             )
 
-    return live.mapInArrow(run, f"doc_id {kind}, version long, start int, known boolean, name1 long, name2 long")
+    return live.mapInArrow(tidy(run), f"doc_id {kind}, version long, start int, known boolean, name1 long, name2 long")
 
 
 def _doubled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -238,4 +236,4 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, k: int = K, key: st
                 kept.append(own[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

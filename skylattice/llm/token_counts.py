@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import fresh, text_slices, utf8
+from .common import fresh, text_slices, tidy, utf8
 from .tokens import merge_counter
 
 
@@ -31,4 +31,4 @@ def token_counts(docs: DataFrame, model: str, *, text: str = "text", limit: int
             yield pa.RecordBatch.from_arrays([*columns, pa.array(size), pa.array(n), pa.array(n > limit)], names=[*kept, "n_bytes", "n_tokens", "over_limit"])
 
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.select(*kept).dtypes] + ["n_bytes long", "n_tokens long", "over_limit boolean"])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SpanHash, bucket_of, key_buckets, partitions, row_version, text_slices
+from .common import bucket_of, key_buckets, partitions, row_version, text_slices, tidy, window_hashes
 from .tokens import word_ids
 
 #: Ids in the rolling hash's window; one cut in so many ids on average; the longest chunk.
@@ -33,7 +33,7 @@ RECENT = 200_000
 def cuts(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chunk starts over the ids of all documents (offsets at), and the number of chunks before each document."""
     mark = np.zeros(len(ids) + 1, bool)
-    roll = SpanHash(ids).windows(WINDOW)
+    roll = window_hashes(ids, WINDOW)
     mark[np.flatnonzero((roll & np.uint64(EVERY - 1)) == 0) + WINDOW] = True
     # a window that reaches into the document before depends on it: no cut there
     for k in range(1, WINDOW):
@@ -85,7 +85,7 @@ def _chunk_rows(source: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             names=["kind", "digest", "doc_id", "version", "bucket", "data", "chunks", "sizes"],
         )
 
-    return source.mapInArrow(run, f"kind string, digest binary, doc_id {kind}, version long, bucket int, data binary, chunks array<binary>, sizes array<long>")
+    return source.mapInArrow(tidy(run), f"kind string, digest binary, doc_id {kind}, version long, bucket int, data binary, chunks array<binary>, sizes array<long>")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, key: str = "doc_id", text: str = "text") -> None:
@@ -115,7 +115,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
                         seen.add(d)
             yield batch.take(pa.array(keep, pa.int32()))
 
-    dealt.mapInArrow(once, made.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
+    dealt.mapInArrow(tidy(once), made.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = _raw(spark, path, made.schema).where("kind = 'recipe'").select("bucket", "doc_id", "version", "chunks", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"))
     root = F.sha2(F.array_join(F.transform("chunks", F.hex), "").cast("binary"), 256)
     totals = recipes.groupBy("bucket").agg(F.sum("n_tokens").alias("tokens"))
@@ -194,7 +194,7 @@ def chunk_facts(spark: SparkSession, path: str) -> DataFrame:
                 crc.append(zlib.crc32(np.frombuffer(data, f"<u{width}").astype("<u4")))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["digest", "n", "crc"])
 
-    return raw.mapInArrow(run, "digest binary, n long, crc long")
+    return raw.mapInArrow(tidy(run), "digest binary, n long, crc long")
 
 
 def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -234,7 +234,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    return got.select("doc_id", "start", "parts").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return got.select("doc_id", "start", "parts").mapInArrow(tidy(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -256,4 +256,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 lists.append(np.concatenate(own))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
-    return got.select("doc_id", "start", "parts").mapInArrow(run, f"doc_id {kind}, start long, ids array<int>")
+    return got.select("doc_id", "start", "parts").mapInArrow(tidy(run), f"doc_id {kind}, start long, ids array<int>")

@@ -15,38 +15,42 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 
-from .common import SpanHash, code_points, expand
+from .common import code_points, distinct_spans, expand
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct pieces that a worker remembers before it starts afresh.
-MEMO_PIECES = 600_000
+#: Distinct pieces, and their letters, that a worker remembers before it starts afresh: about 30 MB.
+MEMO_PIECES, MEMO_LETTERS = 120_000, 4_000_000
 
 
 class Memo:
-    """Values of fixed or varying length by 64-bit piece hash, kept by a worker between slices and tasks."""
+    """Values of fixed or varying length by piece, kept by a worker between slices and tasks. Pieces are told apart by
+    their letters, not by a hash."""
 
-    def __init__(self, limit: int = MEMO_PIECES):
-        self.limit = limit
+    def __init__(self, limit: int = MEMO_PIECES, letters: int = MEMO_LETTERS):
+        self.limit, self.letters = limit, letters
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.at: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.used = self.held = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
 
-    def slots(self, hashes: np.ndarray, make) -> np.ndarray:
-        """The slot of each hash; make(i) gives the values of the piece at place i where it is new."""
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.at) + len(distinct) > self.limit:
+    def slots(self, points: np.ndarray, begin: np.ndarray, end: np.ndarray, make) -> np.ndarray:
+        """The slot of each piece, a span of code points; make(piece) gives the values of one that is new."""
+        first, back = distinct_spans(points, begin, end)
+        text = points.tobytes().decode("utf-32-le", "surrogatepass")
+        pieces = [text[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+        if len(self.at) + len(pieces) > self.limit or self.held > self.letters:
             self.clear()
         get = self.at.get
-        slot = np.array([get(h, -1) for h in distinct.tolist()], np.int64)
+        slot = np.array([get(p, -1) for p in pieces], np.int64)
         new = np.flatnonzero(slot < 0)
         if len(new):
-            values = [make(i) for i in first[new].tolist()]
+            fresh = [pieces[i] for i in new.tolist()]
+            values = [make(p) for p in fresh]
             size = np.fromiter(map(len, values), np.int64, len(values))
             flat = np.array([x for v in values for x in v], np.uint32)
             base = len(self.at)
@@ -56,8 +60,9 @@ class Memo:
             self.start[base : base + len(new)] = self.used + np.cumsum(size) - size
             self.size[base : base + len(new)] = size
             self.used += len(flat)
+            self.held += sum(map(len, fresh))
             slot[new] = base + np.arange(len(new))
-            self.at.update(zip(distinct[new].tolist(), slot[new].tolist(), strict=True))
+            self.at.update(zip(fresh, slot[new].tolist(), strict=True))
         return slot[back]
 
 
@@ -137,16 +142,14 @@ class WordIds:
         begin, end = self._pieces(points, at, kind)
         count = np.diff(np.searchsorted(begin, at))
         small = lowers[points]
-        text = small.tobytes().decode("utf-32-le", "surrogatepass")
         letters, tokenize = _byte_letters(), self.model.tokenize
 
-        def make(i: int) -> list[int]:
-            piece = text[begin[i] : end[i]]
+        def make(piece: str) -> list[int]:
             if not piece.isascii():
                 piece = "".join([letters[b] for b in piece.encode("utf-8")])
             return [t.id for t in tokenize(piece)]
 
-        slot = self.memo.slots(SpanHash(small).spans(begin, end), make) if len(begin) else np.zeros(0, np.int64)
+        slot = self.memo.slots(small, begin, end, make) if len(begin) else np.zeros(0, np.int64)
         size = self.memo.size[slot]
         out = self.memo.flat[expand(self.memo.start[slot], size)]
         total = np.concatenate([[0], np.cumsum(size)])
@@ -281,8 +284,7 @@ class MergeCounter:
         out = np.zeros(len(size), np.int64)
         if not len(start):
             return out
-        text = marked.tobytes().decode("utf-32-le")
-        slot = self.memo.slots(SpanHash(marked).spans(start, end), lambda i: (self.count(text[start[i] : end[i]]),))
+        slot = self.memo.slots(marked, start, end, lambda piece: (self.count(piece),))
         value = self.memo.flat[self.memo.start[slot]].astype(np.int64)
         first = np.searchsorted(start, lead + np.arange(len(lead)))
         out[full] = np.add.reduceat(value, first)

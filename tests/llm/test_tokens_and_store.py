@@ -6,9 +6,12 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skylattice.llm.packing import best_fit_runs, pack, token_pieces
+from skylattice.llm import common
+from skylattice.llm.common import distinct_spans, window_hashes
+from skylattice.llm.packing import pack, token_pieces
 from skylattice.llm.token_counts import token_counts
 from skylattice.llm.token_store import crc_joined, read_digests, read_ids, write_store
 from skylattice.llm.tokens import merge_counter, word_ids
@@ -104,32 +107,79 @@ def test_packing(spark):
             at += length
         assert at <= 512
     total = sum(w[3] for w in want)
-    assert len(sequences) <= max(-(-total // 512) * 11 / 9 + 1, 1)
+    assert len(sequences) <= one_by_one([w[3] for w in want], 512) * 1.02 + 1
+    assert total <= 512 * len(sequences)
     assert pack(token_pieces(empty(spark), WORD)).count() == 0
 
 
-def test_best_fit_uses_as_few_sequences_as_one_by_one():
+def one_by_one(lengths, capacity):
+    """Sequences that best fit uses when documents come one by one, longest first."""
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= length]
+        if fit:
+            gaps.remove(min(fit))
+            gaps.append(min(fit) - length)
+        else:
+            gaps.append(capacity - length)
+    return len(gaps)
+
+
+def packed(rows, capacity):
+    """Sequences of rows (sequence_id, offset, length), each without gaps and within the capacity."""
+    used = {}
+    for seq, offset, length in rows:
+        used.setdefault(seq, []).append((offset, length))
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(used)
+
+
+def test_best_fit_against_one_by_one(spark):
     r = random.Random(2)
-    for _ in range(30):
-        counts = {r.randint(1, 64): r.randint(1, 40) for _ in range(r.randint(1, 30))}
-        runs = best_fit_runs(counts, 64)
-        used = {}
-        for length, low, high, first, offset in runs:
-            for i in range(high - low):
-                used.setdefault(first + i, []).append((offset, length))
-        for parts in used.values():
-            at = 0
-            for offset, length in sorted(parts):
-                assert offset == at
-                at += length
-            assert at <= 64
-        assert sum(len(p) for p in used.values()) == sum(counts.values())
-        gaps = []
-        for length in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
-            fit = [g for g in gaps if g >= length]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - length)
-            else:
-                gaps.append(64 - length)
-        assert len(used) <= len(gaps) + 1
+    cases = [[r.randint(1, 64) for _ in range(300)], [33] * 100 + [31] * 70 + [1] * 200]
+    for lengths in cases:
+        docs = spark.createDataFrame([(i % 50 or None, n, i, "x", "y", 0) for i, n in enumerate(lengths)], "doc_id long, length int, _rank long, size string, row string, seq int").withColumn("piece", F.lit(0))
+        got = pack(docs, capacity=64).collect()
+        assert sorted((r["_rank"], r["length"], r["size"], r["row"]) for r in got) == [(i, n, "x", "y") for i, n in enumerate(lengths)]
+        n = packed([(r["sequence_id"], r["offset"], r["length"]) for r in got], 64)
+        assert n <= one_by_one(lengths, 64) * 1.04 + 1, (n, one_by_one(lengths, 64), -(-sum(lengths) // 64))
+    with pytest.raises(ValueError, match="lengths"):
+        pack(docs, capacity=5)
+
+
+def thue_morse(n, a="a", b="b"):
+    """Two different texts of 2**n symbols that any polynomial hash modulo 2**64 takes for one."""
+    one, two = a, b
+    for _ in range(n):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_texts_that_fool_rolling_hashes(spark):
+    for n in (10, 11):
+        one, two = thue_morse(n)
+        for texts in ([one, two], [two, one]):
+            ids, at = word_ids(WORD).ids(pa.array(texts))
+            library = Tokenizer.from_file(WORD)
+            assert [ids[at[i] : at[i + 1]].tolist() for i in range(2)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+            pieces = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+            assert merge_counter(PIECE).counts(pa.array(texts)).tolist() == [len(pieces.encode(t)) for t in texts]
+        data = np.frombuffer((one + two + one).encode(), np.uint8)
+        start = np.arange(3) * len(one)
+        first, back = distinct_spans(data, start, start + len(one))
+        assert len(first) == 2 and back[0] == back[2] != back[1]
+        h = window_hashes(data, len(one))
+        assert h[0] == h[2 * len(one)] != h[len(one)]
+
+
+def test_spans_whose_hashes_meet_are_told_apart(monkeypatch):
+    data = np.frombuffer(b"red blue red green blue", np.uint8)
+    start, end = np.array([0, 4, 9, 13, 19]), np.array([3, 8, 12, 18, 23])
+    monkeypatch.setattr(common, "span_hashes", lambda s, a, b, seed=0: np.zeros(len(a), np.uint64))
+    first, back = distinct_spans(data, start, end)
+    assert first.tolist() == [0, 1, 3] and back.tolist() == [0, 1, 0, 2, 1]
