@@ -265,8 +265,17 @@ def let_go() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Rows and bytes of an Arrow batch on its way to a worker: texts can be long, and the JVM keeps buffers as large as the
+#: largest batch that it has sent.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
 def tidy(run):
-    """A task function for mapInArrow that gives its memory back when it ends."""
+    """A task function for mapInArrow that gets its rows in small batches and gives its memory back when it ends."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def wrapped(batches):
         try:
