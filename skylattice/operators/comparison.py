@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.robust import sigma_floor
+from skylattice.operators.shared import numbered
 
 
 def magnitude_bin(mag: Column, width: float = 0.5) -> Column:
@@ -112,7 +113,9 @@ def ensemble_head(rows: DataFrame, group: str, order: list[Column], value: str,
 def stress_sample(rows: DataFrame, *, frac: float, seed: int, least_stars: int = 3, least_points: int = 3) -> DataFrame:
     """Relative rms over a seeded sample of frames: the share frac of lowest hash, of frames with enough stars."""
     frames = rows.groupBy("frame_id").agg(F.count("flux").alias("_s")).where(F.col("_s") >= least_stars)
-    frames = frames.withColumn("_q", F.percent_rank().over(Window.orderBy(F.xxhash64("frame_id", F.lit(seed))))).where(F.col("_q") <= frac).select("frame_id")
+    frames = numbered(frames.withColumn("_h", F.xxhash64("frame_id", F.lit(seed))), "_k", ["_h", "frame_id"])
+    size = frames.agg(F.greatest(F.lit(1), F.ceil(F.lit(frac) * F.count("*"))).alias("_most"))
+    frames = frames.crossJoin(F.broadcast(size)).where(F.col("_k") <= F.col("_most")).select("frame_id")
     t = rows.join(frames, "frame_id", "left_semi").withColumn("rel", F.col("flux") / F.median("flux").over(Window.partitionBy("frame_id")))
     return relative_rms(t).where(F.col("n") >= least_points)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.operators.shared import numbered
 from skylattice.functions.robust import sigma_floor
 
 TARGET_FRAME = ["target_id", "frame_id"]
@@ -94,13 +95,14 @@ def summary(curve: DataFrame, key: str = "target_id") -> DataFrame:
 
 def frame_order(rows: DataFrame) -> DataFrame:
     """rows with frame_seq: the place of the frame in the order of frame names."""
-    frames = rows.select("frame_id").distinct().withColumn("frame_seq", F.row_number().over(Window.orderBy("frame_id")))
-    return rows.join(F.broadcast(frames), "frame_id")
+    return rows.join(numbered(rows.select("frame_id").distinct(), "frame_seq", ["frame_id"]), "frame_id")
 
 
 def star_frame_grid(rows: DataFrame) -> DataFrame:
-    """A row for every star and frame, measured or not."""
-    grid = rows.select("catalog_id").distinct().crossJoin(F.broadcast(rows.select("frame_id").distinct()))
+    """A row for every star and frame, measured or not: the matrix of one night, whose frames must fit in one task. Use it
+    to export; the statistics here work on the rows there are."""
+    frames = rows.agg(F.array_sort(F.collect_set("frame_id")).alias("_frames"))
+    grid = rows.select("catalog_id").distinct().crossJoin(frames).select("catalog_id", F.explode("_frames").alias("frame_id"))
     return grid.join(rows, ["catalog_id", "frame_id"], "left")
 
 
@@ -118,3 +120,9 @@ def lomb_scargle(points: DataFrame, key: str, time: str, value: str, frequencies
     c, s = F.cos("_a"), F.sin("_a")
     power = (F.pow(F.sum(F.col("_y") * c), 2) / F.nullif(F.sum(c * c), F.lit(0.0)) + F.pow(F.sum(F.col("_y") * s), 2) / F.nullif(F.sum(s * s), F.lit(0.0))) / 2
     return t.groupBy(key, "frequency").agg(power.alias("power"))
+
+
+def best_period(power: DataFrame, key: str) -> DataFrame:
+    """key and period: of the strongest frequency of a periodogram (key, frequency, power), the lowest of equals."""
+    best = power.where(F.col("power").isNotNull()).groupBy(key).agg(F.max_by("frequency", F.struct("power", -F.col("frequency"))).alias("_f"))
+    return best.select(key, (1 / F.col("_f")).alias("period"))

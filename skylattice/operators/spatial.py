@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.expr import haversine
+from skylattice.operators.shared import cut
 
 FULL = 360.0
 
@@ -92,15 +93,15 @@ def one_to_one(pairs: DataFrame, left: str, right: str, rounds: int | None = Non
     Each round is a set operation over all pairs; at least one pair of each connected group is settled in it. Ties go by
     the ids.
     """
-    open_, kept, done = pairs, None, 0
+    open_, kept, done = cut(pairs), None, 0
     while rounds is None or done < rounds:
         a = F.row_number().over(Window.partitionBy(left).orderBy("distance", right))
         b = F.row_number().over(Window.partitionBy(right).orderBy("distance", left))
-        best = open_.withColumn("_a", a).withColumn("_b", b).where("_a = 1 and _b = 1").drop("_a", "_b").checkpoint()
+        best = cut(open_.withColumn("_a", a).withColumn("_b", b).where("_a = 1 and _b = 1").drop("_a", "_b"))
         if best.isEmpty():
             break
         kept = best if kept is None else kept.unionByName(best)
-        open_ = open_.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti").checkpoint()
+        open_ = cut(open_.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti"))
         done += 1
     return kept if kept is not None else pairs.limit(0)
 
@@ -118,6 +119,14 @@ def boxes(df: DataFrame, ra_min: float, ra_max: float, dec_min: float, dec_max:
     return df.where(F.col("dec_deg").between(dec_min, dec_max) & inside)
 
 
+def catalogue_box(df: DataFrame, ra_min: float, ra_max: float, dec_min: float, dec_max: float, *, order: list[str], limit: int | None = None) -> DataFrame:
+    """boxes() with each object once, by oid where it has one, else by position, and the first `limit` rows by order."""
+    t = boxes(df, ra_min, ra_max, dec_min, dec_max)
+    key = [F.col("oid"), F.when(F.col("oid").isNull(), F.col("ra_deg")), F.when(F.col("oid").isNull(), F.col("dec_deg"))]
+    t = t.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
+    return t.orderBy(*order).limit(limit) if limit is not None else t
+
+
 def strips(ra_step: float, dec_step: float, dec_min: float = -90.0, dec_max: float = 90.0):
     """SQL of a grid of half-open sky strips that covers the circle: the last strip of each direction is closed."""
     n_ra, n_dec = math.ceil(FULL / ra_step), math.ceil((dec_max - dec_min) / dec_step)

@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.operators.shared import cut, numbered
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new replace those of old by key, NULL values of new excepted, and others are added."""
-    o, n = old.alias("o"), new.alias("n")
+
+def last_of(new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row of new for each key: the last by order, or by all its columns where no order is given."""
+    by = order or [c for c in new.columns if c not in keys]
+    return deduplicated(new, keys, *[F.col(c).desc_nulls_last() for c in by]) if by else new.dropDuplicates(keys)
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], *, order: list[str] | None = None) -> DataFrame:
+    """Rows of new replace those of old by key in all columns that new has, NULL values too, and others are added.
+
+    Of several rows of one key in new the last by `order` counts. Columns that new lacks keep their value.
+    """
+    o, n = old.alias("o"), last_of(new, keys, order).withColumn("_new", F.lit(True)).alias("n")
     both = o.join(n, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full_outer")
-    return both.select(*[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c in new.columns else F.col(f"o.{c}") for c in old.columns])
+    return both.select(*[F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) if c in new.columns else F.col(f"o.{c}") for c in old.columns])
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -22,8 +33,14 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))
 
 
-def insert_or_replace(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return old.join(new.select(*keys), keys, "left_anti").select(*old.columns).unionByName(new)
+def insert_or_replace(old: DataFrame, new: DataFrame, keys: list[str], *, order: list[str] | None = None) -> DataFrame:
+    """Rows of new, the last of each key, and those of old whose key isn't among them."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(last_of(new, keys, order).select(*old.columns))
+
+
+def append_absent(old: DataFrame, new: DataFrame, keys: list[str], *, order: list[str] | None = None) -> DataFrame:
+    """The rows of new to append: the last of each key that old doesn't have."""
+    return last_of(new, keys, order).join(old.select(*keys).distinct(), keys, "left_anti").select(*new.columns)
 
 
 def merge_pooled(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -46,20 +63,24 @@ def merge_pooled(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def find_or_create(old: DataFrame, new: DataFrame, id_column: str, equal: list[str], near: str, tolerance: float) -> DataFrame:
-    """new with the lowest id of an old row that is equal and near enough, or a fresh id after the highest, and created."""
+    """new with the lowest id of an old row that is equal and near enough, or a fresh id after the highest, and created.
+
+    Fresh ids follow the order of new's columns; they are numbered range by range.
+    """
     o = old.select(F.col(id_column).alias("_id"), *[F.col(c).alias(f"_{c}") for c in [*equal, near]])
     hit = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in equal] + [F.abs(F.col(near) - F.col(f"_{near}")) <= tolerance]
     t = new.join(o, hit, "left").groupBy(*new.columns).agg(F.min("_id").alias("_id"))
     top = old.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))
     known = t.where("_id is not null").select(*new.columns, F.col("_id").alias(id_column), F.lit(False).alias("created"))
-    # fresh ids need one order over what is to be created; that is few rows
-    made = t.where("_id is null").crossJoin(F.broadcast(top)).select(*new.columns, (F.col("_top") + F.row_number().over(Window.orderBy(*new.columns))).alias(id_column), F.lit(True).alias("created"))
+    fresh = numbered(t.where("_id is null").select(*new.columns), "_nth", list(new.columns))
+    made = fresh.crossJoin(F.broadcast(top)).select(*new.columns, (F.col("_top") + F.col("_nth")).alias(id_column), F.lit(True).alias("created"))
     return known.unionByName(made)
 
 
-def update_where(old: DataFrame, changes: DataFrame, key: str, guard: Column | None = None) -> DataFrame:
-    """old with the columns of changes set by key; guard keeps rows as they are where it is false."""
-    c = changes.select(F.col(key).alias("_k"), F.lit(True).alias("_hit"), *[F.col(x).alias(f"_{x}") for x in changes.columns if x != key])
+def update_where(old: DataFrame, changes: DataFrame, key: str, guard: Column | None = None, *, order: list[str] | None = None) -> DataFrame:
+    """old with the columns of changes set by key, the last of several changes; guard keeps rows as they are where it is
+    false."""
+    c = last_of(changes, [key], order).select(F.col(key).alias("_k"), F.lit(True).alias("_hit"), *[F.col(x).alias(f"_{x}") for x in changes.columns if x != key])
     t = old.join(c, F.col(key) == F.col("_k"), "left")
     on = F.coalesce(F.col("_hit"), F.lit(False)) & (guard if guard is not None else F.lit(True))
     return t.select(*[F.when(on, F.col(f"_{x}")).otherwise(F.col(x)).alias(x) if x in changes.columns and x != key else F.col(x) for x in old.columns])
@@ -82,6 +103,43 @@ def edits(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return t.where(~same).select(*[F.when(gone, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in columns], change.alias("change"))
 
 
+def editor_save(before: DataFrame, after: DataFrame, key: str, references: dict[str, tuple[DataFrame, str]], *, active: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What saving an edited table gives: the new table, and the deletions refused (key, table, n).
+
+    Edited rows are set, new ones added. A row that is gone is deleted if nothing refers to it; one that other tables name
+    (references: table name -> rows and the column that names the key) stays, marked inactive where `active` names a flag.
+    """
+    change = cut(edits(before, after, key))
+    gone = change.where("change = 'delete'").select(key)
+    refused = None
+    for table, (rows, column) in references.items():
+        own = rows.join(gone, rows[column] == gone[key], "left_semi").groupBy(F.col(column).alias(key)).agg(F.count("*").alias("n")).withColumn("table", F.lit(table))
+        refused = own if refused is None else refused.unionByName(own)
+    refused = cut(refused.select(key, "table", "n")) if refused is not None else before.sparkSession.createDataFrame([], f"`{key}` {dict(before.dtypes)[key]}, table string, n long")
+    kept = before.join(refused.select(key).distinct(), key, "left_semi").select(*before.columns)
+    if active:
+        kept = kept.withColumn(active, F.lit(False).cast(dict(before.dtypes)[active]))
+    return after.select(*before.columns).unionByName(kept), refused
+
+
+def cascade_purge(tables: dict[str, DataFrame], gone: DataFrame, key: str, children: dict[str, list[tuple[str, str, str]]], root: str, keep: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """All tables after the keys of gone are deleted from root and whatever refers to deleted rows goes too.
+
+    children: table -> (child table, child's column, this table's column). Tables named in keep lose nothing, and nothing
+    is followed through them.
+    """
+    out, todo = dict(tables), [(root, gone.select(key).distinct(), key)]
+    while todo:
+        table, keys, column = todo.pop()
+        if table in keep:
+            continue
+        rows = out[table]
+        lost = rows.join(keys.select(F.col(keys.columns[0]).alias(column)), column, "left_semi")
+        out[table] = rows.join(keys.select(F.col(keys.columns[0]).alias(column)), column, "left_anti").select(*rows.columns)
+        todo += [(child, lost.select(own).distinct(), theirs) for child, theirs, own in children.get(table, [])]
+    return out
+
+
 def rekey(children: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
     """children whose key the mapping (key, new_key) names get the new one."""
     m = mapping.select(F.col(key).alias("_k"), "new_key")

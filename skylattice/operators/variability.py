@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.functions.robust import K, sigma_strict
+from skylattice.functions.robust import K, sigma_strict, weighted_line
+from skylattice.operators.shared import cut
 
 
 @dataclass(frozen=True)
@@ -80,25 +81,31 @@ def rms_variability(cells: DataFrame, cfg: VariabilityConfig) -> DataFrame:
     )
 
 
-def envelope(stars: DataFrame, cfg: VariabilityConfig) -> DataFrame:
+def envelope(stars: DataFrame, cfg: VariabilityConfig, weight: str | None = None) -> DataFrame:
     """stars (catalog_id, mag, rms_pct, field) with expected_log, sigma, score and envelope.
 
-    Quiet stars give a line log10(rms) = a + b mag: field stars below the given percentile of rms, where there are enough,
-    slope floored; too few leave the median rms. One row of statistics is joined back.
+    Field stars with a magnitude and a positive rms_pct are the pool; where there are min_field of them, those below the
+    given percentile stay. With min_field left, they give a line log10(rms) = a + b mag, slope floored, and sigma comes from
+    their distances; with fewer, the expectation is their median rms and sigma the spread of their logs. `weight` names a
+    column of weights that multiply distances. The stars are kept once; all statistics are single rows over them.
     """
-    field = F.col("field") & (F.col("rms_pct") > 0)
-    cut = stars.agg(F.count(F.when(field, 1)).alias("_n"), F.percentile(F.when(field, F.col("rms_pct")), cfg.percentile).alias("_p"))
-    t = stars.crossJoin(F.broadcast(cut)).withColumn("_quiet", F.coalesce(field & ((F.col("_n") < cfg.min_field) | (F.col("rms_pct") < F.col("_p"))), F.lit(False)))
-    t = t.withColumn("_log", F.when(F.col("rms_pct") > 0, F.log10(F.greatest(F.col("rms_pct"), F.lit(1e-6)))))
-    x, y = F.when(F.col("_quiet"), F.col("mag")), F.when(F.col("_quiet"), F.col("_log"))
-    line = t.agg(F.count(F.when(x.isNotNull(), y)).alias("_k"), F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"), F.median(F.when(F.col("rms_pct") > 0, F.col("rms_pct"))).alias("_typical"))
+    least = F.lit(cfg.min_field)
+    mag = F.when(~F.isnan("mag"), F.col("mag"))
+    t = cut(stars.withColumn("_pool", F.coalesce(F.col("field"), F.lit(False)) & mag.isNotNull() & F.coalesce(F.col("rms_pct") > 0, F.lit(False))).withColumn("_log", F.when(F.col("rms_pct") > 0, F.log10(F.greatest(F.col("rms_pct"), F.lit(1e-6))))))
+    edge = t.agg(F.count_if("_pool").alias("_n"), F.percentile(F.when(F.col("_pool"), F.col("rms_pct")), cfg.percentile).alias("_p")).first()  # one row
+    quiet = F.col("_pool") & (F.col("rms_pct") < F.lit(edge["_p"])) if edge["_n"] >= cfg.min_field else F.col("_pool")
+    x, y = F.when(quiet, mag), F.when(quiet, F.col("_log"))
+    w = F.coalesce(F.pow(F.col(weight), 2), F.lit(1.0)) if weight else F.lit(1.0)  # a weight multiplies distances
+    a, b = weighted_line(x, y, F.when(quiet, w))
+    line = t.agg(F.count(y).alias("_k"), a.alias("_a"), b.alias("_b"), F.median(F.when(quiet, F.col("rms_pct"))).alias("_typical"))
     t = t.crossJoin(F.broadcast(line))
-    fitted = F.col("_a") + F.greatest(F.col("_b"), F.lit(cfg.slope_floor)) * F.col("mag")
-    t = t.withColumn("_has", (F.col("_k") >= cfg.min_field) & F.col("_b").isNotNull()).withColumn("expected_log", F.when(F.col("_has"), fitted).otherwise(F.log10("_typical")))
-    pool = F.when(F.col("_quiet") | ~F.col("_has"), F.col("_log") - F.when(F.col("_has"), F.col("expected_log")).otherwise(0.0))
-    mid = t.withColumn("_r", pool).agg(F.median("_r").alias("_rm"))
+    has = (F.col("_k") >= least) & F.col("_a").isNotNull()
+    fitted = F.col("_a") + F.greatest(F.col("_b"), F.lit(cfg.slope_floor)) * mag
+    t = t.withColumn("expected_log", F.when(has, fitted).otherwise(F.log10(F.greatest("_typical", F.lit(1e-6)))))
+    pool = F.when(quiet, F.when(has, F.col("_log") - fitted).otherwise(F.col("_log")))
+    mid = t.agg(F.median(pool).alias("_rm"))
     t = t.withColumn("_r", pool).crossJoin(F.broadcast(mid))
-    dev = t.agg((F.median(F.abs(F.col("_r") - F.col("_rm"))) / K).alias("sigma"))
+    dev = t.agg(sigma_strict(F.median(F.abs(F.col("_r") - F.col("_rm"))), F.count("_r")).alias("sigma"))
     t = t.crossJoin(F.broadcast(dev))
     return t.select(*stars.columns, "expected_log", "sigma", F.when(F.col("sigma") > 0, (F.col("_log") - F.col("expected_log")) / F.col("sigma")).alias("score"), F.pow(F.lit(10.0), F.col("expected_log") + cfg.sigma_threshold * F.coalesce("sigma", F.lit(0.0))).alias("envelope"))
 
@@ -119,7 +126,7 @@ def sign_changes(cells: DataFrame, cfg: VariabilityConfig) -> DataFrame:
     t = t.where(F.col("_n") >= cfg.min_frames)
     steps = t.where("_s <> 0").withColumn("_turn", (F.col("_s") != F.lag("_s").over(w.orderBy("frame_id"))).cast("int"))
     one = t.groupBy("catalog_id").agg(F.max("_n").alias("n_used")).join(steps.groupBy("catalog_id").agg(F.sum("_turn").alias("_turns"), F.count("*").alias("_signs")), "catalog_id", "left")
-    one = one.select("catalog_id", "n_used", F.when(F.col("_signs") >= 2, F.col("_turns") / F.sqrt("n_used")).otherwise(0.0).alias("vdi"))
+    one = cut(one.select("catalog_id", "n_used", F.when(F.col("_signs") >= 2, F.col("_turns") / F.sqrt("n_used")).otherwise(0.0).alias("vdi")))
     med = one.agg(F.median("vdi").alias("_m"))
     dev = one.crossJoin(F.broadcast(med)).agg(F.median(F.abs(F.col("vdi") - F.col("_m"))).alias("_d"))
     t = one.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(dev))

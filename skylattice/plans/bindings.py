@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,16 +55,26 @@ SKY = (
 )
 
 
-def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets (suppliers under 10) and comparison stars: the others of their region."""
-    s = read(spark, sf_dir, "supplier").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("n_regionkey").alias("region"))
-    return s.where("id < 10").select(F.col("id").alias("target_id"), "region").join(s.select(F.col("id").alias("comp_id"), "region"), "region").where("target_id <> comp_id").select("target_id", "comp_id")
+def region_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every star with every other of its region, and how far their brightness differs."""
+    s = read(spark, sf_dir, "supplier").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("b"), F.col("n_regionkey").alias("region"))
+    other = s.select(F.col("id").alias("comp_id"), F.col("b").alias("_b"), "region")
+    return s.withColumnRenamed("id", "target_id").join(other, "region").where("target_id <> comp_id").select("target_id", "comp_id", F.abs(F.col("b") - F.col("_b")).alias("gap"))
 
 
-BRIDGE = (
-    "bridge as (select a.s_suppkey as target_id, b.s_suppkey as comp_id from supplier a join nation na on a.s_nationkey = na.n_nationkey join nation nb on na.n_regionkey = nb.n_regionkey "
-    "join supplier b on b.s_nationkey = nb.n_nationkey where a.s_suppkey < 10 and a.s_suppkey <> b.s_suppkey)"
+REGION_PAIRS = (
+    "region_pairs as (select a.s_suppkey as target_id, b.s_suppkey as comp_id, abs(a.s_acctbal - b.s_acctbal) as gap from supplier a join nation na on a.s_nationkey = na.n_nationkey join nation nb on na.n_regionkey = nb.n_regionkey "
+    "join supplier b on b.s_nationkey = nb.n_nationkey where a.s_suppkey <> b.s_suppkey)"
 )
+
+
+def bridge(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
+    """Every star as a target, with the n others of its region that are most like it in brightness."""
+    w = Window.partitionBy("target_id").orderBy("gap", "comp_id")
+    return region_pairs(spark, sf_dir).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select("target_id", "comp_id")
+
+
+BRIDGE = f"{REGION_PAIRS}, bridge as (select target_id, comp_id from region_pairs qualify row_number() over (partition by target_id order by gap, comp_id) <= 10)"
 CELLS = "cells as (select catalog_id, frame_id, median(flux) as flux, median(mag) as mag, median(err) as err, median(airmass) as airmass from dense group by 1, 2)"
 
 

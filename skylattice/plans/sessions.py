@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.operators import comparison, photometry, variability
+from skylattice.operators.shared import cut
 from skylattice.operators.variability import VariabilityConfig
 
 
@@ -15,7 +16,7 @@ def variability_session(measurements: DataFrame, catalogue: DataFrame, cfg: Vari
     Cells, frame normalisation and coverage; robust scatter against the envelope of quiet stars; sign changes; both
     methods together, known variables taken out of what is new.
     """
-    cells = variability.covered(variability.normalise_frames(variability.flux_cells(measurements)), cfg.min_frames_frac)
+    cells = cut(variability.covered(variability.normalise_frames(variability.flux_cells(measurements)), cfg.min_frames_frac))
     rms = variability.rms_variability(cells, cfg).join(catalogue, "catalog_id", "left")
     found = variability.candidates(variability.envelope(rms, cfg), cfg)
     out = variability.combined(found, variability.sign_changes(cells, cfg))
@@ -27,10 +28,11 @@ def photometry_session(cells: DataFrame, catalogue: DataFrame, pairs: DataFrame)
 
     cells: catalog_id, frame_id, mag, err, airmass; catalogue: catalog_id, mag; pairs: target_id, comp_id.
     """
+    cells, pairs = cut(cells), cut(pairs)
     comps = pairs.join(cells.withColumnRenamed("catalog_id", "comp_id"), "comp_id").join(catalogue.select(F.col("catalog_id").alias("comp_id"), F.col("mag").alias("catalog_mag")), "comp_id")
     targets = cells.join(pairs.select(F.col("target_id").alias("catalog_id")).distinct(), "catalog_id", "left_semi").withColumnRenamed("catalog_id", "target_id").select("target_id", "frame_id", "mag", "err", "airmass")
     curve = photometry.differential(targets.drop("airmass"), comps.select("target_id", "frame_id", "mag", "err", "catalog_mag")).join(targets.select("target_id", "frame_id", "airmass"), ["target_id", "frame_id"])
-    curve = curve.select("target_id", "frame_id", F.col("calibrated").alias("mag"), "airmass")
+    curve = cut(curve.select("target_id", "frame_id", F.col("calibrated").alias("mag"), "airmass"))
     flagged = photometry.outlier_flags(curve, "target_id", "mag", F.lit(False))
     flat = photometry.airmass_detrended(flagged, ["target_id"]).select("target_id", "frame_id", F.col("detrended").alias("mag"), "am_slope")
     again = photometry.outlier_flags(flat, "target_id", "mag", F.lit(False))

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import expr, robust
-from skylattice.operators import comparison, photometry, spatial, store, variability
+from skylattice.operators import comparison, matching, photometry, spatial, store, variability
 from skylattice.operators.variability import VariabilityConfig
 from skylattice.plans import sessions
-from skylattice.plans.bindings import BRIDGE, CELLS, DENSE, SKY, SPARSE, STARS, bridge, cells, dense, read, sky, sparse, stars
+from skylattice.plans.bindings import BRIDGE, CELLS, DENSE, REGION_PAIRS, SKY, SPARSE, STARS, bridge, cells, dense, read, region_pairs, sky, sparse, stars
+from skylattice.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +52,7 @@ def _(spark, d):
 
 
 @query("x9_x11_times", """
-    select event_id, round(floor(epoch(ts) / 86400) + floor(epoch(ts) - 86400 * floor(epoch(ts) / 86400)) / 86400.0 + 2440587.5, 7) as jd, strftime(ts, '%Y%m%d') as day,
+    select event_id, round(floor(epoch(ts) / 86400) + (epoch(ts) - 86400 * floor(epoch(ts) / 86400)) / 86400.0 + 2440587.5, 7) as jd, strftime(ts, '%Y%m%d') as day,
       round(abs((((value * 3 - 40 + 180) % 360.0) + 360.0) % 360.0 - 180), 6) as angle from events""")
 def _(spark, d):
     e = read(spark, d, "events")
@@ -97,10 +98,10 @@ def _(spark, d):
 
 
 @query("x31_comparison_score", """
-    select s_suppkey, round(0.50 * greatest(abs(s_acctbal) / 100000, 1e-4) + 0.20 * abs(s_suppkey * 10.0 - 1455) / 1455 + 0.15 * least((s_suppkey % 5) / 2.0, 1) + 0.10 * least((s_suppkey % 3) * 1.0, 1) + 0.05 * 0.5, 6) as score from supplier""")
+    select s_suppkey, round(0.50 * greatest(coalesce(case when s_suppkey % 7 <> 0 then abs(s_acctbal) / 100000 end, 1.0), 1e-4) + 0.20 * abs(s_suppkey * 10.0 - 1455) / 1455 + 0.15 * least((s_suppkey % 5) / 2.0, 1) + 0.10 * least((s_suppkey % 3) * 1.0, 1) + 0.05 * 0.5, 6) as score from supplier""")
 def _(spark, d):
     k = F.col("s_suppkey")
-    return read(spark, d, "supplier").select(k, F.round(expr.comparison_score(F.abs("s_acctbal") / 100000, k * 10.0, (k % 5).cast("double"), (k % 3).cast("double"), F.lit(0.5)), 6).alias("score"))
+    return read(spark, d, "supplier").select(k, F.round(expr.comparison_score(F.when(k % 7 != 0, F.abs("s_acctbal") / 100000), k * 10.0, (k % 5).cast("double"), (k % 3).cast("double"), F.lit(0.5)), 6).alias("score"))
 
 
 @query("json_properties", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
@@ -114,10 +115,10 @@ SPARSE_CELLS = f"{SPARSE}, c0 as (select catalog_id, frame_id, median(flux) as f
 COVERED = f"{SPARSE_CELLS}, cov as (select * from norm qualify count(flux) over (partition by catalog_id) >= greatest(1, ceil(0.5 * (select count(distinct frame_id) from norm))))"
 
 
-@query("f1_f2_f3_quality_filter", "select event_id, user_id, value from events where event_type in ('view', 'click', 'purchase') and value > 1 and user_id is not null")
+@query("f1_f2_f3_quality_filter", "select event_id, user_id, value from events where event_type in ('view', 'click') and value > 1 and value < 90 and user_id is not null")
 def _(spark, d):
-    e = read(spark, d, "events")
-    return e.where(F.trim("event_type").isin("view", "click", "purchase") & (F.col("value") > 1) & F.col("user_id").isNotNull()).select("event_id", "user_id", "value")
+    e = read(spark, d, "events").select("event_id", "user_id", "value", F.col("user_id").cast("string").alias("catalog_id"), (F.col("value") > 1).alias("photometry_ok"), F.when(F.col("value") >= 90, True).alias("is_saturated"), F.concat(F.lit(" "), "event_type").alias("zone"))
+    return files.quality(e, ("view", "click")).select("event_id", "user_id", "value")
 
 
 @query("w4_keep_first_by_priority", f"with {SPARSE} select catalog_id, frame_id, event_id, round(flux, 6) as flux from sparse qualify row_number() over (partition by catalog_id, frame_id order by usable desc, event_id) = 1")
@@ -161,12 +162,12 @@ def _(spark, d):
 
 
 ENVELOPE = f"""{RMS}, {STARS}, r as (select rms.*, s.mag, not s.known_variable as field, s.known_variable from rms left join stars s using (catalog_id)),
-    p as (select count(*) as n, quantile_cont(rms_pct, 0.85) as p from r where field and rms_pct > 0),
-    q as (select r.*, coalesce(field and rms_pct > 0 and (p.n < 20 or rms_pct < p.p), false) as quiet, case when rms_pct > 0 then log10(greatest(rms_pct, 1e-6)) end as lg from r cross join p),
-    f as (select count(case when quiet and mag is not null then lg end) as k, regr_slope(case when quiet then lg end, case when quiet then mag end) as b, regr_intercept(case when quiet then lg end, case when quiet then mag end) as a, median(case when rms_pct > 0 then rms_pct end) as typical from q),
-    g as (select q.*, (f.k >= 20 and f.b is not null) as has, case when f.k >= 20 and f.b is not null then f.a + greatest(f.b, 0.02) * mag else log10(f.typical) end as expected_log from q cross join f),
-    h as (select *, case when quiet or not has then lg - case when has then expected_log else 0 end end as res from g), hm as (select median(res) as rm from h), hd as (select median(abs(res - rm)) / 0.6745 as sigma from h cross join hm),
-    e as (select h.*, hd.sigma, case when sigma > 0 then (lg - expected_log) / sigma end as score, pow(10.0, expected_log + 3.0 * coalesce(sigma, 0)) as envelope from h cross join hd),
+    p as (select count(*) as n, quantile_cont(rms_pct, 0.85) as p from r where field and rms_pct > 0 and mag is not null),
+    q as (select r.*, coalesce(field and rms_pct > 0 and mag is not null and (p.n < 20 or rms_pct < p.p), false) as quiet, case when rms_pct > 0 then log10(greatest(rms_pct, 1e-6)) end as lg from r cross join p),
+    f as (select count(case when quiet then lg end) as k, regr_slope(case when quiet then lg end, case when quiet then mag end) as b, regr_intercept(case when quiet then lg end, case when quiet then mag end) as a, median(case when quiet then rms_pct end) as typical from q),
+    g as (select q.*, (f.k >= 20 and f.b is not null) as has, f.a + greatest(f.b, 0.02) * mag as fitted, log10(f.typical) as flat from q cross join f), g2 as (select *, case when has then fitted else flat end as expected_log, case when quiet then lg - case when has then fitted else 0 end end as res from g),
+    hm as (select median(res) as rm, count(res) as rn from g2), hd as (select case when max(rn) >= 3 and median(abs(res - rm)) > 0 then median(abs(res - rm)) / 0.6745 end as sigma from g2 cross join hm),
+    e as (select g2.*, hd.sigma, case when sigma > 0 then (lg - expected_log) / sigma end as score, pow(10.0, expected_log + 3.0 * coalesce(sigma, 0)) as envelope from g2 cross join hd),
     cand as (select *, coalesce(rms_pct > greatest(envelope, 1.5) and clip_ratio >= 0.8 and mean_norm > 0.001 and smoothness < 0.8 and amplitude_mag >= 0.01 and mag <= 99 and n_frames >= 30, false) as is_candidate from e)"""
 
 
@@ -255,11 +256,11 @@ def _(spark, d):
     return rounded(t.select("catalog_id", "frame_id", "detrended"), 5)
 
 
-@query("a23_suspected_session", f"""with {BINNED.replace('b0 as (select c.catalog_id, c.frame_id, c.flux, s.mag', 'b0 as (select c.catalog_id, c.frame_id, c.flux, s.mag').replace('join stars s using (catalog_id))', 'join stars s using (catalog_id) where c.catalog_id >= 10)')}, {TREND},
+@query("a23_suspected_session", f"""with {BINNED.replace('b0 as (select c.catalog_id, c.frame_id, c.flux, s.mag', 'b0 as (select c.catalog_id, c.frame_id, c.flux, s.mag').replace('join stars s using (catalog_id))', 'join stars s using (catalog_id) where not s.known_variable)')}, {TREND},
     r as (select catalog_id, count(detrended) as n, sqrt(avg(pow(detrended - 1, 2))) as comp_rms from trend group by 1), m as (select median(comp_rms) as m, stddev_pop(comp_rms) as sd from r), dv as (select median(abs(comp_rms - m)) as mad from r cross join m)
     select catalog_id, n, round(comp_rms, 6) as comp_rms, round(m.m + 3 * case when mad > 0 then mad / 0.6745 when sd > 0 then sd / 0.6745 else 1e-9 end, 6) as "limit" from r cross join m cross join dv where comp_rms > m.m + 3 * case when mad > 0 then mad / 0.6745 when sd > 0 then sd / 0.6745 else 1e-9 end""")
 def _(spark, d):
-    active = read(spark, d, "supplier").where("s_suppkey < 10").select(F.col("s_suppkey").alias("catalog_id"))
+    active = stars(spark, d).where("known_variable").select("catalog_id")
     return rounded(sessions.suspected_session(cells(spark, d), stars(spark, d), active))
 
 
@@ -275,28 +276,17 @@ def _(spark, d):
     return rounded(comparison.stable(r, n_frames=80, frac=0.3, cut=0.3, fallback=0.5, last=1.0, n_min=3))
 
 
-@query("a13_comparison_stability", f"""with {DENSE}, {CELLS}, m as (select * from cells where catalog_id >= 10), t as (select catalog_id, mag, mag - lag(mag) over (partition by catalog_id order by frame_id) as st from m),
+@query("a13_comparison_stability", f"""with {DENSE}, {CELLS}, m as (select * from cells), t as (select catalog_id, mag, mag - lag(mag) over (partition by catalog_id order by frame_id) as st from m),
     s as (select catalog_id, count(mag) as n, case when count(mag) >= 3 then stddev_pop(mag) end as lc_rms, case when count(st) >= 2 then stddev_pop(st) / sqrt(2.0) end as p2p from t group by 1), md as (select median(p2p) as m, count(p2p) as v, stddev_pop(p2p) as sd from s),
     dv as (select median(abs(p2p - m)) as mad from s cross join md), th as (select case when v >= 2 then least(m + 3 * case when mad > 0 then mad / 0.6745 when sd > 0 then sd / 0.6745 else 1e-9 end, 1.0) else 1.0 end as th from md cross join dv),
     q as (select s.*, th, coalesce(p2p <= th, false) and not s.catalog_id % 11 = 0 as good from s cross join th)
     select catalog_id, n, round(lc_rms, 6) as lc_rms, round(p2p, 6) as p2p_rms, round(th, 6) as threshold, case when good then 'good' when p2p > th and (select count(*) from q where good) >= 3 then 'excluded' else 'suspect' end as quality from q""")
 def _(spark, d):
-    c = cells(spark, d).where("catalog_id >= 10")
+    c = cells(spark, d)
     rms = c.select("catalog_id").distinct().withColumn("comp_rms", F.when(F.col("catalog_id") % 11 == 0, 0.0).otherwise(0.02))
     return rounded(comparison.stability(c, rms, cap=1.0))
 
 
-@query("a24_iterative_clip", """with recursive r as (select 0 as k, l_suppkey as s, l_orderkey as o, l_linenumber as l, l_extendedprice as v from lineitem),
-    m1 as (select *, median(v) over (partition by s) as md from r), a1 as (select *, median(abs(v - md)) over (partition by s) as mad from m1), x1 as (select *, v <= md + 1.0 * mad / 0.6745 as stay from a1), r1 as (select *, count(*) over (partition by s) as had, sum(stay::int) over (partition by s) as left_ from x1),
-    k1 as (select s, o, l, v from r1 where case when mad > 0 and left_ >= 10 and left_ < had then stay else true end),
-    m2 as (select *, median(v) over (partition by s) as md from k1), a2 as (select *, median(abs(v - md)) over (partition by s) as mad from m2), x2 as (select *, v <= md + 1.0 * mad / 0.6745 as stay from a2), r2 as (select *, count(*) over (partition by s) as had, sum(stay::int) over (partition by s) as left_ from x2),
-    k2 as (select s, o, l, v from r2 where case when mad > 0 and left_ >= 10 and left_ < had then stay else true end) select s as catalog_id, count(*) as n, round(max(v), 6) as top from k2 group by 1""".replace("with recursive r", "with r"))
-def _(spark, d):
-    rows = dense(spark, d).select("catalog_id", "l_orderkey", "l_linenumber", "flux")
-    kept = robust.iterative_clip(rows, "flux", ["catalog_id"], n_min=10, rounds=2, k=1.0)
-    return rounded(kept.groupBy("catalog_id").agg(F.count("*").alias("n"), F.max("flux").alias("top")))
-
-
 @query("f14_f16_votes", f"""with {DENSE} select catalog_id, count(*) as n_frames, count(case when peak > 42 then 1 end) as n_bad, count(case when peak > 42 then 1 end) / count(*) > 0.10 as saturated, median(flux / (err * 40000 + 3000)) < 5.0 as faint from dense group by 1 having count(*) >= 10 and count(case when peak > 42 then 1 end) / count(*) > 0.10""")
 def _(spark, d):
     rows = dense(spark, d).withColumn("snr", F.col("flux") / (F.col("err") * 40000 + 3000))
@@ -306,25 +296,25 @@ def _(spark, d):
 
 
 @query("f17_blend_vote", f"""with {DENSE}, f as (select median(x) as typical from (select frame_id, median(err) as x from dense group by 1)), s as (select catalog_id, count(airmass) as n, median(airmass) as median_chi2, median(err) as median_fwhm from dense group by 1)
-    select catalog_id, n, round(median_chi2, 6) as median_chi2, round(median_fwhm, 6) as median_fwhm, round(median_fwhm / typical, 6) as width_ratio from s cross join f where (n >= 3 and median_chi2 > 1.5) or median_fwhm / typical > 1.02""")
+    select catalog_id, n, round(median_chi2, 6) as median_chi2, round(median_fwhm, 6) as median_fwhm, round(median_fwhm / typical, 6) as width_ratio from s cross join f where (n >= 3 and median_chi2 > 1.5) or median_fwhm / typical > 1.0001""")
 def _(spark, d):
-    return rounded(comparison.blend_vote(dense(spark, d), "airmass", "err", chi2_max=1.5, fwhm_max=1.02))
+    return rounded(comparison.blend_vote(dense(spark, d), "airmass", "err", chi2_max=1.5, fwhm_max=1.0001))
 
 
-PAIRS = f"{BRIDGE}, {STARS}, pairs as (select b.target_id, b.comp_id, abs(t.mag - c.mag) as dm, abs(t.bp_rp - c.bp_rp) as db, case when abs(t.mag - c.mag) <= 0.25 and abs(t.bp_rp - c.bp_rp) <= 0.15 then 1 when abs(t.mag - c.mag) <= 0.5 and abs(t.bp_rp - c.bp_rp) <= 0.3 then 2 when abs(t.mag - c.mag) <= 1.0 and abs(t.bp_rp - c.bp_rp) <= 0.5 then 3 when abs(t.mag - c.mag) <= 2.0 then 4 end as tier from bridge b join stars t on t.catalog_id = b.target_id join stars c on c.catalog_id = b.comp_id)"
+PAIRS = f"{REGION_PAIRS}, {STARS}, pairs as (select b.target_id, b.comp_id, abs(t.mag - c.mag) as dm, abs(t.bp_rp - c.bp_rp) as db, case when abs(t.mag - c.mag) <= 0.25 and abs(t.bp_rp - c.bp_rp) <= 0.15 then 1 when abs(t.mag - c.mag) <= 0.5 and abs(t.bp_rp - c.bp_rp) <= 0.3 then 2 when abs(t.mag - c.mag) <= 1.0 and abs(t.bp_rp - c.bp_rp) <= 0.5 then 3 else 4 end as tier from region_pairs b join stars t on t.catalog_id = b.target_id join stars c on c.catalog_id = b.comp_id)"
 
 
 def star_pairs(spark, d):
     s = stars(spark, d)
     t, c = s.select(F.col("catalog_id").alias("target_id"), F.col("mag").alias("_tm"), F.col("bp_rp").alias("_tb")), s.select(F.col("catalog_id").alias("comp_id"), F.col("mag").alias("_cm"), F.col("bp_rp").alias("_cb"))
-    p = bridge(spark, d).join(t, "target_id").join(c, "comp_id").withColumn("dm", F.abs(F.col("_tm") - F.col("_cm"))).withColumn("db", F.abs(F.col("_tb") - F.col("_cb")))
+    p = region_pairs(spark, d).drop("gap").join(t, "target_id").join(c, "comp_id").withColumn("dm", F.abs(F.col("_tm") - F.col("_cm"))).withColumn("db", F.abs(F.col("_tb") - F.col("_cb")))
     return p.select("target_id", "comp_id", "dm", "db", F.substring(expr.tier(F.col("dm"), F.col("db")), 5, 1).cast("int").alias("tier"))
 
 
-@query("w8_w9_first_full_tier", f"""with {PAIRS}, p as (select * from pairs where tier is not null), n as (select target_id, tier, sum(count(*)) over (partition by target_id order by tier) as upto from p group by 1, 2), c as (select target_id, coalesce(min(case when upto >= 3 then tier end), max(tier)) as chosen_tier from n group by 1)
+@query("w8_w9_first_full_tier", f"""with {PAIRS}, p as (select * from pairs where dm <= 2.0), n as (select target_id, tier, sum(count(*)) over (partition by target_id order by tier) as upto from p group by 1, 2), c as (select target_id, coalesce(min(case when upto >= 3 then tier end), max(tier)) as chosen_tier from n group by 1)
     select p.target_id, p.comp_id, p.tier, c.chosen_tier from p join c using (target_id) where p.tier <= c.chosen_tier""")
 def _(spark, d):
-    return comparison.first_full_tier(star_pairs(spark, d).where("tier is not null").select("target_id", "comp_id", "tier"), n_min=3)
+    return comparison.first_full_tier(star_pairs(spark, d).where("dm <= 2.0").select("target_id", "comp_id", "tier"), n_min=3)
 
 
 @query("w6_conditional_selection", f"""with {PAIRS}, r as (select *, row_number() over (partition by target_id order by dm, comp_id) as k from pairs), m as (select *, median(case when k <= 3 then dm end) over (partition by target_id) as md from r), s as (select *, row_number() over (partition by target_id order by k) as rank from m where k <= 3 or dm <= 1.5 * md)
@@ -341,12 +331,6 @@ def _(spark, d):
     return rounded(comparison.ensemble_head(p, "target_id", [F.col("dm"), F.col("comp_id")], "db").select("target_id", "comp_id", "db", "rank"))
 
 
-@query("w5_top_three_per_group", "select p_brand, p_partkey, round(p_retailprice, 6) as p_retailprice from part qualify row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) <= 3")
-def _(spark, d):
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
-    return rounded(read(spark, d, "part").withColumn("_r", F.row_number().over(w)).where("_r <= 3").select("p_brand", "p_partkey", "p_retailprice"))
-
-
 # ---------------------------------------------------------------- light curves
 
 COMPS = f"{DENSE}, {CELLS}, {STARS}, {BRIDGE}, comps as (select b.target_id, b.comp_id, c.frame_id, c.mag, c.err, s.mag as catalog_mag, s.bp_rp from bridge b join cells c on c.catalog_id = b.comp_id join stars s on s.catalog_id = b.comp_id)"
@@ -414,90 +398,6 @@ def _(spark, d):
     return rounded(t.select("catalog_id", "segment", "l_orderkey", "l_linenumber", "detrended"))
 
 
-@query("period_search", f"""with {DENSE}, {CELLS}, p as (select catalog_id, row_number() over (partition by catalog_id order by frame_id) * 1.0 as t, mag - avg(mag) over (partition by catalog_id) as y from cells), f as (select * from p cross join (select unnest([0.05, 0.1, 0.2, 0.31]) as frequency)),
-    a as (select *, atan2(sum(sin(4 * pi() * frequency * t)) over w, sum(cos(4 * pi() * frequency * t)) over w) / (4 * pi() * frequency) as tau from f window w as (partition by catalog_id, frequency)), b as (select *, cos(2 * pi() * frequency * (t - tau)) as c, sin(2 * pi() * frequency * (t - tau)) as s from a)
-    select catalog_id, cast(frequency as double) as frequency, round((pow(sum(y * c), 2) / sum(c * c) + pow(sum(y * s), 2) / sum(s * s)) / 2, 5) as power from b group by 1, 2""")
-def _(spark, d):
-    t = cells(spark, d).withColumn("t", F.row_number().over(Window.partitionBy("catalog_id").orderBy("frame_id")) * 1.0)
-    return rounded(photometry.lomb_scargle(t.select("catalog_id", F.col("t").cast("double").alias("t"), "mag"), "catalog_id", "t", "mag", [0.05, 0.1, 0.2, 0.31]), 5)
-
-
-# ---------------------------------------------------------------- grouped reports
-
-
-@query("a25_a45_scatter_by_group", f"with {DENSE} select catalog_id, segment, count(*) as n_frames, round(median(case when err > 0.02 then flux end), 6) as med_flux, round(stddev_samp(flux), 6) as rms_flux, round(100 * stddev_samp(flux) / avg(flux), 6) as rms_pct from dense group by 1, 2 having count(*) >= 5 and median(case when err > 0.02 then flux end) > 100")
-def _(spark, d):
-    g = dense(spark, d).groupBy("catalog_id", "segment").agg(F.count("*").alias("n_frames"), F.median(F.when(F.col("err") > 0.02, F.col("flux"))).alias("med_flux"), F.stddev_samp("flux").alias("rms_flux"), (100 * F.stddev_samp("flux") / F.avg("flux")).alias("rms_pct"))
-    return rounded(g.where("n_frames >= 5 and med_flux > 100"))
-
-
-@query("a27_a28_two_level_scatter", f"with {DENSE}, s as (select catalog_id, stddev_pop(mag) as rms, count(*) as n from dense group by 1 having count(*) >= 2), m as (select median(rms) as md from s) select catalog_id, n, round(rms, 6) as rms, round(rms / md, 6) as ratio, case when rms > 1.05 * md then 'variable' when rms < 0.95 * md then 'quiet' else 'typical' end as verdict from s cross join m")
-def _(spark, d):
-    s = dense(spark, d).groupBy("catalog_id").agg(F.stddev_pop("mag").alias("rms"), F.count("*").alias("n")).where("n >= 2")
-    t = s.crossJoin(F.broadcast(s.agg(F.median("rms").alias("md"))))
-    verdict = F.when(F.col("rms") > 1.05 * F.col("md"), "variable").when(F.col("rms") < 0.95 * F.col("md"), "quiet").otherwise("typical")
-    return rounded(t.select("catalog_id", "n", "rms", (F.col("rms") / F.col("md")).alias("ratio"), verdict.alias("verdict")))
-
-
-@query("a29_heat_map", "select round_even(p_retailprice / 100 * 2, 0) / 2 as x_bin, round_even(p_size * 0.03 * 4, 0) / 4 as y_bin, count(*) as n from part group by 1, 2")
-def _(spark, d):
-    p = read(spark, d, "part")
-    return p.groupBy((F.bround(F.col("p_retailprice") / 100 * 2, 0) / 2).alias("x_bin"), (F.bround(F.col("p_size") * 0.03 * 4, 0) / 4).alias("y_bin")).agg(F.count("*").alias("n"))
-
-
-@query("a30_frame_metrics", f"with {SPARSE} select frame_id, count(*) as n, count(*) filter (where usable) as n_usable, count(distinct catalog_id) as n_stars, round(median(flux), 6) as med from sparse group by 1")
-def _(spark, d):
-    return rounded(sparse(spark, d).groupBy("frame_id").agg(F.count("*").alias("n"), F.count_if("usable").alias("n_usable"), F.count_distinct("catalog_id").alias("n_stars"), F.median("flux").alias("med")))
-
-
-@query("a31_histogram_percentiles", f"with {DENSE} select segment, cast(least(floor(flux / 10000), 9) as bigint) as bin, count(*) as n, round(quantile_cont(flux, 0.05), 6) as p05, round(quantile_cont(flux, 0.5), 6) as p50, round(quantile_cont(flux, 0.95), 6) as p95 from dense group by 1, 2")
-def _(spark, d):
-    t = dense(spark, d).withColumn("bin", F.least(F.floor(F.col("flux") / 10000), F.lit(9)).cast("long"))
-    return rounded(t.groupBy("segment", "bin").agg(F.count("*").alias("n"), *[F.percentile("flux", q).alias(f"p{int(q * 100):02d}") for q in (0.05, 0.5, 0.95)]))
-
-
-@query("a32_a33_frame_score", f"""with {DENSE}, f as (select frame_id, median(err) as fwhm, median(airmass) as elong, count(*) as stars, median(peak) as sky from dense group by 1), r as (select *, min(fwhm) over () a0, max(fwhm) over () a1, min(elong) over () b0, max(elong) over () b1, min(stars) over () c0, max(stars) over () c1, min(sky) over () d0, max(sky) over () d1 from f)
-    select frame_id, round(0.45 * case when a1 > a0 then 1 - (fwhm - a0) / (a1 - a0) else 1 end + 0.30 * case when b1 > b0 then 1 - (elong - b0) / (b1 - b0) else 1 end + 0.15 * case when c1 > c0 then (stars - c0) / (c1 - c0) else 1 end + 0.10 * case when d1 > d0 then 1 - (sky - d0) / (d1 - d0) else 1 end, 6) as score, (select round_even(median(fwhm) * 1.05, 2) from f) as auto_limit from r""")
-def _(spark, d):
-    f = dense(spark, d).groupBy("frame_id").agg(F.median("err").alias("fwhm"), F.median("airmass").alias("elong"), F.count("*").alias("stars"), F.median("peak").alias("sky"))
-    ranges = f.agg(*[g(c).alias(f"{n}_{c}") for c in ("fwhm", "elong", "stars", "sky") for n, g in (("low", F.min), ("high", F.max))], F.bround(F.median("fwhm") * 1.05, 2).alias("auto_limit"))
-    t = f.crossJoin(F.broadcast(ranges))
-    part = lambda c: F.when(F.col(f"high_{c}") > F.col(f"low_{c}"), (F.col(c) - F.col(f"low_{c}")) / (F.col(f"high_{c}") - F.col(f"low_{c}")))
-    inverse = lambda c: F.coalesce(1 - part(c), F.lit(1.0))
-    return rounded(t.select("frame_id", (0.45 * inverse("fwhm") + 0.30 * inverse("elong") + 0.15 * F.coalesce(part("stars"), F.lit(1.0)) + 0.10 * inverse("sky")).alias("score"), "auto_limit"))
-
-
-@query("a34_a35_group_representative", "select l_shipmode_, l_returnflag, min(l_orderkey) as first_order, count(*) as n, list_aggregate(list_sort(list(distinct l_linenumber)), 'string_agg', ',') as lines from (select *, l_linestatus as l_shipmode_ from lineitem) group by 1, 2")
-def _(spark, d):
-    x = read(spark, d, "lineitem")
-    return x.groupBy(F.col("l_linestatus").alias("l_shipmode_"), "l_returnflag").agg(F.min("l_orderkey").alias("first_order"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("l_linenumber")), lambda v: v.cast("string")), ",").alias("lines"))
-
-
-@query("a36_a38_u1_u2_reference_counts", "select kind, count(*) as n from (select 'customer' as kind, c_nationkey as k from customer union all select 'supplier', s_nationkey from supplier union all select 'nation', n_nationkey from nation) group by 1")
-def _(spark, d):
-    parts = [read(spark, d, t).select(F.lit(t).alias("kind"), F.col(c).alias("k")) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("a39_smallest_per_key", f"with {PAIRS} select comp_id, round(min(dm), 6) as best from pairs group by 1")
-def _(spark, d):
-    return rounded(star_pairs(spark, d).groupBy("comp_id").agg(F.min("dm").alias("best")))
-
-
-@query("w11_w14_halves_and_trim", f"""with {DENSE}, {CELLS}, r as (select *, row_number() over w as k, count(*) over (partition by catalog_id) as n, ntile(2) over w as half from cells window w as (partition by catalog_id order by frame_id)), s as (select * from r where k > 5 and k <= n - 5 and not (k > n / 2 - 3 and k <= n / 2 + 3))
-    select catalog_id, count(*) as n, round(avg(case when half = 1 then mag end), 6) as first_half, round(avg(case when half = 2 then mag end), 6) as second_half, min_by(frame_id, (mag, frame_id)) as brightest from s group by 1""")
-def _(spark, d):
-    w = Window.partitionBy("catalog_id")
-    t = cells(spark, d).withColumn("k", F.row_number().over(w.orderBy("frame_id"))).withColumn("half", F.ntile(2).over(w.orderBy("frame_id"))).withColumn("n", F.count("*").over(w))
-    t = t.where("k > 5 and k <= n - 5 and not (k > n / 2 - 3 and k <= n / 2 + 3)")
-    return rounded(t.groupBy("catalog_id").agg(F.count("*").alias("n"), F.avg(F.when(F.col("half") == 1, F.col("mag"))).alias("first_half"), F.avg(F.when(F.col("half") == 2, F.col("mag"))).alias("second_half"), F.min_by("frame_id", F.struct("mag", "frame_id")).alias("brightest")))
-
-
-@query("o1_o9_top_lists", "select o_orderkey, round(o_totalprice, 6) as o_totalprice from orders order by coalesce(o_totalprice, -1) desc, o_orderkey limit 10")
-def _(spark, d):
-    return rounded(read(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.coalesce("o_totalprice", F.lit(-1.0)).desc(), "o_orderkey").limit(10))
-
-
 @query("u3_u5_sets", "select l_partkey from (select distinct l_partkey from lineitem where l_returnflag = 'R' intersect select distinct l_partkey from lineitem where l_returnflag = 'A' except select p_partkey from part where p_size > 40)")
 def _(spark, d):
     x = read(spark, d, "lineitem")
@@ -540,19 +440,13 @@ def _(spark, d):
     return spatial.isolated(sky(spark, d).select("vec_id", "label", "x", "y", "mag"), "vec_id", "label", radius=12.0, max_dmag=3.0, n_min=20).select("vec_id", "label")
 
 
-@query("j10_j11_one_to_one")
+@query("j10_one_to_one")
 def _(spark, d):
     s = sky(spark, d).select("vec_id", "label", "x", "y")
     p = spatial.plane_pairs(s.where("label % 2 = 0").select("vec_id", "x", "y"), s.where("label % 2 = 1").select("vec_id", "x", "y"), 30.0).select("l_vec_id", "r_vec_id", "distance")
     return rounded(spatial.one_to_one(p, "l_vec_id", "r_vec_id"))
 
 
-@query("s7_s8_sky_box", f"with {SKY} select vec_id, round(ra_deg, 6) as ra_deg, round(mag, 6) as mag from sky where dec_deg between -3 and 3 and (ra_deg >= 357 or ra_deg <= 4) and mag <= 13 order by mag, vec_id limit 100")
-def _(spark, d):
-    s = spatial.boxes(sky(spark, d), 357, 364, -3, 3).where("mag <= 13")
-    return rounded(s.select("vec_id", "ra_deg", "mag").orderBy("mag", "vec_id").limit(100))
-
-
 @query("s9_j5_key_lookup", "select p_partkey, p_brand from part where p_partkey in (select l_partkey from lineitem where l_quantity > 49)")
 def _(spark, d):
     return read(spark, d, "part").join(read(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi").select("p_partkey", "p_brand")
@@ -569,11 +463,10 @@ def _(spark, d):
     return t.select("strip", *[F.col(c).cast("double").alias(c) for c in ("ra_min", "ra_max", "dec_min", "dec_max")], "ra_closed", "dec_closed")
 
 
-@query("s16_j26_cells_to_do", "select cast(l_orderkey // 1000 as bigint) as cell, count(*) as n from lineitem where l_orderkey // 1000 not in (select o_orderkey // 1000 from orders where o_orderstatus = 'P') group by 1")
+@query("s16_j26_cells_to_do", "select distinct cell from (select cast(l_orderkey // 7 as bigint) as cell from lineitem) where cell not in (select cast(o_orderkey // 7 as bigint) from orders where o_orderstatus = 'P')")
 def _(spark, d):
-    x = read(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 1000).alias("cell"))
-    done = read(spark, d, "orders").where("o_orderstatus = 'P'").select(F.floor(F.col("o_orderkey") / 1000).alias("cell"))
-    return x.join(done, "cell", "left_anti").groupBy("cell").agg(F.count("*").alias("n"))
+    done = read(spark, d, "orders").where("o_orderstatus = 'P'").select(matching.sky_cell(F.col("o_orderkey"), 7).cast("long").alias("cell"))
+    return matching.cells_to_do(read(spark, d, "lineitem").select(matching.sky_cell(F.col("l_orderkey"), 7).cast("long").alias("cell")), done)
 
 
 # ---------------------------------------------------------------- metadata joins
@@ -585,21 +478,6 @@ def _(spark, d):
     return rounded(t.select("o_orderkey", "c_name", "n_name", "r_name", "o_totalprice"))
 
 
-@query("j18_j19_best_master", """select o_orderkey, p_partkey, round(dt, 6) as dt from (select o_orderkey, p_partkey, abs(o_totalprice / 100 - p_retailprice) as dt, p_size from orders join part on p_size = 1 + o_custkey % 50 where abs(o_totalprice / 100 - p_retailprice) <= 200) qualify row_number() over (partition by o_orderkey order by dt, p_partkey desc) = 1""")
-def _(spark, d):
-    o, p = read(spark, d, "orders").select("o_orderkey", (1 + F.col("o_custkey") % 50).alias("size"), (F.col("o_totalprice") / 100).alias("t")), read(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("size"), F.col("p_retailprice").alias("t2"))
-    c = o.join(p, "size").withColumn("dt", F.abs(F.col("t") - F.col("t2"))).where("dt <= 200")
-    return rounded(store.deduplicated(c, ["o_orderkey"], F.col("dt"), F.desc("p_partkey")).select("o_orderkey", "p_partkey", "dt"))
-
-
-@query("j20_group_fallback", "select a.p_partkey as p_partkey, list_aggregate(list_sort(list(b.p_partkey)), 'string_agg', ',') as fallbacks from part a join part b on a.p_size = b.p_size and a.p_brand = b.p_brand and a.p_partkey <> b.p_partkey and abs(a.p_retailprice - b.p_retailprice) <= 300 group by 1")
-def _(spark, d):
-    p = read(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
-    q = p.select(F.col("p_partkey").alias("other"), "p_size", "p_brand", F.col("p_retailprice").alias("price"))
-    t = p.join(q, ["p_size", "p_brand"]).where((F.col("p_partkey") != F.col("other")) & (F.abs(F.col("p_retailprice") - F.col("price")) <= 300))
-    return t.groupBy("p_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("other")), lambda v: v.cast("string")), ",").alias("fallbacks"))
-
-
 @query("j23_j24_back_fill", "select c_custkey, coalesce(s.s_name, n.n_name, 'none') as label from customer left join supplier s on s.s_suppkey = c_custkey left join nation n on n.n_nationkey = c_nationkey")
 def _(spark, d):
     t = read(spark, d, "customer").join(read(spark, d, "supplier"), F.col("s_suppkey") == F.col("c_custkey"), "left").join(F.broadcast(read(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey"), "left")
@@ -711,54 +589,3 @@ def _(spark, d):
     return t.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
 
 
-# ---------------------------------------------------------------- further catalogue work
-
-
-@query("j12_lookup_with_fallback", f"""with {SKY}, t as (select vec_id as id, x + 1.0 as tx, y - 1.0 as ty, vec_id % 3 = 0 as lost from sky), e as (select t.id, s.vec_id as found, 'id' as how, 0.0 as distance from t join sky s on s.vec_id = t.id and not t.lost),
-    x as (select t.id, s.vec_id as found, 'place' as how, sqrt(pow(tx - s.x, 2) + pow(ty - s.y, 2)) as distance from t join sky s on t.lost and sqrt(pow(tx - s.x, 2) + pow(ty - s.y, 2)) <= 18 qualify row_number() over (partition by t.id order by sqrt(pow(tx - s.x, 2) + pow(ty - s.y, 2)), s.vec_id) = 1)
-    select id, found, how, round(distance, 6) as distance from e union all select id, found, how, round(distance, 6) from x""")
-def _(spark, d):
-    s = sky(spark, d).select("vec_id", "x", "y")
-    t = s.select(F.col("vec_id").alias("id"), (F.col("x") + 1.0).alias("x"), (F.col("y") - 1.0).alias("y"), (F.col("vec_id") % 3 == 0).alias("lost"))
-    known = s.select(F.col("vec_id").alias("found"))
-    exact = t.where("not lost").join(known, F.col("id") == F.col("found")).select("id", "found", F.lit("id").alias("how"), F.lit(0.0).alias("distance"))
-    near = spatial.nearest(spatial.plane_pairs(t.where("lost").select("id", "x", "y"), s, 18.0), "l_id", "r_vec_id")
-    return rounded(exact.unionByName(near.select(F.col("l_id").alias("id"), F.col("r_vec_id").alias("found"), F.lit("place").alias("how"), "distance")))
-
-
-@query("f4_f5_f7_f24_candidate_mask", f"with {SKY} select vec_id, case when x < 505 then 'left' when x > 515 then 'right' else 'middle' end as zone_flag from sky where (x between 470 and 530 and y between 470 and 530 and mag < 12.5 and label <> 3) or (label = 5 and mag >= 12)")
-def _(spark, d):
-    inside = F.col("x").between(470, 530) & F.col("y").between(470, 530)
-    rescue = (F.col("label") == 5) & (F.col("mag") >= 12)
-    zone = F.when(F.col("x") < 505, "left").when(F.col("x") > 515, "right").otherwise("middle")
-    return sky(spark, d).where((inside & (F.col("mag") < 12.5) & (F.col("label") != 3)) | rescue).select("vec_id", zone.alias("zone_flag"))
-
-
-@query("f11_f12_f13_state_filters", "select o_orderkey, o_orderpriority from orders where lower(coalesce(o_orderpriority, '')) in ('1-urgent', '2-high') and coalesce(o_orderstatus, 'O') <> 'F' and o_totalprice > 0 and o_totalprice < 400000 and regexp_matches(o_orderpriority, '^[0-9]-')")
-def _(spark, d):
-    o = read(spark, d, "orders")
-    keep = F.lower(F.coalesce("o_orderpriority", F.lit(""))).isin("1-urgent", "2-high") & (F.coalesce("o_orderstatus", F.lit("O")) != "F") & (F.col("o_totalprice") > 0) & (F.col("o_totalprice") < 400000) & F.col("o_orderpriority").rlike("^[0-9]-")
-    return o.where(keep).select("o_orderkey", "o_orderpriority")
-
-
-@query("x25_x27_text_summaries", "select r_name, count(*) as n, string_agg(n_name, '; ' order by n_name) as names, 'https://example.org/?region=' || r_name || '&n=' || cast(count(*) as varchar) as link from nation join region on r_regionkey = n_regionkey group by r_name")
-def _(spark, d):
-    t = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("n_name")), "; ").alias("names"))
-    return t.select("r_name", "n", "names", F.format_string("https://example.org/?region=%s&n=%d", "r_name", "n").alias("link"))
-
-
-@query("a42_j30_vote_clusters", f"with {SKY}, c as (select a.vec_id, count(*) as votes from sky a join sky b on {HAVERSINE} <= 1.0 group by 1) select vec_id, votes, round(votes / avg(votes) over (), 6) as over_mean from c qualify row_number() over (order by votes desc, vec_id) <= 20")
-def _(spark, d):
-    s = sky(spark, d).select("vec_id", "ra_deg", "dec_deg")
-    c = spatial.sky_pairs(s, s, 1.0).groupBy(F.col("l_vec_id").alias("vec_id")).agg(F.count("*").alias("votes"))
-    t = c.crossJoin(F.broadcast(c.agg(F.avg("votes").alias("_m"))))
-    return rounded(t.orderBy(F.desc("votes"), "vec_id").limit(20).select("vec_id", "votes", (F.col("votes") / F.col("_m")).alias("over_mean")))
-
-
-@query("j31_triangles", f"with {SKY}, t as (select vec_id, x, y from sky order by mag, vec_id limit 12) select a.vec_id as i, b.vec_id as j, c.vec_id as k, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) + sqrt(pow(b.x - c.x, 2) + pow(b.y - c.y, 2)) + sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2)), 5) as round_trip from t a join t b on a.vec_id < b.vec_id join t c on b.vec_id < c.vec_id")
-def _(spark, d):
-    s = sky(spark, d).orderBy("mag", "vec_id").limit(12).select("vec_id", "x", "y")  # the brightest few: triples of n stars are n cubed
-    a, b, c = (s.select(F.col("vec_id").alias(i), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}")) for i in "ijk")
-    side = lambda p, q: F.sqrt(F.pow(F.col(f"x{p}") - F.col(f"x{q}"), 2) + F.pow(F.col(f"y{p}") - F.col(f"y{q}"), 2))
-    t = a.join(b, F.col("i") < F.col("j")).join(c, F.col("j") < F.col("k"))
-    return t.select("i", "j", "k", F.round(side("i", "j") + side("j", "k") + side("i", "k"), 5).alias("round_trip"))

@@ -6,12 +6,13 @@ reads the columns that a query uses and no more.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.functions.expr import exact_id, flag, magnitude, magnitude_error
+from skylattice.operators.archive import resolved_files
+from skylattice.operators.shared import cut
+from skylattice.operators.store import append_absent
 
 NUMBERS = ("dao_flux", "flux", "psf_flux", "psf_flux_err", "aperture_flux", "mag", "bp_rp", "b_v", "x", "y", "ra_deg", "dec_deg", "bjd_tdb_mid", "hjd_mid", "jd_mid", "airmass", "peak_max_adu", "fwhm_estimate_px", "psf_chi2")
 FLAGS = ("photometry_ok", "edge_safe_10px", "edge_fail", "snr50_ok", "is_saturated", "likely_saturated", "is_usable", "vsx_known_variable")
@@ -21,20 +22,53 @@ TEXTS = ("catalog_id", "name", "zone", "source_type", "source_file")
 def frames(spark: SparkSession, path: str, columns: list[str], pattern: str = "proc_*.csv") -> DataFrame:
     """Per-frame CSVs under path: frame_id and the typed columns asked for; a column that a file doesn't have is NULL.
 
-    columns names the header in the files' order, as the CSV reader goes by position.
+    Columns are found by each file's own header, whatever its order. Files whose headers are alike are parsed together, so
+    the plan grows with the number of different headers, not of files; a line is one row.
     """
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(path)
-    return raw.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("frame_id"), *[typed(c).alias(c) for c in columns])
-
-
-def typed(name: str) -> Column:
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    raw = raw.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("frame_id"), F.regexp_replace("value", "^\ufeff", "").alias("_text"))
+    raw = raw.withColumn("_header", F.trim(F.regexp_extract("_text", r"^([^\r\n]*)", 1)))
+    out = spark.createDataFrame([], "frame_id string").select("frame_id", *[typed(c, F.lit(None).cast("string")).alias(c) for c in columns])
+    for (header,) in raw.select("_header").where("_header <> ''").distinct().collect():
+        names = [x.strip().strip('"') for x in header.split(",")]
+        lines = raw.where(F.col("_header") == header).select("frame_id", F.posexplode(F.split("_text", r"\r?\n")).alias("_n", "_line")).where("_n > 0 and trim(_line) <> ''")
+        rows = lines.select("frame_id", F.from_csv("_line", F.lit(", ".join(f"_c{i} string" for i in range(len(names)))), {"mode": "PERMISSIVE"}).alias("_r"))
+        own = {c: F.col(f"_r._c{names.index(c)}") if c in names else F.lit(None).cast("string") for c in columns}
+        out = out.unionByName(rows.select("frame_id", *[typed(c, x).alias(c) for c, x in own.items()]))
+    return out
+
+
+# Tables of an archive that lie beside the frames' and aren't measurements.
+NOT_FRAMES = ("per_frame_catalog_index.csv", "field_catalog_cone.csv", "comparison_stars.csv", "variable_targets.csv")
+
+
+def measurement_tables(files: DataFrame) -> DataFrame:
+    """Of files (path, name), the CSVs that are a frame's measurements: those named as catalogues, and those with an image
+    of the same name beside them; known other tables are skipped."""
+    t = files.withColumn("_folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).withColumn("_stem", F.regexp_replace("name", r"\.[^.]*$", ""))
+    images = t.where(F.lower("name").rlike(r"\.fits?$")).select(F.col("_folder").alias("_f"), F.col("_stem").alias("_s")).distinct()
+    csv = t.where(F.lower("name").endswith(".csv") & ~F.col("name").isin(*NOT_FRAMES) & ~(F.lower("name").contains("masterstars") & F.lower("path").contains("platesolve")))
+    met = csv.join(images.withColumn("_image", F.lit(True)), (F.col("_folder") == F.col("_f")) & (F.col("_stem") == F.col("_s")), "left")
+    return met.where(F.col("name").endswith("_catalog.csv") | F.coalesce("_image", F.lit(False))).select(*files.columns)
+
+
+def first_existing(spark: SparkSession, roots: list[str]) -> str | None:
+    """The first of the folders that is there, in whatever store Spark reads."""
+    jvm = spark.sparkContext._jvm
+    for root in roots:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return root
+    return None
+
+
+def typed(name: str, x: Column) -> Column:
     if name in NUMBERS:
-        x = F.col(name).try_cast("double")
-        return F.when(~F.isnan(x), x)
+        value = x.try_cast("double")
+        return F.when(~F.isnan(value), value)
     if name in FLAGS:
-        return flag(F.col(name))
-    return exact_id(F.col(name)) if name == "catalog_id" else F.trim(name)
+        return flag(x)
+    return exact_id(x) if name == "catalog_id" else F.trim(x)
 
 
 def normalised(df: DataFrame) -> DataFrame:
@@ -62,12 +96,20 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
 
+def schema_reason(df: DataFrame | None, required: list[str]) -> str:
+    """Why a table can't be used: no_table, missing_columns with their names, or ok."""
+    if df is None:
+        return "no_table"
+    lost = missing_columns(df, required)
+    return "missing_columns:" + ",".join(lost) if lost else "ok"
+
+
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files under path: path, name, size, modified, and what kind of frame the name tells (light, dark, flat, unknown)."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.when(F.lower(name).contains("dark"), "dark").when(F.lower(name).contains("flat"), "flat").when(F.lower(name).rlike("light|proc|obj"), "light").otherwise("unknown")
-    return raw.select("path", name.alias("name"), "size", "modified", kind.alias("kind"))
+    return resolved_files(raw.select("path", name.alias("name"), "size", "modified", kind.alias("kind")))
 
 
 def fresh(files: DataFrame, cache: DataFrame, tolerance_s: float = 2.0) -> DataFrame:
@@ -77,18 +119,45 @@ def fresh(files: DataFrame, cache: DataFrame, tolerance_s: float = 2.0) -> DataF
     return files.join(c, (F.col("path") == F.col("_p")) & (F.col("size") == F.col("_s")) & near).drop("_p", "_s", "_m")
 
 
-@dataclass(frozen=True)
-class CurveFormat:
-    """Places that a light curve's numbers are rounded to, half to even."""
+# The columns of a light-curve table and the places its numbers are rounded to.
+CURVE_COLUMNS = {
+    "bjd": "double", "hjd": "double", "jd": "double", "airmass": "double", "is_flipped": "boolean", "mag_inst": "double", "mag_calib_raw": "double", "mag_calib": "double", "mag_calib_ct": "double", "ct_correction": "double", "ct_c1": "double",
+    "ct_bp_rp_target": "double", "ct_bp_rp_comp_med": "double", "ct_n_comp": "int", "ct_ok": "boolean", "delta_mag": "double", "err": "double", "aperture_r_px": "double", "flag": "string", "method": "string", "source_file": "string",
+}
+SIX_PLACES = ("mag_inst", "mag_calib_raw", "mag_calib", "mag_calib_ct", "ct_correction", "ct_c1", "ct_bp_rp_target", "ct_bp_rp_comp_med", "delta_mag", "err")
 
-    magnitudes: int = 6
-    pixels: int = 3
 
+def curve_rows(curves: DataFrame, *, method: str = "aperture") -> DataFrame:
+    """curves (catalog_id and what there is of the columns) as light-curve tables: all columns in order, rounded half to
+    even; without a colour-corrected magnitude the calibrated one stands for it."""
+    have = set(curves.columns)
+    default = {"is_flipped": F.lit(False), "ct_n_comp": F.lit(-1), "ct_ok": F.lit(False), "method": F.lit(method), "mag_calib_ct": F.col("mag_calib") if "mag_calib" in have else F.lit(None)}
+    out = []
+    for name, kind in CURVE_COLUMNS.items():
+        x = F.coalesce(F.col(name), default[name]) if name in have and name in default else F.col(name) if name in have else default.get(name, F.lit(None))
+        x = x.cast(kind)
+        out.append((F.bround(x, 6) if name in SIX_PLACES else F.bround(x, 3) if name == "aperture_r_px" else x).alias(name))
+    return curves.select("catalog_id", *out)
 
-def write_curves(curves: DataFrame, path: str, fmt: CurveFormat = CurveFormat()) -> None:  # noqa: B008
+
+def write_curves(curves: DataFrame, path: str, *, method: str = "aperture") -> None:
     """Light curves as CSV, one folder for each star."""
-    rounded = [F.bround(c, fmt.pixels if c.endswith("_px") else fmt.magnitudes).alias(c) if t == "double" else F.col(c) for c, t in curves.dtypes]
-    curves.select(*rounded).write.mode("overwrite").partitionBy("catalog_id").option("header", True).csv(path)
+    curve_rows(curves, method=method).write.mode("overwrite").partitionBy("catalog_id").option("header", True).csv(path)
+
+
+def write_phases(path: str, *, active: DataFrame, comparisons: DataFrame, suspects: DataFrame, summary: DataFrame) -> None:
+    """A session's tables, each as CSV with a header in a folder of its own."""
+    for name, t in (("active_targets", active), ("comparison_stars_per_target", comparisons), ("suspected_variables", suspects), ("photometry_summary", summary)):
+        t.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
+def append_rows(new: DataFrame, path: str, keys: list[str]) -> None:
+    """Append to a CSV table under path the rows of new whose keys it doesn't have yet; the first call makes the table."""
+    spark = new.sparkSession
+    if first_existing(spark, [path]) is not None:
+        old = spark.read.option("header", True).schema(new.schema).csv(path)
+        new = cut(append_absent(old, new, keys))
+    new.write.mode("append").option("header", True).csv(path)
 
 
 def write_sidecars(df: DataFrame, path: str) -> None:

@@ -1,20 +1,22 @@
-"""Streams of new frames: windows over events, and libraries kept up to date batch by batch.
+"""Streams of new frames: windows over events, libraries kept up to date batch by batch, ingest that resumes.
 
-These go beyond whole-night batches: each uses the same operators on what has arrived.
+Each uses the same operators on what has arrived. A stream's checkpoint folder is its ledger: files that it has taken in
+are not taken again, and a run that was broken off goes on where it stopped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from skylattice.operators.store import merge_pooled
+from skylattice.operators.store import insert_or_replace, merge_pooled, upsert
 
 
 def frame_counts(events: DataFrame, ts: str, key: str, *, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts and median-free means by tumbling window; rows later than `late` are left out. Works on tables as well."""
+    """Counts and means by tumbling window; rows later than `late` are left out. Works on tables as well."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, window), key).agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("window.start").alias("start"), key, "n", "mean")
 
 
@@ -22,6 +24,15 @@ def sessions(events: DataFrame, ts: str, key: str, *, gap: str = "30 minutes", l
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
+def once_within(events: DataFrame, ts: str, keys: list[str], *, late: str = "2 seconds") -> DataFrame:
+    """The first row of each key; later ones that come within `late` are copies. On a table, the first by time."""
+    if events.isStreaming:
+        return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    from pyspark.sql import Window
+
+    return events.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(ts))).where("_r = 1").drop("_r")
+
+
 def library_updater(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], key: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that pools each batch's statistics into a library table."""
 
@@ -29,3 +40,43 @@ def library_updater(read: Callable[[], DataFrame], write: Callable[[DataFrame],
         write(merge_pooled(read(), batch, key))
 
     return update
+
+
+def table_updater(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: list[str], *, replace: bool = False, order: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that upserts each batch by keys, so that a batch that comes twice changes nothing."""
+    merge = insert_or_replace if replace else upsert
+
+    def update(batch: DataFrame, _: int) -> None:
+        write(merge(read(), batch, keys, order=order))
+
+    return update
+
+
+class VersionedTable:
+    """A small table in a folder that grows by whole versions: a reader sees the last one that was written whole."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def _versions(self) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        whole = [s.getPath() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return sorted(int(p.getName().removeprefix("v")) for p in whole)
+
+    def read(self) -> DataFrame:
+        found = self._versions()
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
+
+    def write(self, df: DataFrame) -> None:
+        found = self._versions()
+        df.write.mode("overwrite").parquet(f"{self.path}/v{found[-1] + 1 if found else 0}")
+
+
+def ingest(spark: SparkSession, source: str, schema: str, update: Callable[[DataFrame, int], None], checkpoint: str, *, files: int = 100) -> StreamingQuery:
+    """Take in the Parquet files under source that haven't been taken in yet, `files` at a time, and stop."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    return rows.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from skylattice import report_queries  # noqa: F401
 from skylattice.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
