@@ -94,6 +94,35 @@ def linked_classes(rows: DataFrame, size: int, rule: Rule) -> tuple[DataFrame, D
     return found, labels
 
 
+def linked_pairs(docs: DataFrame, *, size: int = SHINGLE, rule: Rule = RULE, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Every link: pairs (a, b) of different sets that are linked, a < b, and members (key, n_shingles, cls) of each set.
+
+    All candidates of all shown n-grams are tested, none is left out because others connect it; documents of one set are
+    linked with each other and aren't written as pairs. Empty sets have no class. The pairs of n sets that are all alike
+    are n * n / 2: for components alone link_documents does with far fewer.
+    """
+    rows, records = keyed(docs, key, text), shingles(size)
+    found, sketch = first_pass(rows, records)
+    proposed, shown = shown_tokens(rows, records, sketch, rule, most=1, keep_all=True)
+    lists = shown_lists(shown)
+    some = F.struct(F.col("doc_id").isNotNull().alias("_some"), "doc_id", "version", "record")
+    firsts = cut(found.where("n > 0").join(lists.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min(some).alias("one")).select("cls", "one.doc_id", "one.version", "one.record"))
+    every = candidates(shown, None, rule, most=None, turn=1).unionByName(proposed).select("a", "b").distinct()
+    pairs = cut(likely(every, lists, rule))
+    good = cut(verify(pairs, sets_of(pairs, rows, records, sketch, firsts), rule))
+    return good, found.select(F.col("doc_id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
+
+
+def count_links(docs: DataFrame, *, size: int = SHINGLE, rule: Rule = RULE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, n_links for every row: how many other rows it is linked with, copies counted."""
+    pairs, members = linked_pairs(docs, size=size, rule=rule, key=key, text=text)
+    sizes = cut(members.where("cls is not null").groupBy("cls").agg(F.count("*").alias("rows")))
+    both = pairs.select(F.col("a").alias("cls"), F.col("b").alias("_o")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("a").alias("_o")))
+    others = both.join(sizes.select(F.col("cls").alias("_o"), F.col("rows").alias("_r")), "_o").groupBy("cls").agg(F.sum("_r").alias("_linked"))
+    total = sizes.join(others, "cls", "left").select(F.col("cls").alias("_c"), (F.col("rows") - 1 + F.coalesce("_linked", F.lit(0))).alias("_n"))
+    return members.join(total, F.col("cls") == F.col("_c"), "left").select(key, "n_shingles", F.coalesce("_n", F.lit(0)).alias("n_links"))
+
+
 def link_documents(docs: DataFrame, *, size: int = SHINGLE, rule: Rule = RULE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the size of its set, and the smallest doc_id reachable by links.
 

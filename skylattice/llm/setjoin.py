@@ -83,6 +83,23 @@ def signatures(tokens: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
+@dataclass(frozen=True)
+class Order:
+    """The levels of the count sketch of tokens, and classes whose 64-bit names stand for several sets: their records go by
+    a second name instead. At 10**12 sets some tens of thousands are to be expected, here none."""
+
+    levels: np.ndarray
+    shared_names: np.ndarray
+
+
+def class_names(tokens: np.ndarray, at: np.ndarray, order: Order) -> np.ndarray:
+    names = signatures(tokens, at, 1)
+    again = np.isin(names, order.shared_names)
+    if again.any():
+        names = np.where(again, signatures(tokens, at, 2), names)
+    return names
+
+
 def parities(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     """64 bits, each flipped by the tokens that fall on it: two sets differ in as many tokens at least as bits."""
     bits = np.uint64(1) << (mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(58))
@@ -99,10 +116,10 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - 20)).astype(np.int64)
 
 
-def first_pass(rows: DataFrame, records: Records) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, version, record, n, cls) of every record, and the levels of the count sketch of tokens."""
+def first_pass(rows: DataFrame, records: Records) -> tuple[DataFrame, Order]:
+    """(doc_id, version, record, n, cls) of every record, and the order of tokens. Sets are told apart by 128 bits."""
     kind = dict(rows.dtypes)["doc_id"]
-    names = ["doc_id", "version", "record", "n", "cls", "part", "cells"]
+    names = ["doc_id", "version", "record", "n", "cls", "other", "part", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]):
         sketch, ids = np.zeros(SKETCH, np.uint32), None
@@ -114,14 +131,14 @@ def first_pass(rows: DataFrame, records: Records) -> tuple[DataFrame, np.ndarray
             n = len(row)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(number.astype(np.int32)), pa.array(np.diff(at).astype(np.int32)), pa.array(signatures(tokens, at, 1)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
+                [batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(number.astype(np.int32)), pa.array(np.diff(at).astype(np.int32)), pa.array(signatures(tokens, at, 1)), pa.array(signatures(tokens, at, 2)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
             )
         if ids is not None:
             parts = np.minimum(sketch, 255).astype(np.uint8).reshape(SKETCH_PARTS, -1)
             n = SKETCH_PARTS
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, ids), *[pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())], pa.array(np.arange(n, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, ids), *[pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())], pa.array(np.arange(n, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    made = written(rows.mapInArrow(tidy(run), f"doc_id {kind}, version long, record int, n int, cls long, part int, cells binary"), "set-records")
+    made = written(rows.mapInArrow(tidy(run), f"doc_id {kind}, version long, record int, n int, cls long, other long, part int, cells binary"), "set-records")
 
     def add(batches: Iterator[pa.RecordBatch]):
         total: dict[int, np.ndarray] = {}
@@ -136,7 +153,13 @@ def first_pass(rows: DataFrame, records: Records) -> tuple[DataFrame, np.ndarray
     sketch = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.int64)
     for r in parts:
         sketch[r["part"]] = np.frombuffer(r["cells"], "<i8")
-    return made.where("part is null").drop("part", "cells"), levels(np.minimum(sketch.ravel(), (1 << 30)))
+    found = made.where("part is null").drop("part", "cells")
+    several = found.groupBy("cls").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("cls").collect()
+    shared_names = np.array(sorted(r["cls"] for r in several), np.int64)
+    if several:
+        told = rows.sparkSession.createDataFrame(several, "cls long").withColumn("_several", F.lit(True))
+        found = found.join(told, "cls", "left").withColumn("cls", F.when(F.col("_several"), F.col("other")).otherwise(F.col("cls")))
+    return found.select("doc_id", "version", "record", "n", "cls"), Order(levels(np.minimum(sketch.ravel(), (1 << 30))), shared_names)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -156,7 +179,7 @@ def ordered(tokens: np.ndarray, at: np.ndarray, sketch: np.ndarray) -> np.ndarra
     return out
 
 
-def shown_tokens(rows: DataFrame, records: Records, sketch: np.ndarray, rule: Rule, *, most: int, keep_all: bool) -> tuple[DataFrame, DataFrame]:
+def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *, most: int, keep_all: bool) -> tuple[DataFrame, DataFrame]:
     """Shown tokens meet: the pairs of the first round, and what later rounds look at.
 
     Pairs: (a, b, votes), of each record with the `most` first that pass in each group. Tokens: those that
@@ -174,7 +197,7 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: np.ndarray, rule: Ru
                 seen = set()
             _, _, tokens, at = records(batch)
             tokens, at = distinct(tokens, at)
-            cls = signatures(tokens, at, 1)
+            cls = class_names(tokens, at, shared.value)
             size = np.diff(at)
             fresh = np.array([bool(n) and not (c in seen or seen.add(c)) for c, n in zip(cls.tolist(), size.tolist(), strict=True)], bool)
             keep = np.flatnonzero(fresh)
@@ -184,7 +207,7 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: np.ndarray, rule: Ru
             n, cls = size[keep], cls[keep]
             at = np.concatenate([[0], np.cumsum(n)])
             parity = parities(tokens, at)
-            tokens = ordered(tokens, at, shared.value)
+            tokens = ordered(tokens, at, shared.value.levels)
             count = rule.shown(n)
             place = expand(at[:-1], count)
             record = np.repeat(np.arange(len(n)), count)
@@ -359,7 +382,7 @@ def likely(pairs: DataFrame, lists: DataFrame, rule: Rule) -> DataFrame:
 # ---------------------------------------------------------------- sets of chosen classes
 
 
-def fetch_sets(rows: DataFrame, records: Records, sketch: np.ndarray, wanted: DataFrame) -> DataFrame:
+def fetch_sets(rows: DataFrame, records: Records, sketch: Order, wanted: DataFrame) -> DataFrame:
     """(cls, tokens) of wanted records (doc_id, version, record, cls): tokens by global order, most frequent first."""
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
     lists = cut(wanted.groupBy("doc_id", "version").agg(F.collect_set("record").alias("records")))
@@ -375,8 +398,8 @@ def fetch_sets(rows: DataFrame, records: Records, sketch: np.ndarray, wanted: Da
             keep = np.flatnonzero(np.isin((row.astype(np.int64) << 32) | number, asked))
             size = np.diff(at)[keep]
             tokens, at = distinct(tokens[expand(at[keep], size)], np.concatenate([[0], np.cumsum(size)]))
-            cls = signatures(tokens, at, 1)
-            tokens = ordered(tokens, at, shared.value)
+            cls = class_names(tokens, at, shared.value)
+            tokens = ordered(tokens, at, shared.value.levels)
             raw = [tokens[a:b][::-1].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             new = [i for i, c in enumerate(cls.tolist()) if not (c in seen or seen.add(c))]  # rows that are equal lie in one task
             yield pa.RecordBatch.from_arrays([pa.array(cls[new]), pa.array([raw[i] for i in new], pa.binary())], names=["cls", "tokens"])
@@ -384,7 +407,7 @@ def fetch_sets(rows: DataFrame, records: Records, sketch: np.ndarray, wanted: Da
     return attach(may, lists, "records").mapInArrow(tidy(run), "cls long, tokens binary")
 
 
-def sets_of(pairs: DataFrame, rows: DataFrame, records: Records, sketch: np.ndarray, firsts: DataFrame) -> DataFrame:
+def sets_of(pairs: DataFrame, rows: DataFrame, records: Records, sketch: Order, firsts: DataFrame) -> DataFrame:
     """(cls, tokens) of the classes that pairs (a, b) name; firsts: (cls, doc_id, version, record), where each is met."""
     named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     return fetch_sets(rows, records, sketch, firsts.join(named, "cls", "left_semi"))
@@ -409,12 +432,14 @@ class Trie:
     def overlaps(self, probe: np.ndarray, needed: Callable[[int], int]) -> list[tuple[int, int]]:
         """(place, overlap) of the sets whose overlap with the probe reaches needed(size).
 
-        The walk keeps a stack of (depth, overlap so far) along the current path. An edge whose overlap so far and
-        remaining length can't reach the bound of any set below is left at once, with all of its subtree.
+        The walk keeps a stack of (depth, overlap so far) along the current path. Where the overlap so far and what is
+        left of the longest set below can't reach the lowest bound below, the whole subtree is left at once.
         """
         probe = np.sort(probe)
-        out, stack = [], [(0, 0)]
+        out, stack, skip = [], [(0, 0)], 0
         for k, place in enumerate(self.places):
+            if k < skip:
+                continue
             own, depth = self.sets[place], self.common[k]
             # back to the branching point of this set and the one before
             while stack[-1][0] > depth:
@@ -432,6 +457,14 @@ class Trie:
                 got += _members(own[at:following], probe)
                 at = following
                 stack.append((at, got))
+                end, longest, least = k, len(own), need
+                while end + 1 < len(self.places) and self.common[end + 1] >= at:
+                    end += 1
+                    longest = max(longest, len(self.sets[self.places[end]]))
+                    least = min(least, needed(len(self.sets[self.places[end]])))
+                if got + min(longest - at, len(probe) - got) < least:  # nothing below can reach its bound
+                    skip = end + 1
+                    continue
                 if got + len(own) - at < need:
                     continue
             got += _members(own[at:], probe)

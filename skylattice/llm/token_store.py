@@ -1,8 +1,9 @@
 """A content-addressed store of token ids: unique chunks, document recipes and Merkle manifests, all as Parquet.
 
     chunks/     kind=chunk: digest, n, data (ids as little-endian 16 or 32-bit integers); each digest once
-    recipes/    doc_id, version, start, n_tokens, chunks (digests in order), root; ascending doc_id by bucket
-    manifest/   bucket, documents, tokens, root: the hash over the roots of the bucket's documents
+    recipes/    number, doc_id, version, start, n_tokens, chunks (digests in order), root; ascending doc_id by bucket
+    manifest/   level, node, children, tokens, hash: a Merkle tree over the documents in order, FANOUT children to a node;
+                the only node of the highest level is the store's root
 
 A rolling hash over the last ids cuts a document's stream where its low bits are zero, so an edit moves only the cuts
 beside it and equal passages give equal chunks. Chunk data crosses the network once, to meet its copies.
@@ -26,6 +27,8 @@ WINDOW, EVERY, LONGEST = 16, 256, 4096
 #: Documents whose roots one manifest row covers, about.
 MANIFEST_DOCS = 50_000
 DIGEST = 16
+#: Children of a node of the manifest.
+FANOUT = 256
 #: Digests that a task remembers, so that it sends the copies of a chunk once.
 RECENT = 200_000
 
@@ -118,13 +121,23 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
     dealt.mapInArrow(tidy(once), made.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = _raw(spark, path, made.schema).where("kind = 'recipe'").select("bucket", "doc_id", "version", "chunks", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"))
     root = F.sha2(F.array_join(F.transform("chunks", F.hex), "").cast("binary"), 256)
-    totals = recipes.groupBy("bucket").agg(F.sum("n_tokens").alias("tokens"))
-    base = totals.select(F.col("bucket").alias("_b"), F.coalesce(F.sum("tokens").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("bucket").orderBy("doc_id", "version").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = recipes.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(base), F.col("bucket") == F.col("_b"))
-    ordered = ordered.select("bucket", "doc_id", "version", (F.col("_base") + F.col("_in")).alias("start"), "n_tokens", "chunks", root.alias("root"))
+    totals = recipes.groupBy("bucket").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows
+    base = totals.select(F.col("bucket").alias("_b"), F.coalesce(F.sum("tokens").over(upto), F.lit(0)).alias("_base"), F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("_before"))
+    order = Window.partitionBy("bucket").orderBy("doc_id", "version")
+    ordered = recipes.withColumn("_in", F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_nth", F.row_number().over(order)).join(F.broadcast(base), F.col("bucket") == F.col("_b"))
+    ordered = ordered.select("bucket", (F.col("_before") + F.col("_nth") - 1).alias("number"), "doc_id", "version", (F.col("_base") + F.col("_in")).alias("start"), "n_tokens", "chunks", root.alias("root"))
     ordered.repartitionByRange(max(1, len(bounds) + 1), "bucket").sortWithinPartitions("bucket", "doc_id", "version").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    leaves = spark.read.parquet(f"{path}/recipes").select(F.col("number").alias("node"), "n_tokens", "root")
+    below, level, n = leaves.select("node", F.col("n_tokens").alias("tokens"), F.col("root").alias("hash")), 0, rows
+    while n:
+        n, level = -(-n // FANOUT), level + 1
+        _nodes(below).withColumn("level", F.lit(level)).write.mode("append").parquet(f"{path}/manifest")
+        below = spark.read.parquet(f"{path}/manifest").where(F.col("level") == level).select("node", "tokens", "hash")
+        if n == 1:
+            break
+    if not rows:
+        _nodes(below).withColumn("level", F.lit(1)).write.parquet(f"{path}/manifest")
 
 
 def _raw(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -135,9 +148,17 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("digest binary, data binary, kind string").parquet(f"{path}/chunks").where("kind = 'chunk'").select("digest", "data")
 
 
-def _manifest(recipes: DataFrame) -> DataFrame:
-    roots = F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: x["root"])
-    return recipes.groupBy("bucket").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.sha2(F.array_join(roots, "").cast("binary"), 256).alias("root"))
+def _nodes(below: DataFrame) -> DataFrame:
+    """The next level of the manifest: node, children, tokens, hash over those of FANOUT nodes (node, tokens, hash) below."""
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"])
+    up = F.floor(F.col("node") / FANOUT).cast("long")
+    return below.groupBy(up.alias("parent")).agg(F.count("*").alias("children"), F.sum("tokens").alias("tokens"), F.sha2(F.array_join(hashes, "").cast("binary"), 256).alias("hash")).withColumnRenamed("parent", "node")
+
+
+def store_root(spark: SparkSession, path: str) -> str | None:
+    """The hash that stands for the whole store; None for an empty one."""
+    top = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("level")).select("hash").first()
+    return top["hash"] if top else None
 
 
 def crc_matrix() -> list[np.ndarray]:
@@ -198,12 +219,18 @@ def chunk_facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
-    """The recipes, after each document's root and each bucket's root are checked against the manifest."""
+    """The recipes, after the manifest is checked level by level: each node against what the nodes below it hash to, and the
+    lowest against the documents' chunks."""
     recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
-    now = recipes.withColumn("root", F.sha2(F.array_join(F.transform("chunks", F.hex), "").cast("binary"), 256))
-    wrong = _manifest(now).exceptAll(manifest).count() + (_manifest(now).count() != manifest.count())
-    if wrong:
-        raise ValueError(f"{wrong} manifest rows of {path} don't match the recipes")
+    below = recipes.select(F.col("number").alias("node"), F.col("n_tokens").alias("tokens"), F.sha2(F.array_join(F.transform("chunks", F.hex), "").cast("binary"), 256).alias("hash"))
+    levels = manifest.agg(F.max("level")).first()[0] or 1
+    for level in range(1, levels + 1):
+        now, kept = _nodes(below).select("node", "children", "tokens", "hash"), manifest.where(F.col("level") == level).select("node", "children", "tokens", "hash")
+        both = now.join(kept.select(F.col("node").alias("_n"), F.struct("children", "tokens", "hash").alias("_k")), F.col("node") == F.col("_n"), "full_outer")
+        wrong = both.where(~F.struct("children", "tokens", "hash").eqNullSafe(F.col("_k"))).count()
+        if wrong:
+            raise ValueError(f"{wrong} manifest nodes of level {level} of {path} don't match what is below them")
+        below = kept.select("node", "tokens", "hash")
     return recipes
 
 

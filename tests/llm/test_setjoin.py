@@ -3,7 +3,9 @@ import re
 
 import numpy as np
 
-from skylattice.llm.ngram_join import link_documents, one_of_each
+from skylattice.llm import setjoin
+from skylattice.llm.line_dedup import dedup_lines
+from skylattice.llm.ngram_join import count_links, link_documents, linked_pairs, one_of_each
 from skylattice.llm.setjoin import Rule, Trie
 
 from .samples import documents, empty
@@ -91,3 +93,40 @@ def test_trie_walk():
         got = dict(Trie(sets).overlaps(probe, lambda n: bound))
         want = {i: len(set(s.tolist()) & set(probe.tolist())) for i, s in enumerate(sets)}
         assert got == {i: n for i, n in want.items() if n >= bound}
+
+
+def test_every_link_is_found(spark):
+    rows = list(enumerate(near_copies(4, n=40, groups=3)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [frozenset(shingle_set(t)) for _, t in rows]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 70 * len(a | b)
+    want = [sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    got = {r["doc_id"]: r["n_links"] for r in count_links(docs, rule=Rule(70, 100)).collect()}
+    assert got == dict(enumerate(want))
+    pairs, members = linked_pairs(docs, rule=Rule(70, 100))
+    names = {r["doc_id"]: r["cls"] for r in members.collect()}
+    different = {(min(names[i], names[j]), max(names[i], names[j])) for i, a in enumerate(sets) for j, b in enumerate(sets) if a != b and linked(a, b)}
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == different
+
+
+def thue_morse(n, a, b):
+    one, two = [a], [b]
+    for _ in range(n):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_texts_that_fool_rolling_hashes(spark):
+    one, two = ("".join(x) for x in thue_morse(11, "a", "b"))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in link_documents(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()} == {1: one, 2: two, 3: ""}
+
+
+def test_sets_whose_names_meet_are_told_apart(spark, monkeypatch):
+    real = setjoin.signatures
+    monkeypatch.setattr(setjoin, "signatures", lambda t, at, seed: real(t, at, seed) % 5 if seed == 1 else real(t, at, seed))
+    tokens = np.arange(40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.arange(0, 41, 4)
+    order = setjoin.Order(np.zeros(1), np.arange(-5, 5))
+    assert len(set(setjoin.class_names(tokens, at, order).tolist())) == 10

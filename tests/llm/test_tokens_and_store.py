@@ -9,11 +9,11 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skylattice.llm import common
+from skylattice.llm import common, token_store
 from skylattice.llm.common import distinct_spans, window_hashes
 from skylattice.llm.packing import pack, token_pieces
 from skylattice.llm.token_counts import token_counts
-from skylattice.llm.token_store import crc_joined, read_digests, read_ids, write_store
+from skylattice.llm.token_store import crc_joined, read_digests, read_ids, store_root, write_store
 from skylattice.llm.tokens import merge_counter, word_ids
 
 from .samples import documents, empty
@@ -79,13 +79,30 @@ def test_store_round_trip(spark, tmp_path):
 def test_damage_is_found(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     write_store(documents(spark, 10), path, WORD)
-    spark.read.parquet(f"{path}/manifest").selectExpr("bucket", "documents", "tokens", "'0' root").write.parquet(f"{path}/other")
+    root = store_root(spark, path)
+    assert len(root) == 64
+    spark.read.parquet(f"{path}/manifest").selectExpr("node", "children", "tokens", "'0' hash", "level").write.parquet(f"{path}/other")
     (tmp_path / "store/manifest").rename(tmp_path / "store/old")
     (tmp_path / "store/other").rename(tmp_path / "store/manifest")
     with pytest.raises(ValueError, match="manifest"):
         read_digests(spark, path)
 
 
+def test_tree_of_many_levels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "FANOUT", 3)
+    docs = documents(spark, 20)
+    write_store(docs, f"file://{tmp_path}/store", WORD)
+    tree = spark.read.parquet(f"file://{tmp_path}/store/manifest").collect()
+    rows, sizes = docs.count(), []
+    while rows > 1:
+        rows = -(-rows // 3)
+        sizes.append(rows)
+    assert [sum(r["level"] == k + 1 for r in tree) for k in range(len(sizes))] == sizes and all(r["children"] <= 3 for r in tree)
+    assert read_digests(spark, f"file://{tmp_path}/store").count() == docs.count()
+    write_store(docs.repartition(3), f"file://{tmp_path}/again", WORD)
+    assert store_root(spark, f"file://{tmp_path}/again") == store_root(spark, f"file://{tmp_path}/store")
+
+
 def test_packing(spark):
     docs = documents(spark)
     got = pack(token_pieces(docs, WORD, capacity=512), capacity=512).collect()
