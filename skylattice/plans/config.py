@@ -29,7 +29,7 @@ WHOLE = ("min_frames",)
 
 def read_settings(spark: SparkSession, path: str) -> dict[str, Any]:
     """The JSON object in a file, through Spark's readers; {} where it isn't one."""
-    text = spark.read.option("wholetext", True).text(path).first()
+    text = spark.read.text(path, wholetext=True).first()
     try:
         found = json.loads(text[0]) if text else {}
     except json.JSONDecodeError:

@@ -25,7 +25,7 @@ def frames(spark: SparkSession, path: str, columns: list[str], pattern: str = "p
     Columns are found by each file's own header, whatever its order. Files whose headers are alike are parsed together, so
     the plan grows with the number of different headers, not of files; a line is one row.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     raw = raw.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("frame_id"), F.regexp_replace("value", "^\ufeff", "").alias("_text"))
     raw = raw.withColumn("_header", F.trim(F.regexp_extract("_text", r"^([^\r\n]*)", 1)))
     out = spark.createDataFrame([], "frame_id string").select("frame_id", *[typed(c, F.lit(None).cast("string")).alias(c) for c in columns])
