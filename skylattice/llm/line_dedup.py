@@ -17,6 +17,8 @@ from .common import LOWER, bitmap, cut, fresh, key_filter, span_hashes, split, s
 from .setjoin import Rule, candidates, first_pass, keyed, sets_of, shown_tokens, verify
 
 RULE = Rule(80, 100)
+#: Rounds in which each line asks for one partner, before the one that takes all pairs that are left.
+ROUNDS = 3
 
 
 def lines(batch: pa.RecordBatch):
@@ -47,24 +49,30 @@ def later_lines(rows: DataFrame, rule: Rule = RULE) -> DataFrame:
     proposed, shown = shown_tokens(rows, lines, sketch, rule, most=1, keep_all=False)
     gone = rows.sparkSession.createDataFrame([], "cls long")
     tested = None
-    for last in (False, True):
-        # at first each line asks for the partner that most groups name; at last for all that are left, those of groups cut short too
-        pairs = proposed
+    for turn in range(ROUNDS + 1):
+        # each line asks for one partner at a time; at last for all that are left, those of groups cut short too
+        last, pairs = turn == ROUNDS, proposed
+        if turn:
+            pairs = candidates(shown, gone.select("cls", F.lit(0).cast("long").alias("label")), rule, most=None if last else 1, turn=turn)
         if last:
-            pairs = candidates(shown, gone.select("cls", F.lit(0).cast("long").alias("label")), rule, most=None, turn=1).unionByName(proposed).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+            pairs = pairs.unionByName(proposed).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs.select("a", "b", "votes"))
         met = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("cls")), F.col("cls"))
         near, _ = split(classes.select("cls", "first"), F.col("cls"), met)
-        one, two = near.select(F.col("cls").alias("a"), F.col("first").alias("first_a")), near.select(F.col("cls").alias("b"), F.col("first").alias("first_b"))
-        pairs = pairs.join(one, "a").join(two, "b").withColumn("later", F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a"))).select("a", "b", "later", "votes")
+        near = near.join(gone.withColumn("gone", F.lit(True)), "cls", "left")
+        one, two = (near.select(F.col("cls").alias(x), F.col("first").alias(f"first_{x}"), F.col("gone").alias(f"gone_{x}")) for x in "ab")
+        # a pair tells something only if the later of the two is still there
+        before = F.col("first_a") < F.col("first_b")
+        later = F.when(before, F.col("b")).otherwise(F.col("a"))
+        pairs = pairs.join(one, "a").join(two, "b").where(F.when(before, F.col("gone_b")).otherwise(F.col("gone_a")).isNull()).select("a", "b", later.alias("later"), "votes")
         if not last:
             pairs = pairs.groupBy("later").agg(F.max_by(F.struct("a", "b"), F.struct("votes", "a", "b")).alias("best")).select("best.a", "best.b", "later")
-        pairs = cut(pairs.join(gone.select(F.col("cls").alias("later")), "later", "left_anti").select("a", "b", "later"))
+        pairs = cut(pairs.select("a", "b", "later"))
         firsts = classes.select("cls", "first.doc_id", "first.version", "first.record")
         alike = verify(pairs, sets_of(pairs, rows, lines, sketch, firsts), rule).join(pairs, ["a", "b"]).select(F.col("later").alias("cls"))
         gone = cut(gone.unionByName(alike).distinct())
-        tested = pairs.select("a", "b")
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
     told = classes.join(gone.withColumn("_gone", F.lit(True)), "cls", "left").where("_gone or copies > 1").select(F.col("cls").alias("_c"), "first", "_gone")
     hit = found.join(told, F.col("cls") == F.col("_c"))
     return hit.where(F.coalesce("_gone", F.lit(False)) | (_place() != F.col("first"))).select("doc_id", "version", "record")

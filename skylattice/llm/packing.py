@@ -24,9 +24,9 @@ from .tokens import word_ids
 
 CAPACITY = 2048
 #: Phases: lengths of which so many fit a sequence at least.
-PHASES = (1, 2, 3, 4, 6, 8, 12, 16, 32, 64, 256)
+PHASES = (1, 2, 3, 4, 6, 8, 16, 32, 128)
 #: The rounds of a phase go on while they place one in so many of its open documents at least; the rest opens sequences.
-WORTH = 50
+WORTH = 10
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int = 0, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,9 +86,9 @@ def _round(gaps: DataFrame, docs: DataFrame, counts: DataFrame, shards: int) ->
     """
     spread = gaps.withColumn("shard", F.pmod(F.xxhash64("seq"), F.lit(shards)))
     sums = spread.groupBy("size", "shard").agg(F.count("*").alias("n"))
-    rows = _sweep(sums.groupBy("size").agg(F.sum("n").alias("g")), counts).collect()  # at most `capacity` rows
-    taken = {int(r["size"]): int(r["taken"]) for r in rows if r["taken"]}
-    sweep = gaps.sparkSession.createDataFrame(rows, "size long, open long, g long, taken long")
+    rows = _sweep(sums.groupBy("size").agg(F.sum("n").alias("g")), counts).toArrow()  # at most `capacity` rows
+    taken = {size: n for size, n in zip(rows["size"].to_pylist(), rows["taken"].to_pylist(), strict=True) if n}
+    sweep = gaps.sparkSession.createDataFrame(rows)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = spread.withColumn("nth", F.row_number().over(Window.partitionBy("size", "shard").orderBy("seq"))).join(sums.select("size", "shard", before.alias("before")), ["size", "shard"])
     facts = F.broadcast(sweep)  # at most `capacity` rows
@@ -139,19 +139,21 @@ def pack(pieces: DataFrame, *, length: str = "length", order: tuple[str, ...] =
         while left := sum(todo[n] - done[n] for n in own):
             rest = [(n, todo[n] - done[n], done[n]) for n in own if todo[n] > done[n]]
             first = np.cumsum([0, *[d for _, d, _ in rest]])[:-1].tolist()
-            counts = spark.createDataFrame([(*r, f) for r, f in zip(rest, first, strict=True)], "size long, d long, done long, first long")
-            docs = ranked.select("size", "rank").where(F.col("size").between(low + 1, high)).join(F.broadcast(counts), "size").where("rank > done")
-            docs = docs.select("size", "rank", (F.col("rank") - F.col("done")).alias("nth"), "first")
+            # what changes from round to round is data, not part of the plan: its generated code is compiled once
+            each = capacity // high
+            facts = pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("size", "d", "done"), zip(*rest, strict=True), strict=True)} | {"first": pa.array(first, pa.int64()), "opened": pa.array([opened] * len(rest), pa.int64()), "each": pa.array([each] * len(rest), pa.int64())})
+            counts = spark.createDataFrame(facts)
+            docs = ranked.select("size", "rank").join(F.broadcast(counts), "size").where("rank > done")
+            docs = docs.select("size", "rank", (F.col("rank") - F.col("done")).alias("nth"), "first", "opened", "each")
             if worth:
-                met, taken = _round(gaps, docs.drop("first"), counts.select("size", "d"), shards)
+                met, taken = _round(gaps, docs.select("size", "rank", "nth"), counts.select("size", "d"), shards)
                 placed.append(met.where("kind = 1").select("size", "rank", "seq", "used"))
                 gaps = met.where("kind = 0").select("seq", (F.col("size") - F.col("takes")).alias("size"), (F.col("used") + F.col("takes")).alias("used")).where("size > 0")
                 for n, found in taken.items():
                     done[n] += found
                 worth = sum(taken.values()) * WORTH >= left
                 continue
-            each = capacity // high
-            new = docs.withColumn("at", F.col("first") + F.col("nth") - 1).withColumn("seq", F.expr(f"{opened}L + at div {each}"))
+            new = docs.withColumn("at", F.col("first") + F.col("nth") - 1).withColumn("seq", F.expr("opened + at div each"))
             new = cut(new.select("size", "rank", "seq", F.coalesce(F.sum("size").over(Window.partitionBy("seq").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("used")))
             opened += -(-left // each)
             placed.append(new)

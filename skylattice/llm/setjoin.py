@@ -122,18 +122,27 @@ def first_pass(rows: DataFrame, records: Records) -> tuple[DataFrame, Order]:
     names = ["doc_id", "version", "record", "n", "cls", "other", "part", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        sketch, ids = np.zeros(SKETCH, np.uint32), None
+        sketch, ids, cells = np.zeros(SKETCH, np.uint32), None, []
+
+        def counted():
+            if cells:
+                np.add(sketch, np.bincount(np.concatenate(cells), minlength=SKETCH), out=sketch, casting="unsafe")
+                cells.clear()
+
         for batch in text_slices(batches, "text"):
             ids = batch.schema.field("doc_id").type
             row, number, tokens, at = records(batch)
             tokens, at = distinct(tokens, at)
-            sketch += np.bincount(_cells(tokens), minlength=SKETCH).astype(np.uint32)
+            cells.append(_cells(tokens).astype(np.uint32))
+            if sum(map(len, cells)) > SKETCH:
+                counted()
             n = len(row)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(number.astype(np.int32)), pa.array(np.diff(at).astype(np.int32)), pa.array(signatures(tokens, at, 1)), pa.array(signatures(tokens, at, 2)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
             )
         if ids is not None:
+            counted()
             parts = np.minimum(sketch, 255).astype(np.uint8).reshape(SKETCH_PARTS, -1)
             n = SKETCH_PARTS
             yield pa.RecordBatch.from_arrays([pa.nulls(n, ids), *[pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())], pa.array(np.arange(n, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)

@@ -19,8 +19,8 @@ from .common import code_points, distinct_spans, expand
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct pieces, and their letters, that a worker remembers before it starts afresh: about 30 MB.
-MEMO_PIECES, MEMO_LETTERS = 120_000, 4_000_000
+#: Distinct pieces, and their letters, that a worker remembers before it starts afresh: about 90 MB.
+MEMO_PIECES, MEMO_LETTERS = 400_000, 12_000_000
 
 
 class Memo:
