@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Checkpoints after which the driver lets go of plans it no longer needs, so that Spark deletes their shuffles and files.
+CLEAN_AFTER = 8
+_checkpoints = count(1)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and keep it in the checkpoint folder, so that a lost executor loses nothing of it."""
     spark = df.sparkSession
+    if next(_checkpoints) % CLEAN_AFTER == 0:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     folder = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
