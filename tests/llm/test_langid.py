@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from skylattice.llm import langid
 from skylattice.llm.langid import fit, grams, identify, keep_identified, train
@@ -138,3 +139,47 @@ def test_limits_of_few_rows():
     assert np.isclose(mean[1], low[100:].mean()) and 0.05 < deviation[1] < 0.3
     assert np.allclose([mean[2], deviation[2]], [low.mean(), low.std()])
     assert np.isinf(langid._limits(2, best[:0], low[:0])[0]).all()
+
+
+def plain_kneser_ney(counts, symbols):
+    """p(last symbol | the three before) of one language by the definition, from counts of 4-grams (tuples)."""
+    tables = {4: counts}
+    for m in (3, 2, 1):
+        tables[m] = Counter(g[1:] for g in tables[m + 1])
+    discount = {}
+    for m, t in tables.items():
+        once, twice = sum(n == 1 for n in t.values()), sum(n == 2 for n in t.values())
+        discount[m] = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    totals = {m: Counter() for m in tables}
+    types = {m: Counter() for m in tables}
+    for m, t in tables.items():
+        for g, n in t.items():
+            totals[m][g[:-1]] += n
+            types[m][g[:-1]] += 1
+
+    def p(g):
+        m = len(g)
+        if not m:
+            return 1 / (symbols + 1)
+        h = g[:-1]
+        if not totals[m][h]:
+            return p(g[1:])
+        own = max(tables[m][g] - discount[m], 0) if g in tables[m] else 0
+        return own / totals[m][h] + discount[m] * types[m][h] / totals[m][h] * p(g[1:])
+
+    return p
+
+
+def test_probabilities_against_the_definition(spark):
+    r = random.Random(11)
+    texts = {lang: ["".join(r.choice(letters) for _ in range(r.randint(3, 60))) for _ in range(15)] for lang, letters in (("xx", "aabbcdé "), ("yy", "ab xyzü"))}
+    rows = spark.createDataFrame([(lang, t) for lang, own in texts.items() for t in own], "lang string, text string")
+    model = train(rows, rows.limit(0))
+    split = lambda key: tuple((int(key) >> (16 * i)) & 0xFFFF for i in (3, 2, 1, 0))
+    counts = {lang: Counter(split(k) for k in grams(pa.array(own))[0]) for lang, own in texts.items()}
+    symbols = len({g[-1] for c in counts.values() for g in c})
+    keys = grams(pa.array([*texts["xx"], *texts["yy"], "new zeta text", "aqa baq"]))[0]
+    got = np.exp(model.log_probabilities(keys))
+    for i, lang in enumerate(model.languages):
+        p = plain_kneser_ney(counts[lang], symbols)
+        assert got[:, i] == pytest.approx([p(split(k)) for k in keys], rel=1e-4)
