@@ -85,4 +85,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words of lower-cased texts in DuckDB's dialect: only A to Z change, only the six ASCII spaces part.
+_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    # every 400-byte window by its bytes; runs of covered bytes; what is left between them
+    "op2_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents), n as (select doc_id, h, length(h) // 2 as n from d),
+        w as (select doc_id, unnest(range(0, n - 399)) as p from n where n >= 400), m as (select w.doc_id, p, md5(substr(h, 2 * p + 1, 800)) as k from w join n using (doc_id)),
+        r as (select doc_id, p from m qualify count(*) over (partition by k) > 1), b as (select *, case when p <= lag(p) over (partition by doc_id order by p) + 400 then 0 else 1 end as new from r),
+        i as (select *, sum(new) over (partition by doc_id order by p rows unbounded preceding) as run from b), s as (select doc_id, run, min(p) as a, max(p) + 400 as z from i group by 1, 2),
+        g as (select n.doc_id, coalesce(lag(s.z) over (partition by n.doc_id order by s.a), 0) as a, s.a as z from n join s using (doc_id) union all select n.doc_id, coalesce(max(s.z), 0), max(n.n) from n left join s using (doc_id) group by 1),
+        k as (select g.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' order by a) as kept from g join n using (doc_id) group by 1), t as (select doc_id, sum(z - a) as n_removed, count(*) as n_spans from s group by 1)
+        select n.doc_id, cast(n.n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(kept)) as kept_sha256, n_removed is not null as removed from n join k using (doc_id) left join t using (doc_id)""",
+    # rarest words first; two alike sets share one of the words that each shows
+    "op4_line_dedup": f"""
+        with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents where text is not null), w as (select doc_id, k, line, list_sort(list_distinct({_WORDS.format("line")})) as ws from l),
+        c as (select ws, min((doc_id, k)) as first from w where len(ws) > 0 group by 1), e as (select ws, first, unnest(ws) as word from c), f as (select word, count(*) as n from e group by 1),
+        o as (select ws, first, word, row_number() over (partition by ws order by f.n, word) as k from e join f using (word)), s as (select * from o where k <= len(ws) - (8 * len(ws) + 9) // 10 + 1),
+        p as (select distinct a.ws as x, b.ws as y from s a join s b on a.word = b.word and b.first < a.first and 10 * len(a.ws) >= 8 * len(b.ws) and 10 * len(b.ws) >= 8 * len(a.ws)),
+        gone as (select distinct x as ws from (select x, len(x) as n, len(y) as m, len(list_intersect(x, y)) as common from p) where 10 * common >= 8 * (n + m - common)),
+        t as (select w.doc_id, w.k, w.line, len(w.ws) > 0 and (gone.ws is not null or (w.doc_id, w.k) <> c.first) as out from w left join c on c.ws = w.ws left join gone on gone.ws = w.ws),
+        g as (select doc_id, string_agg(line, chr(10) order by k) filter (where not coalesce(out, false)) as kept, count(*) as n_lines, count(*) filter (where out) as n_removed from t group by 1)
+        select d.doc_id, case when d.text is not null then coalesce(kept, '') end as text, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed from documents d left join g using (doc_id)""",
+    # all pairs that share a shingle
+    "op6_ngram_join": f"""
+        with recursive w as (select doc_id, {_WORDS.format("coalesce(text, '')")} as ws from documents),
+        i as (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) as i from w where len(ws) > 0), s as (select distinct doc_id, array_to_string(ws[i:i + 3], ' ') as g from i),
+        n as (select doc_id, count(*) as n from s group by 1), b as (select a.doc_id as x, b.doc_id as y, count(*) as common from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+        l as (select x, y from b join n p on p.doc_id = x join n q on q.doc_id = y where 100 * common >= 85 * (p.n + q.n - common)), r as (select doc_id as x, doc_id as y from documents union select r.x, l.y from r join l on l.x = r.y)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, r.low as component_id from documents d left join n using (doc_id) join (select x, min(y) as low from r group by 1) r on r.x = d.doc_id""",
+}
