@@ -77,11 +77,12 @@ def linked_classes(rows: DataFrame, size: int, rule: Rule) -> tuple[DataFrame, D
     turn, last = 0, False
     while True:
         pairs = candidates(shown, labels, rule, most=None if last else 1, turn=turn) if turn else proposed
-        pairs = likely(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), lists, rule)
-        if not last:  # of a document's proposals, the one that most groups make
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        if not last:  # of a document's proposals, the one that most groups make: only those meet the lists
             best = pairs.groupBy("b").agg(F.max_by(F.struct("a", "b"), F.struct("votes", F.xxhash64("a", F.lit(turn)))).alias("best"))
-            pairs = best.select("best.a", "best.b")
-        pairs = cut(pairs.select("a", "b"))
+            pairs = cut(best.select("best.a", "best.b"))
+        asked = pairs
+        pairs = cut(likely(pairs, lists, rule).select("a", "b"))
         good = cut(verify(pairs, sets_of(pairs, rows, records, sketch, firsts), rule))
         n = good.count()
         if n or labels is None:
@@ -89,7 +90,7 @@ def linked_classes(rows: DataFrame, size: int, rule: Rule) -> tuple[DataFrame, D
             labels = components(edges)
         if last:
             break
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        tested = asked if tested is None else tested.unionByName(asked)
         turn, last = turn + 1, n < WORTH
     return found, labels
 
