@@ -57,6 +57,8 @@ def later_lines(rows: DataFrame, rule: Rule = RULE) -> DataFrame:
         if last:
             pairs = pairs.unionByName(proposed).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        if not last:  # the partner that most groups name; only it meets the classes
+            pairs = pairs.groupBy("b").agg(F.max_by(F.struct("a", "votes"), F.struct("votes", F.xxhash64("a", F.lit(turn)))).alias("best")).select("best.a", "b", "best.votes")
         pairs = cut(pairs.select("a", "b", "votes"))
         met = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("cls")), F.col("cls"))
         near, _ = split(classes.select("cls", "first"), F.col("cls"), met)
