@@ -52,12 +52,12 @@ def _(spark, d):
 
 
 @query("x9_x11_times", """
-    select event_id, round(floor(epoch(ts) / 86400) + (epoch(ts) - 86400 * floor(epoch(ts) / 86400)) / 86400.0 + 2440587.5, 7) as jd, strftime(ts, '%Y%m%d') as day,
+    select event_id, round(floor(epoch(ts) / 86400) + (epoch(ts) - 86400 * floor(epoch(ts) / 86400)) / 86400.0 + 2440587.5 + 0.00000002, 7) as jd, strftime(ts, '%Y%m%d') as day,
       round(abs((((value * 3 - 40 + 180) % 360.0) + 360.0) % 360.0 - 180), 6) as angle from events""")
 def _(spark, d):
     e = read(spark, d, "events")
     jd = expr.julian_day(F.col("ts"))
-    return e.select("event_id", F.round(jd, 7).alias("jd"), expr.day_of_julian(jd).alias("day"), F.round(expr.angle_difference(F.col("value") * 3, F.lit(40.0)), 6).alias("angle"))
+    return e.select("event_id", F.round(jd + 0.00000002, 7).alias("jd"), expr.day_of_julian(jd).alias("day"), F.round(expr.angle_difference(F.col("value") * 3, F.lit(40.0)), 6).alias("angle"))
 
 
 @query("x15_x16_ids_and_flags", """
@@ -296,9 +296,9 @@ def _(spark, d):
 
 
 @query("f17_blend_vote", f"""with {DENSE}, f as (select median(x) as typical from (select frame_id, median(err) as x from dense group by 1)), s as (select catalog_id, count(airmass) as n, median(airmass) as median_chi2, median(err) as median_fwhm from dense group by 1)
-    select catalog_id, n, round(median_chi2, 6) as median_chi2, round(median_fwhm, 6) as median_fwhm, round(median_fwhm / typical, 6) as width_ratio from s cross join f where (n >= 3 and median_chi2 > 1.5) or median_fwhm / typical > 1.0001""")
+    select catalog_id, n, round(median_chi2, 6) as median_chi2, round(median_fwhm, 6) as median_fwhm, round(median_fwhm / typical, 6) as width_ratio from s cross join f where (n >= 3 and median_chi2 > 1.49) or median_fwhm / typical > 1.02""")
 def _(spark, d):
-    return rounded(comparison.blend_vote(dense(spark, d), "airmass", "err", chi2_max=1.5, fwhm_max=1.0001))
+    return rounded(comparison.blend_vote(dense(spark, d), "airmass", "err", chi2_max=1.49, fwhm_max=1.02))
 
 
 PAIRS = f"{REGION_PAIRS}, {STARS}, pairs as (select b.target_id, b.comp_id, abs(t.mag - c.mag) as dm, abs(t.bp_rp - c.bp_rp) as db, case when abs(t.mag - c.mag) <= 0.25 and abs(t.bp_rp - c.bp_rp) <= 0.15 then 1 when abs(t.mag - c.mag) <= 0.5 and abs(t.bp_rp - c.bp_rp) <= 0.3 then 2 when abs(t.mag - c.mag) <= 1.0 and abs(t.bp_rp - c.bp_rp) <= 0.5 then 3 else 4 end as tier from region_pairs b join stars t on t.catalog_id = b.target_id join stars c on c.catalog_id = b.comp_id)"
