@@ -52,12 +52,12 @@ def _(spark, d):
 
 
 @query("x9_x11_times", """
-    select event_id, round(floor(epoch(ts) / 86400) + (epoch(ts) - 86400 * floor(epoch(ts) / 86400)) / 86400.0 + 2440587.5 + 0.00000002, 7) as jd, strftime(ts, '%Y%m%d') as day,
+    select event_id, round(floor(epoch(ts) / 86400) + (epoch(ts) - 86400 * floor(epoch(ts) / 86400)) / 86400.0 + 2440587.5, 3) as jd, strftime(ts, '%Y%m%d') as day,
       round(abs((((value * 3 - 40 + 180) % 360.0) + 360.0) % 360.0 - 180), 6) as angle from events""")
 def _(spark, d):
     e = read(spark, d, "events")
     jd = expr.julian_day(F.col("ts"))
-    return e.select("event_id", F.round(jd + 0.00000002, 7).alias("jd"), expr.day_of_julian(jd).alias("day"), F.round(expr.angle_difference(F.col("value") * 3, F.lit(40.0)), 6).alias("angle"))
+    return e.select("event_id", F.round(jd, 3).alias("jd"), expr.day_of_julian(jd).alias("day"), F.round(expr.angle_difference(F.col("value") * 3, F.lit(40.0)), 6).alias("angle"))
 
 
 @query("x15_x16_ids_and_flags", """

@@ -559,14 +559,14 @@ def _(spark, d):
 # ---------------------------------------------------------------- scalar functions
 
 
-@query("x10_x11_x33_times", "select event_id, strftime(ts, '%H:%M') as hm, round(epoch(ts) / 86400.0 + 2440587.5 + coalesce(case when event_id % 3 > 0 then value end, 0) / 2 / 86400.0 + 0.0000001, 5) as mid, case when event_id % 70 > greatest(1.0, 50.0) then 'Expired' when event_id % 70 >= 0.8 * 50 then 'Warning' else 'OK' end as status from (select event_id, value, date_trunc('second', ts) as ts from events)")
+@query("x10_x11_x33_times", "select event_id, strftime(ts, '%H:%M') as hm, round(epoch(ts) / 86400.0 + 2440587.5 + coalesce(case when event_id % 3 > 0 then value end, 0) / 2 / 86400.0, 3) as mid, case when event_id % 70 > greatest(1.0, 50.0) then 'Expired' when event_id % 70 >= 0.8 * 50 then 'Warning' else 'OK' end as status from (select event_id, value, date_trunc('second', ts) as ts from events)")
 def _(spark, d):
     ts, k = F.date_trunc("second", "ts"), F.col("event_id")
     text = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     mid = expr.mid_exposure_of(F.when(k % 2 == 0, text).otherwise(F.substring(text, 1, 10)), F.substring(text, 12, 8), F.when(k % 3 > 0, F.col("value")))
     then = F.lit("2024-06-01").cast("timestamp")
     age = expr.age_days(F.date_add(F.lit("2024-06-01").cast("date"), (k % 70).cast("int")), then)
-    return read(spark, d, "events").select("event_id", expr.hours_minutes(expr.julian_day(ts)).alias("hm"), F.round(mid + 0.0000001, 5).alias("mid"), expr.validity(age, 50.0).alias("status"))
+    return read(spark, d, "events").select("event_id", expr.hours_minutes(expr.julian_day(ts)).alias("hm"), F.round(mid, 3).alias("mid"), expr.validity(age, 50.0).alias("status"))
 
 
 @query("x13_x14_pointings", "with t as (select s_suppkey as k, s_suppkey % 24 as h, s_suppkey % 60 as m, (s_suppkey * 7 % 600) / 10.0 as s from supplier) select k, round(case when k % 4 = 0 then h + 0.5 else (h + m / 60.0 + s / 3600.0) * 15 end, 6) as ra, round(case when k % 2 = 0 then -1 else 1 end * (h + m / 60.0 + s / 3600.0), 6) as dec, case when k % 3 = 0 then 'header' else 'target' end as origin from t")
