@@ -28,8 +28,15 @@ SLICE_BYTES = 1 << 20
 # ---------------------------------------------------------------- shared storage
 
 
+def let_go_of_shuffles(spark: SparkSession) -> None:
+    """From now on, what an action has shuffled is deleted when the action ends: rounds would pile it up otherwise. What is
+    needed again lies in checkpoints and written tables."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary folder where that is unset and Spark is local."""
+    let_go_of_shuffles(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local["):
@@ -284,6 +291,7 @@ def tidy(run):
     """A task function for mapInArrow that gets its rows in small batches and gives its memory back when it ends."""
     spark = SparkSession.getActiveSession()
     if spark is not None:
+        let_go_of_shuffles(spark)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
