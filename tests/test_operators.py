@@ -133,6 +133,6 @@ def test_frame_files(spark, tmp_path):
     assert sorted((r["frame_id"], r["catalog_id"], r["dao_flux"]) for r in df.collect()) == [("proc_001", "123", 10.5), ("proc_001", "DET_1", None)]
     assert [r["catalog_id"] for r in files.quality(df).collect()] == ["123"]
     assert files.normalised(df).where("mag_inst is not null").count() == 1 and files.missing_columns(df, ["x", "zone"]) == ["x"]
-    curve = spark.createDataFrame([("a", 1.23456789, 2.0)], "catalog_id string, mag double, aperture_px double")
+    curve = spark.createDataFrame([("a", 1.23456789, 2.0)], "catalog_id string, mag_calib double, aperture_r_px double")
     files.write_curves(curve, f"file://{tmp_path}/out")
-    assert spark.read.option("header", True).csv(f"file://{tmp_path}/out").first()["mag"] == "1.234568"
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/out").first()["mag_calib"] == "1.234568"
