@@ -129,7 +129,8 @@ def mix_sources(
     taken is how many words the mix takes of a document: 0 if none, its size once for each whole pass, up to `most` times
     its size. A null text has size 0; a null source is a source of its own, last in order. Documents of equal key and size
     in a source stand in any order among each other, so their taken counts may be exchanged between them but not changed.
-    Empty tables give empty results; columns of docs with clashing names don't matter.
+    A very long text is counted whole and may lie in many blocks. Empty tables give empty results; columns of docs with
+    clashing names don't matter.
     """
     placed = _picks(docs, key, source, text, weights, most, shard_words, seed)
     return placed.select(F.col("_key").alias(key), F.col("size"), F.col("source").alias(source), F.col("source_size"), F.col("target"), (F.col("_pass") * F.col("size") + F.col("_some")).cast("long").alias("taken"))

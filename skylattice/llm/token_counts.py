@@ -14,7 +14,7 @@ def token_counts(docs: DataFrame, model: str, *, text: str = "text", limit: int
     """docs with n_bytes, n_tokens and over_limit, without `text`.
 
     A null text counts as empty: 0 bytes, 0 tokens. Rows are kept as they are, repeated rows too; an empty table gives
-    an empty result. Columns of docs that are named like the new ones are replaced. Each row stands alone, so the work
+    an empty result, and a very long text is counted whole. Columns of docs that are named like the new ones are replaced. Each row stands alone, so the work
     has no shuffle, and a lost task is simply run again.
     """
     new = {"n_bytes", "n_tokens", "over_limit"}
