@@ -64,6 +64,15 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("v").alias("cls")).agg(F.min("u").alias("label"))
 
 
+def near_labels(edges: DataFrame) -> DataFrame:
+    """(cls, label): a class of the same component for each class in edges (a, b), the smallest within two or three links.
+    Classes of one component may differ in it."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    on = low.select(F.col("u").alias("w"), F.col("m").alias("further"))
+    return low.join(on, low["m"] == F.col("w")).select(F.col("u").alias("cls"), F.col("further").alias("label"))
+
+
 def linked_classes(rows: DataFrame, size: int, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(doc_id, version, record, n, cls) of every row, and (cls, label) of classes linked to another."""
     records = shingles(size)
@@ -85,11 +94,13 @@ def linked_classes(rows: DataFrame, size: int, rule: Rule) -> tuple[DataFrame, D
         pairs = cut(likely(pairs, lists, rule).select("a", "b"))
         good = cut(verify(pairs, sets_of(pairs, rows, records, sketch, firsts), rule))
         n = good.count()
-        if n or labels is None:
+        if n or edges is None:
             edges = good if edges is None else edges.unionByName(good)
-            labels = components(edges)
         if last:
+            labels = components(edges) if n else labels
             break
+        # whole components before the last round; before others it is enough that most of what is connected is known to be
+        labels = components(edges) if n < WORTH else cut(near_labels(edges))
         tested = asked if tested is None else tested.unionByName(asked)
         turn, last = turn + 1, n < WORTH
     return found, labels
