@@ -19,6 +19,8 @@ from .packing import pack, token_pieces
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_store import read_digests, write_store
+from .transducer import decode, encode
+from .vector_codes import compress
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +74,17 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clip_digests(clips)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("word_bpe_49k.json")
+    back = decode(encode(_documents(spark, sf_dir).select("doc_id", "text"), model), model)
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return back.select("doc_id", "n_tokens", F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -83,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_media_columns": op10_media_columns,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_bpe_codec": op13_bpe_codec,
 }
 
 #: Words of lower-cased texts in DuckDB's dialect: only A to Z change, only the six ASCII spaces part.
@@ -115,4 +130,15 @@ ORACLE_SQL: dict[str, str] = {
         n as (select doc_id, count(*) as n from s group by 1), b as (select a.doc_id as x, b.doc_id as y, count(*) as common from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
         l as (select x, y from b join n p on p.doc_id = x join n q on q.doc_id = y where 100 * common >= 85 * (p.n + q.n - common)), r as (select doc_id as x, doc_id as y from documents union select r.x, l.y from r join l on l.x = r.y)
         select d.doc_id, coalesce(n.n, 0) as n_shingles, r.low as component_id from documents d left join n using (doc_id) join (select x, min(y) as low from r group by 1) r on r.x = d.doc_id""",
+    # every distance to every entry
+    "op12_vector_codes": """
+        with w as (select row_number() over (order by vec_id nulls last, embedding) as k, vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0), g as (select k, q, unnest(range(0, 16)) as part from w), v as (select k, part, q[part * (len(q) // 16) + 1:(part + 1) * (len(q) // 16)] as x from g),
+        c0 as (select part, cast(k - 1 as int) as i, x as e from v where k <= 64), a1 as (select k, part, x, i, d from (select v.k, v.part, v.x, c.i, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - e[i]) * (x[i] - e[i]))) as d from v join c0 c using (part)) qualify row_number() over (partition by k, part order by d, i) = 1),
+        s1 as (select part, i, list(cast(floor_div as bigint) order by j) as e from (select part, i, j, case when s >= 0 then s // n else -((-s + n - 1) // n) end as floor_div from (select part, i, j, sum(x[j]) as s, count(*) as n from (select part, i, x, unnest(range(1, len(x) + 1)) as j from a1) group by 1, 2, 3)) group by 1, 2), c1 as (select c.part, c.i, coalesce(s.e, c.e) as e from c0 c left join s1 s on s.part = c.part and s.i = c.i),
+        a2 as (select k, part, x, i, d from (select v.k, v.part, v.x, c.i, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - e[i]) * (x[i] - e[i]))) as d from v join c1 c using (part)) qualify row_number() over (partition by k, part order by d, i) = 1), s2 as (select part, i, list(cast(floor_div as bigint) order by j) as e from (select part, i, j, case when s >= 0 then s // n else -((-s + n - 1) // n) end as floor_div from (select part, i, j, sum(x[j]) as s, count(*) as n from (select part, i, x, unnest(range(1, len(x) + 1)) as j from a2) group by 1, 2, 3)) group by 1, 2), c2 as (select c.part, c.i, coalesce(s.e, c.e) as e from c1 c left join s2 s on s.part = c.part and s.i = c.i),
+        a3 as (select k, part, x, i, d from (select v.k, v.part, v.x, c.i, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - e[i]) * (x[i] - e[i]))) as d from v join c2 c using (part)) qualify row_number() over (partition by k, part order by d, i) = 1),
+        r as (select k, string_agg(printf('%02x', i), '' order by part) as code, cast(sum(d) as bigint) as error from a3 group by 1),
+        h as (select sha256(string_agg(array_to_string(e, ','), ',' order by part, i)) as codebooks_sha256 from c2)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from w join r using (k), h""",
 }

@@ -101,7 +101,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(1)
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in shown]
@@ -119,6 +119,9 @@ class WordIds:
         self.memo = Memo()
         self.special = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
 
+    def _piece(self, letters: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(letters)]
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -142,12 +145,10 @@ class WordIds:
         begin, end = self._pieces(points, at, kind)
         count = np.diff(np.searchsorted(begin, at))
         small = lowers[points]
-        letters, tokenize = _byte_letters(), self.model.tokenize
+        letters, ids_of = byte_letters(), self._piece
 
         def make(piece: str) -> list[int]:
-            if not piece.isascii():
-                piece = "".join([letters[b] for b in piece.encode("utf-8")])
-            return [t.id for t in tokenize(piece)]
+            return ids_of(piece if piece.isascii() else "".join([letters[b] for b in piece.encode("utf-8")]))
 
         slot = self.memo.slots(small, begin, end, make) if len(begin) else np.zeros(0, np.int64)
         size = self.memo.size[slot]
