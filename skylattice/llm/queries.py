@@ -16,6 +16,7 @@ from .media import clip_digests, store_clips
 from .mixing import mix_sources
 from .ngram_join import link_documents
 from .packing import pack, token_pieces
+from .prefix_trie import conversation_trie
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_store import read_digests, write_store
@@ -74,6 +75,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clip_digests(clips)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_media_columns": op10_media_columns,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_vector_codes": op12_vector_codes,
     "op13_bpe_codec": op13_bpe_codec,
 }
@@ -130,6 +136,18 @@ ORACLE_SQL: dict[str, str] = {
         n as (select doc_id, count(*) as n from s group by 1), b as (select a.doc_id as x, b.doc_id as y, count(*) as common from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
         l as (select x, y from b join n p on p.doc_id = x join n q on q.doc_id = y where 100 * common >= 85 * (p.n + q.n - common)), r as (select doc_id as x, doc_id as y from documents union select r.x, l.y from r join l on l.x = r.y)
         select d.doc_id, coalesce(n.n, 0) as n_shingles, r.low as component_id from documents d left join n using (doc_id) join (select x, min(y) as low from r group by 1) r on r.x = d.doc_id""",
+    # every beginning of every conversation as text, 64 letters a turn; crc32 bit by bit
+    "op11_prefix_trie": """
+        with t as (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null),
+        n as (select conv_id, turn, sha256(strlen(r) || ':' || r || x) as name, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) as words from t), s as (select conv_id, list(name order by turn nulls first, name) as own, list(words order by turn nulls first, name) as w from n group by 1),
+        c as (select *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda d: list_prepend(cast(ascii(d) as bigint), [0, 0, 0, 0, 0, 0, 0])))), lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295) % 4 as h from s),
+        b as (select c.conv_id, list_concat(coalesce(l.own[1:c.h], []), c.own[c.h + 1:]) as q, list_concat(coalesce(l.w[1:c.h], []), c.w[c.h + 1:]) as w from c left join s l on l.conv_id = c.conv_id - c.conv_id % 20),
+        e as (select conv_id, array_to_string(q, '') as q, w, unnest(range(0, len(q) + 1)) as d from b),
+        v as (select left(q, 64 * d) as p, d, min(conv_id) as conv_id, count(*) as n_convs, max(case when d > 0 then w[d] else 0 end) as w, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where length(q) = 64 * d), '')) as ends from e group by 1, 2),
+        k as (select left(p, 64 * (d - 1)) as p, count(*) as n_children from v where d > 0 group by 1), o as (select v.*, coalesce(n_children, 0) as n_children from v left join k using (p)),
+        u as (select left(p, 64 * unnest(range(0, d + 1))) as p, case when n_children = 0 then 1 else 0 end as leaf, (n_convs - 1) * w as saved from o), g as (select p, sum(leaf) as n_leaves, sum(saved) as saved_tokens from u group by 1)
+        select o.conv_id, cast(o.d as bigint) as depth, z.conv_id as parent_conv_id, o.n_convs, o.n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, o.ends as ends_sha256
+        from o join g using (p) left join o z on o.d > 0 and z.d = o.d - 1 and z.p = left(o.p, 64 * (o.d - 1))""",
     # every distance to every entry
     "op12_vector_codes": """
         with w as (select row_number() over (order by vec_id nulls last, embedding) as k, vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
