@@ -16,6 +16,16 @@ def clean(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def at_most(x: Column, limit: Column | float) -> Column:
+    """The lower of the two where x is known; least() alone would take the limit for an unknown x."""
+    return F.when(x.isNotNull(), F.least(x, F.lit(limit) if isinstance(limit, (int, float)) else limit))
+
+
+def at_least(x: Column, limit: Column | float) -> Column:
+    """The higher of the two where x is known."""
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(limit) if isinstance(limit, (int, float)) else limit))
+
+
 def exact_id(text: Column) -> Column:
     """A catalog id as exact digits: whole numbers as they are, other numbers through decimal(38,0), names unchanged."""
     t = F.trim(text)
@@ -58,11 +68,11 @@ def colour_bv(bp_rp: Column) -> Column:
 
 def photometric_error(flux: Column, sky: Column, area: Column, gain: Column | float = 1.0) -> Column:
     g = F.lit(gain) if isinstance(gain, float) else gain
-    return F.when(flux > 0, F.sqrt(flux / g + F.greatest(sky, F.lit(0.0)) * area) / flux)
+    return F.when(flux > 0, F.sqrt(flux / g + at_least(sky, 0.0) * area) / flux)
 
 
 def signal_to_noise(flux: Column, sky: Column, radius: Column) -> Column:
-    return F.when(flux > 0, flux / F.sqrt(flux + F.greatest(sky, F.lit(0.0)) * math.pi * radius * radius))
+    return F.when(flux > 0, flux / F.sqrt(flux + at_least(sky, 0.0) * math.pi * radius * radius))
 
 
 def magnitude_error(flux: Column, flux_error: Column) -> Column:
@@ -70,9 +80,9 @@ def magnitude_error(flux: Column, flux_error: Column) -> Column:
 
 
 def haversine(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
-    """Separation in degrees."""
+    """Separation in degrees; unknown where a coordinate is."""
     a = F.pow(F.sin((dec2 - dec1) * (DEG / 2)), 2) + F.cos(dec1 * DEG) * F.cos(dec2 * DEG) * F.pow(F.sin((ra2 - ra1) * (DEG / 2)), 2)
-    return 2 / DEG * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 / DEG * F.asin(F.sqrt(at_most(a, 1.0)))
 
 
 def ra_delta(a: Column, b: Column) -> Column:
@@ -161,8 +171,8 @@ def comparison_score(rms: Column, distance_arcsec: Column, d_mag: Column, d_bv:
     return (
         0.50 * F.greatest(F.coalesce(clean(rms), F.lit(1.0)), F.lit(1e-4))
         + 0.20 * F.coalesce(F.abs(clean(distance_arcsec) - optimum) / optimum, F.lit(1.0))
-        + 0.15 * F.coalesce(F.least(clean(d_mag) / 2, F.lit(1.0)), F.lit(0.0))
-        + 0.10 * F.coalesce(F.least(clean(d_bv), F.lit(1.0)), F.lit(0.0))
+        + 0.15 * F.coalesce(at_most(clean(d_mag) / 2, 1.0), F.lit(0.0))
+        + 0.10 * F.coalesce(at_most(clean(d_bv), 1.0), F.lit(0.0))
         + 0.05 * F.coalesce(clean(contamination), F.lit(0.0))
     )
 
@@ -208,13 +218,14 @@ def mid_exposure_of(date_obs: Column, time_obs: Column | None, seconds: Column)
 
 
 def age_days(now: Column, then: Column) -> Column:
-    return F.greatest(F.lit(0.0), (now.cast("timestamp").cast("double") - then.cast("timestamp").cast("double")) / 86400.0)
+    """Days between two dates, none below 0; unknown where a date is."""
+    return at_least((now.cast("timestamp").cast("double") - then.cast("timestamp").cast("double")) / 86400.0, 0.0)
 
 
 def validity(age: Column, limit_days: Column | float) -> Column:
-    """OK, Warning from 80 % of the limit (at least a day), Expired beyond it."""
+    """OK, Warning from 80 % of the limit (at least a day), Expired beyond it; Missing where there is no age."""
     lim = F.greatest(F.lit(1.0), F.lit(limit_days) if isinstance(limit_days, (int, float)) else limit_days)
-    return F.when(age > lim, "Expired").when(age >= 0.8 * lim, "Warning").otherwise("OK")
+    return F.when(clean(age).isNull(), "Missing").when(age > lim, "Expired").when(age >= 0.8 * lim, "Warning").otherwise("OK")
 
 
 # ---------------------------------------------------------------- headers, pointings, optics
@@ -285,9 +296,9 @@ def matrix_quality(cd11: Column, cd22: Column, expected: Column, *, limit: float
     """Scales of a pixel matrix's diagonal in arc seconds, their ratio, distance from the expected scale, and whether that is
     a sane solution."""
     sx, sy = F.abs(cd11) * 3600, F.abs(cd22) * 3600
-    ratio = F.greatest(sx, sy) / F.greatest(F.least(sx, sy), F.lit(0.001))
+    ratio = F.when(sx.isNotNull() & sy.isNotNull(), F.greatest(sx, sy) / F.greatest(F.least(sx, sy), F.lit(0.001)))
     mean = (sx + sy) / 2
-    error = F.abs(mean - expected) / F.greatest(expected, F.lit(1e-9)) * 100
+    error = F.abs(mean - expected) / at_least(expected, 1e-9) * 100
     return F.struct(sx.alias("scale_x"), sy.alias("scale_y"), mean.alias("mean_scale"), ratio.alias("ratio"), error.alias("scale_err_pct"), ((ratio <= limit) & (error < 20.0)).alias("ok"))
 
 

@@ -17,7 +17,7 @@ FUNCTIONS = {
     "sky_plate_scale": ("pixel_um double, focal_mm double", "double", "case when focal_mm > 0 then 206.265D * pixel_um / focal_mm end"),
     "sky_separation": (
         "ra1 double, dec1 double, ra2 double, dec2 double", "double",
-        "2 * degrees(asin(sqrt(least(1.0D, pow(sin(radians(dec2 - dec1) / 2), 2) + cos(radians(dec1)) * cos(radians(dec2)) * pow(sin(radians(ra2 - ra1) / 2), 2)))))",
+        "case when ra1 + dec1 + ra2 + dec2 is not null then 2 * degrees(asin(sqrt(least(1.0D, pow(sin(radians(dec2 - dec1) / 2), 2) + cos(radians(dec1)) * cos(radians(dec2)) * pow(sin(radians(ra2 - ra1) / 2), 2))))) end",
     ),
     "sky_phase": ("jd double, epoch double, period double", "double", "case when period > 0 then pmod((jd - epoch) / period, 1.0D) end"),
 }

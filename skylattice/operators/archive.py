@@ -19,7 +19,7 @@ def best_masters(lights: DataFrame, library: DataFrame, *, tolerance: float = 0.
     Kind, exposure and gain are equal (no gain counts as 0), a flat's filter too, a dark's is empty. Temperatures differ by
     `tolerance` at most, or the master has none. A light that names its equipment and telescope takes masters of that pair
     or of neither. For binned lights an unbinned master comes before one of the same binning; then the nearest temperature,
-    then the newest file. With validity_days, what is fresh at `now` comes before what has expired.
+    then the newest file. With validity_days, what is fresh at `now` comes before what has expired or has no date.
     """
     light = lights.select(*lights.columns, F.when(F.col("kind") == "dark", "").otherwise(F.trim(F.coalesce("filter_name", F.lit("")))).alias("_filter"))
     own = library.select(
@@ -33,7 +33,7 @@ def best_masters(lights: DataFrame, library: DataFrame, *, tolerance: float = 0.
     same = (F.lower(light["kind"]) == F.col("_kind")) & (light["exptime"] == F.col("_exp")) & (F.coalesce(light["gain"], F.lit(0)) == F.col("_gain")) & (F.col("_filter") == F.col("_flt"))
     met = light.join(own, same).where(near & scope & ((F.col("_bin") == F.col("xbinning")) | unbinned))
     met = met.withColumn("dt", F.abs(F.col("_temp") - F.col("ccd_temp")))
-    expired = expr.age_days(now, F.col("_modified")) > validity_days if validity_days is not None and now is not None else F.lit(False)
+    expired = F.coalesce(expr.age_days(now, F.col("_modified")) > validity_days, F.lit(True)) if validity_days is not None and now is not None else F.lit(False)
     rank = F.struct(expired.alias("e"), (~unbinned).alias("u"), F.coalesce("dt", F.lit(1e9)).alias("d"), (-F.col("_modified").cast("timestamp").cast("double")).alias("m"), F.col("master").alias("p"))
     best = met.groupBy("light_id").agg(F.min_by(F.struct("master", "dt", expired.alias("expired")), rank).alias("_best"))
     return lights.join(best, "light_id", "left").select(*lights.columns, "_best.master", "_best.dt", "_best.expired")

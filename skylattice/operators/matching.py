@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.functions.expr import clean, exact_id, haversine, preferred_id, triangle_shape, unit_vector
+from skylattice.functions.expr import at_most, clean, exact_id, haversine, preferred_id, triangle_shape, unit_vector
 from skylattice.operators.shared import cut, group_quantiles
 from skylattice.operators.spatial import nearest, plane_pairs, sky_pairs
 
@@ -88,15 +88,21 @@ def with_flips(frames: DataFrame, report: DataFrame) -> DataFrame:
     return frames.join(own, F.col("frame_id") == F.col("_stem"), "left").select(*frames.columns, F.coalesce("_flip", F.lit(False)).alias("is_flipped"))
 
 
+# Fixed values, in pixels and arc seconds: without edges the radius grows by r / max(300, farthest / 5), 2.5 at most; with
+# edges by r / max(120, farthest / 8.5), and it is not below 10 rising to 15 beyond 800 pixels, nor below 10 in the outer tenth.
+TIGHT_GROWTH, TIGHT_MOST, EDGE_GROWTH = (300.0, 5.0), 2.5, (120.0, 8.5)
+EDGE_FROM, EDGE_LEAST, EDGE_RISE, OUTER = 800.0, 10.0, 5.0, 0.9
+
+
 def growing_radius(r: Column, base: float, farthest: float, *, edges: bool) -> Column:
     """Match radius in arc seconds at r pixels from the centre: tight, or growing to the corners."""
-    base = max(0.5, base)
+    least, share = EDGE_GROWTH if edges else TIGHT_GROWTH
+    grown = r / max(least, farthest / share)
     if not edges:
-        return base + F.least(F.lit(2.5), r / max(300.0, farthest / 5.0))
-    out = base + r / max(120.0, farthest / 8.5)
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (r - 800.0) / max(1.0, farthest - 800.0)))
-    out = F.when(r > 800.0, F.greatest(out, 10.0 + 5.0 * share)).otherwise(out)
-    return F.when(r >= 0.9 * farthest, F.greatest(out, F.lit(10.0))).otherwise(out)
+        return max(0.5, base) + at_most(grown, TIGHT_MOST)
+    risen = EDGE_LEAST + EDGE_RISE * F.least((r - EDGE_FROM) / max(1.0, farthest - EDGE_FROM), F.lit(1.0))
+    # a lower bound that doesn't hold at r is NULL, and greatest() passes over it
+    return F.greatest(max(0.5, base) + grown, F.when(r > EDGE_FROM, risen), F.when(r >= OUTER * farthest, EDGE_LEAST))
 
 
 def rematch(detections: DataFrame, catalogue: DataFrame, *, centre: tuple[float, float], farthest: float, rounds: int = 5, base: float = 6.0) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.operators.shared import numbered
+from skylattice.functions.expr import at_least
 from skylattice.functions.robust import sigma_floor
+from skylattice.operators.shared import numbered
 
 TARGET_FRAME = ["target_id", "frame_id"]
 
@@ -53,7 +54,7 @@ def colour_term(comps: DataFrame, group: list[str], *, least_points: int = 5, le
     t = t.withColumn("_m", F.median("_r").over(w)).withColumn("_sd", F.stddev_pop("_r").over(w))
     t = t.withColumn("_s", sigma_floor(F.median(F.abs(F.col("_r") - F.col("_m"))).over(w), F.col("_sd"))).where(F.abs("_r") <= k * F.col("_s"))
     fit = t.groupBy(*group).agg(F.count("*").alias("n"), F.first("colour_mid").alias("colour_mid"), F.regr_slope("y", "x").alias("c1"), F.regr_sxx("y", "x").alias("_sxx"), F.regr_syy("y", "x").alias("_syy"), F.regr_sxy("y", "x").alias("_sxy"))
-    sse = F.greatest(F.col("_syy") - F.col("c1") * F.col("_sxy"), F.lit(0.0))
+    sse = at_least(F.col("_syy") - F.col("c1") * F.col("_sxy"), 0.0)
     return fit.select(*group, "n", "c1", F.when((F.col("n") > 2) & (F.col("_sxx") > 0), F.sqrt(sse / (F.col("n") - 2) / F.col("_sxx"))).alias("c1_err"), "colour_mid")
 
 

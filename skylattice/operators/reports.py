@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.functions.expr import clean, magnitude
+from skylattice.functions.expr import at_most, clean, magnitude
 from skylattice.operators.shared import cut, group_quantiles, numbered
 
 
@@ -35,7 +35,7 @@ def frame_metrics(rows: DataFrame, flags: dict[str, str]) -> DataFrame:
 
 def histogram(rows: DataFrame, value: str, keys: list[str], width: float, top: int, shares: dict[str, float]) -> DataFrame:
     """keys, bin, n and exact quantiles of each bin: bins of `width` up to the one numbered top, which has the rest."""
-    t = rows.withColumn("bin", F.least(F.floor(F.col(value) / width), F.lit(top)).cast("long"))
+    t = rows.withColumn("bin", at_most(F.floor(F.col(value) / width), top).cast("long"))
     return group_quantiles(t.select(*keys, "bin", value), value, [*keys, "bin"], shares)
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.functions.expr import at_least
 from skylattice.functions.robust import K, sigma_strict, weighted_line
 from skylattice.operators.shared import cut
 
@@ -101,7 +102,7 @@ def envelope(stars: DataFrame, cfg: VariabilityConfig, weight: str | None = None
     t = t.crossJoin(F.broadcast(line))
     has = (F.col("_k") >= least) & F.col("_a").isNotNull()
     fitted = F.col("_a") + F.greatest(F.col("_b"), F.lit(cfg.slope_floor)) * mag
-    t = t.withColumn("expected_log", F.when(has, fitted).otherwise(F.log10(F.greatest("_typical", F.lit(1e-6)))))
+    t = t.withColumn("expected_log", F.when(has, fitted).otherwise(F.log10(at_least(F.col("_typical"), 1e-6))))
     pool = F.when(quiet, F.when(has, F.col("_log") - fitted).otherwise(F.col("_log")))
     mid = t.agg(F.median(pool).alias("_rm"))
     t = t.withColumn("_r", pool).crossJoin(F.broadcast(mid))
@@ -113,7 +114,7 @@ def envelope(stars: DataFrame, cfg: VariabilityConfig, weight: str | None = None
 def candidates(stars: DataFrame, cfg: VariabilityConfig) -> DataFrame:
     """stars with is_candidate: the conjunction of all limits, NULL counting as false; highest score first."""
     ok = (
-        (F.col("rms_pct") > F.greatest("envelope", F.lit(cfg.min_rms_pct))) & (F.col("clip_ratio") >= cfg.clip_ratio_min) & (F.col("mean_norm") > 0.001) & (F.col("smoothness") < cfg.smoothness_max)
+        (F.col("rms_pct") > at_least(F.col("envelope"), cfg.min_rms_pct)) & (F.col("clip_ratio") >= cfg.clip_ratio_min) & (F.col("mean_norm") > 0.001) & (F.col("smoothness") < cfg.smoothness_max)
         & (F.col("amplitude_mag") >= cfg.min_amplitude_mag) & (F.col("mag") <= cfg.mag_limit) & (F.col("n_frames") >= cfg.min_frames)
     )
     return stars.withColumn("is_candidate", F.coalesce(ok, F.lit(False))).orderBy(F.desc_nulls_last("score"))

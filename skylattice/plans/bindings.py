@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.operators.neighbours import nearest_in_value
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -55,11 +57,10 @@ SKY = (
 )
 
 
-def region_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every star with every other of its region, and how far their brightness differs."""
-    s = read(spark, sf_dir, "supplier").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("b"), F.col("n_regionkey").alias("region"))
-    other = s.select(F.col("id").alias("comp_id"), F.col("b").alias("_b"), "region")
-    return s.withColumnRenamed("id", "target_id").join(other, "region").where("target_id <> comp_id").select("target_id", "comp_id", F.abs(F.col("b") - F.col("_b")).alias("gap"))
+def placed_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stars with their brightness as it is in the table, and the region that they lie in."""
+    s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
+    return s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("catalog_id"), F.col("s_acctbal").alias("brightness"), (10 + F.col("s_acctbal") / 2000).alias("mag"), ((1 + F.col("s_suppkey") % 24) / 10.0).alias("bp_rp"), F.col("n_regionkey").alias("region"))
 
 
 REGION_PAIRS = (
@@ -70,8 +71,8 @@ REGION_PAIRS = (
 
 def bridge(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
     """Every star as a target, with the n others of its region that are most like it in brightness."""
-    w = Window.partitionBy("target_id").orderBy("gap", "comp_id")
-    return region_pairs(spark, sf_dir).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select("target_id", "comp_id")
+    near = nearest_in_value(placed_stars(spark, sf_dir), "catalog_id", "region", "brightness", n)
+    return near.select(F.col("catalog_id").alias("target_id"), F.col("other").alias("comp_id"))
 
 
 BRIDGE = f"{REGION_PAIRS}, bridge as (select target_id, comp_id from region_pairs qualify row_number() over (partition by target_id order by gap, comp_id) <= 10)"

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import expr, robust
-from skylattice.operators import comparison, matching, photometry, spatial, store, variability
+from skylattice.operators import comparison, matching, neighbours, photometry, spatial, store, variability
 from skylattice.operators.variability import VariabilityConfig
 from skylattice.plans import sessions
-from skylattice.plans.bindings import BRIDGE, CELLS, DENSE, REGION_PAIRS, SKY, SPARSE, STARS, bridge, cells, dense, read, region_pairs, sky, sparse, stars
+from skylattice.plans.bindings import BRIDGE, CELLS, DENSE, REGION_PAIRS, SKY, SPARSE, STARS, bridge, cells, dense, placed_stars, read, sky, sparse, stars
 from skylattice.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,10 +98,23 @@ def _(spark, d):
 
 
 @query("x31_comparison_score", """
-    select s_suppkey, round(0.50 * greatest(coalesce(case when s_suppkey % 7 <> 0 then abs(s_acctbal) / 100000 end, 1.0), 1e-4) + 0.20 * abs(s_suppkey * 10.0 - 1455) / 1455 + 0.15 * least((s_suppkey % 5) / 2.0, 1) + 0.10 * least((s_suppkey % 3) * 1.0, 1) + 0.05 * 0.5, 6) as score from supplier""")
+    select s_suppkey, round(0.50 * greatest(coalesce(case when s_suppkey % 7 <> 0 then abs(s_acctbal) / 100000 end, 1.0), 1e-4) + 0.20 * coalesce(abs(case when s_suppkey % 13 <> 0 then s_suppkey * 10.0 end - 1455) / 1455, 1.0)
+      + 0.15 * case when s_suppkey % 4 = 0 then 0 else least((s_suppkey % 5) / 2.0, 1) end + 0.10 * case when s_suppkey % 6 = 0 then 0 else least((s_suppkey % 3) * 1.0, 1) end + 0.05 * case when s_suppkey % 5 = 0 then 0 else 0.5 end, 6) as score from supplier""")
 def _(spark, d):
     k = F.col("s_suppkey")
-    return read(spark, d, "supplier").select(k, F.round(expr.comparison_score(F.when(k % 7 != 0, F.abs("s_acctbal") / 100000), k * 10.0, (k % 5).cast("double"), (k % 3).cast("double"), F.lit(0.5)), 6).alias("score"))
+    known = lambda n, x: F.when(k % n != 0, x)  # noqa: E731  a part is missing in every nth row
+    score = expr.comparison_score(known(7, F.abs("s_acctbal") / 100000), known(13, k * 10.0), known(4, (k % 5).cast("double")), known(6, (k % 3).cast("double")), known(5, F.lit(0.5)))
+    return read(spark, d, "supplier").select(k, F.round(score, 6).alias("score"))
+
+
+@query("x7_separations", f"""
+    with {SKY}, p as (select vec_id, ra_deg as ra1, dec_deg as dec1, case when vec_id % 5 <> 0 then ra_deg * 0.9 + 1 end as ra2, case when vec_id % 7 <> 0 then dec_deg * 0.8 end as dec2 from sky)
+    select vec_id, round(2 * degrees(asin(sqrt(case when ra2 is not null and dec2 is not null then least(1.0, pow(sin(radians(dec2 - dec1) / 2), 2) + cos(radians(dec1)) * cos(radians(dec2)) * pow(sin(radians(ra2 - ra1) / 2), 2)) end))), 6) as separation,
+      round(case when vec_id % 3 <> 0 then sqrt(100 / 1.0 + greatest(mag - 12, 0) * 50.0) / 100 end, 6) as error from p join sky using (vec_id)""")
+def _(spark, d):
+    k, ra, dec = F.col("vec_id"), F.col("ra_deg"), F.col("dec_deg")
+    separation = expr.haversine(ra, dec, F.when(k % 5 != 0, ra * 0.9 + 1), F.when(k % 7 != 0, dec * 0.8))
+    return rounded(sky(spark, d).select(k, separation.alias("separation"), expr.photometric_error(F.lit(100.0), F.when(k % 3 != 0, F.col("mag") - 12), F.lit(50.0)).alias("error")))
 
 
 @query("json_properties", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
@@ -304,30 +317,36 @@ def _(spark, d):
 PAIRS = f"{REGION_PAIRS}, {STARS}, pairs as (select b.target_id, b.comp_id, abs(t.mag - c.mag) as dm, abs(t.bp_rp - c.bp_rp) as db, case when abs(t.mag - c.mag) <= 0.25 and abs(t.bp_rp - c.bp_rp) <= 0.15 then 1 when abs(t.mag - c.mag) <= 0.5 and abs(t.bp_rp - c.bp_rp) <= 0.3 then 2 when abs(t.mag - c.mag) <= 1.0 and abs(t.bp_rp - c.bp_rp) <= 0.5 then 3 else 4 end as tier from region_pairs b join stars t on t.catalog_id = b.target_id join stars c on c.catalog_id = b.comp_id)"
 
 
-def star_pairs(spark, d):
+def star_pairs(spark, d, pairs):
+    """pairs (catalog_id, other) of stars with the differences of their magnitudes and colours."""
     s = stars(spark, d)
-    t, c = s.select(F.col("catalog_id").alias("target_id"), F.col("mag").alias("_tm"), F.col("bp_rp").alias("_tb")), s.select(F.col("catalog_id").alias("comp_id"), F.col("mag").alias("_cm"), F.col("bp_rp").alias("_cb"))
-    p = region_pairs(spark, d).drop("gap").join(t, "target_id").join(c, "comp_id").withColumn("dm", F.abs(F.col("_tm") - F.col("_cm"))).withColumn("db", F.abs(F.col("_tb") - F.col("_cb")))
-    return p.select("target_id", "comp_id", "dm", "db", F.substring(expr.tier(F.col("dm"), F.col("db")), 5, 1).cast("int").alias("tier"))
+    t, c = s.select("catalog_id", F.col("mag").alias("_tm"), F.col("bp_rp").alias("_tb")), s.select(F.col("catalog_id").alias("other"), F.col("mag").alias("_cm"), F.col("bp_rp").alias("_cb"))
+    p = pairs.select("catalog_id", "other").join(t, "catalog_id").join(c, "other").withColumn("dm", F.abs(F.col("_tm") - F.col("_cm"))).withColumn("db", F.abs(F.col("_tb") - F.col("_cb")))
+    return p.select(F.col("catalog_id").alias("target_id"), F.col("other").alias("comp_id"), "dm", "db", F.substring(expr.tier(F.col("dm"), F.col("db")), 5, 1).cast("int").alias("tier"))
 
 
 @query("w8_w9_first_full_tier", f"""with {PAIRS}, p as (select * from pairs where dm <= 2.0), n as (select target_id, tier, sum(count(*)) over (partition by target_id order by tier) as upto from p group by 1, 2), c as (select target_id, coalesce(min(case when upto >= 3 then tier end), max(tier)) as chosen_tier from n group by 1)
     select p.target_id, p.comp_id, p.tier, c.chosen_tier from p join c using (target_id) where p.tier <= c.chosen_tier""")
 def _(spark, d):
-    return comparison.first_full_tier(star_pairs(spark, d).where("dm <= 2.0").select("target_id", "comp_id", "tier"), n_min=3)
+    near = neighbours.within_value(placed_stars(spark, d), "catalog_id", "region", "mag", 2.0)
+    return comparison.first_full_tier(star_pairs(spark, d, near).select("target_id", "comp_id", "tier"), n_min=3)
 
 
 @query("w6_conditional_selection", f"""with {PAIRS}, r as (select *, row_number() over (partition by target_id order by dm, comp_id) as k from pairs), m as (select *, median(case when k <= 3 then dm end) over (partition by target_id) as md from r), s as (select *, row_number() over (partition by target_id order by k) as rank from m where k <= 3 or dm <= 1.5 * md)
     select target_id, comp_id, round(dm, 6) as dm, rank from s where rank <= 7""")
 def _(spark, d):
-    p = star_pairs(spark, d).select("target_id", "comp_id", "dm")
+    near = neighbours.nearest_in_value(placed_stars(spark, d), "catalog_id", "region", "mag", 7)  # no more than 7 are chosen, in this order
+    p = near.select(F.col("catalog_id").alias("target_id"), F.col("other").alias("comp_id"), F.col("gap").alias("dm"))
     return rounded(comparison.conditional_head(p, "target_id", [F.col("dm"), F.col("comp_id")], "dm"))
 
 
 @query("w7_ensemble_selection", f"""with {PAIRS}, r as (select *, row_number() over (partition by target_id order by dm, comp_id) as k from pairs), s as (select *, row_number() over (partition by target_id order by k) as rank from r where k <= 3 or db < 0.4)
     select target_id, comp_id, round(db, 6) as db, rank from s where rank <= 10""")
 def _(spark, d):
-    p = star_pairs(spark, d).withColumn("threshold", F.lit(0.4)).select("target_id", "comp_id", "dm", "db", "threshold")
+    s = placed_stars(spark, d)  # 10 are chosen at most: the first 3, and of those of like colour the first 10
+    near = neighbours.nearest_in_value(s, "catalog_id", "region", "mag", 3).select("catalog_id", "other")
+    near = near.unionByName(neighbours.nearest_alike(s, "catalog_id", "region", "mag", 10, "bp_rp", 0.4, width=0.25).select("catalog_id", "other")).distinct()
+    p = star_pairs(spark, d, near).withColumn("threshold", F.lit(0.4)).select("target_id", "comp_id", "dm", "db", "threshold")
     return rounded(comparison.ensemble_head(p, "target_id", [F.col("dm"), F.col("comp_id")], "db").select("target_id", "comp_id", "db", "rank"))
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import expr, robust
-from skylattice.operators import archive, matching, photometry, reports, selection, spatial, store, variability
+from skylattice.operators import archive, matching, neighbours, photometry, reports, selection, spatial, store, variability
 from skylattice.operators.shared import cut
 from skylattice.operators.variability import VariabilityConfig
-from skylattice.plans.bindings import CELLS, DENSE, SKY, SPARSE, STARS, bridge, cells, dense, read, sky, sparse, stars
-from skylattice.queries import COMPS, HAVERSINE, PAIRS, query, rounded, star_pairs
+from skylattice.plans.bindings import CELLS, DENSE, SKY, SPARSE, STARS, bridge, cells, dense, placed_stars, read, sky, sparse, stars
+from skylattice.queries import COMPS, HAVERSINE, PAIRS, query, rounded
 from skylattice.streaming import ingest
 
 # ---------------------------------------------------------------- grouped reports
@@ -62,7 +62,7 @@ def _(spark, d):
 
 @query("a39_smallest_per_key", f"with {PAIRS} select comp_id, round(min(dm), 6) as best from pairs group by 1")
 def _(spark, d):
-    return rounded(reports.smallest_per_key(star_pairs(spark, d), "comp_id", "dm", "best"))
+    return rounded(reports.smallest_per_key(neighbours.nearest_in_value(placed_stars(spark, d), "catalog_id", "region", "mag", 1), "catalog_id", "gap", "best").withColumnRenamed("catalog_id", "comp_id"))
 
 
 @query("w11_w14_halves_and_trim", f"""with {DENSE}, {CELLS}, r as (select *, row_number() over w as k, count(*) over (partition by catalog_id) as n, ntile(2) over w as half from cells window w as (partition by catalog_id order by frame_id)), s as (select * from r where k > 5 and k <= n - 5 and not (k > n / 2 - 3 and k <= n / 2 + 3))
@@ -559,12 +559,12 @@ def _(spark, d):
 # ---------------------------------------------------------------- scalar functions
 
 
-@query("x10_x11_x33_times", "select event_id, strftime(ts, '%H:%M') as hm, round(epoch(ts) / 86400.0 + 2440587.5 + coalesce(case when event_id % 3 > 0 then value end, 0) / 2 / 86400.0, 3) as mid, case when event_id % 70 > greatest(1.0, 50.0) then 'Expired' when event_id % 70 >= 0.8 * 50 then 'Warning' else 'OK' end as status from (select event_id, value, date_trunc('second', ts) as ts from events)")
+@query("x10_x11_x33_times", "select event_id, strftime(ts, '%H:%M') as hm, round(epoch(ts) / 86400.0 + 2440587.5 + coalesce(case when event_id % 3 > 0 then value end, 0) / 2 / 86400.0, 3) as mid, case when event_id % 11 = 0 then 'Missing' when event_id % 70 > greatest(1.0, 50.0) then 'Expired' when event_id % 70 >= 0.8 * 50 then 'Warning' else 'OK' end as status from (select event_id, value, date_trunc('second', ts) as ts from events)")
 def _(spark, d):
     ts, k = F.date_trunc("second", "ts"), F.col("event_id")
     text = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     mid = expr.mid_exposure_of(F.when(k % 2 == 0, text).otherwise(F.substring(text, 1, 10)), F.substring(text, 12, 8), F.when(k % 3 > 0, F.col("value")))
-    then = F.lit("2024-06-01").cast("timestamp")
+    then = F.when(k % 11 != 0, F.lit("2024-06-01").cast("timestamp"))
     age = expr.age_days(F.date_add(F.lit("2024-06-01").cast("date"), (k % 70).cast("int")), then)
     return read(spark, d, "events").select("event_id", expr.hours_minutes(expr.julian_day(ts)).alias("hm"), F.round(mid, 3).alias("mid"), expr.validity(age, 50.0).alias("status"))
 
