@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import expr, robust
-from skylattice.operators import archive, matching, neighbours, photometry, reports, selection, spatial, store, variability
+from skylattice.operators import archive, matching, neighbours, periods, photometry, reports, selection, spatial, store, variability
 from skylattice.operators.shared import cut
 from skylattice.operators.variability import VariabilityConfig
 from skylattice.plans.bindings import CELLS, DENSE, SKY, SPARSE, STARS, bridge, cells, dense, placed_stars, read, sky, sparse, stars
@@ -119,7 +119,7 @@ def _(spark, d):
     return rounded(s.select("vec_id", "ra_deg", "mag").orderBy("mag", "vec_id").limit(100))
 
 
-@query("period_search", f"""with {DENSE}, {CELLS}, p as (select catalog_id, row_number() over (partition by catalog_id order by frame_id) * 1.0 as t, mag - avg(mag) over (partition by catalog_id) as y from cells), f as (select * from p cross join (select unnest([0.05, 0.1, 0.2, 0.31]) as frequency)),
+@query("lomb_scargle_sums", f"""with {DENSE}, {CELLS}, p as (select catalog_id, row_number() over (partition by catalog_id order by frame_id) * 1.0 as t, mag - avg(mag) over (partition by catalog_id) as y from cells), f as (select * from p cross join (select unnest([0.05, 0.1, 0.2, 0.31]) as frequency)),
     a as (select *, atan2(sum(sin(4 * pi() * frequency * t)) over w, sum(cos(4 * pi() * frequency * t)) over w) / (4 * pi() * frequency) as tau from f window w as (partition by catalog_id, frequency)), b as (select *, cos(2 * pi() * frequency * (t - tau)) as c, sin(2 * pi() * frequency * (t - tau)) as s from a)
     select catalog_id, cast(frequency as double) as frequency, round((pow(sum(y * c), 2) / sum(c * c) + pow(sum(y * s), 2) / sum(s * s)) / 2, 5) as power from b group by 1, 2""")
 def _(spark, d):
@@ -186,11 +186,27 @@ def _(spark, d):
     return rounded(kept.groupBy("catalog_id").agg(F.count("*").alias("n"), F.max("flux").alias("top")))
 
 
+def event_curves(spark, d):
+    """events as irregular light curves: days since the first of the year."""
+    return read(spark, d, "events").select(F.col("user_id").alias("catalog_id"), (expr.julian_day(F.col("ts")) - 2460310.5).alias("t"), F.col("value").alias("mag"))
+
+
 @query("period_search_best")
 def _(spark, d):
-    t = cells(spark, d).withColumn("t", (F.row_number().over(Window.partitionBy("catalog_id").orderBy("frame_id")) * 0.4).cast("double"))
-    grid = matching.period_grid(bands=(0.9, 1.1, 2.0, 5.0, 10.0), span=33.6)
-    return photometry.best_period(photometry.lomb_scargle(t.select("catalog_id", "t", "mag"), "catalog_id", "t", "mag", grid), "catalog_id").select("catalog_id", F.round("period", 5).alias("period"))
+    found = periods.find_period(event_curves(spark, d), "catalog_id", "t", "mag")
+    return found.select("catalog_id", F.round("period", 8).alias("period"), F.round("power", 4).alias("power"), "band")
+
+
+@query("period_band_peaks", """
+    with p as (select user_id as catalog_id, epoch(ts) / 86400.0 - 19723 as t, value - avg(value) over (partition by user_id) as y, min(epoch(ts) / 86400.0 - 19723) over (partition by user_id) as t0, (max(epoch(ts)) over (partition by user_id) - min(epoch(ts)) over (partition by user_id)) / 86400.0 as span, count(*) over (partition by user_id) as n from events),
+    bands as (select * from (values (0, 0.5, 1.1), (1, 1.1, 2.0), (2, 2.0, 5.0), (3, 5.0, 10.0), (4, 10.0, 50.0)) as b(band, short, long)), s as (select distinct catalog_id, span from p where n > 2 and span > 0),
+    f as (select catalog_id, band, 1 / long::double + unnest(range(0, cast(ceil((1 / short::double - 1 / long::double) * 5 * span) as bigint))) / (5 * span) as f from s cross join bands), x as (select catalog_id, band, f, t - t0 as t, y from f join p using (catalog_id)),
+    a as (select catalog_id, band, f, atan2(sum(sin(4 * pi() * f * t)), sum(cos(4 * pi() * f * t))) / 2 as a, sum(y * cos(2 * pi() * f * t)) as yc, sum(y * sin(2 * pi() * f * t)) as ys, sum(cos(4 * pi() * f * t)) as c2, sum(sin(4 * pi() * f * t)) as s2, count(*) as n from x group by 1, 2, 3),
+    w as (select catalog_id, band, f, (pow(yc * cos(a) + ys * sin(a), 2) / ((n + sqrt(c2 * c2 + s2 * s2)) / 2) + pow(ys * cos(a) - yc * sin(a), 2) / nullif((n - sqrt(c2 * c2 + s2 * s2)) / 2, 0)) / 2 as power from a)
+    select catalog_id, band, round(1 / max_by(f, power), 6) as period from w group by 1, 2""")
+def _(spark, d):
+    peaks = periods.band_peaks(event_curves(spark, d), "catalog_id", "t", "mag", bands=(0.5, 1.1, 2.0, 5.0, 10.0, 50.0), oversample=5)
+    return peaks.select("catalog_id", "band", F.round("period", 6).alias("period"))
 
 
 @query("a7_few_field_stars", f"""with {STARS}, r as (select catalog_id, case when catalog_id % 5 <> 0 then mag end as mag, 1 + abs(sin(catalog_id * 1.7)) as rms_pct, catalog_id <= 19 as field from stars),
