@@ -16,7 +16,7 @@ from functools import lru_cache
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,28 +37,37 @@ def _turns(oversample: int) -> tuple[np.ndarray, np.ndarray]:
     return one, one * one
 
 
-def _powers(rows: pd.DataFrame, oversample: int) -> tuple[np.ndarray, np.ndarray]:
-    """(blocks, frequencies) of the blocks in rows: powers, and which of them belong to the band; rows hold the cells."""
-    nth, block = np.unique(rows["block"].to_numpy(), return_inverse=True)
-    one, two = _turns(oversample)
-    moments = np.zeros((2, one.shape[1], len(nth), ORDERS), complex)
+def _powers(rows: pa.Table, oversample: int) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks, frequencies) of the blocks in rows, which hold their cells: frequencies, and powers of those of the band."""
+    column = {c: rows.column(c).to_numpy() for c in ("block", "cell", "points", "steps", "first", "step", *SUMS)}
+    nth, one, block = np.unique(column["block"], return_index=True, return_inverse=True)
+    single, double = _turns(oversample)
+    n, cells = single.shape
+    moments = np.zeros((2, cells, len(nth), ORDERS), complex)
     for i, part in enumerate("yn"):
         for m in range(ORDERS):
-            np.add.at(moments[i, :, :, m], (rows["cell"].to_numpy(), block), (rows[f"{part}c{m}"] + 1j * rows[f"{part}s{m}"]).to_numpy())
-    step = 2j * np.pi * np.arange(one.shape[0]) / (CELLS * one.shape[0])
-    y, n2 = (turn @ moments[i].reshape(turn.shape[1], -1) for i, turn in enumerate((one, two)))
-    y, n2 = (sum((scale * step[:, None]) ** m / factorial(m) * s.reshape(len(step), len(nth), ORDERS)[:, :, m] for m in range(ORDERS)) for scale, s in ((1, y), (2, n2)))
-    points = np.zeros(len(nth))
-    points[block] = rows["points"]
+            moments[i, column["cell"], block, m] = column[f"{part}c{m}"] + 1j * column[f"{part}s{m}"]
+    step = 2j * np.pi * np.arange(n) / (CELLS * n)
+    sums = []
+    for i, turn in enumerate((single, double)):
+        by_order = (turn @ moments[i].reshape(cells, -1)).reshape(n, len(nth), ORDERS)
+        sums.append(sum(((i + 1) * step[:, None]) ** m / factorial(m) * by_order[:, :, m] for m in range(ORDERS)))
+    y, n2 = sums
+    points = column["points"][one]
     turned = y * np.exp(-0.5j * np.angle(n2))  # about the time at which sine and cosine don't mix
     size = np.abs(n2)
     with np.errstate(divide="ignore", invalid="ignore"):
         power = (turned.real**2 / ((points + size) / 2) + turned.imag**2 / ((points - size) / 2)) / 2
     power[~(points - size > 1e-3 * points)] = np.nan  # all points at one phase: no sine part to divide by
-    steps = np.zeros(len(nth))
-    steps[block] = rows["steps"]
-    inside = nth[None, :] * one.shape[0] + np.arange(one.shape[0])[:, None] < steps[None, :]
-    return np.where(inside, power, np.nan).T, inside.T
+    k = np.arange(n)
+    inside = nth[:, None] * n + k < column["steps"][one][:, None]
+    frequency = column["first"][one][:, None] + k * column["step"][one][:, None]
+    return np.where(inside, frequency, np.nan), np.where(inside, power.T, np.nan)
+
+
+def _table(rows: pa.Table, frequency: np.ndarray, power: np.ndarray) -> pa.Table:
+    same = pa.array(np.zeros(len(power)), pa.int32())
+    return pa.table({"k": rows.column("_key").take(same), "band": rows.column("band").take(same), "frequency": pa.array(frequency, pa.float64()), "power": pa.array(power, pa.float64())})
 
 
 def _blocks(points: DataFrame, key: str, time: str, value: str, bands: tuple[float, ...], oversample: int) -> DataFrame:
@@ -76,7 +85,8 @@ def _blocks(points: DataFrame, key: str, time: str, value: str, bands: tuple[flo
     sums = {"yc": F.col("_y") * F.cos("_p"), "ys": F.col("_y") * F.sin("_p"), "nc": F.cos(2 * F.col("_p")), "ns": F.sin(2 * F.col("_p"))}
     own = ["_key", "band", "block", "cell", "points", "steps", "first", "step"]
     cells = lain.groupBy(*own).agg(*[F.sum(x * F.pow("_d", m)).alias(f"{n}{m}") for n, x in sums.items() for m in range(ORDERS)])
-    return cells.withColumn("chunk", F.floor(F.col("block") / BLOCKS))
+    # as many partitions as there are: little data, much work for each row
+    return cells.withColumn("chunk", F.floor(F.col("block") / BLOCKS)).repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key", "band", "chunk")
 
 
 def spectrum(points: DataFrame, key: str, time: str, value: str, *, bands: tuple[float, ...] = BANDS, oversample: int = OVERSAMPLE) -> DataFrame:
@@ -87,13 +97,12 @@ def spectrum(points: DataFrame, key: str, time: str, value: str, *, bands: tuple
     """
     kind = dict(points.dtypes)[key]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        power, inside = _powers(rows, oversample)
-        first = rows.groupby("block")[["first", "step"]].first()
-        frequency = first["first"].to_numpy()[:, None] + np.arange(power.shape[1])[None, :] * first["step"].to_numpy()[:, None]
-        return pd.DataFrame({"k": rows["_key"].iloc[0], "band": rows["band"].iloc[0], "frequency": frequency[inside], "power": power[inside]})
+    def run(rows: pa.Table) -> pa.Table:
+        frequency, power = _powers(rows, oversample)
+        inside = ~np.isnan(frequency)
+        return _table(rows, frequency[inside], power[inside])
 
-    found = _blocks(points, key, time, value, bands, oversample).groupBy("_key", "band", "chunk").applyInPandas(run, f"k {kind}, band int, frequency double, power double")
+    found = _blocks(points, key, time, value, bands, oversample).groupBy("_key", "band", "chunk").applyInArrow(run, f"k {kind}, band int, frequency double, power double")
     return found.select(F.col("k").alias(key), "band", "frequency", F.nanvl("power", F.lit(None)).alias("power"))
 
 
@@ -101,15 +110,12 @@ def band_peaks(points: DataFrame, key: str, time: str, value: str, *, bands: tup
     """key, band, period, power: the strongest frequency of each band, of equals the lowest; see spectrum()."""
     kind = dict(points.dtypes)[key]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        power, _ = _powers(rows, oversample)
-        if np.isnan(power).all():
-            return pd.DataFrame({"k": [], "band": [], "frequency": [], "power": []})
-        b, k = np.unravel_index(np.nanargmax(power), power.shape)
-        first = rows.groupby("block")[["first", "step"]].first().iloc[b]
-        return pd.DataFrame({"k": [rows["_key"].iloc[0]], "band": [rows["band"].iloc[0]], "frequency": [first["first"] + k * first["step"]], "power": [power[b, k]]})
+    def run(rows: pa.Table) -> pa.Table:
+        frequency, power = _powers(rows, oversample)
+        strongest = [] if np.isnan(power).all() else [int(np.nanargmax(power))]
+        return _table(rows, frequency.ravel()[strongest], power.ravel()[strongest])
 
-    found = _blocks(points, key, time, value, bands, oversample).groupBy("_key", "band", "chunk").applyInPandas(run, f"k {kind}, band int, frequency double, power double")
+    found = _blocks(points, key, time, value, bands, oversample).groupBy("_key", "band", "chunk").applyInArrow(run, f"k {kind}, band int, frequency double, power double")
     best = found.groupBy("k", "band").agg(F.max_by("frequency", F.struct("power", -F.col("frequency"))).alias("_f"), F.max("power").alias("power"))
     return best.select(F.col("k").alias(key), "band", (1 / F.col("_f")).alias("period"), "power")
 
