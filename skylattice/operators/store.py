@@ -43,21 +43,33 @@ def append_absent(old: DataFrame, new: DataFrame, keys: list[str], *, order: lis
     return last_of(new, keys, order).join(old.select(*keys).distinct(), keys, "left_anti").select(*new.columns)
 
 
-def merge_pooled(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def pooled_nights(new: DataFrame, key: str) -> DataFrame:
+    """One row for each star of several nights' statistics (key, rms, n_frames, median_mag, suspect), with `nights`: rms
+    weighted by frames (1 at least), median_mag by nights; unknown values weigh nothing."""
+    w = F.when(F.col("rms").isNotNull(), F.greatest(F.lit(1), F.coalesce("n_frames", F.lit(0))))
+    return new.groupBy(key).agg(
+        F.sqrt(F.sum(w * F.col("rms") * F.col("rms")) / F.sum(w)).alias("rms"), F.sum(F.coalesce("n_frames", F.lit(0))).alias("n_frames"), F.count("*").alias("nights"),
+        F.avg("median_mag").alias("median_mag"), F.bool_or(F.coalesce("suspect", F.lit(False))).alias("suspect"),
+    )
+
+
+def merge_pooled(old: DataFrame, new: DataFrame, key: str, *, nights: str | None = None) -> DataFrame:
     """Library of comparison stars (key, rms, n_frames, n_obs, median_mag, suspect) with new nights pooled in.
 
     rms: root of the mean square, weighted by frames (by nights where a row has no frames), 1 at least. median_mag: mean
-    weighted by nights. Counters add up, flags stay once set.
+    weighted by nights. Counters add up, flags stay once set. A row of new is one night, or as many as its column `nights`
+    says; a key comes once in new (see pooled_nights).
     """
     o, n = old.alias("o"), new.alias("n")
     t = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    more = F.col(f"n.{nights}") if nights else F.lit(1)
     wo = F.greatest(F.lit(1), F.coalesce(F.nullif(F.col("o.n_frames"), F.lit(0)), F.col("o.n_obs")))
     wn = F.greatest(F.lit(1), F.col("n.n_frames"))
     pooled = F.sqrt((wo * F.pow("o.rms", 2) + wn * F.pow("n.rms", 2)) / (wo + wn))
-    mag = (F.col("o.median_mag") * F.col("o.n_obs") + F.col("n.median_mag")) / (F.col("o.n_obs") + 1)
+    mag = (F.col("o.median_mag") * F.col("o.n_obs") + F.col("n.median_mag") * more) / (F.col("o.n_obs") + more)
     return t.select(
         F.coalesce(f"o.{key}", f"n.{key}").alias(key), F.coalesce(pooled, "o.rms", "n.rms").alias("rms"), (F.coalesce("o.n_frames", F.lit(0)) + F.coalesce("n.n_frames", F.lit(0))).alias("n_frames"),
-        (F.coalesce("o.n_obs", F.lit(0)) + F.when(F.col(f"n.{key}").isNotNull(), 1).otherwise(0)).alias("n_obs"), F.coalesce(mag, "o.median_mag", "n.median_mag").alias("median_mag"),
+        (F.coalesce("o.n_obs", F.lit(0)) + F.when(F.col(f"n.{key}").isNotNull(), more).otherwise(0)).alias("n_obs"), F.coalesce(mag, "o.median_mag", "n.median_mag").alias("median_mag"),
         (F.coalesce("o.suspect", F.lit(False)) | F.coalesce("n.suspect", F.lit(False))).alias("suspect"),
     )
 

@@ -6,6 +6,11 @@ reads the columns that a query uses and no more.
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pyarrow as pa
+import pyarrow.csv as pacsv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,23 +24,52 @@ FLAGS = ("photometry_ok", "edge_safe_10px", "edge_fail", "snr50_ok", "is_saturat
 TEXTS = ("catalog_id", "name", "zone", "source_type", "source_file")
 
 
-def frames(spark: SparkSession, path: str, columns: list[str], pattern: str = "proc_*.csv") -> DataFrame:
+def frames(spark: SparkSession, path: str, columns: list[str], pattern: str = "proc_*.csv", *, names: Column | None = None) -> DataFrame:
     """Per-frame CSVs under path: frame_id and the typed columns asked for; a column that a file doesn't have is NULL.
 
-    Columns are found by each file's own header, whatever its order. Files whose headers are alike are parsed together, so
-    the plan grows with the number of different headers, not of files; a line is one row.
+    Each file is read once: its own header says where the columns are, and only those asked for are parsed. names is a
+    condition on `_metadata` (file_name, file_path, file_size, file_modification_time); files that don't meet it aren't opened.
     """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
-    raw = raw.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("frame_id"), F.regexp_replace("value", "^\ufeff", "").alias("_text"))
-    raw = raw.withColumn("_header", F.trim(F.regexp_extract("_text", r"^([^\r\n]*)", 1)))
-    out = spark.createDataFrame([], "frame_id string").select("frame_id", *[typed(c, F.lit(None).cast("string")).alias(c) for c in columns])
-    for (header,) in raw.select("_header").where("_header <> ''").distinct().collect():
-        names = [x.strip().strip('"') for x in header.split(",")]
-        lines = raw.where(F.col("_header") == header).select("frame_id", F.posexplode(F.split("_text", r"\r?\n")).alias("_n", "_line")).where("_n > 0 and trim(_line) <> ''")
-        rows = lines.select("frame_id", F.from_csv("_line", F.lit(", ".join(f"_c{i} string" for i in range(len(names)))), {"mode": "PERMISSIVE"}).alias("_r"))
-        own = {c: F.col(f"_r._c{names.index(c)}") if c in names else F.lit(None).cast("string") for c in columns}
-        out = out.unionByName(rows.select("frame_id", *[typed(c, x).alias(c) for c, x in own.items()]))
-    return out
+    return frame_rows(raw.where(names) if names is not None else raw, columns)
+
+
+def frame_rows(texts: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of whole CSV files (`value`, of a table or a stream of files); see frames(). Spark packs small files into tasks."""
+    named = texts.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("frame_id"), F.col("value").alias("_text"))
+
+    def run(batches):
+        for batch in batches:
+            for frame, text in zip(batch.column("frame_id").to_pylist(), batch.column("_text"), strict=True):
+                found = _parsed(text.as_py() or "", columns)
+                n = len(found[0]) if found else 0
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([frame] * n, pa.string()), *found], names=["frame_id", *columns])
+
+    schema = ", ".join(f"`{c}` string" for c in ["frame_id", *columns])
+    return named.mapInArrow(run, schema).select("frame_id", *[typed(c, F.col(c)).alias(c) for c in columns])
+
+
+def _parsed(text: str, columns: list[str]) -> list[pa.Array]:
+    """The columns of a CSV text as strings, one array each. Rows with too few fields are filled up with NULL, blank lines
+    left out; of columns with one name the first counts."""
+    head, _, body = text.removeprefix("\ufeff").lstrip("\r\n").partition("\n")
+    header = [x.strip() for x in next(csv.reader([head.rstrip("\r")]), [])]
+    at = [header.index(c) if c in header else -1 for c in columns]
+    if not body.strip() or max(at, default=-1) < 0:
+        n = sum(1 for line in body.splitlines() if line.strip())
+        return [pa.nulls(n, pa.string()) for _ in columns]
+    names = [str(i) for i in range(len(header))]
+    wanted = sorted({i for i in at if i >= 0})
+    try:
+        options = pacsv.ConvertOptions(include_columns=[names[i] for i in wanted], column_types={names[i]: pa.string() for i in wanted}, strings_can_be_null=False)
+        got = pacsv.read_csv(io.BytesIO(body.encode()), pacsv.ReadOptions(column_names=names, use_threads=False), pacsv.ParseOptions(newlines_in_values=True), options)
+        found = {i: got.column(names[i]).combine_chunks() for i in wanted}
+    except pa.ArrowInvalid:  # ragged lines
+        rows = [r for r in csv.reader(io.StringIO(body)) if any(x.strip() for x in r)]
+        found = {i: pa.array([r[i] if i < len(r) else None for r in rows], pa.string()) for i in wanted}
+    n = len(found[wanted[0]])
+    return [found[i] if i >= 0 else pa.nulls(n, pa.string()) for i in at]
 
 
 # Tables of an archive that lie beside the frames' and aren't measurements.

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skylattice.operators.store import insert_or_replace, merge_pooled, upsert
+from skylattice.operators.store import insert_or_replace, merge_pooled, pooled_nights, upsert
+from skylattice.operators.variability import flux_cells, normalise_frames
+from skylattice.sources.files import frame_rows
+from skylattice.streaming.tables import KeyedTable
 
 
 def frame_counts(events: DataFrame, ts: str, key: str, *, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -33,50 +36,49 @@ def once_within(events: DataFrame, ts: str, keys: list[str], *, late: str = "2 s
     return events.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(ts))).where("_r = 1").drop("_r")
 
 
-def library_updater(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], key: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that pools each batch's statistics into a library table."""
+def library_updater(table: KeyedTable, source: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that pools each batch's nights into a library (see store.merge_pooled), each batch once.
 
-    def update(batch: DataFrame, _: int) -> None:
-        write(merge_pooled(read(), batch, key))
+    source names the stream whose batches these are: the table remembers the last number taken from it, in the same step as
+    the rows, so a batch that the stream repeats after a failure is passed over. A stream that begins with a new checkpoint
+    folder counts from 0 and needs a name of its own.
+    """
+    (key,) = table.keys
+
+    def update(batch: DataFrame, number: int) -> None:
+        table.apply(pooled_nights(batch, key), lambda old, new: merge_pooled(old, new, key, nights="nights"), source=source, number=number)
 
     return update
 
 
-def table_updater(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: list[str], *, replace: bool = False, order: list[str] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that upserts each batch by keys, so that a batch that comes twice changes nothing."""
+def table_updater(table: KeyedTable, source: str, *, replace: bool = False, order: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that upserts each batch by the table's keys, of several rows of a key the last by order."""
     merge = insert_or_replace if replace else upsert
 
-    def update(batch: DataFrame, _: int) -> None:
-        write(merge(read(), batch, keys, order=order))
+    def update(batch: DataFrame, number: int) -> None:
+        table.apply(batch, lambda old, new: merge(old, new, table.keys, order=order), source=source, number=number)
 
     return update
 
 
-class VersionedTable:
-    """A small table in a folder that grows by whole versions: a reader sees the last one that was written whole."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        whole = [s.getPath() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName().removeprefix("v")) for p in whole)
+def night_updater(table: KeyedTable, source: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for frames as they come (frame_id, catalog_id, flux and more): every frame is normalised by
+    its own median and put into the table. A frame is a file, so a batch has it whole; one that comes again is replaced."""
 
-    def read(self) -> DataFrame:
-        found = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
+    def update(batch: DataFrame, number: int) -> None:
+        rows = flux_cells(batch.where("catalog_id is not null"))
+        table.apply(normalise_frames(rows), lambda old, new: upsert(old, new, table.keys), source=source, number=number)
 
-    def write(self, df: DataFrame) -> None:
-        found = self._versions()
-        df.write.mode("overwrite").parquet(f"{self.path}/v{found[-1] + 1 if found else 0}")
+    return update
 
 
 def ingest(spark: SparkSession, source: str, schema: str, update: Callable[[DataFrame, int], None], checkpoint: str, *, files: int = 100) -> StreamingQuery:
     """Take in the Parquet files under source that haven't been taken in yet, `files` at a time, and stop."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     return rows.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_frames(spark: SparkSession, path: str, update: Callable[[DataFrame, int], None], checkpoint: str, *, columns: list[str], pattern: str = "proc_*.csv", files: int = 100) -> StreamingQuery:
+    """Take in the per-frame CSVs under path that have come since the last time, `files` at a time, and stop."""
+    texts = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).text(path, wholetext=True)
+    return frame_rows(texts, columns).writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

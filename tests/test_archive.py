@@ -218,30 +218,6 @@ def test_settings(spark, tmp_path):
     assert read_settings(spark, f"file://{tmp_path}/d.json") == {}
 
 
-def test_stream_resumes_and_repeats_change_nothing(spark, tmp_path):
-    source, ledger = f"file://{tmp_path}/in", f"file://{tmp_path}/ledger"
-    table = ingest.VersionedTable(spark, f"file://{tmp_path}/table", "k int, v int")
-    batches = []
-
-    def update(batch, number):
-        batches.append(number)
-        ingest.table_updater(table.read, table.write, ["k"], order=["v"])(batch, number)
-
-    spark.createDataFrame([(1, 1), (2, 1)], "k int, v int").write.parquet(source)
-    ingest.ingest(spark, source, "k int, v int", update, ledger).awaitTermination(120)
-    seen = len(batches)
-    ingest.ingest(spark, source, "k int, v int", update, ledger).awaitTermination(120)
-    assert len(batches) == seen
-    spark.createDataFrame([(2, 5), (3, 1)], "k int, v int").write.mode("append").parquet(source)
-    ingest.ingest(spark, source, "k int, v int", update, ledger).awaitTermination(120)
-    assert sorted(map(tuple, table.read().collect())) == [(1, 1), (2, 5), (3, 1)]
-    pooled = ingest.VersionedTable(spark, f"file://{tmp_path}/library", "c string, rms double, n_frames long, n_obs long, median_mag double, suspect boolean")
-    night = spark.createDataFrame([("s", 0.3, 4, 1, 12.0, False)], "c string, rms double, n_frames long, n_obs long, median_mag double, suspect boolean")
-    for _ in range(2):
-        ingest.library_updater(pooled.read, pooled.write, "c")(night, 0)
-    assert pooled.read().first()["n_frames"] == 8 and pooled.read().first()["rms"] == pytest.approx(0.3)
-
-
 def test_stream_drops_copies_within_the_watermark(spark, tmp_path):
     rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:01"), ("b", "2024-01-01 00:00:01")]
     spark.createDataFrame(rows, "k string, t string").select("k", F.to_timestamp("t").alias("ts")).coalesce(1).write.parquet(f"file://{tmp_path}/e")
