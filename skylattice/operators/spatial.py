@@ -8,8 +8,10 @@ right ascension grows towards the poles; beyond the last row a cell spans the wh
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.expr import haversine
@@ -106,17 +108,62 @@ def one_to_one(pairs: DataFrame, left: str, right: str, rounds: int | None = Non
     return kept if kept is not None else pairs.limit(0)
 
 
-def boxes(df: DataFrame, ra_min: float, ra_max: float, dec_min: float, dec_max: float) -> DataFrame:
-    """A rectangle of sky; a range that passes 0 degrees wraps, and one of a full circle has all."""
-    ra = F.pmod(F.col("ra_deg"), F.lit(FULL))
+def ra_ranges(ra_min: float, ra_max: float) -> list[tuple[float, float]]:
+    """The closed ranges within 0 to 360 that a range of right ascension covers: two where it passes 0 degrees."""
     low, high = ra_min % FULL, ra_max % FULL
     if ra_max - ra_min >= FULL:
-        inside = F.lit(True)
-    elif low <= high:
-        inside = ra.between(low, high)
-    else:
-        inside = (ra >= low) | (ra <= high)
-    return df.where(F.col("dec_deg").between(dec_min, dec_max) & inside)
+        return [(0.0, FULL)]
+    return [(low, high)] if low <= high else [(0.0, high), (low, FULL)]
+
+
+def boxes(df: DataFrame, ra_min: float, ra_max: float, dec_min: float, dec_max: float, *, turns: tuple[int, ...] = (0, -1, 1)) -> DataFrame:
+    """A rectangle of sky; a range that passes 0 degrees wraps, and one of a full circle has all.
+
+    The conditions are plain ranges of ra_deg and dec_deg, so they reach a scan. turns: the full circles that ra_deg may be
+    off by; by default it lies anywhere from -360 to 720.
+    """
+    ranges = [F.col("ra_deg").between(low + FULL * k, high + FULL * k) for low, high in ra_ranges(ra_min, ra_max) for k in turns]
+    return df.where(F.col("dec_deg").between(dec_min, dec_max) & reduce(or_, ranges))
+
+
+# The strips that a sky table is cut into, and the bands within them that its rows follow, in degrees.
+STRIP_RA, STRIP_DEC, BAND = 7.5, 5.0, 0.25
+
+
+def strip_of(ra: Column, dec: Column, ra_step: float = STRIP_RA, dec_step: float = STRIP_DEC) -> Column:
+    """The strip (see strips()) in which a position lies; the pole belongs to the last row."""
+    n_ra, n_dec = math.ceil(FULL / ra_step), math.ceil(180 / dec_step)
+    row, column = F.floor((dec + 90) / dec_step), F.floor(F.pmod(ra, F.lit(FULL)) / ra_step)
+    return F.when(ra.isNotNull() & dec.isNotNull(), F.least(row, F.lit(n_dec - 1)) * n_ra + F.least(column, F.lit(n_ra - 1))).cast("int")
+
+
+def box_strips(ra_min: float, ra_max: float, dec_min: float, dec_max: float, ra_step: float = STRIP_RA, dec_step: float = STRIP_DEC) -> list[int]:
+    """The strips that a box touches."""
+    n_ra, n_dec = math.ceil(FULL / ra_step), math.ceil(180 / dec_step)
+    cell = lambda x, step, n: min(max(math.floor(x / step), 0), n - 1)
+    rows = range(cell(dec_min + 90, dec_step, n_dec), cell(dec_max + 90, dec_step, n_dec) + 1) if dec_min <= dec_max else []
+    columns = sorted({j for low, high in ra_ranges(ra_min, ra_max) for j in range(cell(low, ra_step, n_ra), cell(high, ra_step, n_ra) + 1)} | ({0} if any(high == FULL for _, high in ra_ranges(ra_min, ra_max)) else set()))
+    return [i * n_ra + j for i in rows for j in columns]
+
+
+def write_clustered(df: DataFrame, path: str, *, ra_step: float = STRIP_RA, dec_step: float = STRIP_DEC) -> None:
+    """Write a sky table (ra_deg, dec_deg and more) as Parquet by strip of sky, with ra_deg brought to 0 to 360.
+
+    Rows are dealt into ranges of (strip, band of declination, right ascension): a strip that holds a third of all stars
+    is written by many tasks, and a file's row groups each cover a small piece of sky.
+    """
+    t = df.withColumn("ra_deg", F.pmod(F.col("ra_deg").cast("double"), F.lit(FULL))).withColumn("sky_cell", strip_of(F.col("ra_deg"), F.col("dec_deg"), ra_step, dec_step))
+    t = t.withColumn("_band", F.floor(F.col("dec_deg") / BAND))
+    order = ["sky_cell", "_band", "ra_deg"]
+    t.repartitionByRange(*order).sortWithinPartitions(*order).drop("_band").write.partitionBy("sky_cell").parquet(path)
+
+
+def read_box(spark: SparkSession, path: str, schema: str, ra_min: float, ra_max: float, dec_min: float, dec_max: float, *, ra_step: float = STRIP_RA, dec_step: float = STRIP_DEC) -> DataFrame:
+    """The rows of a clustered table in a box: of the folders only those of its strips, of their row groups only those whose
+    ranges meet it. schema: the table's columns without sky_cell."""
+    t = spark.read.schema(f"{schema}, sky_cell int").parquet(path)
+    cells = box_strips(ra_min, ra_max, dec_min, dec_max, ra_step, dec_step)
+    return boxes(t.where(F.col("sky_cell").isin(cells)), ra_min, ra_max, dec_min, dec_max, turns=(0,)).drop("sky_cell")
 
 
 def catalogue_box(df: DataFrame, ra_min: float, ra_max: float, dec_min: float, dec_max: float, *, order: list[str], limit: int | None = None) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import expr, robust
 from skylattice.operators import archive, matching, neighbours, periods, photometry, reports, selection, spatial, store, variability
-from skylattice.operators.shared import cut
+from skylattice.operators.shared import cut, shared_dir
 from skylattice.operators.variability import VariabilityConfig
 from skylattice.plans.bindings import CELLS, DENSE, SKY, SPARSE, STARS, bridge, cells, dense, placed_stars, read, sky, sparse, stars
 from skylattice.queries import COMPS, HAVERSINE, PAIRS, query, rounded
 from skylattice.streaming import ingest
+from skylattice.streaming.tables import KeyedTable
 
 # ---------------------------------------------------------------- grouped reports
 
@@ -113,6 +116,26 @@ def _(spark, d):
     return t.groupBy("p_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("other")), lambda v: v.cast("string")), ",").alias("fallbacks"))
 
 
+@query("s7_clustered_box", f"with {SKY} select vec_id, round(ra_deg, 6) as ra_deg, round(dec_deg, 6) as dec_deg, round(mag, 6) as mag from sky where dec_deg between -2.5 and 1.5 and (ra_deg >= 356.5 or ra_deg <= 3.25)")
+def _(spark, d):
+    path = f"{shared_dir(spark).rstrip('/')}/sky-{uuid.uuid4().hex}"
+    spatial.write_clustered(sky(spark, d).select("vec_id", "ra_deg", "dec_deg", "mag"), path)
+    return rounded(spatial.read_box(spark, path, "vec_id long, ra_deg double, dec_deg double, mag double", -3.5, 3.25, -2.5, 1.5))
+
+
+@query("k12_k16_bucketed_writes", """
+    with new as (select o_custkey as k, max(o_totalprice) as top, count(*) as n from orders group by 1), kept as (select c_custkey as k, c_acctbal as balance, c_mktsegment as segment from customer where c_custkey % 10 <> 3)
+    select coalesce(kept.k, new.k) as c_custkey, round(coalesce(new.top, kept.balance), 6) as balance, segment from kept full join (select * from new where n > 12) new using (k)""")
+def _(spark, d):
+    table = KeyedTable(spark, f"{shared_dir(spark).rstrip('/')}/customers-{uuid.uuid4().hex}", "c_custkey long, balance double, segment string", ["c_custkey"], buckets=16)
+    c = read(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    tops = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("balance"), F.count("*").alias("n")).where("n > 12").drop("n")
+    table.apply(c, lambda old, new: store.insert_ignore(old, new, table.keys))
+    table.apply(c.where("c_custkey % 10 = 3").select("c_custkey"), lambda old, gone: store.delete_keys(old, gone, table.keys))
+    table.apply(tops, lambda old, new: store.upsert(old, new, table.keys))
+    return rounded(table.read())
+
+
 @query("s7_s8_sky_box", f"with {SKY} select vec_id, round(ra_deg, 6) as ra_deg, round(mag, 6) as mag from sky where dec_deg between -3 and 3 and (ra_deg >= 357 or ra_deg <= 4) and mag <= 13 order by mag, vec_id limit 100")
 def _(spark, d):
     s = spatial.boxes(sky(spark, d), 357, 364, -3, 3).where("mag <= 13")

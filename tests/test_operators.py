@@ -136,3 +136,25 @@ def test_frame_files(spark, tmp_path):
     curve = spark.createDataFrame([("a", 1.23456789, 2.0)], "catalog_id string, mag_calib double, aperture_r_px double")
     files.write_curves(curve, f"file://{tmp_path}/out")
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/out").first()["mag_calib"] == "1.234568"
+
+
+def test_boxes_of_a_clustered_table(spark, tmp_path):
+    r = random.Random(12)
+    positions = [(r.random() * 360, r.uniform(-90, 90)) for _ in range(3000)] + [(0.0, 90.0), (360.0, -90.0), (359.9999, 3.0), (7.5, 0.0), (-1.0, 2.0), (365.0, 2.0), (None, 1.0), (2.0, None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(positions)], "id int, ra_deg double, dec_deg double")
+    path = f"file://{tmp_path}/sky"
+    steps = {"ra_step": 40.0, "dec_step": 30.0}
+    spatial.write_clustered(df, path, **steps)
+    for box in ((350.0, 370.0, -5.0, 5.0), (10.0, 20.0, 40.0, 60.0), (0.0, 360.0, 89.0, 90.0), (-15.0, 0.0, -90.0, 90.0), (355.0, 360.0, 0.0, 4.0), (7.5, 7.5, 0.0, 0.0), (5.0, 6.0, 3.0, 1.0)):
+        low, high = box[0] % 360, box[1] % 360
+        inside = lambda ra: box[1] - box[0] >= 360 or (low <= ra % 360 <= high if low <= high else ra % 360 >= low or ra % 360 <= high)  # noqa: B023, E731
+        want = {i for i, (ra, dec) in enumerate(positions) if ra is not None and dec is not None and box[2] <= dec <= box[3] and inside(ra)}
+        found = spatial.read_box(spark, path, "id int, ra_deg double, dec_deg double", *box, **steps)
+        assert {x["id"] for x in found.collect()} == want and {x["id"] for x in spatial.boxes(df, *box).collect()} == want
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for low, high, pushed in ((10.0, 20.0, ["GreaterThanOrEqual(ra_deg,10.0)", "LessThanOrEqual(ra_deg,20.0)"]), (350.0, 370.0, ["Or(And(GreaterThanOrEqual(ra_deg,0.0),LessThanOrEqual(ra_deg,10.0)),And(GreaterThanOrEqual(ra_deg,350.0)"])):
+        plan = spatial.read_box(spark, path, "id int, ra_deg double, dec_deg double", low, high, -5.0, 5.0, **steps)._jdf.queryExecution().executedPlan().toString()
+        scan = next(line for line in plan.split("\n") if "FileScan" in line)
+        assert "PartitionFilters: [sky_cell" in scan and all(x in scan.split("PushedFilters")[1] for x in pushed)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert len(spatial.box_strips(350.0, 370.0, -5.0, 5.0)) < 20
