@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.robust import sigma_floor
-from skylattice.operators.shared import numbered
+from skylattice.operators.shared import cut, exact_quantiles, known, numbered
 
 
 def magnitude_bin(mag: Column, width: float = 0.5) -> Column:
@@ -56,9 +56,10 @@ def faint_vote(rows: DataFrame, snr: str, *, least: int = 5, limit: float = 5.0)
 
 def blend_vote(rows: DataFrame, chi2: str, fwhm: str, *, least: int = 3, chi2_max: float = 3.0, fwhm_max: float = 1.5) -> DataFrame:
     """Stars with a median fit error above its limit, or a width above its limit of the frames' median widths' median."""
-    frames = rows.groupBy("frame_id").agg(F.median(fwhm).alias("_f")).agg(F.median("_f").alias("_typical"))
+    frames = cut(rows.groupBy("frame_id").agg(F.median(fwhm).alias("_f")))
+    typical = exact_quantiles(frames, {"x": (F.col("_f"), 0.5)})["x"]
     own = rows.groupBy("catalog_id").agg(F.count(chi2).alias("n"), F.median(chi2).alias("median_chi2"), F.median(fwhm).alias("median_fwhm"))
-    t = own.crossJoin(F.broadcast(frames)).withColumn("width_ratio", F.col("median_fwhm") / F.col("_typical")).drop("_typical")
+    t = own.withColumn("width_ratio", F.col("median_fwhm") / known(typical))
     return t.where(((F.col("n") >= least) & (F.col("median_chi2") > chi2_max)) | (F.col("width_ratio") > fwhm_max))
 
 
@@ -72,10 +73,11 @@ def stability(curves: DataFrame, comp_rms: DataFrame, *, n_min: int = 3, k: floa
     t = curves.where(F.col("mag").isNotNull()).withColumn("_d", F.col("mag") - F.lag("mag").over(w))
     s = t.groupBy("catalog_id").agg(F.count("mag").alias("n"), F.stddev_pop("mag").alias("_rms"), F.count("_d").alias("_nd"), F.stddev_pop("_d").alias("_p2p"))
     s = s.select("catalog_id", "n", F.when(F.col("n") >= 3, F.col("_rms")).alias("lc_rms"), F.when(F.col("_nd") >= 2, F.col("_p2p") / F.sqrt(F.lit(2.0))).alias("p2p_rms"))
-    med = s.agg(F.median("p2p_rms").alias("_m"), F.count("p2p_rms").alias("_v"), F.stddev_pop("p2p_rms").alias("_sd"))
-    dev = s.crossJoin(F.broadcast(med)).agg(F.median(F.abs(F.col("p2p_rms") - F.col("_m"))).alias("_mad"))
-    s = s.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(dev))
-    s = s.withColumn("threshold", F.when(F.col("_v") >= 2, F.least(F.col("_m") + k * sigma_floor(F.col("_mad"), F.col("_sd")), F.lit(cap))).otherwise(F.lit(cap)))
+    s = cut(s)
+    of = s.agg(F.count("p2p_rms").alias("n"), F.stddev_pop("p2p_rms").alias("sd")).first()  # one row
+    med = exact_quantiles(s, {"m": (F.col("p2p_rms"), 0.5)})["m"]
+    mad = exact_quantiles(s, {"d": (F.abs(F.col("p2p_rms") - known(med)), 0.5)})["d"]
+    s = s.withColumn("threshold", F.least(known(med) + k * sigma_floor(known(mad), known(of["sd"])), F.lit(cap)) if of["n"] >= 2 else F.lit(cap))
     s = s.join(comp_rms.select("catalog_id", "comp_rms"), "catalog_id", "left")
     good = F.col("p2p_rms").isNotNull() & (F.col("p2p_rms") <= F.col("threshold")) & ~F.coalesce(F.col("comp_rms") < 1e-6, F.lit(False))
     s = s.withColumn("_good", F.count(F.when(good, 1)).over(Window.partitionBy()))
@@ -122,9 +124,8 @@ def stress_sample(rows: DataFrame, *, frac: float, seed: int, least_stars: int =
 
 def suspects(rms: DataFrame, *, k: float = 3.0) -> DataFrame:
     """Stars whose comp_rms lies above median + k robust deviations (standard deviation where the MAD is 0)."""
-    med = rms.agg(F.median("comp_rms").alias("_m"), F.stddev_pop("comp_rms").alias("_sd"))
-    dev = rms.crossJoin(F.broadcast(med)).agg(F.median(F.abs(F.col("comp_rms") - F.col("_m"))).alias("_mad"))
-    t = rms.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(dev))
-    return t.withColumn("limit", F.col("_m") + k * sigma_floor(F.col("_mad"), F.col("_sd"))).where(F.col("comp_rms") > F.col("limit")).select(*rms.columns, "limit")
-
-
+    t = cut(rms)
+    sd = t.agg(F.stddev_pop("comp_rms").alias("sd")).first()["sd"]
+    med = exact_quantiles(t, {"m": (F.col("comp_rms"), 0.5)})["m"]
+    mad = exact_quantiles(t, {"d": (F.abs(F.col("comp_rms") - known(med)), 0.5)})["d"]
+    return t.withColumn("limit", known(med) + k * sigma_floor(known(mad), known(sd))).where(F.col("comp_rms") > F.col("limit")).select(*rms.columns, "limit")

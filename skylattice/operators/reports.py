@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.expr import at_most, clean, magnitude
-from skylattice.operators.shared import cut, group_quantiles, numbered
+from skylattice.operators.shared import cut, exact_quantiles, group_quantiles, known, numbered
 
 
 def scatter_by_group(rows: DataFrame, keys: list[str], value: str, good: Column, *, least: int = 5, least_median: float = 100.0) -> DataFrame:
@@ -18,9 +18,9 @@ def scatter_by_group(rows: DataFrame, keys: list[str], value: str, good: Column,
 def scatter_verdicts(rows: DataFrame, key: str, value: str, *, least: int = 2, high: float = 1.05, low: float = 0.95) -> DataFrame:
     """key, n, rms, ratio to the median of all, verdict."""
     s = cut(rows.groupBy(key).agg(F.stddev_pop(value).alias("rms"), F.count("*").alias("n")).where(F.col("n") >= least))
-    t = s.crossJoin(F.broadcast(s.agg(F.median("rms").alias("_md"))))
-    verdict = F.when(F.col("rms") > high * F.col("_md"), "variable").when(F.col("rms") < low * F.col("_md"), "quiet").otherwise("typical")
-    return t.select(key, "n", "rms", (F.col("rms") / F.col("_md")).alias("ratio"), verdict.alias("verdict"))
+    typical = known(exact_quantiles(s, {"x": (F.col("rms"), 0.5)})["x"])
+    verdict = F.when(F.col("rms") > high * typical, "variable").when(F.col("rms") < low * typical, "quiet").otherwise("typical")
+    return s.select(key, "n", "rms", (F.col("rms") / typical).alias("ratio"), verdict.alias("verdict"))
 
 
 def heat_map(rows: DataFrame, x: Column, y: Column, x_steps: int = 2, y_steps: int = 4) -> DataFrame:
@@ -45,8 +45,9 @@ def frame_scores(frames: DataFrame, parts: dict[str, tuple[float, bool]]) -> Dat
     A missing value counts as the worst; a part with fewer than two values, or all the same, gives its whole weight. The
     limit is 1.05 times the median of the first part, to two places, where there are five values.
     """
-    first = next(iter(parts))
-    ranges = frames.agg(*[g(c).alias(f"_{n}_{c}") for c in parts for n, g in (("low", F.min), ("high", F.max), ("n", F.count))], F.bround(F.median(first) * 1.05, 2).alias("_limit"))
+    first, frames = next(iter(parts)), cut(frames)
+    limit = F.bround(known(exact_quantiles(frames, {"x": (F.col(first), 0.5)})["x"]) * 1.05, 2)
+    ranges = frames.agg(*[g(c).alias(f"_{n}_{c}") for c in parts for n, g in (("low", F.min), ("high", F.max), ("n", F.count))])
     t = frames.crossJoin(F.broadcast(ranges))
     total = F.lit(0.0)
     for c, (weight, more) in parts.items():
@@ -54,7 +55,7 @@ def frame_scores(frames: DataFrame, parts: dict[str, tuple[float, bool]]) -> Dat
         share = F.coalesce((F.col(c) - F.col(f"_low_{c}")) / span, F.lit(0.0 if more else 1.0))
         usable = (F.col(f"_n_{c}") >= 2) & (span > 0)
         total = total + weight * F.when(usable, share if more else 1 - share).otherwise(1.0)
-    return t.select(*frames.columns, total.alias("score"), F.when(F.col(f"_n_{first}") >= 5, F.col("_limit")).alias("auto_limit"))
+    return t.select(*frames.columns, total.alias("score"), F.when(F.col(f"_n_{first}") >= 5, limit).alias("auto_limit"))
 
 
 def representatives(rows: DataFrame, keys: list[str], item: str, listed: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.expr import at_least
 from skylattice.functions.robust import K, sigma_strict, weighted_line
-from skylattice.operators.shared import cut
+from skylattice.operators.shared import cut, exact_quantiles, known
 
 
 @dataclass(frozen=True)
@@ -88,26 +88,24 @@ def envelope(stars: DataFrame, cfg: VariabilityConfig, weight: str | None = None
     Field stars with a magnitude and a positive rms_pct are the pool; where there are min_field of them, those below the
     given percentile stay. With min_field left, they give a line log10(rms) = a + b mag, slope floored, and sigma comes from
     their distances; with fewer, the expectation is their median rms and sigma the spread of their logs. `weight` names a
-    column of weights that multiply distances. The stars are kept once; all statistics are single rows over them.
+    column of weights that multiply distances. The stars are kept once, at once; medians are exact, by refined histograms.
     """
-    least = F.lit(cfg.min_field)
     mag = F.when(~F.isnan("mag"), F.col("mag"))
     t = cut(stars.withColumn("_pool", F.coalesce(F.col("field"), F.lit(False)) & mag.isNotNull() & F.coalesce(F.col("rms_pct") > 0, F.lit(False))).withColumn("_log", F.when(F.col("rms_pct") > 0, F.log10(F.greatest(F.col("rms_pct"), F.lit(1e-6))))))
-    edge = t.agg(F.count_if("_pool").alias("_n"), F.percentile(F.when(F.col("_pool"), F.col("rms_pct")), cfg.percentile).alias("_p")).first()  # one row
-    quiet = F.col("_pool") & (F.col("rms_pct") < F.lit(edge["_p"])) if edge["_n"] >= cfg.min_field else F.col("_pool")
+    middle = lambda x: exact_quantiles(t, {"x": (x, 0.5)})["x"]
+    many = t.where("_pool").count() >= cfg.min_field
+    quiet = F.col("_pool") & (F.col("rms_pct") < known(exact_quantiles(t, {"p": (F.when(F.col("_pool"), F.col("rms_pct")), cfg.percentile)})["p"])) if many else F.col("_pool")
     x, y = F.when(quiet, mag), F.when(quiet, F.col("_log"))
     w = F.coalesce(F.pow(F.col(weight), 2), F.lit(1.0)) if weight else F.lit(1.0)  # a weight multiplies distances
     a, b = weighted_line(x, y, F.when(quiet, w))
-    line = t.agg(F.count(y).alias("_k"), a.alias("_a"), b.alias("_b"), F.median(F.when(quiet, F.col("rms_pct"))).alias("_typical"))
-    t = t.crossJoin(F.broadcast(line))
-    has = (F.col("_k") >= least) & F.col("_a").isNotNull()
-    fitted = F.col("_a") + F.greatest(F.col("_b"), F.lit(cfg.slope_floor)) * mag
-    t = t.withColumn("expected_log", F.when(has, fitted).otherwise(F.log10(at_least(F.col("_typical"), 1e-6))))
-    pool = F.when(quiet, F.when(has, F.col("_log") - fitted).otherwise(F.col("_log")))
-    mid = t.agg(F.median(pool).alias("_rm"))
-    t = t.withColumn("_r", pool).crossJoin(F.broadcast(mid))
-    dev = t.agg(sigma_strict(F.median(F.abs(F.col("_r") - F.col("_rm"))), F.count("_r")).alias("sigma"))
-    t = t.crossJoin(F.broadcast(dev))
+    line = t.agg(F.count(y).alias("n"), a.alias("a"), b.alias("b")).first()  # one row
+    if line["n"] >= cfg.min_field and line["a"] is not None:
+        expected = known(line["a"]) + known(max(line["b"], cfg.slope_floor)) * mag
+        residual = F.when(quiet, F.col("_log") - expected)
+    else:
+        expected, residual = F.log10(at_least(known(middle(F.when(quiet, F.col("rms_pct")))), 1e-6)), y
+    sigma = sigma_strict(known(middle(F.abs(residual - known(middle(residual))))), F.lit(line["n"]))
+    t = t.withColumn("expected_log", expected).withColumn("sigma", sigma)
     return t.select(*stars.columns, "expected_log", "sigma", F.when(F.col("sigma") > 0, (F.col("_log") - F.col("expected_log")) / F.col("sigma")).alias("score"), F.pow(F.lit(10.0), F.col("expected_log") + cfg.sigma_threshold * F.coalesce("sigma", F.lit(0.0))).alias("envelope"))
 
 
@@ -128,11 +126,10 @@ def sign_changes(cells: DataFrame, cfg: VariabilityConfig) -> DataFrame:
     steps = t.where("_s <> 0").withColumn("_turn", (F.col("_s") != F.lag("_s").over(w.orderBy("frame_id"))).cast("int"))
     one = t.groupBy("catalog_id").agg(F.max("_n").alias("n_used")).join(steps.groupBy("catalog_id").agg(F.sum("_turn").alias("_turns"), F.count("*").alias("_signs")), "catalog_id", "left")
     one = cut(one.select("catalog_id", "n_used", F.when(F.col("_signs") >= 2, F.col("_turns") / F.sqrt("n_used")).otherwise(0.0).alias("vdi")))
-    med = one.agg(F.median("vdi").alias("_m"))
-    dev = one.crossJoin(F.broadcast(med)).agg(F.median(F.abs(F.col("vdi") - F.col("_m"))).alias("_d"))
-    t = one.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(dev))
-    z = F.when(F.col("_d") > 0, (F.col("vdi") - F.col("_m")) / (F.col("_d") / K))
-    return t.select("catalog_id", "n_used", "vdi", z.alias("vdi_z"), F.coalesce(z < -cfg.vdi_z_threshold, F.lit(False)).alias("vdi_candidate"))
+    med = exact_quantiles(one, {"m": (F.col("vdi"), 0.5)})["m"]
+    dev = exact_quantiles(one, {"d": (F.abs(F.col("vdi") - known(med)), 0.5)})["d"]
+    z = F.when(known(dev) > 0, (F.col("vdi") - known(med)) / (known(dev) / K))
+    return one.select("catalog_id", "n_used", "vdi", z.alias("vdi_z"), F.coalesce(z < -cfg.vdi_z_threshold, F.lit(False)).alias("vdi_candidate"))
 
 
 def combined(rms: DataFrame, vdi: DataFrame) -> DataFrame:
