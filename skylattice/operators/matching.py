@@ -8,31 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.expr import at_most, clean, exact_id, haversine, preferred_id, triangle_shape, unit_vector
+from skylattice.operators.greedy import greedy
 from skylattice.operators.shared import cut, group_quantiles
 from skylattice.operators.spatial import nearest, plane_pairs, sky_pairs
 
 
 def by_priority(pairs: DataFrame, left: str, right: str, priority: list[str]) -> DataFrame:
-    """One-to-one pairs as if each left row, in the order of its priority (columns, first wins), took its nearest free
-    right row. pairs: left, right, distance, priority columns.
-
-    Rounds: a left row that is the most urgent of all that want the same right row gets it, since nobody before it in
-    order can want it any more; rows whose wish is taken wish again. Every round settles the most urgent row of each
-    connected group at least.
-    """
-    urgency = F.struct(*[F.col(c) for c in priority], F.col(left))
-    open_, kept = cut(pairs), None
-    while True:
-        wish = open_.withColumn("_w", F.row_number().over(Window.partitionBy(left).orderBy("distance", right)))
-        # a right row may be given only when no more urgent row could still come to it
-        first = open_.groupBy(right).agg(F.min(urgency).alias("_first"))
-        best = wish.where("_w = 1").join(first, right).where(F.col("_first") == urgency).select(*pairs.columns)
-        best = cut(best)
-        if best.isEmpty():
-            break
-        kept = best if kept is None else kept.unionByName(best)
-        open_ = cut(open_.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti").select(*pairs.columns))
-    return kept if kept is not None else pairs.limit(0)
+    """One-to-one pairs as if each left row, in the order of its priority (columns, first wins, then its id), took its nearest
+    free right row. pairs: left, right, distance, priority columns; see greedy()."""
+    return greedy(pairs, left, right, [*priority, left, "distance", right])
 
 
 def id_else_place(targets: DataFrame, rows: DataFrame, *, radius: float = 18.0, brightest: float = -8.0) -> DataFrame:

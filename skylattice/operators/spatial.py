@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.expr import haversine
-from skylattice.operators.shared import cut
+from skylattice.operators.greedy import greedy
 
 FULL = 360.0
 
@@ -89,23 +89,9 @@ def isolated(stars: DataFrame, key: str, group: str, *, radius: float, max_dmag:
     return t.withColumn("_left", left).where(F.col("_alone") | (F.col("_left") < n_min)).drop("_crowded", "_alone", "_left")
 
 
-def one_to_one(pairs: DataFrame, left: str, right: str, rounds: int | None = None) -> DataFrame:
-    """Greedy matching by ascending distance: a pair stays when it is the nearest for both, then both leave; repeated.
-
-    Each round is a set operation over all pairs; at least one pair of each connected group is settled in it. Ties go by
-    the ids.
-    """
-    open_, kept, done = cut(pairs), None, 0
-    while rounds is None or done < rounds:
-        a = F.row_number().over(Window.partitionBy(left).orderBy("distance", right))
-        b = F.row_number().over(Window.partitionBy(right).orderBy("distance", left))
-        best = cut(open_.withColumn("_a", a).withColumn("_b", b).where("_a = 1 and _b = 1").drop("_a", "_b"))
-        if best.isEmpty():
-            break
-        kept = best if kept is None else kept.unionByName(best)
-        open_ = cut(open_.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti"))
-        done += 1
-    return kept if kept is not None else pairs.limit(0)
+def one_to_one(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Greedy matching by ascending distance, ties by the ids; see greedy()."""
+    return greedy(pairs, left, right, ["distance"])
 
 
 def ra_ranges(ra_min: float, ra_max: float) -> list[tuple[float, float]]:
