@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import gc
 import hashlib
+import secrets
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -171,12 +172,22 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- hashing
 
 
-def mix(x: np.ndarray) -> np.ndarray:
+#: Start, step and the two multipliers of a hash. This one is known to everybody; where hashes decide, a run draws its own.
+Key = tuple[int, int, int, int]
+PUBLIC: Key = (0x9FB21C651E98DF25, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xD6E8FEB86659FD93)
+
+
+def secret_keys(n: int) -> list[Key]:
+    """Random keys for one run: texts can't be written so that they fall together under them."""
+    return [tuple(secrets.randbits(64) | 1 for _ in range(4)) for _ in range(n)]
+
+
+def mix(x: np.ndarray, key: Key = PUBLIC) -> np.ndarray:
     """A bijective scramble of 64-bit words."""
     x = x ^ (x >> U64(32))
-    x *= U64(0xD6E8FEB86659FD93)
+    x *= U64(key[2])
     x ^= x >> U64(32)
-    x *= U64(0xD6E8FEB86659FD93)
+    x *= U64(key[3])
     x ^= x >> U64(32)
     return x
 
@@ -194,18 +205,19 @@ def eights(symbols: np.ndarray) -> np.ndarray:
     return np.ndarray((symbols.nbytes + 1,), "<u8", padded, 0, (1,))
 
 
-def span_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+def span_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0, key: Key = PUBLIC) -> np.ndarray:
     """64-bit hashes of spans of a byte or code-point array, from their own bytes alone.
 
     A span's length and its words go through a scramble one after another, so no two texts of a simple form fall together
-    as they would under a rolling polynomial. Where equality decides a result, the bytes are compared besides.
+    as they would under a rolling polynomial. Where equality decides a result, the bytes are compared besides, or two hashes
+    of secret keys are.
     """
     word, scale = eights(symbols), symbols.itemsize
     at, left = start.astype(np.int64) * scale, (end - start).astype(np.int64) * scale
-    out = mix(left.astype(U64) * U64(0xC2B2AE3D27D4EB4F) + U64((seed * 0xA24BAED4963EE407 + 0x9FB21C651E98DF25) & ((1 << 64) - 1)))
+    out = mix(left.astype(U64) * U64(0xC2B2AE3D27D4EB4F) + U64((seed * 0xA24BAED4963EE407 + key[0]) & ((1 << 64) - 1)), key)
     open_: np.ndarray | slice = slice(None)
     for _ in range(FOLDED // 8):
-        out[open_] = mix(out[open_] ^ (word[at] & LOWEST[np.minimum(left, 8)])) + U64(0x9E3779B97F4A7C15)
+        out[open_] = mix(out[open_] ^ (word[at] & LOWEST[np.minimum(left, 8)]), key) + U64(key[1])
         more = np.flatnonzero(left > 8)
         if not len(more):
             return out
@@ -213,7 +225,7 @@ def span_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, seed: i
         at, left = at[more] + 8, left[more] - 8
     raw = memoryview(np.ascontiguousarray(symbols)).cast("B")
     rest = [int.from_bytes(hashlib.blake2b(raw[a : a + n], digest_size=8).digest(), "little") for a, n in zip(at.tolist(), left.tolist(), strict=True)]
-    out[open_] = mix(out[open_] ^ np.array(rest, U64))
+    out[open_] = mix(out[open_] ^ np.array(rest, U64), key)
     return out
 
 

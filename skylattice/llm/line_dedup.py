@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, bitmap, cut, fresh, key_filter, span_hashes, split, split_rows, text_slices, tidy, utf8, words, written
+from .common import LOWER, bitmap, cut, fresh, key_filter, secret_keys, span_hashes, split, split_rows, text_slices, tidy, utf8, words, written
 from .setjoin import Rule, candidates, first_pass, keyed, sets_of, shown_tokens, verify
 
 RULE = Rule(80, 100)
@@ -21,20 +21,24 @@ RULE = Rule(80, 100)
 ROUNDS = 3
 
 
-def lines(batch: pa.RecordBatch):
-    """Records: one for each line that has a word; the hashes of its lower-cased words."""
-    data, at = utf8(batch.column("text"))
-    breaks = data == 10
-    data = LOWER[data]
-    start, end, _ = words(data, at)
-    word = span_hashes(data, start, end)
-    text = np.searchsorted(at, start, "right") - 1
-    seen = np.concatenate([[0], np.cumsum(breaks)])
-    line = seen[start] - seen[at[text]]
-    new = np.ones(len(start), bool)
-    new[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
-    first = np.flatnonzero(new)
-    return text[first], line[first], word, np.append(first, len(start))
+def lines():
+    """Records: one for each line that has a word; the hashes of its lower-cased words under keys drawn for this run."""
+    one, two = secret_keys(2)
+
+    def records(batch: pa.RecordBatch, check: bool = False):
+        data, at = utf8(batch.column("text"))
+        breaks = data == 10
+        data = LOWER[data]
+        start, end, _ = words(data, at)
+        text = np.searchsorted(at, start, "right") - 1
+        seen = np.concatenate([[0], np.cumsum(breaks)])
+        line = seen[start] - seen[at[text]]
+        new = np.ones(len(start), bool)
+        new[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
+        first = np.flatnonzero(new)
+        return text[first], line[first], span_hashes(data, start, end, key=one), np.append(first, len(start)), span_hashes(data, start, end, key=two) if check else None
+
+    return records
 
 
 def _place(prefix: str = "") -> Column:
@@ -44,9 +48,10 @@ def _place(prefix: str = "") -> Column:
 
 def later_lines(rows: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(doc_id, version, record): lines of rows (doc_id, version, text) that a line before them is alike to."""
-    found, sketch = first_pass(rows, lines)
+    records = lines()
+    found, sketch = first_pass(rows, records)
     classes = written(found.groupBy("cls").agg(F.min(_place()).alias("first"), F.count("*").alias("copies")), "line-classes")
-    proposed, shown = shown_tokens(rows, lines, sketch, rule, most=1, keep_all=False)
+    proposed, shown = shown_tokens(rows, records, sketch, rule, most=1, keep_all=False)
     gone = rows.sparkSession.createDataFrame([], "cls long")
     tested = None
     for turn in range(ROUNDS + 1):
@@ -72,7 +77,7 @@ def later_lines(rows: DataFrame, rule: Rule = RULE) -> DataFrame:
             pairs = pairs.groupBy("later").agg(F.max_by(F.struct("a", "b"), F.struct("votes", "a", "b")).alias("best")).select("best.a", "best.b", "later")
         pairs = cut(pairs.select("a", "b", "later"))
         firsts = classes.select("cls", "first.doc_id", "first.version", "first.record")
-        alike = verify(pairs, sets_of(pairs, rows, lines, sketch, firsts), rule).join(pairs, ["a", "b"]).select(F.col("later").alias("cls"))
+        alike = verify(pairs, sets_of(pairs, rows, records, sketch, firsts), rule).join(pairs, ["a", "b"]).select(F.col("later").alias("cls"))
         gone = cut(gone.unionByName(alike).distinct())
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
     told = classes.join(gone.withColumn("_gone", F.lit(True)), "cls", "left").where("_gone or copies > 1").select(F.col("cls").alias("_c"), "first", "_gone")

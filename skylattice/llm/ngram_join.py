@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, key_filter, mix, span_hashes, split_rows, utf8, words
+from .common import LOWER, Key, cut, key_filter, mix, secret_keys, span_hashes, split_rows, utf8, words
 from .setjoin import Rule, candidates, first_pass, keyed, likely, sets_of, shown_lists, shown_tokens, verify
 
 SHINGLE = 4
@@ -22,25 +22,30 @@ WORTH = 200
 
 
 def shingles(size: int = SHINGLE):
-    """Records: one for each text, the hashes of its word shingles; fewer words than `size` make one shingle."""
+    """Records: one for each text, the hashes of its word shingles under keys drawn for this run; fewer words than `size` make
+    one shingle."""
+    one, two = secret_keys(2)
 
-    def records(batch: pa.RecordBatch):
+    def records(batch: pa.RecordBatch, check: bool = False):
         data, at = utf8(batch.column("text"))
         data = LOWER[data]
         start, end, first = words(data, at)
-        word = span_hashes(data, start, end)
         count = np.diff(first)
         n = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
-        # a short text's shingle is padded; padding can't be mistaken for a word because the number of words is mixed in
-        padded = np.concatenate([word, np.zeros(size, np.uint64)])
         total = np.concatenate([[0], np.cumsum(n)])
         text = np.repeat(np.arange(len(n)), n)
         place = first[:-1][text] + np.arange(total[-1]) - total[:-1][text]
         have = np.minimum(count, size)[text]
-        out = have.astype(np.uint64)
-        for i in range(size):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + np.where(i < have, padded[place + i], np.uint64(0)))
-        return np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), out, total
+
+        def hashed(key: Key) -> np.ndarray:
+            # a short text's shingle is padded; padding can't be mistaken for a word because the number of words is mixed in
+            padded = np.concatenate([span_hashes(data, start, end, key=key), np.zeros(size, np.uint64)])
+            out = have.astype(np.uint64)
+            for i in range(size):
+                out = mix(out * np.uint64(key[1]) + np.where(i < have, padded[place + i], np.uint64(0)), key)
+            return out
+
+        return np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), hashed(one), total, hashed(two) if check else None
 
     return records
 

@@ -30,6 +30,8 @@ RECENT = 500_000
 CHUNK = 1 << 16
 #: Labels up to this number are broadcast (16 bytes each); more go through a join.
 BROADCAST_LABELS = 500_000
+#: The bits of a token's hash that travel.
+SHOWN = np.uint64(0xFFFFFFFF)
 POSTING = np.dtype([("token", "<u4"), ("cls", "<i8"), ("parity", "<u8"), ("n", "<u4"), ("at", "<u4")])
 
 
@@ -47,8 +49,9 @@ class Rule:
         return -(-self.part * (n + m) // (self.part + self.over))
 
 
-#: Makes the records of a slice: row of each record, its number in the row, and offsets into the token hashes.
-Records = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+#: Makes the records of a slice: row of each record, its number in the row, token hashes and offsets into them; and, if asked
+#: for, the same tokens under a second key.
+Records = Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]
 
 
 def order_within(group: np.ndarray, key: np.ndarray, *, full: bool = True) -> np.ndarray:
@@ -68,14 +71,14 @@ def order_within(group: np.ndarray, key: np.ndarray, *, full: bool = True) -> np
     return order
 
 
-def distinct(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different tokens of each record, ordered by hash, and their offsets."""
+def distinct(tokens: np.ndarray, at: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """The different tokens of each record, ordered by hash, their offsets, and what check has of them."""
     record = np.repeat(np.arange(len(at) - 1), np.diff(at))
     order = order_within(record, tokens)
     t, r = tokens[order], record[order]
     keep = np.ones(len(t), bool)
     keep[1:] = (t[1:] != t[:-1]) | (r[1:] != r[:-1])
-    return t[keep], np.searchsorted(r[keep], np.arange(len(at)))
+    return t[keep], np.searchsorted(r[keep], np.arange(len(at))), check[order][keep] if check is not None else None
 
 
 def signatures(tokens: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
@@ -86,18 +89,19 @@ def signatures(tokens: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
 @dataclass(frozen=True)
 class Order:
     """The levels of the count sketch of tokens, and classes whose 64-bit names stand for several sets: their records go by
-    a second name instead. At 10**12 sets some tens of thousands are to be expected, here none."""
+    a second name instead, made of other hashes of the same tokens. At 10**12 sets some tens of thousands are to be
+    expected, here none."""
 
     levels: np.ndarray
     shared_names: np.ndarray
 
 
-def class_names(tokens: np.ndarray, at: np.ndarray, order: Order) -> np.ndarray:
+def class_names(tokens: np.ndarray, at: np.ndarray, check: np.ndarray | None, order: Order) -> np.ndarray:
+    """Names of sets: by their tokens, or by the tokens under the second key (check) where that name stands for several."""
     names = signatures(tokens, at, 1)
-    again = np.isin(names, order.shared_names)
-    if again.any():
-        names = np.where(again, signatures(tokens, at, 2), names)
-    return names
+    if check is None:
+        return names
+    return np.where(np.isin(names, order.shared_names), signatures(check, at, 2), names)
 
 
 def parities(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -131,15 +135,15 @@ def first_pass(rows: DataFrame, records: Records) -> tuple[DataFrame, Order]:
 
         for batch in text_slices(batches, "text"):
             ids = batch.schema.field("doc_id").type
-            row, number, tokens, at = records(batch)
-            tokens, at = distinct(tokens, at)
+            row, number, tokens, at, check = records(batch, True)
+            tokens, at, check = distinct(tokens, at, check)
             cells.append(_cells(tokens).astype(np.uint32))
             if sum(map(len, cells)) > SKETCH:
                 counted()
             n = len(row)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(number.astype(np.int32)), pa.array(np.diff(at).astype(np.int32)), pa.array(signatures(tokens, at, 1)), pa.array(signatures(tokens, at, 2)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
+                [batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(number.astype(np.int32)), pa.array(np.diff(at).astype(np.int32)), pa.array(signatures(tokens, at, 1)), pa.array(signatures(check, at, 2)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
             )
         if ids is not None:
             counted()
@@ -193,20 +197,20 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *
 
     Pairs: (a, b, votes), of each record with the `most` first that pass in each group. Tokens: those that
     two classes or more show, all of them or only those of groups cut short, packed by whole groups. A token here is 32 bits of its
-    hash: tokens that fall together only make a group larger.
+    hash: tokens that fall together make a group larger, and where two of one class do, it has a posting for each place.
     """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(sketch)
-    n_parts = max(2 * partitions(spark), 8)
+    n_parts, bits = max(2 * partitions(spark), 8), SHOWN
 
     def run(batches: Iterator[pa.RecordBatch]):
         seen: set[int] = set()
         for batch in text_slices(batches, "text"):
             if len(seen) > RECENT:
                 seen = set()
-            _, _, tokens, at = records(batch)
-            tokens, at = distinct(tokens, at)
-            cls = class_names(tokens, at, shared.value)
+            _, _, tokens, at, check = records(batch, bool(len(shared.value.shared_names)))
+            tokens, at, check = distinct(tokens, at, check)
+            cls = class_names(tokens, at, check, shared.value)
             size = np.diff(at)
             fresh = np.array([bool(n) and not (c in seen or seen.add(c)) for c, n in zip(cls.tolist(), size.tolist(), strict=True)], bool)
             keep = np.flatnonzero(fresh)
@@ -221,7 +225,7 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *
             place = expand(at[:-1], count)
             record = np.repeat(np.arange(len(n)), count)
             out = np.empty(len(place), POSTING)
-            out["token"], out["cls"], out["parity"], out["n"], out["at"] = tokens[place] & np.uint64(0xFFFFFFFF), cls[record], parity[record], n[record], place - at[record]
+            out["token"], out["cls"], out["parity"], out["n"], out["at"] = tokens[place] & bits, cls[record], parity[record], n[record], place - at[record]
             part = (out["token"] % np.uint32(n_parts)).astype(np.int64)
             order = np.argsort((part << 32) | out["token"])
             out, ends = out[order], np.searchsorted(part[order], np.arange(n_parts + 1))
@@ -234,8 +238,12 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *
             return
         every = np.concatenate(held)
         every = every[order_within(every["token"], every["cls"].astype(np.uint64))]
+        again = (every["token"][1:] == every["token"][:-1]) & (every["cls"][1:] == every["cls"][:-1])
+        if (again & (every["at"][1:] != every["at"][:-1])).any():  # a class with two tokens that fall together keeps both places
+            every = every[np.lexsort((every["at"], every["cls"], every["token"]))]
+            again = (every["token"][1:] == every["token"][:-1]) & (every["cls"][1:] == every["cls"][:-1])
         keep = np.ones(len(every), bool)
-        keep[1:] = (every["token"][1:] != every["token"][:-1]) | (every["cls"][1:] != every["cls"][:-1])
+        keep[1:] = ~again | (every["at"][1:] != every["at"][:-1])
         every = every[keep]
         same = every["token"][1:] == every["token"][:-1]
         many = np.zeros(len(every), bool)
@@ -378,14 +386,15 @@ def likely(pairs: DataFrame, lists: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b, …) that share enough of what they show.
 
     Of two linked sets, take the one whose shown tokens end first: at most n - needed of them are missing in the other,
-    the rest is shown by both. So linked sets share needed - ceil(t max(n, m)) + 1 shown tokens at least.
+    the rest is shown by both. So linked sets share needed - ceil(t max(n, m)) + 1 shown tokens at least, and as many fewer
+    different ones of 32 bits as fall together in one of them.
     """
     one = lists.select(F.col("cls").alias("a"), F.col("n").alias("_n"), F.col("seen").alias("_s"))
     two = lists.select(F.col("cls").alias("b"), F.col("n").alias("_m"), F.col("seen").alias("_t"))
     up = lambda x, y: f"cast(({x} + {y} - 1) div {y} as long)"
     least = F.expr(f"{up(f'{rule.part} * (_n + _m)', rule.part + rule.over)} - {up(f'{rule.part} * greatest(_n, _m)', rule.over)} + 1")
     met = pairs.join(one, "a").join(two, "b")
-    return met.where(F.size(F.array_intersect("_s", "_t")) >= least).select(*pairs.columns)
+    return met.where(F.size(F.array_intersect("_s", "_t")) + F.size("_s") - F.size(F.array_distinct("_s")) >= least).select(*pairs.columns)
 
 
 # ---------------------------------------------------------------- sets of chosen classes
@@ -400,14 +409,15 @@ def fetch_sets(rows: DataFrame, records: Records, sketch: Order, wanted: DataFra
     def run(batches: Iterator[pa.RecordBatch]):
         seen: set[int] = set()
         for batch in text_slices(batches, "text"):
-            row, number, tokens, at = records(batch)
+            row, number, tokens, at, check = records(batch, bool(len(shared.value.shared_names)))
             lists = batch.column("records")
             own, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             asked = (np.repeat(np.arange(batch.num_rows), np.diff(ends)) << 32) | own
             keep = np.flatnonzero(np.isin((row.astype(np.int64) << 32) | number, asked))
             size = np.diff(at)[keep]
-            tokens, at = distinct(tokens[expand(at[keep], size)], np.concatenate([[0], np.cumsum(size)]))
-            cls = class_names(tokens, at, shared.value)
+            own = expand(at[keep], size)
+            tokens, at, check = distinct(tokens[own], np.concatenate([[0], np.cumsum(size)]), check[own] if check is not None else None)
+            cls = class_names(tokens, at, check, shared.value)
             tokens = ordered(tokens, at, shared.value.levels)
             raw = [tokens[a:b][::-1].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             new = [i for i, c in enumerate(cls.tolist()) if not (c in seen or seen.add(c))]  # rows that are equal lie in one task

@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from skylattice.llm import setjoin
+from skylattice.llm.common import mix
 from skylattice.llm.line_dedup import dedup_lines
 from skylattice.llm.ngram_join import count_links, link_documents, linked_pairs, one_of_each
 from skylattice.llm.setjoin import Rule, Trie
@@ -129,4 +130,36 @@ def test_sets_whose_names_meet_are_told_apart(spark, monkeypatch):
     tokens = np.arange(40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     at = np.arange(0, 41, 4)
     order = setjoin.Order(np.zeros(1), np.arange(-5, 5))
-    assert len(set(setjoin.class_names(tokens, at, order).tolist())) == 10
+    assert len(set(setjoin.class_names(tokens, at, mix(tokens), order).tolist())) == 10
+
+
+#: Two words that fall together under the public key, found by running its scramble backwards.
+TWINS = ("abcdefghijklmnop", '1ckwj6re/#~q6:f"')
+
+
+def test_words_written_to_fall_together_are_told_apart(spark):
+    filler = [" ".join(f"f{i}x{j}" for j in range(9)) for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate([*TWINS, *filler])), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in link_documents(docs).collect()} == {i: i for i in range(5)}
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()} == {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def test_shown_tokens_that_fall_together_lose_no_link(spark, monkeypatch):
+    """With 7 bits for a token instead of 32 nearly every set has tokens that fall together."""
+    monkeypatch.setattr(setjoin, "SHOWN", np.uint64(127))
+    r = random.Random(11)
+    rows = []
+    for g in range(12):  # two sets of 100 that share exactly the 92 needed at 0.85, and two of 91
+        common = [f"g{g}c{i}" for i in range(92 if g % 2 else 91)]
+        for side in "ab":
+            own = common + [f"g{g}{side}{i}" for i in range(100 - len(common))]
+            r.shuffle(own)
+            rows.append((len(rows), "\n".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in link_documents(docs, size=1).collect()}
+    assert got == {k: k - k % 2 if (k // 2) % 2 else k for k, _ in rows}
+    assert len(linked_pairs(docs, size=1)[0].collect()) == 6
+    texts = near_copies(5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, _, _ = by_hand(list(enumerate(texts)), 85, 100)
+    assert [x["component_id"] for x in sorted(link_documents(docs).collect(), key=lambda x: x["doc_id"])] == want
