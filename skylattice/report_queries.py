@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import expr, robust
-from skylattice.operators import archive, matching, neighbours, periods, photometry, reports, selection, spatial, store, variability
+from skylattice.operators import archive, catalogues, matching, neighbours, periods, photometry, reports, selection, spatial, store, variability
 from skylattice.operators.shared import cut, shared_dir
 from skylattice.operators.variability import VariabilityConfig
 from skylattice.plans.bindings import CELLS, DENSE, SKY, SPARSE, STARS, bridge, cells, dense, placed_stars, read, sky, sparse, stars
@@ -82,12 +82,12 @@ def _(spark, d):
     return rounded(reports.top_per_group(read(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice"), "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")], 3))
 
 
-@query("o1_o9_top_lists", "select o_orderkey, round(o_totalprice, 6) as o_totalprice from orders order by coalesce(o_totalprice, -1) desc, o_orderkey limit 10")
+@query("top_orders", "select o_orderkey, round(o_totalprice, 6) as o_totalprice from orders order by coalesce(o_totalprice, -1) desc, o_orderkey limit 10")
 def _(spark, d):
     return rounded(matching.worst(read(spark, d, "orders").select("o_orderkey", "o_totalprice").fillna(-1.0), "o_totalprice", 10, "o_orderkey"))
 
 
-@query("f11_f12_f13_state_filters", "select o_orderkey, o_orderpriority from orders where lower(coalesce(o_orderpriority, '')) in ('1-urgent', '2-high') and coalesce(o_orderstatus, 'O') <> 'F' and o_totalprice > 0 and o_totalprice < 400000 and regexp_matches(o_orderpriority, '^[0-9]-')")
+@query("state_filters", "select o_orderkey, o_orderpriority from orders where lower(coalesce(o_orderpriority, '')) in ('1-urgent', '2-high') and coalesce(o_orderstatus, 'O') <> 'F' and o_totalprice > 0 and o_totalprice < 400000 and regexp_matches(o_orderpriority, '^[0-9]-')")
 def _(spark, d):
     o = read(spark, d, "orders")
     keep = F.lower(F.coalesce("o_orderpriority", F.lit(""))).isin("1-urgent", "2-high") & (F.coalesce("o_orderstatus", F.lit("O")) != "F") & (F.col("o_totalprice") > 0) & (F.col("o_totalprice") < 400000) & F.col("o_orderpriority").rlike("^[0-9]-")
@@ -108,7 +108,7 @@ def _(spark, d):
     return rounded(exact.unionByName(near.select(F.col("l_id").alias("id"), F.col("r_vec_id").alias("found"), F.lit("place").alias("how"), "distance")))
 
 
-@query("j20_group_fallback", "select a.p_partkey as p_partkey, list_aggregate(list_sort(list(b.p_partkey)), 'string_agg', ',') as fallbacks from part a join part b on a.p_size = b.p_size and a.p_brand = b.p_brand and a.p_partkey <> b.p_partkey and abs(a.p_retailprice - b.p_retailprice) <= 300 group by 1")
+@query("equal_size_alternatives", "select a.p_partkey as p_partkey, list_aggregate(list_sort(list(b.p_partkey)), 'string_agg', ',') as fallbacks from part a join part b on a.p_size = b.p_size and a.p_brand = b.p_brand and a.p_partkey <> b.p_partkey and abs(a.p_retailprice - b.p_retailprice) <= 300 group by 1")
 def _(spark, d):
     p = read(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
     q = p.select(F.col("p_partkey").alias("other"), "p_size", "p_brand", F.col("p_retailprice").alias("price"))
@@ -150,7 +150,7 @@ def _(spark, d):
     return rounded(photometry.lomb_scargle(t.select("catalog_id", F.col("t").cast("double").alias("t"), "mag"), "catalog_id", "t", "mag", [0.05, 0.1, 0.2, 0.31]), 5)
 
 
-@query("a24_iterative_clip", """with recursive r as (select 0 as k, l_suppkey as s, l_orderkey as o, l_linenumber as l, l_extendedprice as v from lineitem),
+@query("clip_two_rounds", """with recursive r as (select 0 as k, l_suppkey as s, l_orderkey as o, l_linenumber as l, l_extendedprice as v from lineitem),
     m1 as (select *, median(v) over (partition by s) as md from r), a1 as (select *, median(abs(v - md)) over (partition by s) as mad from m1), x1 as (select *, v <= md + 1.0 * mad / 0.6745 as stay from a1), r1 as (select *, count(*) over (partition by s) as had, sum(stay::int) over (partition by s) as left_ from x1),
     k1 as (select s, o, l, v from r1 where case when mad > 0 and left_ >= 10 and left_ < had then stay else true end),
     m2 as (select *, median(v) over (partition by s) as md from k1), a2 as (select *, median(abs(v - md)) over (partition by s) as mad from m2), x2 as (select *, v <= md + 1.0 * mad / 0.6745 as stay from a2), r2 as (select *, count(*) over (partition by s) as had, sum(stay::int) over (partition by s) as left_ from x2),
@@ -169,7 +169,7 @@ def _(spark, d):
     return sky(spark, d).where((inside & (F.col("mag") < 12.5) & (F.col("label") != 3)) | rescue).select("vec_id", zone.alias("zone_flag"))
 
 
-@query("j31_triangles", f"with {SKY}, t as (select vec_id, x, y from sky order by mag, vec_id limit 12) select a.vec_id as i, b.vec_id as j, c.vec_id as k, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) + sqrt(pow(b.x - c.x, 2) + pow(b.y - c.y, 2)) + sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2)), 5) as round_trip from t a join t b on a.vec_id < b.vec_id join t c on b.vec_id < c.vec_id")
+@query("triangles_of_twelve", f"with {SKY}, t as (select vec_id, x, y from sky order by mag, vec_id limit 12) select a.vec_id as i, b.vec_id as j, c.vec_id as k, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) + sqrt(pow(b.x - c.x, 2) + pow(b.y - c.y, 2)) + sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2)), 5) as round_trip from t a join t b on a.vec_id < b.vec_id join t c on b.vec_id < c.vec_id")
 def _(spark, d):
     s = sky(spark, d).orderBy("mag", "vec_id").limit(12).select("vec_id", "x", "y")  # the brightest few: triples of n stars are n cubed
     a, b, c = (s.select(F.col("vec_id").alias(i), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}")) for i in "ijk")
@@ -178,7 +178,7 @@ def _(spark, d):
     return t.select("i", "j", "k", F.round(side("i", "j") + side("j", "k") + side("i", "k"), 5).alias("round_trip"))
 
 
-@query("a42_j30_vote_clusters", f"with {SKY}, c as (select a.vec_id, count(*) as votes from sky a join sky b on {HAVERSINE} <= 1.0 group by 1) select vec_id, votes, round(votes / avg(votes) over (), 6) as over_mean from c qualify row_number() over (order by votes desc, vec_id) <= 20")
+@query("neighbours_within_a_degree", f"with {SKY}, c as (select a.vec_id, count(*) as votes from sky a join sky b on {HAVERSINE} <= 1.0 group by 1) select vec_id, votes, round(votes / avg(votes) over (), 6) as over_mean from c qualify row_number() over (order by votes desc, vec_id) <= 20")
 def _(spark, d):
     s = sky(spark, d).select("vec_id", "ra_deg", "dec_deg")
     c = spatial.sky_pairs(s, s, 1.0).groupBy(F.col("l_vec_id").alias("vec_id")).agg(F.count("*").alias("votes"))
@@ -186,13 +186,13 @@ def _(spark, d):
     return rounded(t.orderBy(F.desc("votes"), "vec_id").limit(20).select("vec_id", "votes", (F.col("votes") / F.col("_m")).alias("over_mean")))
 
 
-@query("x25_x27_text_summaries", "select r_name, count(*) as n, string_agg(n_name, '; ' order by n_name) as names, 'https://example.org/?region=' || r_name || '&n=' || cast(count(*) as varchar) as link from nation join region on r_regionkey = n_regionkey group by r_name")
+@query("text_summaries_by_region", "select r_name, count(*) as n, string_agg(n_name, '; ' order by n_name) as names, 'https://example.org/?region=' || r_name || '&n=' || cast(count(*) as varchar) as link from nation join region on r_regionkey = n_regionkey group by r_name")
 def _(spark, d):
     t = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("n_name")), "; ").alias("names"))
     return t.select("r_name", "n", "names", F.format_string("https://example.org/?region=%s&n=%d", "r_name", "n").alias("link"))
 
 
-@query("j18_j19_best_master", """select o_orderkey, p_partkey, round(dt, 6) as dt from (select o_orderkey, p_partkey, abs(o_totalprice / 100 - p_retailprice) as dt, p_size from orders join part on p_size = 1 + o_custkey % 50 where abs(o_totalprice / 100 - p_retailprice) <= 200) qualify row_number() over (partition by o_orderkey order by dt, p_partkey desc) = 1""")
+@query("nearest_master_by_price", """select o_orderkey, p_partkey, round(dt, 6) as dt from (select o_orderkey, p_partkey, abs(o_totalprice / 100 - p_retailprice) as dt, p_size from orders join part on p_size = 1 + o_custkey % 50 where abs(o_totalprice / 100 - p_retailprice) <= 200) qualify row_number() over (partition by o_orderkey order by dt, p_partkey desc) = 1""")
 def _(spark, d):
     o, p = read(spark, d, "orders").select("o_orderkey", (1 + F.col("o_custkey") % 50).alias("size"), (F.col("o_totalprice") / 100).alias("t")), read(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("size"), F.col("p_retailprice").alias("t2"))
     c = o.join(p, "size").withColumn("dt", F.abs(F.col("t") - F.col("t2"))).where("dt <= 200")
@@ -712,3 +712,53 @@ def _(spark, d):
 def _(spark, d):
     e = read(spark, d, "events").select("event_id", "user_id", "event_type", F.struct("ts", "event_id").alias("t"))
     return ingest.once_within(e, "t", ["user_id", "event_type"]).select("event_id")
+
+
+# ---------------------------------------------------------------- catalogues
+
+
+CATALOGUE = "cat as (select p_partkey as source_id, case when p_partkey % 3 > 0 then p_size / 20.0 end as bp_rp, case when p_partkey % 5 > 0 then p_retailprice / 100 end as bp_mag, p_size / 10.0 as rp_mag, p_retailprice / 90 as g_mag from part)"
+
+
+@query("s9_j5_rows_by_id", f"""with {CATALOGUE}, ids as (select distinct l_partkey as k from lineitem where l_quantity > 49 and l_linenumber <> 2)
+    select cast(source_id as varchar) as source_id, round(cast(coalesce(bp_rp, bp_mag - rp_mag) as double), 6) as bp_rp, round(g_mag, 6) as g_mag from cat where source_id in (select k from ids)""")
+def _(spark, d):
+    k = F.col("p_partkey")
+    cat = read(spark, d, "part").select(k.alias("source_id"), F.when(k % 3 > 0, F.col("p_size") / 20.0).alias("bp_rp"), F.when(k % 5 > 0, F.col("p_retailprice") / 100).alias("bp_mag"), (F.col("p_size") / 10.0).alias("rp_mag"), (F.col("p_retailprice") / 90).alias("g_mag"))
+    n, text = F.col("l_linenumber"), F.col("l_partkey").cast("string")
+    ids = read(spark, d, "lineitem").where("l_quantity > 49").select(F.when(n == 2, F.concat(F.lit("DET_"), text)).when(n % 2 == 1, F.concat(text, F.lit(".0"))).otherwise(F.concat(F.lit(" "), text)).alias("source_id"))
+    return rounded(catalogues.rows_by_id(ids, cat))
+
+
+@query("j6_colour_fallback", f"""with {SKY}, s as (select vec_id, ra_deg, dec_deg, mag, case when vec_id % 3 = 0 then label / 5.0 end as own from sky), c as (select vec_id as source_id, ra_deg, dec_deg, mag as g_mag, case when vec_id % 4 > 0 then 0.1 + label / 8.0 end as bp_rp from sky where vec_id % 2 = 1),
+    n as (select a.vec_id, b.bp_rp from s a join c b on a.own is null and abs(((b.ra_deg - a.ra_deg + 540) % 360.0) - 180) <= 0.6 and abs(b.dec_deg - a.dec_deg) <= 0.6 and abs(b.g_mag - a.mag) < 0.5
+      qualify row_number() over (partition by a.vec_id order by {HAVERSINE}, b.source_id) = 1), r as (select s.vec_id, coalesce(own, n.bp_rp) as colour, own, n.bp_rp as found from s left join n using (vec_id))
+    select vec_id, round(cast(colour as double), 6) as bp_rp, round(cast(case when colour between 0.1 and 2.5 then 0.0850 + 0.9447 * colour - 0.1019 * colour * colour end as double), 6) as b_v, case when own is not null then 'own' when found is not null then 'catalogue' end as colour_source from r""")
+def _(spark, d):
+    s, k = sky(spark, d), F.col("vec_id")
+    own = s.select("vec_id", "ra_deg", "dec_deg", "mag", F.when(k % 3 == 0, F.col("label") / 5.0).alias("bp_rp"))
+    cat = s.where("vec_id % 2 = 1").select(k.alias("source_id"), "ra_deg", "dec_deg", F.col("mag").alias("g_mag"), F.when(k % 4 > 0, 0.1 + F.col("label") / 8.0).alias("bp_rp"))
+    return rounded(catalogues.with_colours(own, cat, "vec_id", radius_deg=0.6, max_dmag=0.5).select("vec_id", "bp_rp", "b_v", "colour_source"))
+
+
+@query("a45_psf_against_aperture", f"""with {DENSE}, u as (select catalog_id, flux as aperture, flux * (1 + err * cast(l_linenumber % 3 as int)) - 900 as psf from dense where segment <> 'R' and catalog_id % 3 > 0 and flux > 0 and flux * (1 + err * cast(l_linenumber % 3 as int)) - 900 > 0),
+    t as (select catalog_id, count(*) as n, 100 * stddev_samp(aperture) / avg(aperture) as a, 100 * stddev_samp(psf) / avg(psf) as p from u group by 1 having count(*) >= 2)
+    select catalog_id, n, round(a, 6) as aperture_pct, round(p, 6) as psf_pct, p < a as better, round((select avg(case when p < a then 1.0 else 0.0 end) from t), 6) as share_better from t""")
+def _(spark, d):
+    x = dense(spark, d).select("catalog_id", "segment", F.col("flux").alias("aperture"), (F.col("flux") * (1 + F.col("err") * (F.col("l_linenumber") % 3)) - 900).alias("psf"))
+    return rounded(catalogues.steadier(x, "aperture", "psf", (F.col("segment") != "R") & (F.col("catalog_id") % 3 > 0)))
+
+
+@query("j17_inner_metadata", "select o_orderkey, c_name, n_name, round(o_totalprice, 6) as o_totalprice from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where o_custkey % 3 > 0")
+def _(spark, d):
+    named = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).where("c_custkey % 3 > 0")
+    return rounded(read(spark, d, "orders").join(named, F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_name", "n_name", "o_totalprice"))
+
+
+@query("j5_approved_comparisons", f"""with {STARS}, l as (select nation, catalog_id, mag as g_mag, case when catalog_id % 5 > 0 then catalog_id % 2 = 0 end as is_safe, case when catalog_id % 3 > 0 then 'Approved' else 'Rejected' end as verdict from stars)
+    select nation, catalog_id, round(g_mag, 6) as g_mag, row_number() over (partition by nation order by g_mag, catalog_id) as place from l where is_safe and verdict = 'Approved' and nation in (select n_nationkey from nation where n_regionkey <> 2)""")
+def _(spark, d):
+    k = F.col("catalog_id")
+    library = stars(spark, d).select("nation", "catalog_id", F.col("mag").alias("g_mag"), F.when(k % 5 > 0, k % 2 == 0).alias("is_safe"), F.when(k % 3 > 0, "Approved").otherwise("Rejected").alias("verdict"))
+    fields = read(spark, d, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("nation"))
+    return rounded(catalogues.approved(library, fields, "nation").select("nation", "catalog_id", "g_mag", "place"))

@@ -158,3 +158,36 @@ def test_boxes_of_a_clustered_table(spark, tmp_path):
         assert "PartitionFilters: [sky_cell" in scan and all(x in scan.split("PushedFilters")[1] for x in pushed)
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert len(spatial.box_strips(350.0, 370.0, -5.0, 5.0)) < 20
+
+
+def test_candidates_come_in_the_order_of_their_scores(spark):
+    cfg = VariabilityConfig(min_frames=10, min_points=5, min_field=5, mag_limit=20.0)
+    cells = variability.normalise_frames(variability.flux_cells(curves(spark)))
+    catalogue = spark.createDataFrame([(r["catalog_id"], 10 + i / 10, True) for i, r in enumerate(cells.select("catalog_id").distinct().orderBy("catalog_id").collect())], f"catalog_id {dict(cells.dtypes)['catalog_id']}, mag double, field boolean")
+    stars = variability.rms_variability(cells, cfg).join(catalogue, "catalog_id", "left")
+    scores = [r["score"] for r in variability.candidates(variability.envelope(stars, cfg), cfg).collect()]
+    known = [x for x in scores if x is not None]
+    assert len(known) > 5 and known == sorted(known, reverse=True) and scores[: len(known)] == known
+
+
+def test_stress_sample_takes_the_frames_of_lowest_hash(spark):
+    rows = [(f"s{s}", f"f{f}", 100.0 + 7 * s + (s * f) % 11) for f in range(20) for s in range(1 if f == 3 else 6)]
+    df = spark.createDataFrame(rows, "catalog_id string, frame_id string, flux double")
+    hashes = {r["frame_id"]: r["h"] for r in df.select("frame_id", F.xxhash64("frame_id", F.lit(5)).alias("h")).distinct().collect()}
+    full = sorted((h, f) for f, h in hashes.items() if f != "f3")
+    chosen = {f for _, f in full[: max(1, math.ceil(0.3 * len(full)))]}
+    flux = {(s, f): x for s, f, x in rows if f in chosen}
+    middle = {f: median(x for (_, g), x in flux.items() if g == f) for f in chosen}
+    want = {s: math.sqrt(sum((flux[s, f] / middle[f] - 1) ** 2 for f in chosen) / len(chosen)) for s in {s for s, _ in flux}}
+    got = {r["catalog_id"]: r["comp_rms"] for r in comparison.stress_sample(df, frac=0.3, seed=5).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_colours_of_stars_that_have_none(spark):
+    from skylattice.operators import catalogues
+
+    stars = spark.createDataFrame([(1, 0.0002, 0.0, 12.0, None), (2, 50.0, 0.0, 12.0, 0.7), (3, 60.0, 0.0, None, None), (4, 70.0, 0.0, 12.0, float("nan")), (5, 80.0, 0.0, 12.0, None), (6, None, 0.0, 12.0, None)], "k int, ra_deg double, dec_deg double, mag double, bp_rp double")
+    catalogue = spark.createDataFrame([(10, 359.9998, 0.0, 12.5, 1.1), (11, 0.0009, 0.0, 12.0, 2.0), (12, 70.0, 0.0, 13.0, 1.0), (13, 70.0005, 0.0005, 12.5, 0.4), (14, 80.0, 0.0001, 12.0, None), (15, 80.0, 0.0003, 12.0, 0.9)], "source_id int, ra_deg double, dec_deg double, g_mag double, bp_rp double")
+    got = {r["k"]: (r["bp_rp"], r["colour_source"]) for r in catalogues.with_colours(stars, catalogue, "k").collect()}
+    # across 0 degrees; own colour; no magnitude; a star at the limit of magnitude doesn't count; the nearest has no colour; no place
+    assert got == {1: (1.1, "catalogue"), 2: (0.7, "own"), 3: (None, None), 4: (0.4, "catalogue"), 5: (None, None), 6: (None, None)}
