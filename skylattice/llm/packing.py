@@ -6,8 +6,8 @@ document with its successor: the smallest gap that holds it and isn't taken. In
 documents closing ones, so the successor of a document is the bracket it closes. Depths come from counts by size (at most
 `capacity` rows); ranks within a size settle which of several documents gets which of several gaps, so no gap is named
 twice. Documents and gaps of one depth then meet, gaps shrink by what they took, and the next round begins. What finds
-no gap opens sequences, as many documents to each as surely fit. Every row moves by (size, shard) or by depth; neither
-grows with the data in one task.
+no gap opens sequences, each filled before the next begins. Every row moves by (size, shard) or by depth; neither grows
+with the data in one task.
 """
 
 from __future__ import annotations
@@ -108,6 +108,32 @@ def _round(gaps: DataFrame, docs: DataFrame, counts: DataFrame, shards: int) ->
     return cut(met), taken
 
 
+def _openings(left: list[tuple[int, int]], opened: int, capacity: int) -> tuple[pa.Table, int]:
+    """How what found no gap opens sequences, longest first, each filled before the next begins. left: lengths, longest
+    first, and how many of each; the sequences opened so far come out increased.
+
+    A row says of the documents of one length from the `low`th (exclusive) to the `high`th that they go `each` to a sequence
+    from `first` on, beginning at `start` in it: at most three rows for each length, 3 * capacity in all.
+    """
+    rows, last, room = [], 0, 0
+    for size, n in left:
+        at = min(n, room // size)
+        if at:  # the sequence opened last has room
+            rows.append((size, 0, at, last, at, capacity - room))
+            room -= at * size
+        each = capacity // size
+        whole = (n - at) // each
+        if whole:
+            rows.append((size, at, at + whole * each, opened, each, 0))
+            opened += whole
+            at += whole * each
+        if at < n:
+            rows.append((size, at, n, opened, n - at, 0))
+            last, room = opened, capacity - (n - at) * size
+            opened += 1
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("size", "low", "high", "first", "each", "start"), zip(*rows, strict=True), strict=True)}), opened
+
+
 def pack(pieces: DataFrame, *, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset: which sequence holds each, and where; sequences are filled without gaps.
 
@@ -138,24 +164,22 @@ def pack(pieces: DataFrame, *, length: str = "length", order: tuple[str, ...] =
         worth = gaps is not None
         while left := sum(todo[n] - done[n] for n in own):
             rest = [(n, todo[n] - done[n], done[n]) for n in own if todo[n] > done[n]]
-            first = np.cumsum([0, *[d for _, d, _ in rest]])[:-1].tolist()
             # what changes from round to round is data, not part of the plan: its generated code is compiled once
-            each = capacity // high
-            facts = pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("size", "d", "done"), zip(*rest, strict=True), strict=True)} | {"first": pa.array(first, pa.int64()), "opened": pa.array([opened] * len(rest), pa.int64()), "each": pa.array([each] * len(rest), pa.int64())})
-            counts = spark.createDataFrame(facts)
+            counts = spark.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("size", "d", "done"), zip(*rest, strict=True), strict=True)}))
             docs = ranked.select("size", "rank").join(F.broadcast(counts), "size").where("rank > done")
-            docs = docs.select("size", "rank", (F.col("rank") - F.col("done")).alias("nth"), "first", "opened", "each")
+            docs = docs.select("size", "rank", (F.col("rank") - F.col("done")).alias("nth"))
             if worth:
-                met, taken = _round(gaps, docs.select("size", "rank", "nth"), counts.select("size", "d"), shards)
+                met, taken = _round(gaps, docs, counts.select("size", "d"), shards)
                 placed.append(met.where("kind = 1").select("size", "rank", "seq", "used"))
                 gaps = met.where("kind = 0").select("seq", (F.col("size") - F.col("takes")).alias("size"), (F.col("used") + F.col("takes")).alias("used")).where("size > 0")
                 for n, found in taken.items():
                     done[n] += found
                 worth = sum(taken.values()) * WORTH >= left
                 continue
-            new = docs.withColumn("at", F.col("first") + F.col("nth") - 1).withColumn("seq", F.expr("opened + at div each"))
-            new = cut(new.select("size", "rank", "seq", F.coalesce(F.sum("size").over(Window.partitionBy("seq").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("used")))
-            opened += -(-left // each)
+            runs, opened = _openings([(n, d) for n, d, _ in rest], opened, capacity)
+            inside = (F.col("nth") > F.col("low")) & (F.col("nth") <= F.col("high"))
+            new = docs.join(F.broadcast(spark.createDataFrame(runs)), "size").where(inside).withColumn("at", F.col("nth") - F.col("low") - 1)
+            new = cut(new.select("size", "rank", F.expr("first + at div each").alias("seq"), F.expr("start + at % each * size").alias("used")))
             placed.append(new)
             filled = new.groupBy("seq").agg(F.sum("size").alias("used")).where(F.col("used") < capacity)
             filled = filled.select("seq", (F.lit(capacity) - F.col("used")).alias("size"), "used")
