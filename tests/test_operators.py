@@ -191,3 +191,13 @@ def test_colours_of_stars_that_have_none(spark):
     got = {r["k"]: (r["bp_rp"], r["colour_source"]) for r in catalogues.with_colours(stars, catalogue, "k").collect()}
     # across 0 degrees; own colour; no magnitude; a star at the limit of magnitude doesn't count; the nearest has no colour; no place
     assert got == {1: (1.1, "catalogue"), 2: (0.7, "own"), 3: (None, None), 4: (0.4, "catalogue"), 5: (None, None), 6: (None, None)}
+
+
+def test_photometry_settings_stay_within_limits():
+    from skylattice.plans.config import DEFAULTS, photometry_settings, variability_config
+
+    assert photometry_settings({}) == {k: rule[0] for k, rule in DEFAULTS.items()}
+    got = photometry_settings({"qc_min_stars": -5, "annulus_inner_fwhm": 12, "phase01_comparison_n_comp_min": "11", "phase01_comparison_n_comp_max": 4, "phase01_comparison_max_bv_diff": "x", "catalog_query_max_rows": 10**9, "phase01_comparison_max_mag_diff": float("nan")})
+    assert (got["qc_min_stars"], got["annulus_outer_fwhm"], got["phase01_comparison_n_comp_max"], got["phase01_comparison_max_bv_diff"], got["catalog_query_max_rows"], got["phase01_comparison_max_mag_diff"]) == (0, 13.0, 11, 0.15, 500_000, 0.25)
+    assert isinstance(got["phase01_comparison_n_comp_max"], int)
+    assert variability_config({"variability_min_points_rms": 2, "variability_clip_ratio_min": 3}).min_points == 5
