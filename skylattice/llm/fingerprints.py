@@ -155,8 +155,9 @@ def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The next document is the next row by key, then by a hash of the text; after the last comes the first, so a table of
-    one row is its own next. A null text is empty; null keys come first; repeated rows are rows like others. Rows are
-    cut into ranges of keys, and each range also gets the first row of the next, so no range waits for another.
+    one row is its own next. A null text is empty; null keys come first; repeated rows are rows like others. A very long
+    text is read whole, and its fingerprint is no longer than others'. An empty table gives an empty result; other columns of
+    docs are left out. Rows are cut into ranges of keys, and each range also gets the first row of the next, so no range waits for another.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]

@@ -445,8 +445,9 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """docs, without `text`, and lang_pred, score, cross_entropy, rejected.
 
-    lang_pred is `und`, score 0 and rejected true where the text is null or has no letter. Repeated rows, extra columns and
-    empty tables pass; columns named like the new ones are replaced.
+    lang_pred is `und`, score 0 and rejected true where the text is null or has no letter. Equal cross-entropies go to the
+    language first by name. A very long text is read whole. Repeated rows, extra columns and empty tables pass; columns
+    named like the new ones are replaced.
     """
     new = ("lang_pred", "score", "cross_entropy", "rejected")
     kept = [c for c in docs.columns if c != text and c.lower() not in new]
@@ -454,7 +455,11 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """The rows of docs whose language isn't rejected, with docs' own columns."""
+    """The rows of docs whose language isn't rejected, with docs' own columns, whatever they are called.
+
+    Null texts and those without a letter go; of repeated rows all stay or none. Very long texts are read whole, and an empty
+    table gives none.
+    """
     mark = fresh(docs, "rejected")
     hold = _with_predictions(docs, model, text, list(docs.columns), rejected=mark)
     return hold.where(~F.col(mark)).select(*docs.columns)

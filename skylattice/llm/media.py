@@ -382,7 +382,9 @@ def _digest(clip: bytes | None) -> tuple:
 
 
 def clip_shots(clips: DataFrame, *, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """One row for each shot of each clip: key, shot, first_frame, last_frame, start_s, end_s. A null clip gives none."""
+    """One row for each shot of each clip: key, shot, first_frame, last_frame, start_s, end_s. A null clip and an empty table give none; a
+    repeated clip gives its shots again, one of many frames is read whole, and other columns are left out. Of equal histogram
+    differences each that is above its limit begins a shot."""
     kind = dict(clips.dtypes)[key]
 
     def run(batches):

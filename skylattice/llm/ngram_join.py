@@ -115,7 +115,8 @@ def linked_pairs(docs: DataFrame, *, size: int = SHINGLE, rule: Rule = RULE, key
     """Every link: pairs (a, b) of different sets that are linked, a < b, and members (key, n_shingles, cls) of each set.
 
     All candidates of all shown n-grams are tested, none is left out because others connect it; documents of one set are
-    linked with each other and aren't written as pairs. Empty sets have no class. The pairs of n sets that are all alike
+    linked with each other and aren't written as pairs. Empty sets, null texts among them, have no class; a null key is kept.
+    Very long texts are read whole, an empty table gives empty results, other columns don't matter. The pairs of n sets that are all alike
     are n * n / 2: for components alone link_documents does with far fewer.
     """
     rows, records = keyed(docs, key, text), shingles(size)
@@ -131,7 +132,8 @@ def linked_pairs(docs: DataFrame, *, size: int = SHINGLE, rule: Rule = RULE, key
 
 
 def count_links(docs: DataFrame, *, size: int = SHINGLE, rule: Rule = RULE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, n_links for every row: how many other rows it is linked with, copies counted."""
+    """doc_id, n_shingles, n_links for every row: how many other rows it is linked with, copies counted. What linked_pairs
+    says of nulls, empty and very long texts, repeated rows, empty tables and other columns holds here."""
     pairs, members = linked_pairs(docs, size=size, rule=rule, key=key, text=text)
     sizes = cut(members.where("cls is not null").groupBy("cls").agg(F.count("*").alias("rows")))
     both = pairs.select(F.col("a").alias("cls"), F.col("b").alias("_o")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("a").alias("_o")))
@@ -144,7 +146,8 @@ def link_documents(docs: DataFrame, *, size: int = SHINGLE, rule: Rule = RULE, k
     """doc_id, n_shingles, component_id for every row: the size of its set, and the smallest doc_id reachable by links.
 
     A null text and one without words have an empty set, linked with nothing; repeated rows have equal sets and are
-    linked. A null doc_id is never the smallest unless its component has no other. Extra columns are ignored.
+    linked. A null doc_id is never the smallest unless its component has no other. A very long text is read whole, an empty
+    table gives an empty result, and extra columns are ignored.
     """
     _, _, out = _components_of(docs, size, rule, key, text)
     return out.select(F.col("doc_id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("component_id"))

@@ -95,7 +95,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
     """Encode docs and write the store under path.
 
     A null text is empty and still has its end id. Rows of equal key are told apart by a hash of their text; rows equal in
-    both are kept, each with a recipe of its own. An empty table gives a store without rows.
+    both are kept, each with a recipe of its own. A very long text is one recipe of many chunks. An empty table gives a store
+    without rows; other columns of docs aren't stored.
     """
     spark = docs.sparkSession
     rows = docs.count()
