@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, Key, cut, key_filter, mix, secret_keys, span_hashes, split_rows, utf8, words
@@ -16,8 +16,9 @@ from .setjoin import Rule, candidates, first_pass, keyed, likely, sets_of, shown
 
 SHINGLE = 4
 RULE = Rule(85, 100)
-#: Rounds in which each document asks for one partner go on while they find so many links, before the round that takes
-#: all that is left.
+#: Partners that each document asks for in a round: groups of near copies grow together by that much.
+ASK = 2
+#: Such rounds go on while they find so many links, before the round that takes all that is left.
 WORTH = 200
 
 
@@ -90,11 +91,11 @@ def linked_classes(rows: DataFrame, size: int, rule: Rule) -> tuple[DataFrame, D
     edges = tested = labels = None
     turn, last = 0, False
     while True:
-        pairs = candidates(shown, labels, rule, most=None if last else 1, turn=turn) if turn else proposed
+        pairs = candidates(shown, labels, rule, most=None if last else ASK, turn=turn) if turn else proposed
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        if not last:  # of a document's proposals, the one that most groups make: only those meet the lists
-            best = pairs.groupBy("b").agg(F.max_by(F.struct("a", "b"), F.struct("votes", F.xxhash64("a", F.lit(turn)))).alias("best"))
-            pairs = cut(best.select("best.a", "best.b"))
+        if not last:  # of a document's proposals, those that most groups make: only they meet the lists
+            rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("votes"), F.xxhash64("a", F.lit(turn)), "a"))
+            pairs = cut(pairs.withColumn("_r", rank).where(F.col("_r") <= ASK).select("a", "b"))
         asked = pairs
         pairs = cut(likely(pairs, lists, rule).select("a", "b"))
         good = cut(verify(pairs, sets_of(pairs, rows, records, sketch, firsts), rule))
