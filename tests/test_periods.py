@@ -66,3 +66,19 @@ def test_peaks_are_the_strongest_of_the_spectrum(spark, monkeypatch):
         best = own.loc[own["power"].idxmax()]
         assert r["power"] == pytest.approx(best["power"]) and 1 / r["period"] == pytest.approx(best["frequency"])
     assert band_peaks(df.limit(0), "star", "t", "v").count() == 0
+
+
+def test_keys_of_many_points_give_the_same(spark, monkeypatch):
+    df = points(spark, {"a": 0.4, "b": 2.2, "c": 0.0731}, n=40)
+    own = {(r["star"], r["band"], round(r["frequency"], 9)): r["power"] for r in spectrum(df, "star", "t", "v", bands=(0.06, 0.5, 4.0), oversample=40).collect()}
+    monkeypatch.setattr(periods, "MOST_POINTS", 10)
+    other = {(r["star"], r["band"], round(r["frequency"], 9)): r["power"] for r in spectrum(df, "star", "t", "v", bands=(0.06, 0.5, 4.0), oversample=40).collect()}
+    assert own.keys() == other.keys() and len(own) > 1000
+    top = max(own.values())
+    assert max(abs(own[k] - other[k]) for k in own) < 2e-5 * top
+
+
+def test_points_are_shuffled_and_not_blocks_of_frequencies(spark):
+    df = points(spark, {"a": 0.7}, n=20)
+    plan = band_peaks(df, "star", "t", "v", oversample=500)._jdf.queryExecution().optimizedPlan().toString()
+    assert "yc7" not in plan  # no sums of moments by block for keys of few points
