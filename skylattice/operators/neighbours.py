@@ -48,6 +48,32 @@ def nearest_in_value(rows: DataFrame, key: str, group: str, value: str, n: int)
     return out.select(F.col("_id").alias(key), F.col("_o.other").alias("other"), F.col("_o.gap").alias("gap"), (F.col("_r") + 1).alias("rank"))
 
 
+def nearest_offers(asked: DataFrame, offered: DataFrame, keys: list[str], value: str, carry: str, reach: float) -> DataFrame:
+    """asked with _offers: structs (value, carry) of offered rows of equal keys, among which are all those nearest in value
+    within reach, on either side; what is farther away may be among them too.
+
+    Each row meets the last values before it and the first after it in cells as wide as the reach, so what is shuffled is rows,
+    not pairs. Values closer than 1e-9 go together: differences between them can be lost in rounding, so that they tie. Rows
+    without a value have no offers and offer nothing. Give each value of offered once for its keys.
+    """
+    cell, place = F.floor(F.col(value) / (reach * (1 + 1e-6))), [*keys, "_cell"]
+    all_ = Window.partitionBy(*place)
+    own = offered.where(clean(F.col(value)).isNotNull()).select(*keys, F.col(value), F.col(carry)).withColumn("_cell", cell)
+    own = own.withColumn("_low", F.min(value).over(all_)).withColumn("_high", F.max(value).over(all_))
+    # the outermost values of a cell are offered to the next one too
+    own = own.withColumn("_cell", F.explode(F.array_compact(F.array("_cell", F.when(F.col(value) <= F.col("_low") + 1e-9, F.col("_cell") - 1), F.when(F.col(value) >= F.col("_high") - 1e-9, F.col("_cell") + 1)))))
+    rising = all_.orderBy(value)
+    apart = F.coalesce(F.col(value) - F.lag(value).over(rising) > 1e-9, F.lit(True)).cast("int")
+    own = own.withColumn("_apart", apart).withColumn("_group", F.sum("_apart").over(rising.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = own.groupBy(*place, "_group").agg(F.min(value).alias(value), F.collect_list(F.struct(value, carry)).alias("_some")).drop("_group")
+    both = groups.withColumn("_asks", F.lit(0)).unionByName(asked.where(clean(F.col(value)).isNotNull()).withColumn("_cell", cell).withColumn("_asks", F.lit(1)), allowMissingColumns=True)
+    before = F.last("_some", ignorenulls=True).over(all_.orderBy(value, "_asks").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("_some", ignorenulls=True).over(all_.orderBy(F.desc(value), "_asks").rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumn("_before", before).withColumn("_after", after).where("_asks = 1")
+    none = F.array().cast(dict(groups.dtypes)["_some"])
+    return met.select(*asked.columns, F.concat(F.coalesce("_before", none), F.coalesce("_after", none)).alias("_offers"))
+
+
 def within_value(rows: DataFrame, key: str, group: str, value: str, limit: float) -> DataFrame:
     """key, other, gap: pairs of rows of a group whose values differ by limit at most, both ways, through cells of value as
     wide as the limit."""

@@ -57,3 +57,17 @@ def test_within_value(spark):
     rows = known(df.collect())
     got = within_value(df, "id", "g", "v", 0.3).collect()
     assert {(r["id"], r["other"]) for r in got} == {(a["id"], b["id"]) for a in rows for b in rows if a["g"] == b["g"] and a["id"] != b["id"] and abs(a["v"] - b["v"]) <= 0.3}
+
+
+def test_offers_hold_all_nearest_and_few_more(spark):
+    r = random.Random(5)
+    own = sorted({round(r.choice((r.uniform(-3, 3), r.randrange(-6, 7) / 2)), 3) for _ in range(900)}) + [0.1 + 0.2, 1e9]
+    asks = [(i % 2, r.choice((r.uniform(-4, 4), r.randrange(-8, 9) / 2, 0.3))) for i in range(400)] + [(1, None), (1, float("nan"))]
+    offered = spark.createDataFrame([(g, v, f"{g}:{v!r}") for g in (0, 1) for v in own] + [(0, None, "none")], "g long, v double, name string")
+    got = neighbours.nearest_offers(spark.createDataFrame([(i, *a) for i, a in enumerate(asks)], "id long, g long, v double"), offered, ["g"], "v", "name", 0.5).collect()
+    assert sorted(x["id"] for x in got) == list(range(400))
+    for x in got:
+        assert len(x["_offers"]) <= 6
+        best = min(abs(v - x["v"]) for v in own)
+        if best <= 0.5:
+            assert {o["name"] for o in x["_offers"] if abs(o["v"] - x["v"]) == best} == {f"{x['g']}:{v!r}" for v in own if abs(v - x["v"]) == best}
