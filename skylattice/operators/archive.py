@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import expr
+from skylattice.operators.neighbours import nearest_offers
 from skylattice.operators.shared import cut, numbered
 from skylattice.operators.spatial import sky_pairs
 
@@ -26,17 +27,37 @@ def best_masters(lights: DataFrame, library: DataFrame, *, tolerance: float = 0.
         F.col("path").alias("master"), F.lower("kind").alias("_kind"), F.col("xbinning").alias("_bin"), F.col("exptime").alias("_exp"), F.coalesce("gain", F.lit(0)).alias("_gain"),
         F.when(F.lower("kind") == "dark", F.coalesce("filter_name", F.lit(""))).otherwise(F.col("filter_name")).alias("_flt"), F.col("ccd_temp").alias("_temp"), F.col("id_equipments").alias("_eq"), F.col("id_telescope").alias("_tel"), F.col("modified").alias("_modified"),
     )
+    # lights that ask for the same have the same answer; what is equal in a pair becomes a key, what is tried in turn a row
+    what = ["kind", "exptime", "gain", "_filter", "xbinning", "id_equipments", "id_telescope", "ccd_temp"]
+    asks = light.select(*what).distinct()
     scoped = F.col("id_equipments").isNotNull() & F.col("id_telescope").isNotNull()
-    scope = ~scoped | (F.col("_eq").isNull() & F.col("_tel").isNull()) | F.coalesce((F.col("_eq") == F.col("id_equipments")) & (F.col("_tel") == F.col("id_telescope")), F.lit(False))
-    unbinned = F.lit(prefer_unbinned) & (F.col("xbinning") > 1) & (F.col("_bin") == 1)
-    near = F.col("_temp").isNull() | (F.abs(F.col("_temp") - F.col("ccd_temp")) <= tolerance)
-    same = (F.lower(light["kind"]) == F.col("_kind")) & (light["exptime"] == F.col("_exp")) & (F.coalesce(light["gain"], F.lit(0)) == F.col("_gain")) & (F.col("_filter") == F.col("_flt"))
-    met = light.join(own, same).where(near & scope & ((F.col("_bin") == F.col("xbinning")) | unbinned))
-    met = met.withColumn("dt", F.abs(F.col("_temp") - F.col("ccd_temp")))
+    scope = lambda how, e, t: F.struct(F.lit(how).alias("how"), e.alias("e"), t.alias("t"))
+    none = F.lit(None)
+    bins = F.when(F.lit(prefer_unbinned) & (F.col("xbinning") > 1), F.array(F.col("xbinning"), F.lit(1).cast(dict(lights.dtypes)["xbinning"]))).otherwise(F.array("xbinning"))
+    tried = asks.withColumn("_scope", F.explode(F.when(scoped, F.array(scope("pair", F.col("id_equipments").cast("string"), F.col("id_telescope").cast("string")), scope("none", none.cast("string"), none.cast("string")))).otherwise(F.array(scope("any", none.cast("string"), none.cast("string"))))))
+    tried = tried.withColumn("_bin", F.explode(bins)).withColumn("_expired", F.explode(F.array(F.lit(False), F.lit(True))))
+    tried = tried.select("*", F.lower("kind").alias("_kind"), F.col("exptime").alias("_exp"), F.coalesce("gain", F.lit(0)).alias("_gain"), F.col("_filter").alias("_flt"), F.col("ccd_temp").alias("_temp"))
     expired = F.coalesce(expr.age_days(now, F.col("_modified")) > validity_days, F.lit(True)) if validity_days is not None and now is not None else F.lit(False)
-    rank = F.struct(expired.alias("e"), (~unbinned).alias("u"), F.coalesce("dt", F.lit(1e9)).alias("d"), (-F.col("_modified").cast("timestamp").cast("double")).alias("m"), F.col("master").alias("p"))
-    best = met.groupBy("light_id").agg(F.min_by(F.struct("master", "dt", expired.alias("expired")), rank).alias("_best"))
-    return lights.join(best, "light_id", "left").select(*lights.columns, "_best.master", "_best.dt", "_best.expired")
+    wide = F.array_compact(F.array(
+        scope("any", none.cast("string"), none.cast("string")), F.when(F.col("_eq").isNull() & F.col("_tel").isNull(), scope("none", none.cast("string"), none.cast("string"))),
+        F.when(F.col("_eq").isNotNull() & F.col("_tel").isNotNull(), scope("pair", F.col("_eq").cast("string"), F.col("_tel").cast("string"))),
+    ))
+    keys = ["_kind", "_exp", "_gain", "_flt", "_bin", "_scope", "_expired"]
+    own = own.withColumn("_expired", expired).withColumn("_scope", F.explode(wide))
+    first = F.min(F.struct((-F.col("_modified").cast("timestamp").cast("double")).alias("m"), F.col("master").alias("p"))).alias("_file")
+    own = own.groupBy(*keys, "_temp").agg(first)
+    near = nearest_offers(tried, own.where("_temp is not null"), keys, "_temp", "_file", tolerance)
+    near = near.select(*what, "_bin", "_expired", F.explode("_offers").alias("_o")).select(*what, "_bin", "_expired", F.abs(F.col("_o._temp") - F.col("ccd_temp")).alias("dt"), F.col("_o._file").alias("_file")).where(F.col("dt") <= tolerance)
+    plain = own.where("_temp is null").select(*[F.col(k).alias(f"{k}_o") for k in keys], "_file")
+    met = tried.join(plain, [*[F.col(k) == F.col(f"{k}_o") for k in keys if k != "_scope"], F.col("_scope").eqNullSafe(F.col("_scope_o"))])
+    met = near.unionByName(met.select(*what, "_bin", "_expired", F.lit(None).cast("double").alias("dt"), "_file"))
+    met = met.where("_bin is not null and kind is not null and exptime is not null and _filter is not null")  # nulls equal nothing
+    unbinned = F.lit(prefer_unbinned) & (F.col("xbinning") > 1) & (F.col("_bin") == 1)
+    rank = F.struct(F.col("_expired").alias("e"), (~unbinned).alias("u"), F.coalesce("dt", F.lit(1e9)).alias("d"), F.col("_file.m").alias("m"), F.col("_file.p").alias("p"))
+    best = met.groupBy(*what).agg(F.min_by(F.struct(F.col("_file.p").alias("master"), "dt", F.col("_expired").alias("expired")), rank).alias("_best"))
+    best = best.select(*[F.col(c).alias(f"_{c}_b") for c in what], "_best")
+    told = light.join(best, [F.col(c).eqNullSafe(F.col(f"_{c}_b")) for c in what], "left")
+    return told.select(*lights.columns, "_best.master", "_best.dt", "_best.expired")
 
 
 def library_tags(library: DataFrame, equipment: DataFrame, telescopes: DataFrame) -> DataFrame:

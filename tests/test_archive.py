@@ -255,3 +255,28 @@ def test_frame_scores_with_missing_parts(spark):
     f = spark.createDataFrame([(1, 2.0, 10.0), (2, 4.0, None), (3, None, 30.0)], "frame_id int, fwhm double, stars double")
     got = {r["frame_id"]: (round(r["score"], 6), r["auto_limit"]) for r in reports.frame_scores(f, {"fwhm": (0.6, False), "stars": (0.4, True)}).collect()}
     assert got == {1: (0.6, None), 2: (0.0, None), 3: (0.4, None)}
+
+
+def test_best_masters_are_those_of_all_pairs(spark):
+    r = random.Random(12)
+    pick = lambda *x: r.choice(x)
+    lights = [(i, pick("dark", "flat"), pick(1, 2, 3), pick(1.0, 5.0), pick(None, 0, 1), pick("V", "R"), pick(None, r.randrange(40) / 10), pick(None, 1, 2), pick(None, 1)) for i in range(150)]
+    library = [(f"m{i}", k, pick(1, 2), pick(1.0, 5.0), pick(None, 1), pick("V", "R") if k == "flat" else None, pick(None, r.randrange(40) / 10), pick(None, 1, 2), pick(None, 1), pick(None, "2024-01-02 00:00:00", "2024-05-20 00:00:00", "2024-05-21 00:00:00")) for i in range(250) for k in [pick("dark", "flat")]]
+    names = "kind string, xbinning long, exptime double, gain long, filter_name string, ccd_temp double, id_equipments long, id_telescope long"
+    a, b = spark.createDataFrame(lights, f"light_id long, {names}"), spark.createDataFrame(library, f"path string, {names}, modified string").withColumn("modified", F.col("modified").cast("timestamp"))
+    found = archive.best_masters(a, b, now=F.lit("2024-06-01").cast("date"), validity_days=60)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "abs(" in x]  # no pairs within the tolerance are made
+    got = {x["light_id"]: (x["master"], x["dt"], x["expired"]) for x in found.collect()}
+    assert len(got) == len(lights)
+    for i, kind, bins, exp, gain, flt, temp, eq, tel in lights:
+        met = []
+        for path, k, n, e, g, f, t, q, s, m in library:
+            near = t is None or (temp is not None and abs(t - temp) <= 0.5)
+            scope = eq is None or tel is None or (q is None and s is None) or (q, s) == (eq, tel)
+            plain = bins > 1 and n == 1
+            if (k, e, g or 0, f or "") == (kind, exp, gain or 0, flt if kind == "flat" else "") and near and scope and (n == bins or plain):
+                dt, old = None if t is None else abs(t - temp), m is None or m < "2024-04"
+                met.append((old, not plain, 1e9 if dt is None else dt, m is not None, "" if m is None else "".join(chr(255 - ord(c)) for c in m), path, dt))
+        best = min(met) if met else None
+        assert got[i] == ((best[5], best[6], best[0]) if best else (None, None, None)), i
