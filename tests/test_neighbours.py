@@ -4,6 +4,7 @@ import pytest
 
 from skylattice.operators import neighbours
 from skylattice.operators.neighbours import nearest_alike, nearest_in_value, within_value
+from skylattice.operators.spatial import nearest_on_sky, sky_pairs
 
 SCHEMA = "id long, g string, v double, a double"
 
@@ -71,3 +72,17 @@ def test_offers_hold_all_nearest_and_few_more(spark):
         best = min(abs(v - x["v"]) for v in own)
         if best <= 0.5:
             assert {o["name"] for o in x["_offers"] if abs(o["v"] - x["v"]) == best} == {f"{x['g']}:{v!r}" for v in own if abs(v - x["v"]) == best}
+
+
+def test_nearest_on_sky_with_crowds_and_copies(spark):
+    r = random.Random(3)
+    place = [(r.gauss(0.0, 4.0) % 360, r.gauss(80.0, 4.0)) for _ in range(120)] + [(10 + r.gauss(0, 0.001), 5 + r.gauss(0, 0.001)) for _ in range(120)]
+    place = [(a, min(d, 90.0)) for a, d in place] + [(200.0, -10.0)] * 40 + [(10.0, 5.0)] * 3
+    stars = spark.createDataFrame([(i, *p) for i, p in enumerate(place)] + [(999, None, 1.0), (998, float("nan"), 1.0)], "id long, ra_deg double, dec_deg double")
+    every = sky_pairs(stars, stars, 2.0).collect()
+    got = {(x["ra_deg"], x["dec_deg"]): x for x in nearest_on_sky(stars, "id", 5, 2.0).collect()}
+    assert got.keys() == set(place)
+    for p, x in got.items():
+        own = [i for i, q in enumerate(place) if q == p]
+        assert x["ids"] == own[:5]
+        assert [(n["distance"], n["id"]) for n in x["near"]] == sorted((e["distance"], e["r_id"]) for e in every if e["l_id"] == own[0])[:5]
