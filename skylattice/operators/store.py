@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,14 +76,42 @@ def merge_pooled(old: DataFrame, new: DataFrame, key: str, *, nights: str | None
     )
 
 
+def lowest_near(old: DataFrame, new: DataFrame, equal: list[str], near: str, tolerance: float) -> DataFrame:
+    """new with _id: one to a few rows for each that old (_id, equal, near) has something equal and near enough for; the least
+    _id is the lowest of all those.
+
+    In cells as wide as the tolerance what is near enough is the end of one cell, whole cells, and the beginning of another:
+    running minima say all. Where the difference is the tolerance but for rounding, pairs are tested.
+    """
+    key, little = [f"_equal_{c}" for c in equal], max(tolerance * 1e-6, 1e-9)
+    o = old.groupBy(*[F.col(c).alias(f"_equal_{c}") for c in equal], F.col(near).cast("double").alias("_v")).agg(F.min("_id").alias("_id")).where("_v is not null and not isnan(_v)")
+    asks = new.where(F.col(near).isNotNull() & ~F.isnan(F.col(near).cast("double"))).select(*new.columns, *[F.col(c).alias(f"_equal_{c}") for c in equal], F.col(near).cast("double").alias("_t"))
+    fine = lambda x: F.floor(x / (4 * little))
+    edge = asks.withColumn("_e", F.explode(F.array(F.col("_t") - tolerance, F.col("_t") + tolerance))).withColumn("_f", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: fine(F.col("_e")) + i)))
+    parts = [edge.join(o.withColumn("_g", fine(F.col("_v"))), [*[o[k].eqNullSafe(edge[k]) for k in key], F.col("_f") == F.col("_g")]).where(F.abs(F.col("_t") - F.col("_v")) <= tolerance)]
+    if tolerance > 4 * little:
+        cell = lambda x: F.floor(x / tolerance)
+        own = o.withColumn("_cell", cell(F.col("_v"))).withColumn("_asks", F.lit(0))
+        for sign in (-1, 1):  # from the lower end up, and up to the upper end
+            at = F.col("_t") + sign * (tolerance - little)
+            both = own.unionByName(asks.withColumn("_v", at).withColumn("_cell", cell(at)).withColumn("_asks", F.lit(1)), allowMissingColumns=True)
+            w = Window.partitionBy(*key, "_cell").orderBy(F.col("_v") if sign > 0 else F.desc("_v"), "_asks").rowsBetween(Window.unboundedPreceding, 0)
+            parts.append(both.withColumn("_id", F.min("_id").over(w)).where("_asks = 1"))
+        whole = own.groupBy(*key, "_cell").agg(F.min("_id").alias("_id"))
+        first, last = cell(F.col("_t") - (tolerance - little)) + 1, cell(F.col("_t") + (tolerance - little)) - 1
+        between = asks.where(first <= last).withColumn("_c", F.explode(F.sequence(first, last)))
+        parts.append(between.join(whole, [*[whole[k].eqNullSafe(between[k]) for k in key], F.col("_c") == F.col("_cell")]))
+    out = [x.where("_id is not null").select(*new.columns, "_id") for x in parts]
+    return reduce(DataFrame.unionByName, out)
+
+
 def find_or_create(old: DataFrame, new: DataFrame, id_column: str, equal: list[str], near: str, tolerance: float) -> DataFrame:
     """new with the lowest id of an old row that is equal and near enough, or a fresh id after the highest, and created.
 
     Fresh ids follow the order of new's columns; they are numbered range by range.
     """
-    o = old.select(F.col(id_column).alias("_id"), *[F.col(c).alias(f"_{c}") for c in [*equal, near]])
-    hit = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in equal] + [F.abs(F.col(near) - F.col(f"_{near}")) <= tolerance]
-    t = new.join(o, hit, "left").groupBy(*new.columns).agg(F.min("_id").alias("_id"))
+    found = lowest_near(old.select(F.col(id_column).alias("_id"), *equal, near), new, equal, near, tolerance)
+    t = new.withColumn("_id", F.lit(None).cast(dict(old.dtypes)[id_column])).unionByName(found).groupBy(*new.columns).agg(F.min("_id").alias("_id"))
     top = old.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))
     known = t.where("_id is not null").select(*new.columns, F.col("_id").alias(id_column), F.lit(False).alias("created"))
     fresh = numbered(t.where("_id is null").select(*new.columns), "_nth", list(new.columns))

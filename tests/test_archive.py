@@ -280,3 +280,19 @@ def test_best_masters_are_those_of_all_pairs(spark):
                 met.append((old, not plain, 1e9 if dt is None else dt, m is not None, "" if m is None else "".join(chr(255 - ord(c)) for c in m), path, dt))
         best = min(met) if met else None
         assert got[i] == ((best[5], best[6], best[0]) if best else (None, None, None)), i
+
+
+def test_lowest_id_near_enough_is_that_of_all_pairs(spark):
+    r = random.Random(9)
+    value = lambda: r.choice((None, round(r.uniform(-9, 9), 1), r.randrange(-9, 10) / 2))
+    old = [(i, r.choice((None, 1, 2)), value()) for i in range(60)]
+    new = sorted({(r.choice((None, 1, 2)), value()) for _ in range(120)}, key=str)
+    a, b = spark.createDataFrame(old, "id long, g long, v double"), spark.createDataFrame(new, "g long, v double")
+    for tolerance in (0.0, 0.5, 0.3):
+        found = store.find_or_create(a, b, "id", ["g"], "v", tolerance)
+        assert "Join LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {(x["g"], x["v"]): (x["id"], x["created"]) for x in found.collect()}
+        assert got.keys() == set(new)
+        for g, v in new:
+            best = min((i for i, h, w in old if h == g and v is not None and w is not None and abs(v - w) <= tolerance), default=None)
+            assert got[g, v][1] == (best is None) and (best is None or got[g, v][0] == best)
