@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, bitmap, cut, fresh, key_filter, secret_keys, span_hashes, split, split_rows, text_slices, tidy, utf8, words, written
-from .setjoin import Rule, candidates, first_pass, keyed, sets_of, shown_tokens, verify
+from .setjoin import Rule, first_pass, keyed, open_candidates, placed, sets_of, shown_tokens, verify
 
 RULE = Rule(80, 100)
 #: Rounds in which each line asks for one partner, before the one that takes all pairs that are left.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def lines():
@@ -50,17 +50,18 @@ def later_lines(rows: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(doc_id, version, record): lines of rows (doc_id, version, text) that a line before them is alike to."""
     records = lines()
     found, sketch = first_pass(rows, records)
-    classes = written(found.groupBy("cls").agg(F.min(_place()).alias("first"), F.count("*").alias("copies")), "line-classes")
-    proposed, shown = shown_tokens(rows, records, sketch, rule, most=1, keep_all=False)
+    classes = found.groupBy("cls").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"))
+    # in the order of places, so that the row's number is a rank
+    classes = written(classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("rank", F.monotonically_increasing_id()), "line-classes")
+    proposed, shown = shown_tokens(rows, records, sketch, rule, most=1, keep_all=True)
+    shown = placed(shown, classes.select("cls", "rank"))
     gone = rows.sparkSession.createDataFrame([], "cls long")
     tested = None
     for turn in range(ROUNDS + 1):
-        # each line asks for one partner at a time; at last for all that are left, those of groups cut short too
+        # each line asks for one partner at a time; at last for all that are left
         last, pairs = turn == ROUNDS, proposed
         if turn:
-            pairs = candidates(shown, gone.select("cls", F.lit(0).cast("long").alias("label")), rule, most=None if last else 1, turn=turn)
-        if last:
-            pairs = pairs.unionByName(proposed).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+            pairs = open_candidates(shown, gone, rule, most=None if last else 1, turn=0 if last else turn)
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         if not last:  # the partner that most groups name; only it meets the classes
             pairs = pairs.groupBy("b").agg(F.max_by(F.struct("a", "votes"), F.struct("votes", F.xxhash64("a", F.lit(turn)))).alias("best")).select("best.a", "b", "best.votes")

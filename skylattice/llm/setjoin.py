@@ -33,6 +33,8 @@ BROADCAST_LABELS = 500_000
 #: The bits of a token's hash that travel.
 SHOWN = np.uint64(0xFFFFFFFF)
 POSTING = np.dtype([("token", "<u4"), ("cls", "<i8"), ("parity", "<u8"), ("n", "<u4"), ("at", "<u4")])
+#: The same with the place of the class in an order of classes.
+PLACED = np.dtype([*POSTING.descr, ("rank", "<i8")])
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,10 @@ class Rule:
     def needed(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         return -(-self.part * (n + m) // (self.part + self.over))
 
+    def least(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Shown tokens that linked sets of n and m share at least; see likely()."""
+        return self.needed(n, m) - -(-self.part * np.maximum(n, m) // self.over) + 1
+
 
 #: Makes the records of a slice: row of each record, its number in the row, token hashes and offsets into them; and, if asked
 #: for, the same tokens under a second key.
@@ -255,12 +261,9 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *
         low, high, votes = counted_pairs(a, b)
         yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(votes), pa.nulls(len(low), pa.binary())], names=names)
         left = every if keep_all else every[np.isin(token, short)]
-        # whole groups travel together, about CHUNK tokens in a row
         if not len(left):
             return
-        edges = np.flatnonzero(np.append(True, left["token"][1:] != left["token"][:-1]))
-        cuts = np.unique(edges[np.searchsorted(edges, np.arange(0, len(left), CHUNK), "right") - 1])
-        parts = [packed_bytes(left[i:j]) for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(left)], strict=True)]
+        parts = packed_groups(left)
         none = pa.nulls(len(parts), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.array(parts, pa.binary())], names=names)
 
@@ -283,16 +286,23 @@ def unpacked(shown: DataFrame) -> DataFrame:
     return shown.mapInArrow(tidy(run), "token long, cls long, parity long, n int, at int")
 
 
+def packed_groups(postings: np.ndarray) -> list[bytes]:
+    """Postings in the order of tokens, packed so that whole groups stay together, about CHUNK tokens in a row."""
+    edges = np.flatnonzero(np.append(True, postings["token"][1:] != postings["token"][:-1]))
+    cuts = np.unique(edges[np.searchsorted(edges, np.arange(0, len(postings), CHUNK), "right") - 1])
+    return [packed_bytes(postings[i:j]) for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(postings)], strict=True)]
+
+
 def packed_bytes(postings: np.ndarray) -> bytes:
     """Postings, column by column and within a column byte by byte of its words: high bytes are alike and compress."""
-    return b"".join(np.ascontiguousarray(postings[c]).view(np.uint8).reshape(len(postings), -1).T.tobytes() for c in POSTING.names)
+    return b"".join(np.ascontiguousarray(postings[c]).view(np.uint8).reshape(len(postings), -1).T.tobytes() for c in postings.dtype.names)
 
 
-def unpacked_bytes(raw: memoryview | bytes) -> np.ndarray:
+def unpacked_bytes(raw: memoryview | bytes, posting: np.dtype = POSTING) -> np.ndarray:
     data, at = np.frombuffer(raw, np.uint8), 0
-    out = np.empty(len(data) // POSTING.itemsize, POSTING)
-    for c in POSTING.names:
-        kind = POSTING[c]
+    out = np.empty(len(data) // posting.itemsize, posting)
+    for c in posting.names:
+        kind = posting[c]
         end = at + kind.itemsize * len(out)
         out[c] = np.ascontiguousarray(data[at:end].reshape(kind.itemsize, -1).T).view(kind).ravel()
         at = end
@@ -309,16 +319,21 @@ def counted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return low[new], high[new], np.diff(np.append(np.flatnonzero(new), len(low))).astype(np.int64)
 
 
-def pairs_of_groups(token, label, cls, parity, n, at, rule: Rule, most: int | None, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pairs_of_groups(token, label, cls, parity, n, at, rule: Rule, most: int | None, turn: int, rank=None, gone=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of classes in the groups of equal tokens that pass the filters and differ in label, and tokens cut short.
 
     Each record meets those before it in its group, one step further at a time, and after `most` pairs no more: its token
     then counts as cut short. The order within a group is by size at first and changes with turn.
+
+    rank and gone: a pair is left out if the one of higher rank is gone. With them and without `most`, a pair comes from
+    every shown token that its sets share: then tokens before this one may be shared as well.
     """
     nearby = mix(cls.astype(np.int64).view(np.uint64) + np.uint64(turn))
     bits = np.uint64(int(n.max()).bit_length() if len(n) else 1)
     order = order_within(token, nearby if turn else (n.astype(np.uint64) << (np.uint64(64) - bits)) | (nearby >> bits), full=False)
     token, label, cls, parity, n, at = (x[order] for x in (token, label, cls, parity, n, at))
+    if rank is not None:
+        rank, gone = rank[order], gone[order]
     first = np.ones(len(token), bool)
     first[1:] = token[1:] != token[:-1]
     start = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
@@ -334,7 +349,10 @@ def pairs_of_groups(token, label, cls, parity, n, at, rule: Rule, most: int | No
         if not turn:  # by size: what is too short now only gets shorter
             open_, i, a, b, fits = open_[fits], i[fits], a[fits], b[fits], fits[fits]
         need = rule.needed(a, b)
-        good = fits & (label[i] != label[open_]) & (np.minimum(a - at[i], b - at[open_]) >= need)
+        before = np.minimum(at[i], at[open_]) if rank is not None and not most else 0
+        good = fits & (label[i] != label[open_]) & (before + np.minimum(a - at[i], b - at[open_]) >= need)
+        if rank is not None:
+            good &= ~np.where(rank[i] < rank[open_], gone[open_], gone[i])
         good[good] &= np.bitwise_count(parity[i[good]] ^ parity[open_[good]]) <= (a + b - 2 * need)[good]
         if good.any():
             left.append(cls[i[good]])
@@ -377,6 +395,60 @@ def candidates(shown: DataFrame, labels: DataFrame | None, rule: Rule, *, most:
     return dealt.mapInArrow(tidy(run), "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
 
 
+def placed(shown: DataFrame, ranks: DataFrame) -> DataFrame:
+    """What shown_tokens leaves, with the rank of each class (cls, rank) in it, packed by whole groups again."""
+    told = unpacked(shown).join(ranks, "cls").repartition(max(2 * partitions(shown.sparkSession), 8), "token")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        out = np.empty(table.num_rows, PLACED)
+        for c in PLACED.names:
+            out[c] = table[c].to_numpy().view(np.uint64) if c == "parity" else table[c].to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(packed_groups(out[np.argsort(out["token"], kind="stable")]), pa.binary())], names=["packed"])
+
+    return written(told.select(*PLACED.names).mapInArrow(tidy(run), "packed binary"), "set-placed")
+
+
+def open_candidates(shown: DataFrame, gone: DataFrame, rule: Rule, *, most: int | None, turn: int = 0) -> DataFrame:
+    """(a, b, votes): pairs of classes, a < b, of which the one of higher rank isn't among the gone (cls).
+
+    Without `most` all of them that share as many shown tokens as linked sets do at least: shown must hold every token that
+    two classes show. With it, of each record and group the `most` first.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for x in batch.column("packed"):
+                e = unpacked_bytes(x.as_buffer(), PLACED)
+                yield pa.RecordBatch.from_arrays([pa.array(e[c].astype(np.int64) if PLACED[c] != np.uint64 else e[c].astype(np.uint64).view(np.int64)) for c in PLACED.names], names=list(PLACED.names))
+
+    flat = shown.mapInArrow(tidy(unpack), ", ".join(f"{c} long" for c in PLACED.names))
+    few = gone.count() <= BROADCAST_LABELS
+    named = gone.select(F.col("cls").alias("_c"))
+    flat = flat.join(F.broadcast(named) if few else named, F.col("cls") == F.col("_c"), "left").withColumn("gone", F.col("_c").isNotNull()).drop("_c")
+    if not few:  # that join has parted the groups
+        flat = flat.repartition(max(2 * partitions(shown.sparkSession), 8), "token")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        c = {x: table[x].to_numpy() for x in table.column_names}
+        a, b, _ = pairs_of_groups(c["token"], c["cls"], c["cls"], c["parity"].view(np.uint64), c["n"], c["at"], rule, most, turn, c["rank"], np.asarray(c["gone"], bool))
+        low, high, votes = counted_pairs(a, b)
+        every, first = np.unique(c["cls"], return_index=True)
+        size = c["n"][first]
+        least = rule.least(size[np.searchsorted(every, low)], size[np.searchsorted(every, high)]) if len(low) else low
+        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(votes), pa.array(least)], names=["a", "b", "votes", "least"])
+
+    pairs = flat.mapInArrow(tidy(run), "a long, b long, votes long, least long").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.first("least").alias("least"))
+    return (pairs if most else pairs.where("votes >= least")).select("a", "b", "votes")
+
+
 def shown_lists(shown: DataFrame) -> DataFrame:
     """(cls, n, seen): what each class shows that others show too."""
     return written(unpacked(shown).groupBy("cls").agg(F.first("n").cast("long").alias("n"), F.collect_list("token").alias("seen")), "set-lists")

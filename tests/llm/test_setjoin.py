@@ -7,7 +7,7 @@ from skylattice.llm import setjoin
 from skylattice.llm.common import mix
 from skylattice.llm.line_dedup import dedup_lines
 from skylattice.llm.ngram_join import count_links, link_documents, linked_pairs, one_of_each
-from skylattice.llm.setjoin import Rule, Trie
+from skylattice.llm.setjoin import PLACED, Rule, Trie, open_candidates, packed_bytes, packed_groups, pairs_of_groups
 
 from .samples import documents, empty
 
@@ -163,3 +163,25 @@ def test_shown_tokens_that_fall_together_lose_no_link(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want, _, _ = by_hand(list(enumerate(texts)), 85, 100)
     assert [x["component_id"] for x in sorted(link_documents(docs).collect(), key=lambda x: x["doc_id"])] == want
+
+
+def test_pairs_that_tell_nothing_or_share_too_little_are_not_made(spark):
+    n, rule = 200, Rule(80, 100)
+    cls, one = np.arange(n), np.ones(n, np.int64)
+    same = (cls.astype(np.uint64) * np.uint64(0), 20 * one, 0 * one)
+    gone = cls > 0
+    a, _, _ = pairs_of_groups(0 * one, cls, cls, *same, rule, None, 0, cls, gone)
+    assert not len(a)  # the first line is the earlier one of each pair, and all others are gone
+    gone[150] = False
+    a, b, _ = pairs_of_groups(0 * one, cls, cls, *same, rule, None, 0, cls, gone)
+    assert sorted(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) == [(i, 150) for i in range(150)]
+    # lines of 20 words that share one shown word: linked ones share three at least
+    part = np.zeros(n, PLACED)
+    part["token"], part["cls"], part["n"], part["rank"] = 7, cls, 20, cls
+    shown = spark.createDataFrame([(bytearray(packed_bytes(part)),)], "packed binary")
+    none = spark.createDataFrame([], "cls long")
+    assert open_candidates(shown, none, rule, most=None).count() == 0
+    again = np.concatenate([part[:3]] * 3)
+    again["token"], again["at"] = np.repeat([7, 8, 9], 3), np.repeat([0, 1, 2], 3)
+    shown = spark.createDataFrame([(bytearray(x),) for x in packed_groups(again)], "packed binary")
+    assert sorted(tuple(r) for r in open_candidates(shown, none, rule, most=None).collect()) == [(0, 1, 3), (0, 2, 3), (1, 2, 3)]
