@@ -3,7 +3,10 @@
 A pair that is the first of both its sides is taken whatever else happens; one round of those settles most catalogues. What is
 left falls into connected groups. Groups are found in rounds that halve paths, so a long chain needs logarithmically many;
 then every group is settled in order in one pass over sorted rows, where a task remembers the sides taken in the group at
-hand. Only groups with more pairs than that may remember go on in rounds of first pairs.
+hand. Tables with more pairs than that go in rounds of proposals: the first pairs of each left side are matched, then those
+that it may still get after what right sides hold, until no free one has any left. The greedy choice is the one stable
+matching of that order, so what a right side holds only gets better, and no pair that is dropped could be taken. Groups that
+are still too large go in rounds of one proposal each.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from skylattice.operators.shared import cut
 
 #: Pairs of a group that is settled in one pass: the sides that a task remembers are twice as many at most.
 GROUP_PAIRS = 1 << 20
+#: Pairs that a left side proposes in a round over a large table.
+LIST = 16
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -49,14 +54,50 @@ def _without(pairs: DataFrame, taken: DataFrame, left: str, right: str) -> DataF
     return pairs.join(taken.select(left), left, "left_anti").join(taken.select(right), right, "left_anti").select(*pairs.columns)
 
 
+def _proposals(pairs: DataFrame, left: str, right: str, order: list[str], most: int) -> DataFrame:
+    """The pairs that greedy takes, in rounds in which each left side proposes its `most` first pairs that are left; those that
+    are free propose eight times as many in each further round, if most isn't 1."""
+    columns, place = pairs.columns, F.struct(*order)
+    row = F.struct(*order, *[c for c in columns if c not in order])
+    first = lambda t, side: t.groupBy(side).agg(F.min(row).alias("_p")).select(*[F.col(f"_p.{c}").alias(c) for c in columns])
+    live, held, more = pairs, pairs.limit(0), most
+    while True:
+        free = live.join(held.select(left), left, "left_anti")
+        if most == 1:
+            asked = cut(first(free, left))
+            if asked.isEmpty():
+                return held
+            held = cut(first(held.unionByName(asked), right))
+        else:
+            if free.isEmpty():
+                return held
+            nth = F.row_number().over(Window.partitionBy(left).orderBy(*order))
+            lists = live.join(held.select(left, F.lit(True).alias("_held")), left, "left").withColumn("_n", nth)
+            lists = lists.where(F.col("_n") <= F.when(F.col("_held"), most).otherwise(more)).select(*columns)
+            held, more = _settled(cut(held.unionByName(lists)), left, right, order), 8 * more
+        # a pair is left if it comes before what its right side holds, unless its left side has one that is final: what is held
+        # is final if no pair before it is left
+        holds = held.select(F.col(right).alias("_s"), F.col(left).alias("_l"), place.alias("_h"))
+        live = cut(live.join(holds.select("_s", "_h"), F.col(right) == F.col("_s"), "left").where(F.col("_h").isNull() | (place < F.col("_h"))).select(*columns))
+        final = holds.join(live.select(F.col(right).alias("_s")).distinct(), "_s", "left_anti").select(F.col("_l").alias(left))
+        live = cut(live.join(final, left, "left_anti").select(*columns))
+
+
 def greedy(pairs: DataFrame, left: str, right: str, order: list[str]) -> DataFrame:
     """The pairs that are taken when they come in `order`, equal ones by left and right, and sides are used once.
 
     Runs at once. A pair that comes twice is taken once; pairs with a null side go.
     """
     order = [*order, *[c for c in (left, right) if c not in order]]
-    columns = pairs.columns
     every = cut(pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()))
+    if every.count() > GROUP_PAIRS:
+        return _proposals(every, left, right, order, LIST)
+    return _settled(every, left, right, order)
+
+
+def _settled(every: DataFrame, left: str, right: str, order: list[str]) -> DataFrame:
+    """The pairs that greedy takes, by first pairs of both sides and connected groups."""
+    columns = every.columns
     kept = cut(_first_of_both(every, left, right, order))
     open_ = cut(_without(every, kept, left, right))
     if open_.isEmpty():
@@ -82,8 +123,7 @@ def greedy(pairs: DataFrame, left: str, right: str, order: list[str]) -> DataFra
             yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
 
     rest = grouped.join(size, "component", "left_anti").repartition("component").sortWithinPartitions("component", *order)
-    kept = kept.unionByName(rest.select("component", *columns).mapInArrow(run, pairs.schema))
-    while not large.isEmpty():
-        best = cut(_first_of_both(large, left, right, order))
-        kept, large = kept.unionByName(best), cut(_without(large, best, left, right))
+    kept = kept.unionByName(rest.select("component", *columns).mapInArrow(run, every.schema))
+    if not large.isEmpty():
+        kept = kept.unionByName(_proposals(large, left, right, order, 1))
     return cut(kept)

@@ -38,6 +38,18 @@ def test_a_chain_of_a_thousand_in_few_rounds(spark, monkeypatch):
     assert got == by_hand(rows) and len(cuts) < 25
 
 
+def test_a_large_group_of_equal_wishes_in_few_rounds(spark, monkeypatch):
+    # every left side wants the same right sides in the same order: rounds of first pairs would need 40
+    rows = [(float(b), a, b) for a in range(40) for b in range(40)]
+    df = spark.createDataFrame([(a, b, d) for d, a, b in rows], "a long, b long, d double")
+    cuts = []
+    one = module.cut
+    monkeypatch.setattr(module, "GROUP_PAIRS", 1100)
+    monkeypatch.setattr(module, "cut", lambda t: cuts.append(1) or one(t))
+    got = {(x["a"], x["b"], x["d"]) for x in greedy(df, "a", "b", ["d"]).collect()}
+    assert got == by_hand(rows) and len(cuts) < 45
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1400)]
