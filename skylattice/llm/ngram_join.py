@@ -16,9 +16,10 @@ from .setjoin import Rule, candidates, first_pass, keyed, likely, sets_of, shown
 
 SHINGLE = 4
 RULE = Rule(85, 100)
-#: Rounds in which each document asks for one partner go on while they find so many links, before the round that takes
-#: all that is left.
-WORTH = 200
+#: Rounds in which each document asks for one partner, before the one that takes all pairs that are left: so many at most,
+#: as the driver keeps the plans and tasks of each. Another one is worth its while if the last found so many links, and
+#: a quarter of what the first one did.
+ROUNDS, WORTH = 3, 200
 
 
 def shingles(size: int = SHINGLE):
@@ -88,7 +89,7 @@ def linked_classes(rows: DataFrame, size: int, rule: Rule) -> tuple[DataFrame, D
     firsts = found.where("n > 0").join(lists.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min(some).alias("one")).select("cls", "one.doc_id", "one.version", "one.record")
     firsts = cut(firsts)
     edges = tested = labels = None
-    turn, last = 0, False
+    turn, last, worth = 0, False, WORTH
     while True:
         pairs = candidates(shown, labels, rule, most=None if last else 1, turn=turn) if turn else proposed
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
@@ -104,10 +105,11 @@ def linked_classes(rows: DataFrame, size: int, rule: Rule) -> tuple[DataFrame, D
         if last:
             labels = components(edges) if n else labels
             break
+        worth = worth if turn else max(WORTH, n // 4)
+        turn, last = turn + 1, n < worth or turn + 1 >= ROUNDS
         # whole components before the last round; before others it is enough that most of what is connected is known to be
-        labels = components(edges) if n < WORTH else cut(near_labels(edges))
+        labels = components(edges) if last else cut(near_labels(edges))
         tested = asked if tested is None else tested.unionByName(asked)
-        turn, last = turn + 1, n < WORTH
     return found, labels
 
 

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from skylattice.llm import setjoin
+from skylattice.llm import ngram_join, setjoin
 from skylattice.llm.common import mix
 from skylattice.llm.line_dedup import dedup_lines
 from skylattice.llm.ngram_join import count_links, link_documents, linked_pairs, one_of_each
@@ -185,3 +185,15 @@ def test_pairs_that_tell_nothing_or_share_too_little_are_not_made(spark):
     again["token"], again["at"] = np.repeat([7, 8, 9], 3), np.repeat([0, 1, 2], 3)
     shown = spark.createDataFrame([(bytearray(x),) for x in packed_groups(again)], "packed binary")
     assert sorted(tuple(r) for r in open_candidates(shown, none, rule, most=None).collect()) == [(0, 1, 3), (0, 2, 3), (1, 2, 3)]
+
+
+def test_rounds_are_bounded(spark, monkeypatch):
+    """However many links the rounds go on to find: the driver keeps the plans of each."""
+    asked, own = [], ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "WORTH", 1)
+    monkeypatch.setattr(ngram_join, "candidates", lambda *a, **b: asked.append(b["most"]) or own(*a, **b))
+    rows = list(enumerate(near_copies(1)))
+    expected, sets, _ = by_hand(rows, 85, 100)
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {k: (len(s), c) for (k, _), s, c in zip(rows, sets, expected, strict=True)}
+    assert len(asked) <= 3 and asked[-1] is None
