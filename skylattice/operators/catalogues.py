@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.expr import clean, colour_bv, exact_id, ra_delta
-from skylattice.operators.spatial import sky_pairs
+from skylattice.operators.spatial import nearest_of
 
 
 def colour_of(bp_rp: Column, bp_mag: Column, rp_mag: Column) -> Column:
@@ -31,14 +31,18 @@ def with_colours(stars: DataFrame, catalogue: DataFrame, key: str, *, radius_deg
 
     stars: key, ra_deg, dec_deg, mag, bp_rp; catalogue: source_id, ra_deg, dec_deg, g_mag, bp_rp. A star without position or
     magnitude stays as it is; so does one whose nearest star has no colour itself. Of equally near ones the lower source_id
-    counts.
+    counts. Runs at once.
     """
     lacking = stars.where(clean(F.col("bp_rp")).isNull() & clean(F.col("ra_deg")).isNotNull() & clean(F.col("dec_deg")).isNotNull() & clean(F.col("mag")).isNotNull()).select(key, "ra_deg", "dec_deg", "mag")
     offered = catalogue.where(clean(F.col("g_mag")).isNotNull() & clean(F.col("ra_deg")).isNotNull() & clean(F.col("dec_deg")).isNotNull()).select("source_id", "ra_deg", "dec_deg", "g_mag", clean(F.col("bp_rp")).alias("bp_rp"))
-    near = sky_pairs(lacking, offered, 1.5 * radius_deg)
+    # bands of magnitude as wide as the limit: a star's own, and of the catalogue the two beside it as well
+    band = lambda c: F.floor(F.col(c) / (max_dmag * (1 + 1e-6)))
+    lacking = lacking.withColumn("_band", band("mag"))
+    offered = offered.withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: band("g_mag") + i)))
     inside = (F.abs(ra_delta(F.col("r_ra_deg"), F.col("l_ra_deg"))) <= radius_deg) & (F.abs(F.col("r_dec_deg") - F.col("l_dec_deg")) <= radius_deg)
-    near = near.where(inside & (F.abs(F.col("r_g_mag") - F.col("l_mag")) < max_dmag))
-    best = near.groupBy(F.col(f"l_{key}").alias("_k")).agg(F.min_by("r_bp_rp", F.struct("distance", "r_source_id")).alias("_c"))
+    inside &= F.abs(F.col("r_g_mag") - F.col("l_mag")) < max_dmag
+    near = nearest_of(lacking, offered, key, "source_id", 1.5 * radius_deg, by=("g_mag",), carry=("bp_rp",), also=("_band",), inside=inside)
+    best = near.select(F.col(key).alias("_k"), F.col("bp_rp").alias("_c"))
     colour = F.coalesce(clean(F.col("bp_rp")), F.col("_c"))
     source = F.when(clean(F.col("bp_rp")).isNotNull(), "own").when(F.col("_c").isNotNull(), "catalogue")
     kept = [c for c in stars.columns if c not in ("bp_rp", "b_v", "colour_source")]

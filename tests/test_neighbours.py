@@ -1,10 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from skylattice.operators import neighbours
+from skylattice.operators import archive, catalogues, neighbours, spatial
 from skylattice.operators.neighbours import nearest_alike, nearest_in_value, within_value
-from skylattice.operators.spatial import nearest_on_sky, sky_pairs
+from skylattice.operators.spatial import nearest_on_sky, one_to_one, plane_pairs, sky_pairs
 
 SCHEMA = "id long, g string, v double, a double"
 
@@ -86,3 +87,65 @@ def test_nearest_on_sky_with_crowds_and_copies(spark):
         own = [i for i, q in enumerate(place) if q == p]
         assert x["ids"] == own[:5]
         assert [(n["distance"], n["id"]) for n in x["near"]] == sorted((e["distance"], e["r_id"]) for e in every if e["l_id"] == own[0])[:5]
+
+
+def crowd(spark, n=300, seed=4):
+    r = random.Random(seed)
+    rows = [(i, 359.9 + 0.2 * r.random() if i % 3 else 10.0 * r.random(), r.gauss(0, 0.1), round(r.gauss(12, 0.4), 1)) for i in range(n)]
+    rows += [(n + i, rows[i][1], rows[i][2], rows[i][3]) for i in range(20)]  # copies
+    return spark.createDataFrame([(k, ra % 360, dec, mag) for k, ra, dec, mag in rows], "id long, ra_deg double, dec_deg double, mag double")
+
+
+def counting(monkeypatch, name):
+    made, own = [], getattr(spatial, name)
+
+    def pairs(*a, **b):
+        out = own(*a, **b)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, name, pairs)
+    return made
+
+
+def test_colours_come_from_the_nearest_without_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "FEW_PAIRS", 4)
+    t = crowd(spark)
+    cat = t.where("id % 2 = 1").select(F.col("id").alias("source_id"), "ra_deg", "dec_deg", F.col("mag").alias("g_mag"), F.when(F.col("id") % 4 > 1, F.col("id") / 100).alias("bp_rp"))
+    every = sky_pairs(t, cat, 0.9).cache()
+    inside = every.where("abs(pmod(r_ra_deg - l_ra_deg + 540, 360) - 180) <= 0.6 and abs(r_dec_deg - l_dec_deg) <= 0.6 and abs(r_g_mag - l_mag) < 0.5").collect()
+    best = {}
+    for p in inside:
+        best[p["l_id"]] = min(best.get(p["l_id"], (9.0, 0, None)), (p["distance"], p["r_source_id"], p["r_bp_rp"]), key=lambda x: x[:2])
+    made = counting(monkeypatch, "sky_pairs")
+    got = {r["id"]: r["bp_rp"] for r in catalogues.with_colours(t.withColumn("bp_rp", F.lit(None).cast("double")), cat, "id", radius_deg=0.6, max_dmag=0.5).collect()}
+    assert got == {r["id"]: best.get(r["id"], (0, 0, None))[2] for r in t.collect()}
+    assert made and sum(made) < every.count() / 2
+
+
+def test_fields_are_found_without_all_pairs(spark, monkeypatch):
+    t = crowd(spark)
+    registry = t.where("id % 5 > 0").select("id", "ra_deg", "dec_deg", F.lit("old").alias("object_name"), F.lit(1).cast("long").alias("first_observation"), F.lit(1).cast("long").alias("last_observation"), F.lit(1).cast("long").alias("n_observations"))
+    seen = t.where("id % 5 = 0").select(F.col("id").alias("observation_id"), "ra_deg", "dec_deg", F.lit(None).cast("string").alias("object_name"))
+    every = sky_pairs(seen, registry, 0.5).where("distance < 0.5").cache()
+    near = {r["l_observation_id"]: r["n"]["r_id"] for r in every.groupBy("l_observation_id").agg(F.min(F.struct("distance", "r_id")).alias("n")).collect()}
+    monkeypatch.setattr(spatial, "FEW_PAIRS", 4)
+    made = counting(monkeypatch, "sky_pairs")
+    _, field = archive.register_fields(registry, seen, radius_deg=0.5)
+    got = {r["observation_id"]: r["field_id"] for r in field.collect()}
+    assert len(got) == seen.count() and {k: v for k, v in got.items() if k in near} == near
+    assert made and sum(made) < every.count() / 2
+
+
+def test_one_to_one_in_rounds_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "FEW_PAIRS", 2)
+    r = random.Random(8)
+    rows = [(i, float(r.randrange(60)) if i % 4 else 500 + 100 * r.random(), float(r.randrange(60)) if i < 280 else None) for i in range(300)]
+    a = spark.createDataFrame(rows, "id long, x double, y double")
+    left, right = a.where("id % 3 = 0"), a.where("id % 3 > 0")
+    every = plane_pairs(left, right, 30.0).select(F.col("l_id").alias("_l"), F.col("r_id").alias("_r"), "distance").cache()
+    want = sorted(tuple(x) for x in one_to_one(every, "_l", "_r").collect())
+    made = counting(monkeypatch, "plane_pairs")
+    assert sorted(tuple(x) for x in spatial.one_to_one_within(left, right, "id", "id", 30.0).collect()) == want and want
+    assert made and sum(made) < every.count()
+    assert spatial.one_to_one_within(left.limit(0), right, "id", "id", 30.0).count() == 0
