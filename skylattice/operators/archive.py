@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skylattice.functions import expr
 from skylattice.operators.neighbours import nearest_offers
 from skylattice.operators.shared import cut, numbered
-from skylattice.operators.spatial import sky_pairs
+from skylattice.operators.spatial import nearest_of, sky_pairs
 
 
 def best_masters(lights: DataFrame, library: DataFrame, *, tolerance: float = 0.5, prefer_unbinned: bool = True, now: Column | None = None, validity_days: float | None = None) -> DataFrame:
@@ -105,7 +105,7 @@ def register_fields(registry: DataFrame, observations: DataFrame, *, radius_deg:
     """
     known = registry.select(F.col("id"), "ra_deg", "dec_deg")
     seen = observations.select("observation_id", "ra_deg", "dec_deg")
-    near_known = sky_pairs(seen, known, radius_deg).where(F.col("distance") < radius_deg).select(F.col("l_observation_id").alias("observation_id")).distinct()
+    near_known = nearest_of(seen, known, "observation_id", "id", radius_deg, inside=F.col("distance") < radius_deg)
     open_ = cut(seen.join(near_known, "observation_id", "left_anti"))
     links = cut(sky_pairs(open_, open_, radius_deg).where((F.col("distance") < radius_deg) & (F.col("r_observation_id") < F.col("l_observation_id"))).select(F.col("l_observation_id").alias("later"), F.col("r_observation_id").alias("earlier")))
     centres, todo = None, open_.select("observation_id")
@@ -122,10 +122,11 @@ def register_fields(registry: DataFrame, observations: DataFrame, *, radius_deg:
         centres = open_.select("observation_id").limit(0)
     made = numbered(centres, "_nth", ["observation_id"]).crossJoin(F.broadcast(top)).select("observation_id", (F.col("_top") + F.col("_nth")).cast("long").alias("id"))
     made = cut(made.join(seen, "observation_id"))
-    fields = known.select(F.col("id").cast("long").alias("id"), "ra_deg", "dec_deg", F.lit(None).cast(dict(seen.dtypes)["observation_id"]).alias("since")).unionByName(made.select("id", "ra_deg", "dec_deg", F.col("observation_id").alias("since")))
-    pairs = sky_pairs(seen, fields, radius_deg).where((F.col("distance") < radius_deg) & (F.col("r_since").isNull() | (F.col("r_since") <= F.col("l_observation_id"))))
-    own = F.struct((~F.coalesce(F.col("r_since") == F.col("l_observation_id"), F.lit(False))).alias("new"), F.col("distance"), F.col("r_id"))
-    field = cut(pairs.groupBy(F.col("l_observation_id").alias("observation_id")).agg(F.min_by("r_id", own).alias("field_id")))
+    # new fields are radius_deg apart, so few are near an observation; of the known ones only the nearest counts
+    pairs = sky_pairs(seen, made.withColumnRenamed("observation_id", "since"), radius_deg).where((F.col("distance") < radius_deg) & (F.col("r_since") <= F.col("l_observation_id")))
+    offers = pairs.select(F.col("l_observation_id").alias("observation_id"), (F.col("r_since") != F.col("l_observation_id")).alias("new"), "distance", F.col("r_id").alias("id"))
+    offers = offers.unionByName(near_known.select("observation_id", F.lit(True).alias("new"), "distance", F.col("id").cast("long").alias("id")))
+    field = cut(offers.groupBy("observation_id").agg(F.min_by("id", F.struct("new", "distance", "id")).alias("field_id")))
     told = observations.join(field, "observation_id").groupBy("field_id").agg(
         F.count("*").alias("_n"), F.min("observation_id").alias("_first"), F.max("observation_id").alias("_last"), F.expr("max_by(object_name, observation_id) filter (where object_name is not null)").alias("_name")
     )
