@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.functions import expr
 from skylattice.functions.robust import sigma_floor
 from skylattice.operators.shared import cut, exact_quantiles, known, numbered
 
@@ -95,6 +96,36 @@ def first_full_tier(pairs: DataFrame, *, n_min: int) -> DataFrame:
     return pairs.join(chosen, "target_id").where(F.col("tier") <= F.col("chosen_tier"))
 
 
+def stars_of_full_tier(stars: DataFrame, key: str, group: str, *, n_min: int, tiers: tuple[tuple[float, float], ...] = expr.TIERS) -> DataFrame:
+    """target_id, comp_id, tier, chosen_tier: what first_full_tier() gives of all pairs of stars (key, group, mag, bp_rp) of a
+    group that the widest tier's limit of magnitude holds.
+
+    Tier by tier: pairs of the strictest one first, then of wider ones for targets that don't have n_min yet. So pairs that
+    aren't wanted are made of few targets only. Stars without group or magnitude have no pairs. Runs at once.
+    """
+    every = cut(stars.select(F.col(key).alias("_id"), F.col(group).alias("_g"), "mag", "bp_rp").where("_g is not null and mag is not null"))
+
+    def pairs(targets: DataFrame, k: int) -> DataFrame:
+        limit = tiers[k - 1][0]
+        cell = F.floor(F.col("mag") / (limit * (1 + 1e-6)))
+        a = targets.select(F.col("_id").alias("target_id"), "_g", F.col("mag").alias("_tm"), F.col("bp_rp").alias("_tb"), cell.alias("_c"))
+        b = every.select(F.col("_id").alias("comp_id"), "_g", F.col("mag").alias("_cm"), F.col("bp_rp").alias("_cb"), F.explode(F.array(*[cell + i for i in (-1, 0, 1)])).alias("_c"))
+        dm, db = F.abs(F.col("_tm") - F.col("_cm")), F.abs(F.col("_tb") - F.col("_cb"))
+        met = a.join(b, ["_g", "_c"]).where((F.col("target_id") != F.col("comp_id")) & (dm <= limit))
+        return met.select("target_id", "comp_id", F.substring(expr.tier(dm, db, tiers), 5, 1).cast("int").alias("tier")).where(F.col("tier") <= k)
+
+    open_, kept = every, None
+    for k in range(1, len(tiers)):
+        full = cut(pairs(open_, k).groupBy(F.col("target_id").alias("_id")).agg(F.count("*").alias("_n")).where(F.col("_n") >= n_min).select("_id"))
+        new = pairs(open_.join(full, "_id", "left_semi"), k).withColumn("chosen_tier", F.lit(k))
+        kept = new if kept is None else kept.unionByName(new)
+        open_ = cut(open_.join(full, "_id", "left_anti"))
+        if open_.isEmpty():
+            return kept
+    rest = first_full_tier(pairs(open_, len(tiers)), n_min=n_min).select("target_id", "comp_id", "tier", "chosen_tier")
+    return rest if kept is None else kept.unionByName(rest)
+
+
 def conditional_head(rows: DataFrame, group: str, order: list[Column], value: str, *, first: int = 3, most: int = 7, factor: float = 1.5) -> DataFrame:
     """The first rows of each group always, and more, up to `most`, while value stays under factor times their median."""
     w = Window.partitionBy(group)

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skylattice.operators import archive, catalogues, neighbours, spatial
+from skylattice.functions import expr
+from skylattice.operators import archive, catalogues, comparison, neighbours, spatial
 from skylattice.operators.neighbours import nearest_alike, nearest_in_value, within_value
 from skylattice.operators.spatial import nearest_on_sky, one_to_one, plane_pairs, sky_pairs
 
@@ -149,3 +150,16 @@ def test_one_to_one_in_rounds_equals_all_pairs(spark, monkeypatch):
     assert sorted(tuple(x) for x in spatial.one_to_one_within(left, right, "id", "id", 30.0).collect()) == want and want
     assert made and sum(made) < every.count()
     assert spatial.one_to_one_within(left.limit(0), right, "id", "id", 30.0).count() == 0
+
+
+def test_full_tiers_equal_those_of_all_pairs(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice(["x", "x", "y", None]), r.choice([None, float("nan"), 0.25 * r.randrange(40), 10 * r.random()]), r.choice([None, 0.15 * r.randrange(8)])) for i in range(150)]
+    t = spark.createDataFrame([*rows, (150, "z", 1.0, 0.1), (151, "z", 1.0, 0.1), (152, "x", 90.0, 0.1)], "id long, g string, mag double, bp_rp double")
+    a, b = (t.select("g", F.col("id").alias(k), F.col("mag").alias(f"m_{k}"), F.col("bp_rp").alias(f"b_{k}")) for k in ("target_id", "comp_id"))
+    every = a.join(b, "g").where("target_id <> comp_id and abs(m_target_id - m_comp_id) <= 2.0")
+    tier = F.substring(expr.tier(F.abs(F.col("m_target_id") - F.col("m_comp_id")), F.abs(F.col("b_target_id") - F.col("b_comp_id"))), 5, 1).cast("int")
+    want = comparison.first_full_tier(every.select("target_id", "comp_id", tier.alias("tier")), n_min=3)
+    got = comparison.stars_of_full_tier(t, "id", "g", n_min=3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    assert {x["chosen_tier"] for x in got.collect()} >= {1, 2, 3, 4}
