@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, bitmap, cut, fresh, key_filter, secret_keys, span_hashes, split, split_rows, text_slices, tidy, utf8, words, written
-from .setjoin import Rule, first_pass, keyed, open_candidates, placed, sets_of, shown_tokens, verify
+from .common import LOWER, attach, bitmap, cut, fresh, key_filter, secret_keys, span_hashes, split, split_rows, text_slices, tidy, utf8, words
+from .setjoin import Rule, first_pass, keyed, open_candidates, sets_of, shown_tokens, verify
 
 RULE = Rule(80, 100)
 #: Rounds in which each line asks for one partner, before the one that takes all pairs that are left.
-ROUNDS = 2
+ROUNDS = 1
 
 
 def lines():
@@ -41,49 +41,64 @@ def lines():
     return records
 
 
-def _place(prefix: str = "") -> Column:
-    """Where a line stands: null keys first, then by key, text hash and line."""
-    return F.struct(F.col(f"{prefix}doc_id").isNotNull().alias("some"), F.col(f"{prefix}doc_id").alias("doc_id"), F.col(f"{prefix}version").alias("version"), F.col(f"{prefix}record").alias("record"))
+def in_order(found: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """found with the place of each line (null keys first, then by key, text hash and line) as one integer, rows with a
+    `number` that orders them in the same way, and how many bits the line takes in a place.
+
+    Whole numbers that tell texts apart are their own order. Others get a number by a sort of the keys, and then the texts
+    meet their numbers once.
+    """
+    keys = cut(found.groupBy("doc_id", "version").agg(F.max("record").alias("record")))
+    whole = dict(keys.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    many = keys.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("different"), F.max("record").alias("record"), *([F.min("doc_id").alias("low"), F.max("doc_id").alias("high")] if whole else [])).first()
+    bits = int(many["record"] or 0).bit_length()
+    if whole and many["n"] and many["n"] == many["different"] and (many["high"] - many["low"]).bit_length() + bits <= 62:
+        number = F.when(F.col("doc_id").between(many["low"], many["high"]), F.col("doc_id").cast("long") - F.lit(many["low"]))
+        rows = rows.withColumn("number", F.coalesce(number, F.lit(0)))  # texts without a line may lie beyond
+        return found.withColumn("place", F.shiftleft(number, bits).bitwiseOR(F.col("record").cast("long"))), rows, bits
+    order = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "version")
+    numbers = numbered(keys.select("doc_id", "version", order.alias("order")), "order").select("doc_id", "version", "number")
+    numbers = cut(numbers)
+    placed = attach(found, numbers, "number").withColumn("place", F.shiftleft("number", bits).bitwiseOR(F.col("record").cast("long"))).drop("number")
+    return placed, attach(rows, numbers, "number"), bits
+
+
+def numbered(keys: DataFrame, order: str) -> DataFrame:
+    """keys with a number in their order, from 0 on without gaps: range by range, counts of ranges are added up."""
+    ranges = cut(keys.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = ranges.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return ranges.join(F.broadcast(starts), part == F.col("_part")).withColumn("number", F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_start")
 
 
 def later_lines(rows: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(doc_id, version, record): lines of rows (doc_id, version, text) that a line before them is alike to."""
     records = lines()
     found, sketch = first_pass(rows, records)
-    classes = found.groupBy("cls").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"))
-    # in the order of places, so that the row's number is a rank
-    classes = written(classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("rank", F.monotonically_increasing_id()), "line-classes")
-    proposed, shown = shown_tokens(rows, records, sketch, rule, most=1, keep_all=True)
-    shown = placed(shown, classes.select("cls", "rank"))
+    found, ordered, bits = in_order(found, rows)
+    proposed, shown = shown_tokens(ordered, records, sketch, rule, most=1, keep_all=True, record_bits=bits)
     gone = rows.sparkSession.createDataFrame([], "cls long")
     tested = None
     for turn in range(ROUNDS + 1):
-        # each line asks for one partner at a time; at last for all that are left
+        # each line asks for one partner at a time; at last for all that are left. a is the earlier one of the two
         last, pairs = turn == ROUNDS, proposed
         if turn:
             pairs = open_candidates(shown, gone, rule, most=None if last else 1, turn=0 if last else turn)
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        if not last:  # the partner that most groups name; only it meets the classes
-            pairs = pairs.groupBy("b").agg(F.max_by(F.struct("a", "votes"), F.struct("votes", F.xxhash64("a", F.lit(turn)))).alias("best")).select("best.a", "b", "best.votes")
-        pairs = cut(pairs.select("a", "b", "votes"))
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if not last:  # the partner that most groups name
+            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", F.xxhash64("a", F.lit(turn)))).alias("a"))
+        pairs = cut(pairs.select("a", "b"))
         met = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("cls")), F.col("cls"))
-        near, _ = split(classes.select("cls", "first"), F.col("cls"), met)
-        near = near.join(gone.withColumn("gone", F.lit(True)), "cls", "left")
-        one, two = (near.select(F.col("cls").alias(x), F.col("first").alias(f"first_{x}"), F.col("gone").alias(f"gone_{x}")) for x in "ab")
-        # a pair tells something only if the later of the two is still there
-        before = F.col("first_a") < F.col("first_b")
-        later = F.when(before, F.col("b")).otherwise(F.col("a"))
-        pairs = pairs.join(one, "a").join(two, "b").where(F.when(before, F.col("gone_b")).otherwise(F.col("gone_a")).isNull()).select("a", "b", later.alias("later"), "votes")
-        if not last:
-            pairs = pairs.groupBy("later").agg(F.max_by(F.struct("a", "b"), F.struct("votes", "a", "b")).alias("best")).select("best.a", "best.b", "later")
-        pairs = cut(pairs.select("a", "b", "later"))
-        firsts = classes.select("cls", "first.doc_id", "first.version", "first.record")
-        alike = verify(pairs, sets_of(pairs, rows, records, sketch, firsts), rule).join(pairs, ["a", "b"]).select(F.col("later").alias("cls"))
+        near, _ = split(found.select("cls", "place", "doc_id", "version", "record"), F.col("cls"), met)
+        firsts = near.groupBy("cls").agg(F.min(F.struct("place", "doc_id", "version", "record")).alias("first")).select("cls", "first.doc_id", "first.version", "first.record")
+        alike = verify(pairs, sets_of(pairs, rows, records, sketch, firsts), rule).select(F.col("b").alias("cls"))
         gone = cut(gone.unionByName(alike).distinct())
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+    classes = found.groupBy("cls").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
     told = classes.join(gone.withColumn("_gone", F.lit(True)), "cls", "left").where("_gone or copies > 1").select(F.col("cls").alias("_c"), "first", "_gone")
     hit = found.join(told, F.col("cls") == F.col("_c"))
-    return hit.where(F.coalesce("_gone", F.lit(False)) | (_place() != F.col("first"))).select("doc_id", "version", "record")
+    return hit.where(F.coalesce("_gone", F.lit(False)) | (F.col("place") != F.col("first"))).select("doc_id", "version", "record")
 
 
 def dedup_lines(docs: DataFrame, *, rule: Rule = RULE, key: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:

@@ -32,7 +32,9 @@ CHUNK = 1 << 16
 BROADCAST_LABELS = 500_000
 #: The bits of a token's hash that travel.
 SHOWN = np.uint64(0xFFFFFFFF)
-POSTING = np.dtype([("token", "<u4"), ("cls", "<i8"), ("parity", "<u8"), ("n", "<u4"), ("at", "<u4")])
+#: The words of a parity sketch, 64 bits each: those of 64 bits tell nothing of sets of 150 tokens or more.
+PARITY = ("p0", "p1", "p2", "p3")
+POSTING = np.dtype([("token", "<u4"), ("cls", "<i8"), *((c, "<u8") for c in PARITY), ("n", "<u4"), ("at", "<u4")])
 #: The same with the place of the class in an order of classes.
 PLACED = np.dtype([*POSTING.descr, ("rank", "<i8")])
 
@@ -111,10 +113,19 @@ def class_names(tokens: np.ndarray, at: np.ndarray, check: np.ndarray | None, or
 
 
 def parities(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64 bits, each flipped by the tokens that fall on it: two sets differ in as many tokens at least as bits."""
-    bits = np.uint64(1) << (mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(58))
-    total = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits) if len(bits) else bits])
-    return total[at[1:]] ^ total[at[:-1]]
+    """256 bits of each set, each flipped by the tokens that fall on it: two sets differ in as many tokens at least as bits."""
+    cell = mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(56)
+    word, bit = cell >> np.uint64(6), np.uint64(1) << (cell & np.uint64(63))
+    out = np.empty((len(at) - 1, len(PARITY)), np.uint64)
+    for w in range(len(PARITY)):
+        total = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.where(word == np.uint64(w), bit, np.uint64(0)))])
+        out[:, w] = total[at[1:]] ^ total[at[:-1]]
+    return out
+
+
+def sketches(table: np.ndarray | dict[str, np.ndarray]) -> np.ndarray:
+    """The parity sketches of postings, a row each."""
+    return np.stack([table[c].view(np.uint64) if table[c].dtype == np.int64 else table[c] for c in PARITY], axis=1)
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -198,40 +209,54 @@ def ordered(tokens: np.ndarray, at: np.ndarray, sketch: np.ndarray) -> np.ndarra
     return out
 
 
-def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *, most: int, keep_all: bool) -> tuple[DataFrame, DataFrame]:
+def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *, most: int, keep_all: bool, record_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Shown tokens meet: the pairs of the first round, and what later rounds look at.
 
     Pairs: (a, b, votes), of each record with the `most` first that pass in each group. Tokens: those that
     two classes or more show, all of them or only those of groups cut short, packed by whole groups. A token here is 32 bits of its
     hash: tokens that fall together make a group larger, and where two of one class do, it has a posting for each place.
+    Tokens that the count sketch has once lie in one record and don't travel.
+
+    record_bits: rows have a `number` that orders them, and the lowest (number, record) of a class, the record in so many
+    bits, goes along as its rank. Then a is the one of lower rank.
     """
-    spark = rows.sparkSession
+    spark, posting = rows.sparkSession, POSTING if record_bits is None else PLACED
     shared = spark.sparkContext.broadcast(sketch)
     n_parts, bits = max(2 * partitions(spark), 8), SHOWN
 
     def run(batches: Iterator[pa.RecordBatch]):
-        seen: set[int] = set()
+        seen: dict[int, int] = {}  # the lowest rank sent
         for batch in text_slices(batches, "text"):
             if len(seen) > RECENT:
-                seen = set()
-            _, _, tokens, at, check = records(batch, bool(len(shared.value.shared_names)))
+                seen = {}
+            row, number, tokens, at, check = records(batch, bool(len(shared.value.shared_names)))
             tokens, at, check = distinct(tokens, at, check)
             cls = class_names(tokens, at, check, shared.value)
             size = np.diff(at)
-            fresh = np.array([bool(n) and not (c in seen or seen.add(c)) for c, n in zip(cls.tolist(), size.tolist(), strict=True)], bool)
-            keep = np.flatnonzero(fresh)
-            if not len(keep):
+            rank = np.zeros(len(cls), np.int64) if record_bits is None else (batch.column("number").to_numpy()[row] << record_bits) | number
+            keep = []
+            for i, (c, n, r) in enumerate(zip(cls.tolist(), size.tolist(), rank.tolist(), strict=True)):
+                if n and r < seen.get(c, r + 1):
+                    seen[c] = r
+                    keep.append(i)
+            if not keep:
                 continue
             tokens = tokens[expand(at[keep], size[keep])]
-            n, cls = size[keep], cls[keep]
+            n, cls, rank = size[keep], cls[keep], rank[keep]
             at = np.concatenate([[0], np.cumsum(n)])
             parity = parities(tokens, at)
             tokens = ordered(tokens, at, shared.value.levels)
             count = rule.shown(n)
             place = expand(at[:-1], count)
             record = np.repeat(np.arange(len(n)), count)
-            out = np.empty(len(place), POSTING)
-            out["token"], out["cls"], out["parity"], out["n"], out["at"] = tokens[place] & bits, cls[record], parity[record], n[record], place - at[record]
+            met = shared.value.levels[_cells(tokens[place])] > 0
+            place, record = place[met], record[met]
+            out = np.empty(len(place), posting)
+            out["token"], out["cls"], out["n"], out["at"] = tokens[place] & bits, cls[record], n[record], place - at[record]
+            for w, c in enumerate(PARITY):
+                out[c] = parity[record, w]
+            if record_bits is not None:
+                out["rank"] = rank[record]
             part = (out["token"] % np.uint32(n_parts)).astype(np.int64)
             order = np.argsort((part << 32) | out["token"])
             out, ends = out[order], np.searchsorted(part[order], np.arange(n_parts + 1))
@@ -239,11 +264,14 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([packed_bytes(out[ends[i] : ends[i + 1]]) for i in some.tolist()], pa.binary())], names=["part", "packed"])
 
     def meet(batches: Iterator[pa.RecordBatch]):
-        held = [unpacked_bytes(x.as_buffer()) for batch in batches for x in batch.column("packed")]
+        held = [unpacked_bytes(x.as_buffer(), posting) for batch in batches for x in batch.column("packed")]
         if not held:
             return
         every = np.concatenate(held)
         every = every[order_within(every["token"], every["cls"].astype(np.uint64))]
+        if record_bits is not None:  # each task sent the lowest rank it met
+            new = np.flatnonzero(np.append(True, (every["token"][1:] != every["token"][:-1]) | (every["cls"][1:] != every["cls"][:-1])))
+            every["rank"] = np.repeat(np.minimum.reduceat(every["rank"], new), np.diff(np.append(new, len(every))))
         again = (every["token"][1:] == every["token"][:-1]) & (every["cls"][1:] == every["cls"][:-1])
         if (again & (every["at"][1:] != every["at"][:-1])).any():  # a class with two tokens that fall together keeps both places
             every = every[np.lexsort((every["at"], every["cls"], every["token"]))]
@@ -256,9 +284,10 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *
         many[1:] |= same
         many[:-1] |= same
         every = every[many]
-        token, cls, parity, n, at = (every[c].astype(t) for c, t in (("token", np.int64), ("cls", np.int64), ("parity", np.uint64), ("n", np.int64), ("at", np.int64)))
-        a, b, short = pairs_of_groups(token, cls, cls, parity, n, at, rule, most, 0)
-        low, high, votes = counted_pairs(a, b)
+        token, cls, n, at = (every[c].astype(np.int64) for c in ("token", "cls", "n", "at"))
+        rank = None if record_bits is None else every["rank"].astype(np.int64)
+        a, b, short = pairs_of_groups(token, cls, cls, sketches(every), n, at, rule, most, 0, rank)
+        low, high, votes = counted_pairs(a, b, ordered=rank is not None)
         yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(votes), pa.nulls(len(low), pa.binary())], names=names)
         left = every if keep_all else every[np.isin(token, short)]
         if not len(left):
@@ -275,15 +304,15 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *
 
 
 def unpacked(shown: DataFrame) -> DataFrame:
-    """(token, cls, parity, n, at) of packed groups; the tokens of a group follow each other in one task."""
+    """(token, cls, p0 to p3, n, at) of packed groups; the tokens of a group follow each other in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for x in batch.column("packed"):
                 e = unpacked_bytes(x.as_buffer())
-                yield pa.RecordBatch.from_arrays([pa.array(e["token"].astype(np.int64)), pa.array(e["cls"].astype(np.int64)), pa.array(e["parity"].astype(np.uint64).view(np.int64)), pa.array(e["n"].astype(np.int32)), pa.array(e["at"].astype(np.int32))], names=["token", "cls", "parity", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(e[c].view(np.int64) if c in PARITY else e[c].astype(np.int64)) for c in POSTING.names], names=list(POSTING.names))
 
-    return shown.mapInArrow(tidy(run), "token long, cls long, parity long, n int, at int")
+    return shown.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in POSTING.names))
 
 
 def packed_groups(postings: np.ndarray) -> list[bytes]:
@@ -309,9 +338,9 @@ def unpacked_bytes(raw: memoryview | bytes, posting: np.dtype = POSTING) -> np.n
     return out
 
 
-def counted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different pairs, smaller class first, and how often each comes."""
-    low, high = np.minimum(a, b), np.maximum(a, b)
+def counted_pairs(a: np.ndarray, b: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs, smaller class first unless they are ordered already, and how often each comes."""
+    low, high = (a, b) if ordered else (np.minimum(a, b), np.maximum(a, b))
     order = np.lexsort((high, low))
     low, high = low[order], high[order]
     new = np.ones(len(low), bool)
@@ -325,15 +354,15 @@ def pairs_of_groups(token, label, cls, parity, n, at, rule: Rule, most: int | No
     Each record meets those before it in its group, one step further at a time, and after `most` pairs no more: its token
     then counts as cut short. The order within a group is by size at first and changes with turn.
 
-    rank and gone: a pair is left out if the one of higher rank is gone. With them and without `most`, a pair comes from
-    every shown token that its sets share: then tokens before this one may be shared as well.
+    rank and gone: the one of lower rank comes first, and a pair is left out if the other is gone. With them and without
+    `most`, a pair comes from every shown token that its sets share: then tokens before this one may be shared as well.
     """
     nearby = mix(cls.astype(np.int64).view(np.uint64) + np.uint64(turn))
     bits = np.uint64(int(n.max()).bit_length() if len(n) else 1)
     order = order_within(token, nearby if turn else (n.astype(np.uint64) << (np.uint64(64) - bits)) | (nearby >> bits), full=False)
     token, label, cls, parity, n, at = (x[order] for x in (token, label, cls, parity, n, at))
     if rank is not None:
-        rank, gone = rank[order], gone[order]
+        rank, gone = rank[order], None if gone is None else gone[order]
     first = np.ones(len(token), bool)
     first[1:] = token[1:] != token[:-1]
     start = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
@@ -351,12 +380,16 @@ def pairs_of_groups(token, label, cls, parity, n, at, rule: Rule, most: int | No
         need = rule.needed(a, b)
         before = np.minimum(at[i], at[open_]) if rank is not None and not most else 0
         good = fits & (label[i] != label[open_]) & (before + np.minimum(a - at[i], b - at[open_]) >= need)
-        if rank is not None:
+        if gone is not None:
             good &= ~np.where(rank[i] < rank[open_], gone[open_], gone[i])
-        good[good] &= np.bitwise_count(parity[i[good]] ^ parity[open_[good]]) <= (a + b - 2 * need)[good]
+        differ = np.bitwise_count(parity[i[good]] ^ parity[open_[good]])
+        good[good] &= (differ.sum(1, dtype=np.int64) if differ.ndim > 1 else differ) <= (a + b - 2 * need)[good]
         if good.any():
-            left.append(cls[i[good]])
-            right.append(cls[open_[good]])
+            one, two = i[good], open_[good]
+            if rank is not None:
+                one, two = np.where(rank[one] < rank[two], one, two), np.where(rank[one] < rank[two], two, one)
+            left.append(cls[one])
+            right.append(cls[two])
             if most:
                 had[open_[good]] += 1
                 done = had[open_] >= most
@@ -380,7 +413,7 @@ def candidates(shown: DataFrame, labels: DataFrame | None, rule: Rule, *, most:
         told = told.join(F.broadcast(named) if few else named, F.col("cls") == F.col("_c"), "left").drop("_c").withColumn("label", F.coalesce("label", "cls"))
         if not few:  # that join has parted the groups
             told = told.repartition(max(2 * partitions(shown.sparkSession), 8), "token")
-    dealt = told.select("token", "label", "cls", "parity", "n", "at")
+    dealt = told.select("token", "label", "cls", *PARITY, "n", "at")
 
     def run(batches: Iterator[pa.RecordBatch]):
         held = [batch for batch in batches if batch.num_rows]
@@ -388,64 +421,64 @@ def candidates(shown: DataFrame, labels: DataFrame | None, rule: Rule, *, most:
             return
         table = pa.Table.from_batches(held)
         c = {x: table[x].to_numpy() for x in table.column_names}
-        a, b, _ = pairs_of_groups(c["token"], c["label"], c["cls"], c["parity"].view(np.uint64), c["n"].astype(np.int64), c["at"].astype(np.int64), rule, most, turn)
+        a, b, _ = pairs_of_groups(c["token"], c["label"], c["cls"], sketches(c), c["n"], c["at"], rule, most, turn)
         low, high, votes = counted_pairs(a, b)
         yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(votes)], names=["a", "b", "votes"])
 
     return dealt.mapInArrow(tidy(run), "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
 
 
-def placed(shown: DataFrame, ranks: DataFrame) -> DataFrame:
-    """What shown_tokens leaves, with the rank of each class (cls, rank) in it, packed by whole groups again."""
-    told = unpacked(shown).join(ranks, "cls").repartition(max(2 * partitions(shown.sparkSession), 8), "token")
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        held = [batch for batch in batches if batch.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        out = np.empty(table.num_rows, PLACED)
-        for c in PLACED.names:
-            out[c] = table[c].to_numpy().view(np.uint64) if c == "parity" else table[c].to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(packed_groups(out[np.argsort(out["token"], kind="stable")]), pa.binary())], names=["packed"])
-
-    return written(told.select(*PLACED.names).mapInArrow(tidy(run), "packed binary"), "set-placed")
-
-
 def open_candidates(shown: DataFrame, gone: DataFrame, rule: Rule, *, most: int | None, turn: int = 0) -> DataFrame:
-    """(a, b, votes): pairs of classes, a < b, of which the one of higher rank isn't among the gone (cls).
+    """(a, b, votes): pairs of classes, the one of lower rank first, of which the other isn't among the gone (cls).
 
     Without `most` all of them that share as many shown tokens as linked sets do at least: shown must hold every token that
     two classes show. With it, of each record and group the `most` first.
     """
-
-    def unpack(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for x in batch.column("packed"):
-                e = unpacked_bytes(x.as_buffer(), PLACED)
-                yield pa.RecordBatch.from_arrays([pa.array(e[c].astype(np.int64) if PLACED[c] != np.uint64 else e[c].astype(np.uint64).view(np.int64)) for c in PLACED.names], names=list(PLACED.names))
-
-    flat = shown.mapInArrow(tidy(unpack), ", ".join(f"{c} long" for c in PLACED.names))
+    spark = shown.sparkSession
     few = gone.count() <= BROADCAST_LABELS
-    named = gone.select(F.col("cls").alias("_c"))
-    flat = flat.join(F.broadcast(named) if few else named, F.col("cls") == F.col("_c"), "left").withColumn("gone", F.col("_c").isNotNull()).drop("_c")
-    if not few:  # that join has parted the groups
-        flat = flat.repartition(max(2 * partitions(shown.sparkSession), 8), "token")
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        held = [batch for batch in batches if batch.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        c = {x: table[x].to_numpy() for x in table.column_names}
-        a, b, _ = pairs_of_groups(c["token"], c["cls"], c["cls"], c["parity"].view(np.uint64), c["n"], c["at"], rule, most, turn, c["rank"], np.asarray(c["gone"], bool))
-        low, high, votes = counted_pairs(a, b)
+    def paired(c: dict[str, np.ndarray], out: np.ndarray) -> pa.RecordBatch:
+        n = c["n"].astype(np.int64)
+        a, b, _ = pairs_of_groups(c["token"].astype(np.int64), c["cls"], c["cls"], sketches(c), n, c["at"].astype(np.int64), rule, most, turn, c["rank"], out)
+        low, high, votes = counted_pairs(a, b, ordered=True)
         every, first = np.unique(c["cls"], return_index=True)
-        size = c["n"][first]
+        size = n[first]
         least = rule.least(size[np.searchsorted(every, low)], size[np.searchsorted(every, high)]) if len(low) else low
-        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(votes), pa.array(least)], names=["a", "b", "votes", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(votes), pa.array(least)], names=["a", "b", "votes", "least"])
+
+    if few:  # they go to the tasks as they are; groups stay packed until then
+        known = spark.sparkContext.broadcast(np.sort(gone.toArrow()["cls"].to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            held = [unpacked_bytes(x.as_buffer(), PLACED) for batch in batches for x in batch.column("packed")]
+            if not held:
+                return
+            every = np.concatenate(held)
+            yield paired({c: np.ascontiguousarray(every[c]) for c in PLACED.names}, np.isin(every["cls"], known.value))
+
+        met = shown.mapInArrow(tidy(run), "a long, b long, votes long, least long")
+    else:
 
-    pairs = flat.mapInArrow(tidy(run), "a long, b long, votes long, least long").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.first("least").alias("least"))
+        def unpack(batches: Iterator[pa.RecordBatch]):
+            for batch in batches:
+                for x in batch.column("packed"):
+                    e = unpacked_bytes(x.as_buffer(), PLACED)
+                    yield pa.RecordBatch.from_arrays([pa.array(e[c].view(np.int64) if c in PARITY else e[c].astype(np.int64)) for c in PLACED.names], names=list(PLACED.names))
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            held = [batch for batch in batches if batch.num_rows]
+            if not held:
+                return
+            table = pa.Table.from_batches(held)
+            c = {x: table[x].to_numpy() for x in table.column_names}
+            yield paired(c, np.asarray(c["gone"], bool))
+
+        flat = shown.mapInArrow(tidy(unpack), ", ".join(f"{c} long" for c in PLACED.names))
+        named = gone.select(F.col("cls").alias("_c"))
+        flat = flat.join(named, F.col("cls") == F.col("_c"), "left").withColumn("gone", F.col("_c").isNotNull()).drop("_c")
+        # that join has parted the groups
+        met = flat.repartition(max(2 * partitions(spark), 8), "token").mapInArrow(tidy(run), "a long, b long, votes long, least long")
+    pairs = met.groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.first("least").alias("least"))
     return (pairs if most else pairs.where("votes >= least")).select("a", "b", "votes")
 
 

@@ -64,3 +64,17 @@ def test_repeated_rows_and_awkward_tables(spark):
     assert dedup_lines(empty(spark)).count() == 0
     big = documents(spark, 40)
     assert dedup_lines(big).columns == big.columns and dedup_lines(big).count() == big.count()
+
+
+def test_keys_that_need_a_number(spark):
+    """Texts, repeated keys and keys far apart: the order of lines is that of keys all the same."""
+    rows = sample(3)
+    named = [(f"k{i:03d}", t) for i, t in rows]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(named, "doc_id string, text string").repartition(5)).collect()}
+    assert got == dict(by_hand(named, 80, 100))
+    far = [((i - 30) * (1 << 57), t) for i, t in rows]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(far, "doc_id long, text string").repartition(5)).collect()}
+    assert got == dict(by_hand(far, 80, 100))
+    below = [(i - 5, t) for i, t in rows]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(below, "doc_id int, text string").repartition(5)).collect()}
+    assert got == dict(by_hand(below, 80, 100))

@@ -197,3 +197,16 @@ def test_rounds_are_bounded(spark, monkeypatch):
     out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {k: (len(s), c) for (k, _), s, c in zip(rows, sets, expected, strict=True)}
     assert len(asked) <= 3 and asked[-1] is None
+
+
+def test_sketches_tell_long_sets_apart():
+    """64 bits told nothing of sets this long: every pair of a group was a candidate."""
+    r = np.random.default_rng(2)
+    n, rule = 40, Rule(80, 100)
+    common = r.integers(0, 1 << 63, 120, dtype=np.uint64)
+    sets = [np.concatenate([common, r.integers(0, 1 << 63, 60, dtype=np.uint64)]) for _ in range(n)]
+    sets[1] = np.concatenate([sets[0][:170], sets[1][170:]])
+    at = np.arange(0, 180 * n + 1, 180)
+    cls, one = np.arange(n), np.ones(n, np.int64)
+    a, b, _ = pairs_of_groups(0 * one, cls, cls, setjoin.parities(np.concatenate(sets), at), 180 * one, 0 * one, rule, None, 0)
+    assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == {(0, 1)}
