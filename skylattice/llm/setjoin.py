@@ -35,8 +35,9 @@ SHOWN = np.uint64(0xFFFFFFFF)
 #: The words of a parity sketch, 64 bits each: those of 64 bits tell nothing of sets of 150 tokens or more.
 PARITY = ("p0", "p1", "p2", "p3")
 POSTING = np.dtype([("token", "<u4"), ("cls", "<i8"), *((c, "<u8") for c in PARITY), ("n", "<u4"), ("at", "<u4")])
-#: The same with the place of the class in an order of classes.
-PLACED = np.dtype([*POSTING.descr, ("rank", "<i8")])
+#: The same with the place of the class in an order of classes, and half the sketch: these are many, and their sets short.
+HALF = len(PARITY) // 2
+PLACED = np.dtype([*(x for x in POSTING.descr if x[0] not in PARITY[HALF:]), ("rank", "<i8")])
 
 
 @dataclass(frozen=True)
@@ -125,7 +126,8 @@ def parities(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def sketches(table: np.ndarray | dict[str, np.ndarray]) -> np.ndarray:
     """The parity sketches of postings, a row each."""
-    return np.stack([table[c].view(np.uint64) if table[c].dtype == np.int64 else table[c] for c in PARITY], axis=1)
+    there = [c for c in PARITY if c in (table.dtype.names if isinstance(table, np.ndarray) else table)]
+    return np.stack([table[c].view(np.uint64) if table[c].dtype == np.int64 else table[c] for c in there], axis=1)
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -245,6 +247,8 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *
             n, cls, rank = size[keep], cls[keep], rank[keep]
             at = np.concatenate([[0], np.cumsum(n)])
             parity = parities(tokens, at)
+            if record_bits is not None:  # of cells that are put together, parities add up
+                parity = parity[:, :HALF] ^ parity[:, HALF:]
             tokens = ordered(tokens, at, shared.value.levels)
             count = rule.shown(n)
             place = expand(at[:-1], count)
@@ -253,7 +257,7 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *
             place, record = place[met], record[met]
             out = np.empty(len(place), posting)
             out["token"], out["cls"], out["n"], out["at"] = tokens[place] & bits, cls[record], n[record], place - at[record]
-            for w, c in enumerate(PARITY):
+            for w, c in enumerate(PARITY[: parity.shape[1]]):
                 out[c] = parity[record, w]
             if record_bits is not None:
                 out["rank"] = rank[record]
@@ -354,8 +358,10 @@ def pairs_of_groups(token, label, cls, parity, n, at, rule: Rule, most: int | No
     Each record meets those before it in its group, one step further at a time, and after `most` pairs no more: its token
     then counts as cut short. The order within a group is by size at first and changes with turn.
 
-    rank and gone: the one of lower rank comes first, and a pair is left out if the other is gone. With them and without
-    `most`, a pair comes from every shown token that its sets share: then tokens before this one may be shared as well.
+    rank and gone: the one of lower rank comes first, and a pair is left out if the other is gone. With `most`, each record
+    is that often about the other one, whichever of the two stands first in the group, and no token counts as cut short. With
+    rank and without `most`, a pair comes from every shown token that its sets share: then tokens before this one may be
+    shared as well.
     """
     nearby = mix(cls.astype(np.int64).view(np.uint64) + np.uint64(turn))
     bits = np.uint64(int(n.max()).bit_length() if len(n) else 1)
@@ -388,9 +394,13 @@ def pairs_of_groups(token, label, cls, parity, n, at, rule: Rule, most: int | No
             one, two = i[good], open_[good]
             if rank is not None:
                 one, two = np.where(rank[one] < rank[two], one, two), np.where(rank[one] < rank[two], two, one)
+                if most:  # the later one of the pair asks
+                    wants = had[two] < most
+                    one, two = one[wants], two[wants]
+                    np.add.at(had, two, 1)
             left.append(cls[one])
             right.append(cls[two])
-            if most:
+            if most and rank is None:
                 had[open_[good]] += 1
                 done = had[open_] >= most
                 more = open_[done]
