@@ -17,8 +17,9 @@ from .common import LOWER, attach, bitmap, cut, fresh, key_filter, secret_keys,
 from .setjoin import Rule, first_pass, keyed, open_candidates, sets_of, shown_tokens, verify
 
 RULE = Rule(80, 100)
-#: Rounds in which each line asks for one partner, before the one that takes all pairs that are left.
-ROUNDS = 1
+#: Rounds at most in which each line asks for one partner, before the one that takes all pairs that are left. Another one
+#: is worth its while if more than one in so many lines that asked isn't settled.
+ROUNDS, UNSETTLED = 2, 20
 
 
 def lines():
@@ -80,9 +81,10 @@ def later_lines(rows: DataFrame, rule: Rule = RULE) -> DataFrame:
     proposed, shown = shown_tokens(ordered, records, sketch, rule, most=1, keep_all=True, record_bits=bits)
     gone = rows.sparkSession.createDataFrame([], "cls long")
     tested = None
-    for turn in range(ROUNDS + 1):
+    turn, last, settled = 0, False, 0
+    while True:
         # each line asks for one partner at a time; at last for all that are left. a is the earlier one of the two
-        last, pairs = turn == ROUNDS, proposed
+        pairs = proposed
         if turn:
             pairs = open_candidates(shown, gone, rule, most=None if last else 1, turn=0 if last else turn)
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -94,6 +96,11 @@ def later_lines(rows: DataFrame, rule: Rule = RULE) -> DataFrame:
         firsts = near.groupBy("cls").agg(F.min(F.struct("place", "doc_id", "version", "record")).alias("first")).select("cls", "first.doc_id", "first.version", "first.record")
         alike = verify(pairs, sets_of(pairs, rows, records, sketch, firsts), rule).select(F.col("b").alias("cls"))
         gone = cut(gone.unionByName(alike).distinct())
+        if last:
+            break
+        asked, before, settled = pairs.count(), settled, gone.count()
+        turn += 1
+        last = turn >= ROUNDS or UNSETTLED * (asked - (settled - before)) <= asked
         tested = pairs if tested is None else tested.unionByName(pairs)
     classes = found.groupBy("cls").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
     told = classes.join(gone.withColumn("_gone", F.lit(True)), "cls", "left").where("_gone or copies > 1").select(F.col("cls").alias("_c"), "first", "_gone")
