@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, attach, bitmap, cut, fresh, key_filter, secret_keys, span_hashes, split, split_rows, text_slices, tidy, utf8, words
-from .setjoin import Rule, first_pass, keyed, open_candidates, sets_of, shown_tokens, verify
+from .setjoin import Rule, first_pass, keyed, open_pairs, sets_of, shown_tokens, verify
 
 RULE = Rule(80, 100)
 #: Rounds at most in which each line asks for one partner, before the one that takes all pairs that are left. Another one
@@ -86,10 +86,10 @@ def later_lines(rows: DataFrame, rule: Rule = RULE) -> DataFrame:
         # each line asks for one partner at a time; at last for all that are left. a is the earlier one of the two
         pairs = proposed
         if turn:
-            pairs = open_candidates(shown, gone, rule, most=None if last else 1, turn=0 if last else turn)
+            pairs = open_pairs(shown, gone, rule, most=None if last else turn + 1)
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if not last:  # the partner that most groups name
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", F.xxhash64("a", F.lit(turn)))).alias("a"))
+        if not last:  # the nearest partner
+            pairs = pairs.groupBy("b").agg(F.min_by("a", F.struct("far", F.xxhash64("a"))).alias("a"))
         pairs = cut(pairs.select("a", "b"))
         met = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("cls")), F.col("cls"))
         near, _ = split(found.select("cls", "place", "doc_id", "version", "record"), F.col("cls"), met)

@@ -30,12 +30,19 @@ RECENT = 500_000
 CHUNK = 1 << 16
 #: Labels up to this number are broadcast (16 bytes each); more go through a join.
 BROADCAST_LABELS = 500_000
+#: Shown tokens that a task gathers before it deals them out, so that rows don't get shorter as parts become more.
+PACKED = 1 << 18
+#: Classes that are gone of which tasks know; those of any more are taken out of the pairs afterwards.
+KNOWN = 1_000_000
+#: Pairs that a task looks at in one step.
+AT_ONCE = 1 << 18
 #: The bits of a token's hash that travel.
 SHOWN = np.uint64(0xFFFFFFFF)
 #: The words of a parity sketch, 64 bits each: those of 64 bits tell nothing of sets of 150 tokens or more.
 PARITY = ("p0", "p1", "p2", "p3")
 POSTING = np.dtype([("token", "<u4"), ("cls", "<i8"), *((c, "<u8") for c in PARITY), ("n", "<u4"), ("at", "<u4")])
-#: The same with the place of the class in an order of classes, and half the sketch: these are many, and their sets short.
+#: The same with the place of the class in an order of classes, and half the sketch, of the tokens after this one: these are
+#: many, and their sets short.
 HALF = len(PARITY) // 2
 PLACED = np.dtype([*(x for x in POSTING.descr if x[0] not in PARITY[HALF:]), ("rank", "<i8")])
 
@@ -124,6 +131,17 @@ def parities(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def later_parities(tokens: np.ndarray, at: np.ndarray, place: np.ndarray, record: np.ndarray) -> np.ndarray:
+    """Half sketches of the tokens of a record after each place: cells that lie half a sketch apart are one."""
+    cell = mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(56)
+    word, bit = (cell >> np.uint64(6)) % np.uint64(HALF), np.uint64(1) << (cell & np.uint64(63))
+    out = np.empty((len(place), HALF), np.uint64)
+    for w in range(HALF):
+        total = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.where(word == np.uint64(w), bit, np.uint64(0)))])
+        out[:, w] = total[at[record + 1]] ^ total[place + 1]
+    return out
+
+
 def sketches(table: np.ndarray | dict[str, np.ndarray]) -> np.ndarray:
     """The parity sketches of postings, a row each."""
     there = [c for c in PARITY if c in (table.dtype.names if isinstance(table, np.ndarray) else table)]
@@ -220,14 +238,23 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *
     Tokens that the count sketch has once lie in one record and don't travel.
 
     record_bits: rows have a `number` that orders them, and the lowest (number, record) of a class, the record in so many
-    bits, goes along as its rank. Then a is the one of lower rank.
+    bits, goes along as its rank. Then a is the one of lower rank, each record is about the `most` nearest of lower rank in a
+    task, and instead of votes pairs have how `far` they are; see placed_pairs(). All tokens have to be kept for more rounds.
     """
     spark, posting = rows.sparkSession, POSTING if record_bits is None else PLACED
     shared = spark.sparkContext.broadcast(sketch)
     n_parts, bits = max(2 * partitions(spark), 8), SHOWN
 
+    def by_part(out: np.ndarray) -> pa.RecordBatch:
+        part = (out["token"] % np.uint32(n_parts)).astype(np.int64)
+        order = np.argsort((part << 32) | out["token"])
+        out, ends = out[order], np.searchsorted(part[order], np.arange(n_parts + 1))
+        some = np.flatnonzero(np.diff(ends))
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([packed_bytes(out[ends[i] : ends[i + 1]]) for i in some.tolist()], pa.binary())], names=["part", "packed"])
+
     def run(batches: Iterator[pa.RecordBatch]):
         seen: dict[int, int] = {}  # the lowest rank sent
+        made = []
         for batch in text_slices(batches, "text"):
             if len(seen) > RECENT:
                 seen = {}
@@ -246,9 +273,7 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *
             tokens = tokens[expand(at[keep], size[keep])]
             n, cls, rank = size[keep], cls[keep], rank[keep]
             at = np.concatenate([[0], np.cumsum(n)])
-            parity = parities(tokens, at)
-            if record_bits is not None:  # of cells that are put together, parities add up
-                parity = parity[:, :HALF] ^ parity[:, HALF:]
+            parity = parities(tokens, at) if record_bits is None else None
             tokens = ordered(tokens, at, shared.value.levels)
             count = rule.shown(n)
             place = expand(at[:-1], count)
@@ -257,15 +282,17 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *
             place, record = place[met], record[met]
             out = np.empty(len(place), posting)
             out["token"], out["cls"], out["n"], out["at"] = tokens[place] & bits, cls[record], n[record], place - at[record]
+            parity = later_parities(tokens, at, place, record) if parity is None else parity[record]
             for w, c in enumerate(PARITY[: parity.shape[1]]):
-                out[c] = parity[record, w]
+                out[c] = parity[:, w]
             if record_bits is not None:
                 out["rank"] = rank[record]
-            part = (out["token"] % np.uint32(n_parts)).astype(np.int64)
-            order = np.argsort((part << 32) | out["token"])
-            out, ends = out[order], np.searchsorted(part[order], np.arange(n_parts + 1))
-            some = np.flatnonzero(np.diff(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([packed_bytes(out[ends[i] : ends[i + 1]]) for i in some.tolist()], pa.binary())], names=["part", "packed"])
+            made.append(out)
+            if sum(map(len, made)) > PACKED:
+                yield by_part(np.concatenate(made))
+                made = []
+        if made:
+            yield by_part(np.concatenate(made))
 
     def meet(batches: Iterator[pa.RecordBatch]):
         held = [unpacked_bytes(x.as_buffer(), posting) for batch in batches for x in batch.column("packed")]
@@ -288,10 +315,12 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *
         many[1:] |= same
         many[:-1] |= same
         every = every[many]
-        token, cls, n, at = (every[c].astype(np.int64) for c in ("token", "cls", "n", "at"))
-        rank = None if record_bits is None else every["rank"].astype(np.int64)
-        a, b, short = pairs_of_groups(token, cls, cls, sketches(every), n, at, rule, most, 0, rank)
-        low, high, votes = counted_pairs(a, b, ordered=rank is not None)
+        if record_bits is not None:
+            low, high, votes = placed_pairs(every, rule, most)
+        else:
+            token, cls, n, at = (every[c].astype(np.int64) for c in ("token", "cls", "n", "at"))
+            a, b, short = pairs_of_groups(token, cls, cls, sketches(every), n, at, rule, most, 0)
+            low, high, votes = counted_pairs(a, b)
         yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(votes), pa.nulls(len(low), pa.binary())], names=names)
         left = every if keep_all else every[np.isin(token, short)]
         if not len(left):
@@ -303,8 +332,8 @@ def shown_tokens(rows: DataFrame, records: Records, sketch: Order, rule: Rule, *
     names = ["a", "b", "votes", "packed"]
     packed = rows.mapInArrow(tidy(run), "part int, packed binary").repartition(n_parts, "part")
     made = written(packed.mapInArrow(tidy(meet), "a long, b long, votes long, packed binary"), "set-tokens")
-    pairs = made.where("packed is null").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
-    return pairs, made.where("packed is not null").select("packed")
+    pairs = made.where("packed is null").groupBy("a", "b").agg((F.sum if record_bits is None else F.min)("votes").alias("votes"))
+    return pairs if record_bits is None else pairs.withColumnRenamed("votes", "far"), made.where("packed is not null").select("packed")
 
 
 def unpacked(shown: DataFrame) -> DataFrame:
@@ -409,6 +438,69 @@ def pairs_of_groups(token, label, cls, parity, n, at, rule: Rule, most: int | No
     return np.concatenate(left), np.concatenate(right), np.unique(np.concatenate(short))
 
 
+def placed_pairs(every: np.ndarray, rule: Rule, most: int | None, gone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, far): pairs of classes in groups of equal tokens (PLACED, a group's postings one after another), the one of
+    lower rank first, that pass the filters as if the token were the first that both have; of each b the `most` nearest or
+    all, and none whose b is gone. far tells how much the two differ at least, in parts of their size.
+
+    A set of n with so many tokens before this one can be linked with sets of up to a size: the smaller one of a pair has to
+    reach the larger, so it stands among the first of its shown tokens, and the larger one meets a range of sizes of those.
+    All tokens before this one are in one of the sets only, and so are those after it that their sketches tell apart.
+    """
+    if not len(every):
+        return (np.zeros(0, np.int64),) * 3
+    n, at = every["n"].astype(np.int64), every["at"].astype(np.int64)
+    bits = np.uint64(int(n.max()).bit_length())
+    order = order_within(every["token"].astype(np.int64), n.astype(np.uint64) << (np.uint64(64) - bits), full=False)
+    n, at, token, cls, rank = n[order], at[order], every["token"][order], every["cls"][order], every["rank"][order]
+    parity = [every[c][order] for c in PARITY[:HALF]]
+    gone = np.zeros(len(n), bool) if gone is None else gone[order]
+    group = np.cumsum(np.append(False, token[1:] != token[:-1]))
+    largest = (n - at) * (rule.part + rule.over) // rule.part - n
+    key = group * (int(n.max()) + 2) + n
+    low, high = key - n - (-rule.part * n // rule.over), key - n + np.minimum(n, largest)
+    found = [(np.zeros(0, np.int64),) * 3]
+    for probes, others in ((~gone, True), (gone, ~gone)):  # of two that are gone neither asks
+        probe, short = np.flatnonzero(probes), np.flatnonzero((largest >= n) & others)
+        first = np.searchsorted(key[short], low[probe])
+        last = np.minimum(np.searchsorted(key[short], high[probe], "right"), np.searchsorted(short, probe))
+        count = np.maximum(last - first, 0)
+        ends = np.cumsum(count)
+        begin = 0
+        while begin < len(probe):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + AT_ONCE, "right")))
+            j, i = np.repeat(probe[begin:end], count[begin:end]), short[expand(first[begin:end], count[begin:end])]
+            begin = end
+            fits = largest[i] >= n[j]
+            i, j = i[fits], j[fits]
+            far = at[i] + at[j]
+            for p in parity:
+                far += np.bitwise_count(p[i] ^ p[j])
+            fits = far <= n[i] + n[j] - 2 * rule.needed(n[i], n[j])
+            i, j, far = i[fits], j[fits], far[fits]
+            far = (far << 20) // (n[i] + n[j])
+            i, j = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
+            fits = ~gone[j] & (cls[i] != cls[j])
+            found.append(nearest_pairs(cls[i[fits]], cls[j[fits]], far[fits], most))
+    a, b, far = (np.concatenate(x) for x in zip(*found, strict=True))
+    return nearest_pairs(a, b, far, most)
+
+
+def nearest_pairs(a: np.ndarray, b: np.ndarray, far: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs, each as near as it comes, of each b the `most` nearest."""
+    order = np.lexsort((far, a, b))
+    a, b, far = a[order], b[order], far[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    a, b, far = a[new], b[new], far[new]
+    if most is not None:
+        order = np.lexsort((mix(a.view(np.uint64)), far, b))
+        a, b, far = a[order], b[order], far[order]
+        start = np.flatnonzero(np.append(True, b[1:] != b[:-1])[: len(b)])
+        nth = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+        a, b, far = a[nth < most], b[nth < most], far[nth < most]
+    return a, b, far
+
+
 def candidates(shown: DataFrame, labels: DataFrame | None, rule: Rule, *, most: int | None, turn: int) -> DataFrame:
     """(a, b, votes): pairs of classes, a < b, with the number of groups that name them.
 
@@ -492,6 +584,28 @@ def open_candidates(shown: DataFrame, gone: DataFrame, rule: Rule, *, most: int
     return (pairs if most else pairs.where("votes >= least")).select("a", "b", "votes")
 
 
+def open_pairs(shown: DataFrame, gone: DataFrame, rule: Rule, *, most: int | None) -> DataFrame:
+    """(a, b, far): placed_pairs() of shown tokens, of which b isn't among the gone (cls), the `most` nearest of each b in a
+    task or all. Groups stay packed until they are looked at, one row at a time."""
+    some = gone.count() > KNOWN
+    known = shown.sparkSession.sparkContext.broadcast(np.append(np.sort((gone.limit(KNOWN) if some else gone).toArrow()["cls"].to_numpy()), np.iinfo(np.int64).max))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for x in batch.column("packed"):
+                every = unpacked_bytes(x.as_buffer(), PLACED)
+                out = known.value[:-1]
+                if len(out):
+                    out = known.value[np.searchsorted(out, every["cls"])] == every["cls"]
+                a, b, far = placed_pairs(every, rule, most, out if len(out) else None)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far)], names=["a", "b", "far"])
+
+    pairs = shown.mapInArrow(tidy(run), "a long, b long, far long")
+    if some:
+        pairs = pairs.join(gone.select(F.col("cls").alias("b")), "b", "left_anti")
+    return pairs.groupBy("a", "b").agg(F.min("far").alias("far"))
+
+
 def shown_lists(shown: DataFrame) -> DataFrame:
     """(cls, n, seen): what each class shows that others show too."""
     return written(unpacked(shown).groupBy("cls").agg(F.first("n").cast("long").alias("n"), F.collect_list("token").alias("seen")), "set-lists")

@@ -210,3 +210,54 @@ def test_sketches_tell_long_sets_apart():
     cls, one = np.arange(n), np.ones(n, np.int64)
     a, b, _ = pairs_of_groups(0 * one, cls, cls, setjoin.parities(np.concatenate(sets), at), 180 * one, 0 * one, rule, None, 0)
     assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == {(0, 1)}
+
+
+def test_ranges_of_size_find_what_all_pairs_do(monkeypatch):
+    """In a group of a frequent token every pair was looked at; now only sizes that the places of the token allow."""
+    r, rule, n = np.random.default_rng(8), Rule(80, 100), 3000
+    part = np.zeros(n, PLACED)
+    part["token"], part["cls"], part["rank"], part["n"] = np.sort(r.integers(0, 3, n)), r.permutation(n), r.permutation(n), r.integers(1, 90, n)
+    part["at"] = r.integers(0, rule.shown(part["n"].astype(np.int64)))
+    for c in ("p0", "p1"):  # few bits, so that many pairs pass and many don't
+        part[c] = np.uint64(1) << r.integers(0, 64, n, dtype=np.uint64)
+        part[c] |= np.uint64(1) << r.integers(0, 64, n, dtype=np.uint64)
+    gone = r.random(n) < 0.5
+    m, at = part["n"].astype(np.int64), part["at"].astype(np.int64)
+    need = rule.needed(m[:, None], m[None, :])
+    far = at[:, None] + at[None, :] + sum(np.bitwise_count(part[c][:, None] ^ part[c][None, :]).astype(np.int64) for c in ("p0", "p1"))
+    good = (np.minimum((m - at)[:, None], (m - at)[None, :]) >= need) & (far <= m[:, None] + m[None, :] - 2 * need)
+    good &= (part["token"][:, None] == part["token"][None, :]) & (part["rank"][:, None] < part["rank"][None, :]) & ~gone[None, :]
+    want = {(int(part["cls"][i]), int(part["cls"][j])): int((far[i, j] << 20) // (m[i] + m[j])) for i, j in zip(*np.nonzero(good), strict=True)}
+    looked, own = [], setjoin.expand
+    monkeypatch.setattr(setjoin, "expand", lambda start, count: looked.append(int(count.sum())) or own(start, count))
+    monkeypatch.setattr(setjoin, "AT_ONCE", 1000)
+    a, b, d = setjoin.placed_pairs(part, rule, None, gone)
+    assert {(x, y): z for x, y, z in zip(a.tolist(), b.tolist(), d.tolist(), strict=True)} == want and len(a) == len(want) > 100
+    assert sum(looked) < n * n / 6 / 4
+    a, b, d = setjoin.placed_pairs(part, rule, 2, gone)
+    near = {}
+    for (x, y), z in want.items():
+        near.setdefault(y, []).append(z)
+    got = {}
+    for x, y, z in zip(a.tolist(), b.tolist(), d.tolist(), strict=True):
+        assert want[x, y] == z
+        got.setdefault(y, []).append(z)
+    assert {y: sorted(z) for y, z in got.items()} == {y: sorted(z)[:2] for y, z in near.items()}
+
+
+def test_more_gone_than_tasks_know_of(spark, monkeypatch):
+    part = np.zeros(60, PLACED)
+    part["token"], part["cls"], part["n"], part["rank"] = 7, np.arange(60), 20, np.arange(60)
+    shown = spark.createDataFrame([(bytearray(packed_bytes(part)),)], "packed binary")
+    gone = spark.createDataFrame([(i,) for i in range(60) if i != 40], "cls long")
+    for known in (10, 1000):
+        monkeypatch.setattr(setjoin, "KNOWN", known)
+        got = setjoin.open_pairs(shown, gone, Rule(80, 100), most=None).collect()
+        assert sorted((x["a"], x["b"]) for x in got) == [(i, 40) for i in range(40)]
+
+
+def test_tokens_dealt_out_in_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "PACKED", 50)
+    rows = [(i, f"a{i // 3} b{i // 3} c{i // 3} d{i // 3} e{i // 3}" + (" more" if i % 3 == 2 else "")) for i in range(60)]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t if i % 3 == 0 else "" for i, t in rows}
