@@ -1,9 +1,9 @@
 """Greedy one-to-one matching: pairs in a total order, each taken while both of its sides are free.
 
-A pair that is the first of both its sides is taken whatever else happens; one round of those settles most catalogues. What is
-left falls into connected groups. Groups are found in rounds that halve paths, so a long chain needs logarithmically many;
+Up to a number of pairs, one pass over all of them in order settles them: it remembers the sides taken, no more. Of more pairs,
+one that is the first of both its sides is taken whatever else happens; what is left falls into connected groups. Groups are found in rounds that halve paths, so a long chain needs logarithmically many;
 then every group is settled in order in one pass over sorted rows, where a task remembers the sides taken in the group at
-hand. Tables with more pairs than that go in rounds of proposals: the first pairs of each left side are matched, then those
+hand. Tables with more pairs than a group may have go in rounds of proposals: the first pairs of each left side are matched, then those
 that it may still get after what right sides hold, until no free one has any left. The greedy choice is the one stable
 matching of that order, so what a right side holds only gets better, and no pair that is dropped could be taken. Groups that
 are still too large go in rounds of one proposal each.
@@ -19,6 +19,9 @@ from skylattice.operators.shared import cut
 
 #: Pairs of a group that is settled in one pass: the sides that a task remembers are twice as many at most.
 GROUP_PAIRS = 1 << 20
+#: Pairs that one pass in order settles at once. Rounds over groups cost the driver plans and tasks, and lists of near wishes
+#: make one group anyway; what a task keeps is the sides it takes.
+PASS_PAIRS = 1 << 24
 #: Pairs that a left side proposes in a round over a large table.
 LIST = 16
 
@@ -95,18 +98,9 @@ def greedy(pairs: DataFrame, left: str, right: str, order: list[str]) -> DataFra
     return _settled(every, left, right, order)
 
 
-def _settled(every: DataFrame, left: str, right: str, order: list[str]) -> DataFrame:
-    """The pairs that greedy takes, by first pairs of both sides and connected groups."""
-    columns = every.columns
-    kept = cut(_first_of_both(every, left, right, order))
-    open_ = cut(_without(every, kept, left, right))
-    if open_.isEmpty():
-        return kept
-    node: dict[str, Column] = {side: F.xxhash64(F.lit(k), F.col(side)) for k, side in enumerate((left, right))}  # nodes that fall together only make a group larger
-    groups = connected(open_.select(node[left].alias("a"), node[right].alias("b"))).withColumnRenamed("node", "_n")
-    grouped = cut(open_.withColumn("_h", node[left]).join(groups, F.col("_h") == F.col("_n")).select(*columns, "component"))
-    size = grouped.groupBy("component").agg(F.count("*").alias("_size")).where(F.col("_size") > GROUP_PAIRS).select("component")
-    large = cut(grouped.join(size, "component", "left_semi").select(*columns))
+def _in_order(pairs: DataFrame, left: str, right: str, columns: list[str]) -> DataFrame:
+    """The pairs (columns) that are taken one after the other within each component; its rows are sorted and lie in one task."""
+    kind = pairs.select(*columns).schema
 
     def run(batches):
         now, lefts, rights = None, set(), set()
@@ -122,8 +116,26 @@ def _settled(every: DataFrame, left: str, right: str, order: list[str]) -> DataF
                 keep.append(free)
             yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
 
+    return pairs.select("component", *columns).mapInArrow(run, kind)
+
+
+def _settled(every: DataFrame, left: str, right: str, order: list[str]) -> DataFrame:
+    """The pairs that greedy takes, by one pass, or by first pairs of both sides and connected groups."""
+    columns = every.columns
+    if every.count() <= PASS_PAIRS:
+        return cut(_in_order(every.withColumn("component", F.lit(0)).repartition(1).sortWithinPartitions(*order), left, right, columns))
+    kept = cut(_first_of_both(every, left, right, order))
+    open_ = cut(_without(every, kept, left, right))
+    if open_.isEmpty():
+        return kept
+    node: dict[str, Column] = {side: F.xxhash64(F.lit(k), F.col(side)) for k, side in enumerate((left, right))}  # nodes that fall together only make a group larger
+    groups = connected(open_.select(node[left].alias("a"), node[right].alias("b"))).withColumnRenamed("node", "_n")
+    grouped = cut(open_.withColumn("_h", node[left]).join(groups, F.col("_h") == F.col("_n")).select(*columns, "component"))
+    size = grouped.groupBy("component").agg(F.count("*").alias("_size")).where(F.col("_size") > GROUP_PAIRS).select("component")
+    large = cut(grouped.join(size, "component", "left_semi").select(*columns))
+
     rest = grouped.join(size, "component", "left_anti").repartition("component").sortWithinPartitions("component", *order)
-    kept = kept.unionByName(rest.select("component", *columns).mapInArrow(run, every.schema))
+    kept = kept.unionByName(_in_order(rest, left, right, columns))
     if not large.isEmpty():
         kept = kept.unionByName(_proposals(large, left, right, order, 1))
     return cut(kept)

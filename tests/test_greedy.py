@@ -66,3 +66,22 @@ def test_components(spark):
     got = connected(spark.createDataFrame(edges, "a long, b long")).collect()
     want = {n: find(n) for n in root if any(n in e and e[0] != e[1] for e in edges)}
     assert {x["node"]: x["component"] for x in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 40])
+def test_same_pairs_by_groups(spark, monkeypatch, limit):
+    monkeypatch.setattr(module, "PASS_PAIRS", 0)
+    test_same_pairs_as_one_by_one(spark, monkeypatch, limit)
+
+
+def test_a_group_that_is_too_large_takes_few_rounds(spark, monkeypatch):
+    # the lists of near wishes make one group; beyond GROUP_PAIRS it went on in rounds of one proposal each, whose plans and
+    # tasks the driver keeps
+    rows = [(float(b), a, b) for a in range(40) for b in range(40)]
+    df = spark.createDataFrame([(a, b, d) for d, a, b in rows], "a long, b long, d double")
+    cuts = []
+    one = module.cut
+    monkeypatch.setattr(module, "GROUP_PAIRS", 500)
+    monkeypatch.setattr(module, "cut", lambda t: cuts.append(1) or one(t))
+    got = {(x["a"], x["b"], x["d"]) for x in greedy(df, "a", "b", ["d"]).collect()}
+    assert got == by_hand(rows) and len(cuts) < 20
